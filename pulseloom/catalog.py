@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from pulseloom.plans import analysis, recordings
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return recordings.QUERIES | analysis.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return recordings.SQL | analysis.SQL
