@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseloom.operators.tachogram import physiologic
+from pulseloom.operators.tachogram import in_order, physiologic
 
 MINUTE = 60_000
-_IN_ORDER = Window.partitionBy("rec").orderBy("beat_idx")
 
 
 def grid(beats: DataFrame) -> DataFrame:
@@ -29,7 +28,7 @@ def dealt(beats: DataFrame, minutes: int) -> DataFrame:
     Adds ``_prev`` and ``_prev_t``: the clean beat before, whether or not it is in the window.
     """
     clean = beats.where(physiologic())
-    clean = clean.withColumns({"_prev": F.lag("rr_ms").over(_IN_ORDER), "_prev_t": F.lag("t_ms").over(_IN_ORDER)})
+    clean = clean.withColumns({"_prev": F.lag("rr_ms").over(in_order()), "_prev_t": F.lag("t_ms").over(in_order())})
     low = F.greatest(F.ceil(F.col("t_ms") / MINUTE), F.lit(minutes))
     high = F.floor((F.col("t_ms") + minutes * MINUTE) / MINUTE)
     return clean.where(low <= high).withColumn("minute", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
@@ -59,7 +58,7 @@ def time_domain(beats: DataFrame, minutes: int = 3, least: int = 5) -> DataFrame
     return windows(beats, minutes, least, [
         r(F.avg(rr)).alias(f"RRMean{s}"), F.min(rr).alias(f"RRMin{s}"), F.max(rr).alias(f"RRMax{s}"), r(F.var_samp(rr)).alias(f"RRVar{s}"),
         r(F.sqrt(F.avg(d * d))).alias(f"RMSSD{s}"), r(F.stddev_samp(rr)).alias(f"SDNN{s}"), r(F.stddev_samp(d)).alias(f"SDSD{s}"),
-        nn50.alias(f"NN50{s}"), r(nn50 * 100.0 / (F.count("*") - 1)).alias(f"pNN50{s}"),
+        nn50.alias(f"NN50{s}"), r(F.try_divide(nn50 * 100.0, F.count("*") - 1)).alias(f"pNN50{s}"),
     ])
 
 

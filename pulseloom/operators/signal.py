@@ -6,9 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseloom.functions import kernels as K
 from pulseloom.operators.features import MINUTE, dealt
+from pulseloom.schemas import SPECTRUM
 
 
 def _entropy_udf(kernel, version: int, least: int = 10):
@@ -42,13 +44,13 @@ def window_series(beats: DataFrame, minutes: int, least: int) -> DataFrame:
 FREQUENCY = ("TOTAL_POWER", "VLF_POWER", "LF_POWER", "HF_POWER", "VLF_NORM", "LF_NORM", "HF_NORM", "LF_TO_HF")
 
 
-@F.pandas_udf(", ".join(f"{n} double" for n in FREQUENCY))
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in FREQUENCY]))
 def frequency(rr: pd.Series, t: pd.Series) -> pd.DataFrame:
     """Powers and norms of windows given as arrays of intervals and times in seconds."""
     return pd.DataFrame([K.frequency_features(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(rr, t, strict=True)], columns=list(FREQUENCY))
 
 
-@F.pandas_udf("array<struct<f:double,p:double>>")
+@F.pandas_udf(SPECTRUM)
 def welch_psd(x: pd.Series, fs: pd.Series, segment: pd.Series) -> pd.Series:
     """Welch density of arrays, as (f, p)."""
     out = []

@@ -33,14 +33,15 @@ def lomb_scargle(rows: DataFrame, keys: list[str], frequencies: list[float]) ->
     both = y.join(tau, [*keys, "f"])
     c, s = F.cos(w * (F.col("t") - F.col("tau"))), F.sin(w * (F.col("t") - F.col("tau")))
     sq = lambda x: x * x
-    p = 0.5 * (sq(F.sum(F.col("y") * c)) / F.sum(c * c) + sq(F.sum(F.col("y") * s)) / F.sum(s * s))
+    part = lambda x: F.coalesce(F.try_divide(sq(F.sum(F.col("y") * x)), F.sum(x * x)), F.lit(0.0))
+    p = 0.5 * (part(c) + part(s))
     return both.groupBy(*keys, "f").agg(p.alias("p"))
 
 
 def scaled_to_variance(spectrum: DataFrame, variances: DataFrame, keys: list[str], step: float) -> DataFrame:
     """Powers scaled so that their sum times the step is ``variance``."""
     total = F.sum("p").over(Window.partitionBy(*keys)) * step
-    return spectrum.withColumn("_t", total).join(variances, keys).select(*keys, "f", (F.col("p") * F.col("variance") / F.col("_t")).alias("p"))
+    return spectrum.withColumn("_t", total).join(variances, keys).select(*keys, "f", F.try_divide(F.col("p") * F.col("variance"), F.col("_t")).alias("p"))
 
 
 def local_maxima(spectrum: DataFrame, keys: list[str], height: float = 0.1) -> DataFrame:

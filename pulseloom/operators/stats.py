@@ -53,8 +53,8 @@ def mann_whitney(long: DataFrame, a, b) -> DataFrame:
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     s = s.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    z = (F.greatest(F.col("u"), n1 * n2 - F.col("u")) - n1 * n2 / 2 - 0.5) / sd
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))
+    z = F.coalesce(F.try_divide(F.greatest(F.col("u"), n1 * n2 - F.col("u")) - n1 * n2 / 2 - 0.5, sd), F.lit(0.0))
     p = F.when(sd > 0, F.least(F.lit(1.0), erfc(F.greatest(z, F.lit(0.0)) / F.sqrt(F.lit(2.0))))).otherwise(1.0)
     return s.select("feature", "n1", "n2", "u", p.alias("p"))
 
@@ -69,7 +69,7 @@ def pseudo_f(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
     t = per.groupBy(*keys) if keys else per
     tot = t.agg(F.max("N").alias("N"), F.max("k").alias("k"), F.sum("sst").alias("sst"), F.sum("ssw").alias("ssw"))
-    f = ((F.col("sst") - F.col("ssw")) / (F.col("k") - 1)) / (F.col("ssw") / (F.col("N") - F.col("k")))
+    f = F.try_divide(F.try_divide(F.col("sst") - F.col("ssw"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("N") - F.col("k")))
     return tot.select(*keys, f.alias("pseudo_f"))
 
 
@@ -114,7 +114,7 @@ def auc(rows: DataFrame) -> DataFrame:
     r = F.coalesce(F.sum("n").over(upto), F.lit(0)) + (F.col("n") + 1) / 2
     s = by.withColumn("r", r).agg(F.sum(F.col("r") * F.col("n1")).alias("r1"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
-    return s.select(F.round((F.col("r1") - n1 * (n1 + 1) / 2) / (n1 * n0), 6).alias("auc"))
+    return s.select(F.round(F.try_divide(F.col("r1") - n1 * (n1 + 1) / 2, n1 * n0), 6).alias("auc"))
 
 
 def masked_cross_entropy(rows: DataFrame) -> DataFrame:

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Physiologic bounds of an interval, both kept.
 RR_LEAST, RR_MOST = 200, 2000
-_BY_REC = Window.partitionBy("rec")
-_IN_ORDER = _BY_REC.orderBy("beat_idx")
+
+
+def by_rec() -> WindowSpec:
+    return Window.partitionBy("rec")
+
+
+def in_order() -> WindowSpec:
+    return by_rec().orderBy("beat_idx")
 
 
 def rr_from_peaks(peaks: DataFrame, fs: float) -> DataFrame:
     """(rec, beat_idx, rr_s, t_s) from (rec, beat_idx, sample): an interval bears the time of its second peak."""
-    before = F.lag("sample").over(_IN_ORDER)
+    before = F.lag("sample").over(in_order())
     rows = peaks.withColumn("_before", before).where(F.col("_before").isNotNull())
     return rows.select("rec", "beat_idx", ((F.col("sample") - F.col("_before")) / fs).alias("rr_s"), (F.col("sample") / fs).alias("t_s"))
 
@@ -54,7 +60,7 @@ def winsorised(beats: DataFrame, retime: bool = True) -> DataFrame:
     rows = beats.join(quartiles(beats), "rec")
     rr = F.when(F.col("_n") < 4, F.col("rr_ms").cast("double")).when(low, F.col("_q1")).when(high, F.col("_q3")).otherwise(F.col("rr_ms").cast("double"))
     rows = rows.withColumn("rr_w", rr)
-    moved = F.first("t_ms").over(_IN_ORDER) + F.coalesce(F.sum("rr_w").over(_IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    moved = F.first("t_ms").over(in_order()) + F.coalesce(F.sum("rr_w").over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     t = F.when(F.col("_n") < 4, F.col("t_ms").cast("double")).otherwise(moved) if retime else F.col("t_ms").cast("double")
     return rows.select("rec", "beat_idx", "rr_w", t.alias("t_w"))
 
@@ -66,12 +72,12 @@ def interpolated(beats: DataFrame) -> DataFrame:
     """
     rows = beats.withColumn("_ok", physiologic())
     point = F.when(F.col("_ok"), F.struct("t_ms", "rr_ms"))
-    before = _IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
+    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
     # Backwards, so that each frame extends the one before.
-    after = _BY_REC.orderBy(F.desc("beat_idx")).rowsBetween(Window.unboundedPreceding, -1)
+    after = by_rec().orderBy(F.desc("beat_idx")).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({
         "_a": F.last(point, ignorenulls=True).over(before), "_b": F.last(point, ignorenulls=True).over(after),
-        "_n": F.sum(F.col("_ok").cast("int")).over(_BY_REC),
+        "_n": F.sum(F.col("_ok").cast("int")).over(by_rec()),
     })
     # At an end the line runs through the two nearest clean beats.
     ends = _edges(beats.where(physiologic()))
@@ -89,7 +95,7 @@ def interpolated(beats: DataFrame) -> DataFrame:
 
 def _edges(clean: DataFrame) -> DataFrame:
     """(rec, _first, _first2, _last2, _last): the outermost two clean beats on each side."""
-    up, down = _IN_ORDER, _BY_REC.orderBy(F.desc("beat_idx"))
+    up, down = in_order(), by_rec().orderBy(F.desc("beat_idx"))
     rows = clean.withColumns({"_u": F.row_number().over(up), "_d": F.row_number().over(down)}).where("_u <= 2 or _d <= 2")
     at = lambda c, k: F.max(F.when(F.col(c) == k, F.struct("t_ms", "rr_ms")))
     return rows.groupBy("rec").agg(at("_u", 1).alias("_first"), at("_u", 2).alias("_first2"), at("_d", 2).alias("_last2"), at("_d", 1).alias("_last"))
@@ -107,7 +113,7 @@ def stats(beats: DataFrame) -> DataFrame:
         F.round(F.count_if(~ok) / F.count("*"), 6).alias("artifact_rate"),
         F.round(mean, 6).alias("mean_rr_ms"),
         F.round(F.stddev_pop(rr), 6).alias("std_rr_ms"),
-        F.round(60000 / mean, 6).alias("mean_hr"),
+        F.round(F.try_divide(F.lit(60000), mean), 6).alias("mean_hr"),
     )
 
 
@@ -118,12 +124,12 @@ def between(rows: DataFrame, start: float, end: float, t: str = "t_ms") -> DataF
 
 def timeline(beats: DataFrame) -> DataFrame:
     """The running sum of the intervals."""
-    return beats.select("rec", "beat_idx", F.sum("rr_ms").over(_IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)).alias("t_sum"))
+    return beats.select("rec", "beat_idx", F.sum("rr_ms").over(in_order().rowsBetween(Window.unboundedPreceding, 0)).alias("t_sum"))
 
 
 def centred(beats: DataFrame, value: str = "rr_ms") -> DataFrame:
     """Values less their recording's mean."""
-    return beats.select("rec", "beat_idx", (F.col(value) - F.avg(value).over(_BY_REC)).alias("x"))
+    return beats.select("rec", "beat_idx", (F.col(value) - F.avg(value).over(by_rec())).alias("x"))
 
 
 def detrended(beats: DataFrame, value: str = "rr_ms", t: str = "t_ms") -> DataFrame:
@@ -134,8 +140,8 @@ def detrended(beats: DataFrame, value: str = "rr_ms", t: str = "t_ms") -> DataFr
 
 def time_weighted(beats: DataFrame) -> DataFrame:
     """Mean and variance of intervals held until the next beat."""
-    dt = F.lead("t_ms").over(_IN_ORDER) - F.col("t_ms")
+    dt = F.lead("t_ms").over(in_order()) - F.col("t_ms")
     rows = beats.select("rec", F.col("rr_ms").cast("double").alias("y"), dt.alias("dt")).where("dt is not null")
     sums = rows.groupBy("rec").agg(F.sum("dt").alias("T"), F.sum(F.col("y") * F.col("dt")).alias("s1"), F.sum(F.col("y") * F.col("y") * F.col("dt")).alias("s2"))
-    mean = F.col("s1") / F.col("T")
-    return sums.select("rec", mean.alias("mean_tw"), (F.col("s2") / F.col("T") - mean * mean).alias("var_tw"))
+    mean = F.try_divide("s1", "T")
+    return sums.select("rec", mean.alias("mean_tw"), (F.try_divide("s2", "T") - mean * mean).alias("var_tw"))

@@ -42,13 +42,18 @@ def trailing_features(beats: DataFrame, minutes: int = 3, least: int = 5) -> Dat
     return beats.groupBy("rec").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """``events`` with ts as an instant; times without a zone are taken in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def hopping(events: DataFrame, size: str = "60 minutes", hop: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts and means of (ts, user_id, value) in hopping windows, late rows within the watermark included."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", size, hop), "user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
+    w = timed(events).withWatermark("ts", late).groupBy(F.window("ts", size, hop), "user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
     return w.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "user_id", "n", "mean_value")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Clusters of a user's events with gaps below ``gap``."""
-    w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    w = timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return w.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
