@@ -1,7 +1,8 @@
 """A corpus, from documents to shards: the stages, and their run over a folder of tables.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns what it
-keeps of ``docs``. All but the last return the columns of ``docs``.
+keeps of ``docs``. All but the last return the columns of ``docs``, whatever they are;
+names that begin with two underscores are taken by the stages.
 """
 
 from __future__ import annotations
@@ -23,34 +24,34 @@ SHINGLE = 5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     trees = fit(docs, table(spark, sf_dir, "labels"), usable_for_fit())
-    return scored(docs, trees, "_quality").where(F.col("_quality") >= KEEP_AT).drop("_quality")
+    return scored(docs, trees, "__quality").where(F.col("__quality") >= KEEP_AT).drop("__quality")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; of repeated rows with one doc_id, one stays."""
-    kept = grouped(docs, SHINGLE).where("kept").select(F.col("doc_id").alias("_kept"))
-    once = kept.where(F.col("_kept").isNotNull()).groupBy("_kept").agg(F.count("*").alias("_rows"))
-    rows = docs.join(once, docs["doc_id"] == F.col("_kept"), "left").where(docs["doc_id"].isNull() | F.col("_kept").isNotNull())
-    repeated = rows.where(F.col("_rows") > 1).select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"])
-    return rows.where(F.coalesce("_rows", F.lit(1)) == 1).select(*[docs[c] for c in docs.columns]).unionByName(repeated)
+    kept = grouped(docs, SHINGLE).where("kept").select(F.col("doc_id").alias("__kept"))
+    once = kept.where(F.col("__kept").isNotNull()).groupBy("__kept").agg(F.count("*").alias("__rows"))
+    rows = docs.join(once, docs["doc_id"] == F.col("__kept"), "left").where(docs["doc_id"].isNull() | F.col("__kept").isNotNull())
+    repeated = rows.where(F.col("__rows") > 1).select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"])
+    return rows.where(F.coalesce("__rows", F.lit(1)) == 1).select(*[docs[c] for c in docs.columns]).unionByName(repeated)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold nothing of the benchmark."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__hit")), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    out = mixed(docs)
-    copies = F.explode(F.array_repeat(F.lit(0), out["mix"]["copies"].cast("int"))).alias("_copy")
-    return out.select(*docs.columns, copies).drop("_copy")
+    out = mixed(docs, column="__mix")
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("__mix.copies").cast("int"))).alias("__copy")
+    return out.select(*docs.columns, copies).drop("__copy")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each row in a store of compacted shards."""
-    return sharded(docs).placed().select("doc_id", "placed.*")
+    return sharded(docs).placed(column="__placed").select("doc_id", "__placed.*")
 
 
 STAGES = [

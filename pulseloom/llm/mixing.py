@@ -96,16 +96,16 @@ def copies_by_size(sizes: DataFrame, goals: DataFrame, most: int = MOST) -> Data
     return t.select("source", "size", "n", "source_size", "target", "rate", F.col("copies").cast("long").alias("copies"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, size: Column | None = None) -> DataFrame:
-    """``docs`` with struct ``mix``: size, source_size, target, rate, copies.
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, size: Column | None = None, column: str = "mix") -> DataFrame:
+    """``docs`` with struct ``column``: size, source_size, target, rate, copies.
 
     size: the words of a document; counted from ``text`` where none is given.
     """
     size = n_words("text") if size is None else size
     # A source as a key that is never null, so that the window and the join below share one exchange.
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    docs = docs.select("*", key.alias("_key"), size.alias("_size")).withColumn("_block", F.pmod(F.xxhash64("doc_id", "_size"), F.lit(BLOCKS)))
-    blocks = staged(docs.groupBy("_key", "_size", "_block").agg(F.count("*").alias("_n")), "mix-blocks")
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", key.alias("_key"), size.alias("_size")).withColumn("_block", F.pmod(F.xxhash64("doc_id", "_size"), F.lit(BLOCKS)))
+    blocks = staged(rows.groupBy("_key", "_size", "_block").agg(F.count("*").alias("_n")), "mix-blocks")
     source = F.when(F.col("_key") != "", F.substring("_key", 2, 1 << 30)).alias("source")
     sizes = blocks.groupBy(source, F.col("_size").alias("size")).agg(F.sum("_n").alias("n"))
     plan = copies_by_size(sizes, targets(sizes, weights, share, most), most)
@@ -122,13 +122,13 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
         "mix-dealt",
     )
     place = F.row_number().over(Window.partitionBy("_key", "_size", "_block").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    out = docs.withColumn("_place", place).join(dealt, ["_key", "_size", "_block"])
+    out = rows.withColumn("_place", place).join(dealt, ["_key", "_size", "_block"])
     copies = F.expr("(_place * _copies) div _n - ((_place - 1) * _copies) div _n")
     mix = F.struct(
         F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
         F.col("_rate").alias("rate"), copies.alias("copies"),
     )
-    return out.withColumn("mix", mix).select(*[docs[c] for c in docs.columns if not c.startswith("_")], "mix")
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != column], mix.alias(column))
 
 
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom.llm.common import shared_dir, table
@@ -32,11 +32,15 @@ FACTOR, RUN = 4, 4
 
 
 _FILE, _GROUP = "__shard_file", "__shard_group"
-#: A shard goes by the last two parts of its path; Spark never writes two files of one such name.
-SHARD_OF_ROW = F.substring_index("_metadata.file_path", "/", -2)
+
+
+def shard_of_row() -> Column:
+    """A row's shard by the last two parts of its path; Spark never writes two files of one such name."""
+    return F.substring_index("_metadata.file_path", "/", -2)
 
 
 def short(file: str) -> str:
+    """A file's name as :func:`shard_of_row` has it."""
     return "/".join(file.split("/")[-2:])
 
 
@@ -146,7 +150,7 @@ class Store:
         # A row for each merged file: metadata of one compaction, far smaller than a shard.
         plan = F.broadcast(self.spark.createDataFrame(place, f"{_FILE} string, {_GROUP} int"))
         rows = self.read_files([x["file"] for g in due for x in g], now["schema"])
-        rows = rows.withColumn(_FILE, SHARD_OF_ROW).join(plan, _FILE).drop(_FILE)
+        rows = rows.withColumn(_FILE, shard_of_row()).join(plan, _FILE).drop(_FILE)
         # One task for each group, whose size is bounded by the target.
         rows = rows.repartitionById(len(due), _GROUP)
         rows.write.partitionBy(_GROUP).option("compression", "zstd").parquet(f"{self.path}/{folder}")
@@ -180,18 +184,18 @@ class Store:
                     if f["file"] not in listed:
                         self._fs.delete(self._path(f"{self.path}/{f['file']}"), False)
 
-    def placed(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with struct ``placed``: shard, tier, bytes of the shard, version."""
+    def placed(self, version: int | None = None, column: str = "placed") -> DataFrame:
+        """The rows of a version with struct ``column``: shard, tier, bytes of the shard, version."""
         at = self.manifest(version)
         known = [(short(x["file"]), x["tier"], x["bytes"]) for x in at["shards"]]
         shards = F.broadcast(self.spark.createDataFrame(known, f"{_FILE} string, __tier int, __bytes long"))
         rows = self.read_files([x["file"] for x in at["shards"]], at["schema"])
-        rows = rows.withColumn(_FILE, SHARD_OF_ROW if at["shards"] else F.lit(None).cast("string")).join(shards, _FILE)
+        rows = rows.withColumn(_FILE, shard_of_row() if at["shards"] else F.lit(None).cast("string")).join(shards, _FILE)
         place = F.struct(
             F.col(_FILE).alias("shard"), F.col("__tier").alias("tier"), F.col("__bytes").alias("shard_bytes"),
             F.lit(at["version"]).alias("version"),
         )
-        return rows.withColumn("placed", place).drop(_FILE, "__tier", "__bytes")
+        return rows.withColumn(column, place).drop(_FILE, "__tier", "__bytes")
 
 
 def sharded(docs: DataFrame, path: str | None = None, target: int = TARGET) -> Store:
