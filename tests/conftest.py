@@ -1,14 +1,13 @@
-"""One Spark session for all tests, and the comparison with DuckDB."""
+"""One Spark session and one DuckDB connection for all tests."""
 
 from __future__ import annotations
 
-import math
 import os
 import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -40,31 +39,3 @@ def duck(sf_dir):
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return c
-
-
-def plain(value):
-    """A value as both engines would show it."""
-    if value is None:
-        return None
-    if isinstance(value, bool):
-        return value
-    if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6) + 0.0
-    return value if isinstance(value, (int, str)) else str(value)
-
-
-def same(df, relation) -> None:
-    """Equal names, and equal rows in any order; numbers within 1e-6 or so."""
-    names = sorted(df.columns)
-    assert names == sorted(relation.columns)
-    left = sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr)
-    at = [relation.columns.index(c) for c in names]
-    right = sorted((tuple(plain(r[i]) for i in at) for r in relation.fetchall()), key=repr)
-    assert len(left) == len(right)
-    for a, b in zip(left, right, strict=True):
-        assert len(a) == len(b)
-        for x, y in zip(a, b, strict=True):
-            if isinstance(x, float) or isinstance(y, float):
-                assert x is not None and y is not None and math.isclose(x, y, rel_tol=1e-9, abs_tol=2e-6), (a, b)
-            else:
-                assert x == y, (a, b)
