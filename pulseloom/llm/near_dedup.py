@@ -8,13 +8,17 @@ pair misses all bands with a probability of (1 - 0.8 ** ROWS) ** BANDS, about 1e
 The samples are also folded into an odd sketch, a bitmap in which each sample flips one
 bit. The population count z of the XOR of two sketches gives the number of samples that
 differ, and so the similarity. Candidates whose estimate lies five standard deviations
-below 0.8 are dropped; the rest is decided on the full sets.
+below 0.8 are dropped. A second bitmap holds the parity of all shingles of the set; there
+the count of the XOR is never larger than the symmetric difference, so that it refutes a
+link with certainty, and sharply for sets of up to a few thousand shingles. The rest is
+decided on the full sets.
 
 Only components are asked for, so not all pairs of a group are made. First each class is
 tested against one pivot, the best among the smallest members of its bands. Classes that
-are then in one component need no further test. Bands that still hold several components
-are tested whole: against more pivots while that would be many pairs, and at last all
-pairs across components, so that no link is lost.
+are then in one component need no further test. What shares a band across components is
+held together by the bitmaps, and what these can't refute is tested on the full sets, so
+that no link is lost. Where bands would give very many such comparisons, further pivots
+join components first.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; rows
 with the same doc_id are one node; rows with a null doc_id link with nothing, have a null
@@ -34,12 +38,12 @@ from pyspark.sql import functions as F
 
 from pulseloom.llm.common import staged, table
 
-ROWS, BANDS, SKETCH_BITS = 5, 28, 512
+ROWS, BANDS, SKETCH_BITS, PARITY_BITS = 5, 28, 512, 1024
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 SIGMAS = 5
-#: All pairs across components are tested once they are at most so many for each row of the bands.
-PAIRS_A_ROW, PIVOT_ROUNDS = 4, 6
+#: Bitmaps are compared across components once that is at most so many comparisons for each row of the bands.
+PAIRS_A_ROW, PIVOT_ROUNDS = 2_000, 6
 _WORDS: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _R30, _R27, _R31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -92,6 +96,12 @@ def sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a whole set, as 64-bit words."""
+    odd = np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def band_keys(samples: np.ndarray) -> np.ndarray:
     """One key for each band; bands never share keys but by chance."""
     rows = samples.reshape(BANDS, ROWS)
@@ -116,10 +126,10 @@ def most_differing(percent: float = PERCENT) -> int:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, bands, sketch) of each row; k1 and k2 identify the set."""
+    """(doc_id, n_shingles, k1, k2, bands, sketch, parity) of each row; k1 and k2 identify the set."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, k1, k2, bands, marks = [], [], [], [], []
+            n, k1, k2, bands, marks, odd = [], [], [], [], [], []
             for text in b.column("text"):
                 s = shingle_set(text.as_py(), size)
                 n.append(len(s))
@@ -130,16 +140,18 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     samples = minhash(s)
                     bands.append(band_keys(samples))
                     marks.append(sketch(samples))
+                    odd.append(parity(s))
                 else:
                     bands.append(None)
                     marks.append(None)
+                    odd.append(None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, longs), pa.array(marks, longs)],
-                ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, longs), pa.array(marks, longs), pa.array(odd, longs)],
+                ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch", "parity"],
             )
 
-    schema = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"
+    schema = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>, parity array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, schema)
 
 
@@ -191,7 +203,7 @@ def grouped(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
     filled = known.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = staged(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = filled.join(classes, (filled["k1"] == classes["k1"]) & (filled["k2"] == classes["k2"]) & (F.col("doc_id") == F.col("rep")))
-    reps = staged(reps.select("rep", F.col("n_shingles").alias("n"), "bands", "sketch").distinct(), "representatives")
+    reps = staged(reps.select("rep", F.col("n_shingles").alias("n"), "bands", "sketch", "parity").distinct(), "representatives")
     banded = reps.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     met = staged(banded.join(shared, "band"), "bands")
@@ -217,7 +229,7 @@ def grouped(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
             break
         whole = told["pairs"] <= PAIRS_A_ROW * told["n"] or turn == PIVOT_ROUNDS
         if whole:
-            with_marks = rows.select("band", "rep", "label").join(reps.select("rep", "n", "sketch"), "rep")
+            with_marks = rows.select("band", "rep", "label").join(reps.select("rep", "n", "sketch", "parity"), "rep")
             x, y = with_marks.alias("x"), with_marks.alias("y")
             pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & alike("x", "y", percent))
             pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
@@ -244,25 +256,27 @@ def grouped(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
 
 
 def alike(x: str, y: str, percent: int = PERCENT) -> Column:
-    """Whether sizes and sketches of two rows allow a link."""
-    fits = (F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) * 100) >= (F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n")) * percent)
-    return fits & (differing(F.col(f"{x}.sketch"), F.col(f"{y}.sketch")) <= most_differing(percent))
+    """Whether sizes and bitmaps of two rows allow a link."""
+    m, n = F.col(f"{x}.n"), F.col(f"{y}.n")
+    fits = F.least(m, n) * 100 >= F.greatest(m, n) * percent
+    near = differing(F.col(f"{x}.parity"), F.col(f"{y}.parity"), PARITY_BITS) * (100 + percent) <= (m + n) * (100 - percent)
+    return fits & near & (differing(F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), SKETCH_BITS) <= most_differing(percent))
 
 
-def differing(x: Column, y: Column) -> Column:
-    """Population count of the XOR of two sketches."""
+def differing(x: Column, y: Column, bits: int) -> Column:
+    """Population count of the XOR of two bitmaps."""
     out = F.lit(0)
-    for i in range(SKETCH_BITS // 64):
+    for i in range(bits // 64):
         out = out + F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))))
     return out
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sizes and sketches allow, with z."""
-    x = reps.select(F.col("rep").alias("a"), "n", "sketch").alias("x")
-    y = reps.select(F.col("rep").alias("b"), "n", "sketch").alias("y")
+    x = reps.select(F.col("rep").alias("a"), "n", "sketch", "parity").alias("x")
+    y = reps.select(F.col("rep").alias("b"), "n", "sketch", "parity").alias("y")
     both = pairs.join(x, "a").join(y, "b").where(alike("x", "y", percent))
-    return both.select("a", "b", differing(F.col("x.sketch"), F.col("y.sketch")).alias("z"))
+    return both.select("a", "b", differing(F.col("x.sketch"), F.col("y.sketch"), SKETCH_BITS).alias("z"))
 
 
 def op4_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
