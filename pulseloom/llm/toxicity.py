@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pulseloom.llm.common import fold, table
 
 #: Labelled documents of each class that a fit takes at most.
-FIT_ROWS = 3_000
+FIT_ROWS = 2_000
 #: Tokens of a batch that one recursion takes together; longer texts still go in whole.
 CHUNK_TOKENS = 400_000
 STEPS, L2, SPAN_AT, TOXIC_AT = 20, 1.0, 0.5, 0.7
@@ -81,8 +81,9 @@ def marginals(unary: np.ndarray, trans: np.ndarray, starts: np.ndarray, ends: np
     inner[starts[starts < ends]] = False
     i = np.flatnonzero(inner)
     a, e = ahead[i - 1], u[i] * behind[i]
-    pair = np.array([np.full(len(i), t00), t01 * e, t10 * a, t11 * a * e])
-    return odds / (1 + odds), (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2)
+    total = t00 + t01 * e + (t10 + t11 * e) * a
+    pairs = np.array([[(t00 / total).sum(), (t01 * e / total).sum()], [(t10 * a / total).sum(), (t11 * a * e / total).sum()]])
+    return odds / (1 + odds), pairs
 
 
 @dataclass
@@ -145,13 +146,20 @@ def train(texts: list[str], y: np.ndarray, prior: float) -> Field:
     shift = math.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     if not n1 or not n0:
         return Field(layer=np.array([shift if len(y) else 0.0, 0, 0, 0]))
-    docs = [[normal(w) for w in t.split()] for t in texts]
+    # Documents as arrays of places in the list of distinct words.
     place: dict[str, int] = {}
-    ids = np.array([place.setdefault(w, len(place)) for words in docs for w in words], np.int64)
+    raw: dict[str, int] = {}
+    docs = []
+    for text in texts:
+        words = text.split()
+        for w in set(words).difference(raw):
+            raw[w] = place.setdefault(normal(w), len(place))
+        docs.append(np.fromiter(map(raw.__getitem__, words), np.int32, len(words)))
+    ids = np.concatenate(docs)
     of_word = [features(w) if w else [] for w in place]
     toxic_in, clean_in = Counter(), Counter()
     for words, label in zip(docs, y, strict=True):
-        (toxic_in if label else clean_in).update({f for w in set(words) for f in of_word[place[w]]})
+        (toxic_in if label else clean_in).update({f for w in np.unique(words).tolist() for f in of_word[w]})
 
     def apart(k: int, c: int) -> bool:
         """Whether k against c occurrences, by the sizes of the classes, are at least 10 to 1, and surely above 3 to 1."""
@@ -162,10 +170,12 @@ def train(texts: list[str], y: np.ndarray, prior: float) -> Field:
     # Copies repeat a text around a token; only distinct neighbourhoods count as evidence.
     suspect = [[f for f in fs if f in marked] for fs in of_word]
     around: tuple[dict, dict] = ({}, {})
+    any_suspect = np.array([bool(fs) for fs in suspect], bool)
     for words, label in zip(docs, y, strict=True):
-        for i, w in enumerate(words):
-            for f in suspect[place[w]]:
-                around[int(label)].setdefault(f, set()).add((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
+        for i in np.flatnonzero(any_suspect[words]).tolist():
+            beside = (int(words[i - 1]) if i else -1, int(words[i + 1]) if i + 1 < len(words) else -1)
+            for f in suspect[words[i]]:
+                around[int(label)].setdefault(f, set()).add(beside)
     marked = {f for f in marked if apart(len(around[1].get(f, ())), len(around[0].get(f, ())))}
     counts = np.bincount(ids, minlength=len(place))
     total = Counter()
