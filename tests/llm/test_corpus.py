@@ -334,3 +334,11 @@ def test_search_sql(spark, duck, sf_dir):
     from pulseloom.llm import queries
 
     same(topk.op10_block_topk(spark, sf_dir), duck.sql(queries.oracle_sql()["op10_block_topk"]))
+
+
+def test_components_sql(spark, duck, sf_dir):
+    from compare import same
+
+    from pulseloom.llm import queries
+
+    same(near_dedup.op4_odd_sketches(spark, sf_dir), duck.sql(queries.oracle_sql()["op4_odd_sketches"]))
