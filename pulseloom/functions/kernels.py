@@ -326,12 +326,16 @@ def frequency_features(rr_s: np.ndarray, t_s: np.ndarray) -> dict[str, float]:
 # -- entropies -------------------------------------------------------------------------
 
 
-def _near(x: np.ndarray, m: int, n: int, r: float) -> np.ndarray:
-    """Whether templates i and j of length m, i and j < n, lie within r."""
-    out = np.ones((n, n), bool)
-    for k in range(m):
-        part = x[k : k + n]
-        out &= np.abs(part[:, None] - part[None]) <= r
+def _within(x: np.ndarray, r: float) -> np.ndarray:
+    """Whether values i and j lie within r; templates are diagonal runs of this one matrix."""
+    return np.abs(x[:, None] - x[None]) <= r
+
+
+def _near(within: np.ndarray, m: int, n: int) -> np.ndarray:
+    """Whether templates i and j of length m, i and j < n, lie within r in all places."""
+    out = within[:n, :n].copy()
+    for k in range(1, m):
+        out &= within[k : k + n, k : k + n]
     return out
 
 
@@ -346,15 +350,13 @@ def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2, version: int = 1)
     if n < m + 2 or sd == 0:
         return 0.0
     z, tol = ((x - x.mean()) / sd, r * sd) if version == 1 else (x, r * sd)
-    templates = n - m
+    templates, e = n - m, _within(z, tol)
     if version == 1:
-        near = _near(z, m, n - m + 1, tol)[:templates]
-        b = int(near.sum()) - templates
-        longer = _near(z, m + 1, templates, tol)
-        a = int(longer.sum()) - templates
+        b = int(np.count_nonzero(_near(e, m, n - m + 1)[:templates])) - templates
+        a = int(np.count_nonzero(_near(e, m + 1, templates))) - templates
         return float(-np.log(a / b * (n - m + 2) / (n - m))) if a > 0 and b > 0 else 0.0
-    b = int(_near(z, m, templates, tol).sum()) - templates
-    a = int(_near(z, m + 1, templates, tol).sum()) - templates
+    b = int(np.count_nonzero(_near(e, m, templates))) - templates
+    a = int(np.count_nonzero(_near(e, m + 1, templates))) - templates
     return float(-np.log(a / b)) if a > 0 and b > 0 else 0.0
 
 
@@ -367,10 +369,11 @@ def approximate_entropy(x: np.ndarray, m: int = 2, r: float = 0.2, version: int
     if n < m + 2 or sd == 0:
         return 0.0
     z, tol = ((x - x.mean()) / sd, r * sd) if version == 1 else (x, r * sd)
+    e = _within(z, tol)
 
     def phi(k: int) -> float:
         count = n - k + 1
-        c = _near(z, k, count, tol).sum(axis=1) / count
+        c = np.count_nonzero(_near(e, k, count), axis=1) / count
         return float(np.log(c).sum() / (count if version == 1 else count - k + 1))
 
     return phi(m) - phi(m + 1)
