@@ -2,8 +2,8 @@
 
 A text is cut into pre-tokens in the worker. The first tier is a broadcast table of
 pre-token lengths: the pre-tokens that the vocabulary itself holds whole, so its size is
-bounded by the vocabulary. What it lacks is encoded by the tokenizer once and kept in a
-bounded cache of the worker, the second tier. No pre-token is ever shuffled.
+bounded by the vocabulary. What it lacks is encoded by the tokenizer's model once and kept
+in a bounded cache of the worker, the second tier. No pre-token is ever shuffled.
 
 Defined results: a null text counts as an empty one (0 bytes, 0 tokens); a special
 string inside a text is one token, as the library handles it by default.
@@ -40,36 +40,44 @@ def default_tokenizer() -> str:
         return f.read()
 
 
+class Lengths(dict):
+    """Lengths of pre-tokens: the frequent ones for good, others until CACHE of them are held."""
+
+    def __init__(self, frequent: dict[str, int], encode) -> None:
+        super().__init__(frequent)
+        self.frequent, self.encode = frequent, encode
+
+    def __missing__(self, piece: str) -> int:
+        n = self.encode(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= len(self.frequent) + CACHE:
+                self.clear()
+                self.update(self.frequent)
+            self[piece] = n
+        return n
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter by which byte-level BPE writes each byte: itself where printable, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Counter:
     """Counts tokens of texts; one of each table lives in a worker."""
 
     def __init__(self, tokenizer: str, table: dict[str, int]) -> None:
-        self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.table, self.cache = table, {}
+        whole = Tokenizer.from_str(tokenizer)
+        merge, letters = whole.model.tokenize, byte_letters()
+        self.lengths = Lengths(table, lambda piece: len(merge(piece.encode().decode("latin-1").translate(letters))))
         special = [x["content"] for x in json.loads(tokenizer)["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.cut = regex.compile(PATTERN).findall
 
-    def lengths(self, pieces: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-
     def plain(self, text: str) -> int:
         """Tokens of a text without special strings."""
-        table, cache, pieces = self.table, self.cache, self.cut(text)
-        missed = [p for p in pieces if p not in table]
-        total = sum(map(table.__getitem__, pieces)) if not missed else sum(map(table.get, pieces, [0] * len(pieces)))
-        new = {p for p in missed if p not in cache}
-        if new:
-            new = sorted(new)
-            found = dict(zip(new, self.lengths(new), strict=True))
-            total += sum(found[p] if p in found else cache[p] for p in missed)
-            if len(cache) + len(found) > CACHE:
-                cache.clear()
-            cache.update((p, n) for p, n in found.items() if len(p) <= LONGEST)
-            return total
-        return total + sum(map(cache.__getitem__, missed))
+        return sum(map(self.lengths.__getitem__, self.cut(text)))
 
     def count(self, text: str | None) -> int:
         text = text or ""
