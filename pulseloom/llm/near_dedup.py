@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import staged, table
+from pulseloom.llm.common import discard, staged, table
 
 ROWS, BANDS, SKETCH_BITS, PARITY_BITS = 5, 28, 512, 1024
 #: Links have 100 * intersection >= PERCENT * union.
@@ -190,7 +190,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
-        cur = staged(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, cur = cur, staged(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(before)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == told:
             return cur.select(a.alias("node"), b.alias("label"))
@@ -238,15 +239,15 @@ def grouped(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
             pick = pick.select("band", F.col("p.rep").alias("b"), F.col("p.label").alias("of"))
             pairs = rows.join(pick, "band").where("label != of").select(F.col("rep").alias("a"), "b").distinct()
             pairs = likely(pairs, reps, percent).select("a", "b")
-        found = staged(linked(staged(pairs, "pairs"), texts, size, percent), "links")
-        if found.isEmpty():
-            if whole:
-                break
-            continue
-        old = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = components(old.unionByName(found))
+        pairs = staged(pairs, "pairs")
+        found = staged(linked(pairs, texts, size, percent), "links")
+        if not found.isEmpty():
+            old = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            labels = components(old.unionByName(found))
+        discard(rows, pairs, found)
         if whole:
             break
+    discard(met, reps, texts)
 
     named = known.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
     named = named.withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import arrow_rows, staged, table
+from pulseloom.llm.common import arrow_rows, discard, staged, table
 
 K, SCALE = 5, 256
 #: Vectors of a block, blocks of a run, queries of a pack: what a task holds at once.
@@ -185,7 +185,8 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``vectors`` for each of ``queries``, both (vec_id, embedding)."""
     spark = vectors.sparkSession
     stored = staged(packed(usable(vectors), BLOCK), "blocks")
-    asked = staged(packed(usable(queries), PACK), "packs").select(
+    packs_held = staged(packed(usable(queries), PACK), "packs")
+    asked = packs_held.select(
         F.col("part").alias("q_part"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat")
     )
     grouped = staged(runs(stored), "runs")
@@ -218,6 +219,7 @@ def searched(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         packs = staged(packs.mapInPandas(with_floor, "q_dims int, q_ids binary, q_mat binary, q_floor binary"), "asked")
         # The stated queries against all runs of blocks, pack by run.
         found = staged(passed(packs.crossJoin(grouped.select("blocks")), k), "found")
+    discard(stored, packs_held, grouped, first, packs)
     return best(found, k)
 
 
