@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import n_words, staged, table
+from pulseloom.llm.common import discard, n_words, staged, table
 
 #: Weights of the sources in order of code points, repeating.
 WEIGHTS = (3, 1, 2)
@@ -121,8 +121,10 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
         ),
         "mix-dealt",
     )
+    discard(blocks)
     place = F.row_number().over(Window.partitionBy("_key", "_size", "_block").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    out = rows.withColumn("_place", place).join(dealt, ["_key", "_size", "_block"])
+    # A merge join: the table grows with the input, and its compressed size would pass for a small one.
+    out = rows.withColumn("_place", place).join(dealt.hint("merge"), ["_key", "_size", "_block"])
     copies = F.expr("(_place * _copies) div _n - ((_place - 1) * _copies) div _n")
     mix = F.struct(
         F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
@@ -134,6 +136,7 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document; see the module for nulls."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", "source", n_words("text").alias("words"))
+    docs = staged(docs, "mix-sizes")  # the texts are read once
     return mixed(docs, size=F.col("words")).select(
         "doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken")
     )
