@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import discard, staged, table
+from pulseloom.llm.common import arrow_rows, discard, staged, table
 
 ROWS, BANDS, SKETCH_BITS, PARITY_BITS = 5, 28, 512, 1024
 #: Links have 100 * intersection >= PERCENT * union.
@@ -44,6 +44,8 @@ PERCENT = 80
 SIGMAS = 5
 #: Bitmaps are compared across components once that is at most so many comparisons for each row of the bands.
 PAIRS_A_ROW, PIVOT_ROUNDS = 2_000, 6
+#: Texts, or pairs of texts, that a worker receives at once; and words whose hashes it remembers.
+BATCH, WORDS = 256, 200_000
 _WORDS: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _R30, _R27, _R31 = np.uint64(30), np.uint64(27), np.uint64(31)
@@ -68,7 +70,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > WORDS:
         _WORDS.clear()
     for w in set(words).difference(_WORDS):
         _WORDS[w] = xxhash.xxh64_intdigest(w)
@@ -199,7 +201,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
+    """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``.
+
+    All work on texts is done here, in small batches; what is returned only joins tables.
+    """
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _grouped(docs, size, percent)
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     known = staged(signatures(docs, size), "signatures")
     filled = known.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = staged(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
