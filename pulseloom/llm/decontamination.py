@@ -7,26 +7,32 @@ Along a diagonal the tokens are compared one by one. A document is contaminated
 window of WINDOW aligned tokens (or the whole item, if shorter) agrees in at least 80 %
 of its places, so that substitutions do not hide a copy.
 
-Tokens are runs of letters and digits in lower case. Defined results: items of fewer
-tokens than a mask spans are too short to prove anything and are never reported; null and
-empty texts match nothing; repeated rows and repeated items are reported once for each
-pair of ids; rows with a null doc_id are judged like any others.
+MASKS serve the lengths for which an enumeration of all substitution patterns finds a hit
+in each (:func:`covers`); of those no window is lost.
+
+Tokens are runs of letters and digits in lower case. Defined results: items of other
+lengths (12 tokens or fewer) are never reported; null and empty texts match nothing; repeated rows and repeated items are
+reported once for each pair of ids; rows with a null doc_id are judged like any others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Mapping, Sequence
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom.llm.common import staged, table
 
-#: 1 counts, 0 is ignored. Each has six counting places within nine.
-MASKS = ("111010011", "110010111")
+#: 1 counts, 0 is ignored. Of 15 or more tokens with at most three substituted, one of these always has its six places equal.
+MASKS = ("11001001011", "1110111", "1110001011")
 WINDOW, AGREE = 16, 0.8
 #: Benchmark hashes that may be broadcast (about 40 bytes each); beyond that they are joined by shuffling.
 BROADCAST_ROWS = 500_000
+#: Substitution patterns that are enumerated at most to prove masks.
+PATTERNS = 100_000
 
 
 def tokens(text: str) -> Column:
@@ -35,26 +41,50 @@ def tokens(text: str) -> Column:
     return F.filter(cut, lambda w: w != "")
 
 
-def seeds(hashed: Column, masks: Sequence[str] = MASKS) -> Column:
-    """Array of hashes of all places under all masks, mask by mask: place p of mask m lies at m * places + p."""
-    span = len(masks[0])
+def misses(n: int, agree: float = AGREE) -> int:
+    """How many of n aligned tokens may differ."""
+    return max((k for k in range(n) if (n - k) / n >= agree), default=0)
+
+
+def covers(masks: Sequence[str], n: int, k: int) -> bool:
+    """Whether some mask hits at some place of n aligned tokens, whichever k of them differ."""
+    counts = [{i for i, c in enumerate(m) if c == "1"} for m in masks]
+    hits = [{p + i for i in c} for m, c in zip(masks, counts, strict=True) for p in range(n - len(m) + 1)]
+    return all(any(h.isdisjoint(bad) for h in hits) for bad in combinations(range(n), k))
+
+
+def shapes(lengths: Collection[int], masks: Sequence[str] = MASKS, agree: float = AGREE) -> dict[str, list[int]]:
+    """The masks that windows of these lengths need, each with the lengths it serves."""
+    out: dict[str, list[int]] = {}
+    for n in sorted(lengths):
+        k = misses(n, agree)
+        proved = comb(n, k) <= PATTERNS and covers(masks, n, k)
+        for m in masks if proved else ():
+            out.setdefault(m, []).append(n)
+    return out
+
+
+def seeds(hashed: Column, masks: Sequence[str], served: Sequence[Column] | None = None) -> Column:
+    """Array of hashes of all places under all masks, mask by mask: place p of mask m lies at m * n + p; null where the mask doesn't fit."""
+    n = F.size(hashed)
 
-    def under(mask: str, m: int) -> Column:
+    def under(m: int, mask: str) -> Column:
         counts = [i for i, c in enumerate(mask) if c == "1"]
-        at = lambda p: F.xxhash64(F.lit(m), *(F.get(hashed, p + i) for i in counts))
-        return F.transform(F.sequence(F.lit(0), F.size(hashed) - span), at)
+        fits = lambda p: (p <= n - len(mask)) & (served[m] if served else F.lit(True))
+        at = lambda p: F.when(fits(p), F.xxhash64(F.lit(m), *(F.get(hashed, p + i) for i in counts)))
+        return F.transform(F.sequence(F.lit(0), n - 1), at)
 
-    every = F.concat(*(under(mask, m) for m, mask in enumerate(masks)))
-    return F.when(F.size(hashed) >= span, every).otherwise(F.array().cast("array<long>"))
+    return F.when(n > 0, F.concat(*(under(m, mask) for m, mask in enumerate(masks)))).otherwise(F.array().cast("array<long>"))
 
 
-def places(rows: DataFrame, id_: str, masks: Sequence[str] = MASKS) -> DataFrame:
-    """(id, place, seed) of all places of ``text``."""
+def places(rows: DataFrame, id_: str, shapes: Mapping[str, Sequence[int]], window: int | None = None) -> DataFrame:
+    """(id, place, seed) of all places of ``text``; with ``window``, a text takes only the masks that serve its length."""
     hashed = rows.select(id_, F.transform(tokens("text"), lambda w: F.xxhash64(w)).alias("h"))
-    hashed = hashed.select(id_, F.size("h").alias("n"), seeds(F.col("h"), masks).alias("s"))
+    served = [F.least(F.size("h"), F.lit(window)).isin(list(ns)) for ns in shapes.values()] if window else None
+    hashed = hashed.select(id_, F.size("h").alias("n"), seeds(F.col("h"), list(shapes), served).alias("s"))
     # The outer form: for the inner one Spark infers a filter that computes all hashes a second time.
     each = hashed.select(id_, "n", F.posexplode_outer("s").alias("at", "seed"))
-    return each.select(id_, (F.col("at") % (F.col("n") - len(masks[0]) + 1)).alias("place"), "seed")
+    return each.select(id_, (F.col("at") % F.greatest("n", F.lit(1))).alias("place"), "seed")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
@@ -62,12 +92,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
 
     ``start`` counts tokens; ``agreement`` is that of the best window.
     """
-    if len({len(m) for m in masks}) != 1:
-        raise ValueError("masks must span equally many tokens")
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text")
-    wanted = staged(places(items, "item_id", masks).distinct(), "seeds")
+    size = F.least(F.size(tokens("text")), F.lit(window)).alias("n")
+    lengths = [r["n"] for r in items.select(size).distinct().collect() if r["n"] > 0]
+    used = shapes(lengths, masks, agree) or shapes([window], masks, agree)
+    wanted = staged(places(items, "item_id", used, window).where(F.col("seed").isNotNull()).distinct(), "seeds")
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = places(docs.select("doc_id", "text"), "doc_id", masks).alias("d").join(small.alias("b"), "seed")
+    found = places(docs.select("doc_id", "text"), "doc_id", used).alias("d").join(small.alias("b"), "seed")
     diagonals = staged(
         found.select("doc_id", "item_id", (F.col("d.place") - F.col("b.place")).alias("shift")).distinct(), "diagonals"
     )

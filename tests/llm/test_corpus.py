@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -151,6 +153,50 @@ def test_contamination_equals_a_plain_search(spark, sf_dir):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.op7_spaced_seeds(spark, sf_dir).collect()} >= want
 
 
+def hit(masks, same):
+    """Whether a mask finds all its places equal somewhere."""
+    return any(all(same[p + i] for i, c in enumerate(m) if c == "1") for m in masks for p in range(len(same) - len(m) + 1))
+
+
+def test_seeds_hit_every_pattern_that_the_verifier_accepts():
+    for n in range(13, 17):
+        masks = [m for m, served in decontamination.shapes([n]).items() if n in served]
+        for k in range(n):
+            if (n - k) / n >= decontamination.AGREE:
+                assert all(hit(masks, [i not in bad for i in range(n)]) for bad in itertools.combinations(range(n), k)), (n, k)
+    assert list(decontamination.shapes([15, 16])) == list(decontamination.MASKS)
+
+
+def brute(docs, items):
+    """Pairs by comparing at every offset."""
+    found = set()
+    for d, w in docs:
+        for i, x in items:
+            n = min(16, len(x))
+            for shift in range(-len(x) + n, len(w) - n + 1):
+                a, b = max(shift, 0), max(-shift, 0)
+                same = [p == q for p, q in zip(w[a:], x[b:], strict=False)]
+                if any(sum(same[k : k + n]) / n >= 0.8 for k in range(len(same) - n + 1)):
+                    found.add((d, i))
+    return found
+
+
+def test_contamination_equals_a_search_of_all_offsets(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, rng.choices(words, k=n)) for i, n in enumerate([*range(13, 21), *range(13, 21), 40])]
+    docs = []
+    for i, x in items:
+        for k in range(6):
+            copy = [rng.choice(words) if rng.random() < 0.2 else w for w in x]
+            docs.append((len(docs), rng.choices(words, k=k * 3) + copy + rng.choices(words, k=k)))
+        for first in range(5):  # every fifth token replaced
+            docs.append((len(docs), ["z" if j % 5 == first else w for j, w in enumerate(x)]))
+    rows = [spark.createDataFrame([(i, " ".join(w)) for i, w in x], f"{c}_id long, text string") for x, c in ((docs, "doc"), (items, "item"))]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(*rows).collect()}
+    assert got == brute(docs, items) and len(got) > 80
+
+
 @pytest.mark.parametrize("query", [decontamination.op7_spaced_seeds, licences.op5_license_scan])
 def test_odd_and_empty_tables(spark, tables, query):
     got = query(spark, tables["odd"]).collect()
