@@ -7,11 +7,12 @@ Along a diagonal the tokens are compared one by one. A document is contaminated
 window of WINDOW aligned tokens (or the whole item, if shorter) agrees in at least 80 %
 of its places, so that substitutions do not hide a copy.
 
-MASKS serve the lengths for which an enumeration of all substitution patterns finds a hit
-in each (:func:`covers`); of those no window is lost.
+No such window is lost: MASKS serve the lengths for which an enumeration of all
+substitution patterns finds a hit in each (:func:`covers`), and items of any other length
+get masks made for it (:func:`fitted`); those of up to four tokens are joined as a whole.
 
-Tokens are runs of letters and digits in lower case. Defined results: items of other
-lengths (12 tokens or fewer) are never reported; null and empty texts match nothing; repeated rows and repeated items are
+Tokens are runs of letters and digits in lower case. Defined results: null and empty
+texts, and items without a token, match nothing; repeated rows and repeated items are
 reported once for each pair of ids; rows with a null doc_id are judged like any others.
 """
 
@@ -31,7 +32,7 @@ MASKS = ("11001001011", "1110111", "1110001011")
 WINDOW, AGREE = 16, 0.8
 #: Benchmark hashes that may be broadcast (about 40 bytes each); beyond that they are joined by shuffling.
 BROADCAST_ROWS = 500_000
-#: Substitution patterns that are enumerated at most to prove masks.
+#: Substitution patterns that are enumerated at most to prove masks; beyond, masks are made for the length.
 PATTERNS = 100_000
 
 
@@ -53,13 +54,27 @@ def covers(masks: Sequence[str], n: int, k: int) -> bool:
     return all(any(h.isdisjoint(bad) for h in hits) for bad in combinations(range(n), k))
 
 
+def fitted(n: int, k: int) -> list[str]:
+    """Masks for n aligned tokens of which k may differ: all but k of a few blocks, as k substitutions touch at most k blocks."""
+    g = min(n, k + 2 if k <= 2 else k + 1)
+    masks = []
+    for out in combinations(range(g), k):
+        mask = "".join("0" if i * g // n in out else "1" for i in range(n)).strip("0")
+        masks += [mask] if mask not in masks else []
+    # A mask hits at any place, so that some do the work of others.
+    for m in sorted(masks, key=lambda m: m.count("1")) if comb(n, k) <= PATTERNS else ():
+        rest = [x for x in masks if x != m]
+        masks = rest if rest and covers(rest, n, k) else masks
+    return masks
+
+
 def shapes(lengths: Collection[int], masks: Sequence[str] = MASKS, agree: float = AGREE) -> dict[str, list[int]]:
     """The masks that windows of these lengths need, each with the lengths it serves."""
     out: dict[str, list[int]] = {}
     for n in sorted(lengths):
         k = misses(n, agree)
         proved = comb(n, k) <= PATTERNS and covers(masks, n, k)
-        for m in masks if proved else ():
+        for m in masks if proved else fitted(n, k):
             out.setdefault(m, []).append(n)
     return out
 
@@ -94,8 +109,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
     """
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text")
     size = F.least(F.size(tokens("text")), F.lit(window)).alias("n")
-    lengths = [r["n"] for r in items.select(size).distinct().collect() if r["n"] > 0]
-    used = shapes(lengths, masks, agree) or shapes([window], masks, agree)
+    lengths = [r["n"] for r in items.select(size).distinct().collect() if r["n"] > 0] or [window]
+    used = shapes(lengths, masks, agree)
     wanted = staged(places(items, "item_id", used, window).where(F.col("seed").isNotNull()).distinct(), "seeds")
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     found = places(docs.select("doc_id", "text"), "doc_id", used).alias("d").join(small.alias("b"), "seed")
