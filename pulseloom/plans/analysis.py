@@ -31,8 +31,12 @@ _LONG = """long AS (SELECT o_orderkey AS sample_id, CASE WHEN o_orderstatus = 'F
   FROM orders, (SELECT unnest(['price', 'ties', 'flat', 'none', 'key']) AS f) WHERE o_orderkey % 3 = 0 AND o_orderstatus IN ('F', 'O'))"""
 
 
-def _long(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where((F.col("o_orderkey") % 3 == 0) & F.col("o_orderstatus").isin("F", "O"))
+#: The same over every order; the text above keeps the third that its queries were stated on.
+_LONG_ALL = _LONG.replace("o_orderkey % 3 = 0 AND ", "")
+
+
+def _long(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    o = table(spark, d, "orders").where(F.col("o_orderstatus").isin("F", "O") & (F.lit(every) | (F.col("o_orderkey") % 3 == 0)))
     value = {
         "price": F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")), "ties": (F.col("o_custkey") % 7).cast("double"), "flat": F.lit(1.0),
         "none": F.lit(None).cast("double"), "key": (F.col("o_orderkey") % 1000).cast("double"),
@@ -71,8 +75,28 @@ def permanova_f(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def permanova(spark: SparkSession, d: str) -> DataFrame:
-    """With 99 permutations; the order of samples comes from a hash, which SQL doesn't share."""
-    return stats.permanova(stats.prepared(_long(spark, d)), 99)
+    """Over all orders, with 99 permutations; the order of samples comes from a hash, which SQL doesn't share."""
+    return stats.permanova(stats.prepared(_long(spark, d, True)), 99)
+
+
+@query(SQL["feature_prep"].replace(_LONG, _LONG_ALL))
+def feature_prep_all(spark: SparkSession, d: str) -> DataFrame:
+    return stats.prepared(_long(spark, d, True)).select("sample_id", "grp", "feature", *r6("value"))
+
+
+@query(SQL["effect_size"].replace(_LONG, _LONG_ALL))
+def effect_size_all(spark: SparkSession, d: str) -> DataFrame:
+    return stats.effect_size(stats.prepared(_long(spark, d, True)), "a", "b").select("feature", *r6("mean_a", "mean_b", "effect_size"))
+
+
+@query(SQL["mann_whitney"].replace(_LONG, _LONG_ALL))
+def mann_whitney_all(spark: SparkSession, d: str) -> DataFrame:
+    return stats.mann_whitney(_long(spark, d, True), "a", "b").select("feature", "n1", "n2", F.round("u", 4).alias("u"))
+
+
+@query(SQL["permanova_f"].replace(_LONG, _LONG_ALL))
+def permanova_f_all(spark: SparkSession, d: str) -> DataFrame:
+    return stats.pseudo_f(stats.prepared(_long(spark, d, True))).select(*r6("pseudo_f"))
 
 
 _SCORES = "s AS (SELECT doc_id, quality = 1 AS truth, (n_chars % 1000) / 1000 AS score, n_chars % 1000 >= 300 AS predicted FROM labels JOIN documents USING (doc_id))"

@@ -24,3 +24,11 @@ def test_entry(spark):
     import __spark_entry__
 
     assert {"rec", "minute", "RRMean_3", "pNN50_3"} <= set(__spark_entry__.entry(spark).columns)
+
+
+def test_statistics_of_all_orders(spark, sf_dir):
+    q = catalog.queries()
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus IN ('F', 'O')").count()
+    assert q["feature_prep_all"](spark, sf_dir).select("sample_id").distinct().count() == n
+    f, p = (q[x](spark, sf_dir).first()["pseudo_f"] for x in ("permanova_f_all", "permanova"))
+    assert abs(f - p) < 1e-5 and all(r["n1"] + r["n2"] == n for r in q["mann_whitney_all"](spark, sf_dir).where("feature = 'key'").collect())
