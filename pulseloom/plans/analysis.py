@@ -75,8 +75,8 @@ def permanova_f(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def permanova(spark: SparkSession, d: str) -> DataFrame:
-    """Over all orders, with 99 permutations; the order of samples comes from a hash, which SQL doesn't share."""
-    return stats.permanova(stats.prepared(_long(spark, d, True)), 99)
+    """Over all orders, with the 999 permutations of the reference; the order of samples comes from a hash, which SQL doesn't share."""
+    return stats.permanova(stats.prepared(_long(spark, d, True)))
 
 
 @query(SQL["feature_prep"].replace(_LONG, _LONG_ALL))

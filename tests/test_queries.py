@@ -32,3 +32,7 @@ def test_statistics_of_all_orders(spark, sf_dir):
     assert q["feature_prep_all"](spark, sf_dir).select("sample_id").distinct().count() == n
     f, p = (q[x](spark, sf_dir).first()["pseudo_f"] for x in ("permanova_f_all", "permanova"))
     assert abs(f - p) < 1e-5 and all(r["n1"] + r["n2"] == n for r in q["mann_whitney_all"](spark, sf_dir).where("feature = 'key'").collect())
+
+
+def test_permanova_has_the_permutations_of_the_reference(spark, sf_dir):
+    assert catalog.queries()["permanova"](spark, sf_dir).first()["permutations"] == 999
