@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import one_hot, proximity_bin
@@ -102,9 +102,11 @@ def with_fallback(events: DataFrame, is_target: str = "is_sz") -> DataFrame:
 # -- labels of single samples ----------------------------------------------------------
 
 
-def label_spans(seizures: DataFrame, n_samples: int, fs: int, sph_s: int, width_s: int) -> DataFrame:
+def label_spans(seizures: DataFrame, n_samples: int | Column, fs: int, sph_s: int, width_s: int) -> DataFrame:
     """(rec, start, end, label, idx): half-open sample ranges; 1 around onset - sph, 2 while ictal.
 
+    ``n_samples`` may be a column of ``seizures``, the length of its recording.
+
     A target window needs onset >= sph + width / 2 and must not reach its own seizure's onset.
     """
     centre, half = F.col("onset_s") - sph_s, width_s / 2

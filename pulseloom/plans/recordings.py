@@ -297,6 +297,39 @@ def label_validation(spark: SparkSession, d: str) -> DataFrame:
     return labels.label_check(_dense(spark, d), _labelled(spark, d)[0], 4, 300, 120)
 
 
+#: The same for every sample up to the end of each recording; the texts above keep every 40th of 24000 samples.
+_SPANS_ALL = """len AS (SELECT rec, max(t_ms) * 4 // 1000 AS n FROM beats GROUP BY rec),
+spans AS (SELECT rec, CAST(least(greatest((onset_s - 300 - 60) * 4, 0), n) AS BIGINT) AS st, CAST(least(greatest((onset_s - 300 + 60) * 4, 0), n) AS BIGINT) AS en, 1 AS label, idx FROM seizures JOIN len USING (rec) WHERE onset_s >= 360
+  UNION ALL SELECT rec, CAST(least(onset_s * 4, n) AS BIGINT), CAST(least((onset_s + dur_s) * 4, n) AS BIGINT), 2, idx FROM seizures JOIN len USING (rec)),
+points AS (SELECT rec, CAST(unnest(range(0, n)) AS BIGINT) AS sample FROM len),
+labelled AS (SELECT p.rec, p.sample, coalesce(arg_max(label, idx * 10 + label), 0) AS label FROM points p LEFT JOIN (SELECT * FROM spans WHERE st < en) s ON s.rec = p.rec AND s.st <= p.sample AND p.sample < s.en GROUP BY p.rec, p.sample)"""
+
+
+def _all_samples(name: str) -> str:
+    return SQL[name].replace(f"WITH {_DENSE}, {_SPANS}", f"{_B}, {_DENSE}, {_SPANS_ALL}")
+
+
+def _labelled_all(spark: SparkSession, d: str) -> DataFrame:
+    length = beats(spark, d).groupBy("rec").agg(F.expr("max(t_ms) * 4 div 1000").alias("n"))
+    spans = labels.label_spans(_dense(spark, d).join(length, "rec"), F.col("n"), 4, 300, 120)
+    return labels.labels_at(length.where("n > 0").select("rec", F.explode(F.expr("sequence(0L, n - 1)")).alias("sample")), spans)
+
+
+@query(_all_samples("sph_labels"))
+def sph_labels_all(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled_all(spark, d)
+
+
+@query(_all_samples("label_stats"))
+def label_stats_all(spark: SparkSession, d: str) -> DataFrame:
+    return labels.label_stats(_labelled_all(spark, d), 4)
+
+
+@query(_all_samples("label_validation"))
+def label_validation_all(spark: SparkSession, d: str) -> DataFrame:
+    return labels.label_check(_dense(spark, d), _labelled_all(spark, d), 4, 300, 120)
+
+
 @query(f"""WITH {_DENSE}, {_SPANS}, w AS (SELECT rec, CAST(unnest(range(0, 199)) AS INTEGER) AS k FROM (SELECT DISTINCT rec FROM seizures)),
 c AS (SELECT rec, k, CAST(k * 120 + 120 AS BIGINT) AS centre FROM w)
 SELECT c.rec, k, centre, CAST(coalesce(arg_max(label, idx * 10 + label), 0) AS INTEGER) AS label FROM c LEFT JOIN (SELECT * FROM spans WHERE st < en) s ON s.rec = c.rec AND s.st <= centre AND centre < s.en GROUP BY c.rec, k, centre""")

@@ -6,6 +6,7 @@ import pytest
 
 from compare import same
 from pulseloom import catalog
+from pulseloom.sources.fixtures import beats, seizures
 
 SQL = catalog.oracle_sql()
 
@@ -36,3 +37,18 @@ def test_statistics_of_all_orders(spark, sf_dir):
 
 def test_permanova_has_the_permutations_of_the_reference(spark, sf_dir):
     assert catalog.queries()["permanova"](spark, sf_dir).first()["permutations"] == 999
+
+
+def test_labels_of_all_samples_equal_painted_ones(spark, sf_dir):
+    ends = {r["rec"]: r["t"] * 4 // 1000 for r in beats(spark, sf_dir).groupBy("rec").agg({"t_ms": "max"}).toDF("rec", "t").collect()}
+    painted = {rec: [0] * n for rec, n in ends.items()}
+    for z in sorted(seizures(spark, sf_dir, 97, 57).collect(), key=lambda r: r["idx"]):
+        x = painted.get(z["rec"], [])
+        if z["onset_s"] >= 360:
+            for i in range((z["onset_s"] - 360) * 4, min((z["onset_s"] - 240) * 4, len(x))):
+                x[i] = 1
+        for i in range(z["onset_s"] * 4, min((z["onset_s"] + z["dur_s"]) * 4, len(x))):
+            x[i] = 2
+    got = {r["label"]: (r["n"], r["seconds"]) for r in catalog.queries()["label_stats_all"](spark, sf_dir).collect()}
+    want = [sum(x.count(v) for x in painted.values()) for v in range(3)]
+    assert got == {v: (n, n / 4) for v, n in enumerate(want)} and sum(want) == sum(ends.values()) and want[1] and want[2]
