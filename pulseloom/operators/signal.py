@@ -60,6 +60,25 @@ def welch_psd(x: pd.Series, fs: pd.Series, segment: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def spectrum(kind: str):
+    """Arrays of intervals and times in seconds -> (f, p): "dft" by beat number, "lomb" (normalised) by beat number, or "density" by time."""
+    def dft(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.arange(len(x) // 2 + 1) / len(x), np.abs(np.fft.rfft(x)) ** 2
+
+    def lomb(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f = np.linspace(0.001, 0.5, 1000)
+        return f, K.lomb_scargle(np.arange(len(x), dtype=float), x, f, True)
+
+    kernel = {"dft": dft, "lomb": lomb, "density": lambda x, t: K.lomb_density(t, x)}[kind]
+
+    @F.pandas_udf(SPECTRUM)
+    def of(rr: pd.Series, t: pd.Series) -> pd.Series:
+        both = (kernel(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(rr, t, strict=True))
+        return pd.Series([[{"f": a, "p": b} for a, b in zip(f.tolist(), p.tolist(), strict=True)] for f, p in both])
+
+    return of
+
+
 def _per_recording(kernel, columns: tuple[str, str]):
     a, b = columns
 

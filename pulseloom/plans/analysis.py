@@ -354,10 +354,53 @@ def resample_4hz(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def welch_psd(spark: SparkSession, d: str) -> DataFrame:
-    x = _first_beats(spark, d, 512).groupBy("rec").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("x"))
+    """Over all beats of each recording, in segments of 256."""
+    b = beats(spark, d).select("rec", F.col("beat_idx").alias("i"), (F.col("rr_ms") / 1000.0).alias("x"))
+    x = b.groupBy("rec").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("x"))
     return x.select("rec", F.explode(signal.welch_psd("x", F.lit(1.0), F.lit(256))).alias("s")).select("rec", "s.f", "s.p")
 
 
+# The queries above over first beats are held to their SQL; these take every 10-minute window of every recording.
+
+
+def _spectra(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    w = signal.window_series(beats(spark, d), 10, 20)
+    return w.select("rec", "minute", F.explode(signal.spectrum(kind)("rr", "t")).alias("s")).select("rec", "minute", "s.f", "s.p")
+
+
+@query()
+def dft_power_10(spark: SparkSession, d: str) -> DataFrame:
+    return _spectra(spark, d, "dft")
+
+
+@query()
+def dft_band_power_10(spark: SparkSession, d: str) -> DataFrame:
+    return spectral.band_power(_spectra(spark, d, "dft"), ["rec", "minute"], 0.04, 0.15, "lf")
+
+
+@query()
+def spectral_local_max_10(spark: SparkSession, d: str) -> DataFrame:
+    return spectral.local_maxima(_spectra(spark, d, "dft").where("f > 0"), ["rec", "minute"])
+
+
+@query()
+def lomb_scargle_10(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised, over beat numbers, at 1000 frequencies of 0.001 to 0.5."""
+    return _spectra(spark, d, "lomb")
+
+
+@query()
+def lomb_density_10(spark: SparkSession, d: str) -> DataFrame:
+    """Over time, at 1000 frequencies of 0.003 to 0.5, scaled to the variance."""
+    return _spectra(spark, d, "density")
+
+
+@query()
+def samp_en_v2_3(spark: SparkSession, d: str) -> DataFrame:
+    """Version 2 over every 3-minute window."""
+    return signal.window_series(beats(spark, d), 3, 10).select("rec", "minute", signal.samp_en(2)("rr").alias("samp_en"))
+
+
 @query()
 def psd_comparison(spark: SparkSession, d: str) -> DataFrame:
     return signal.psd_comparison(beats(spark, d).where("t_ms <= 1500000 and rr_ms between 200 and 2000"))

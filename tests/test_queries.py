@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pytest
 
 from compare import same
@@ -52,3 +55,52 @@ def test_labels_of_all_samples_equal_painted_ones(spark, sf_dir):
     got = {r["label"]: (r["n"], r["seconds"]) for r in catalog.queries()["label_stats_all"](spark, sf_dir).collect()}
     want = [sum(x.count(v) for x in painted.values()) for v in range(3)]
     assert got == {v: (n, n / 4) for v, n in enumerate(want)} and sum(want) == sum(ends.values()) and want[1] and want[2]
+
+
+def test_spectra_of_all_windows_equal_brute_force(spark, sf_dir):
+    q, b = catalog.queries(), beats(spark, sf_dir).orderBy("rec", "beat_idx").collect()
+    rows = [r for r in b if r["rec"] == b[0]["rec"]]
+    rec, last = b[0]["rec"], rows[-1]["t_ms"] // 60000
+    clean = [r for r in rows if 200 <= r["rr_ms"] <= 2000]
+
+    def window(minute, m):
+        w = [r for r in clean if (minute - m) * 60000 <= r["t_ms"] <= minute * 60000]
+        return [r["rr_ms"] / 1000 for r in w], [r["t_ms"] / 1000 for r in w]
+
+    def power(x, t, f):
+        m, w = sum(x) / len(x), 2 * math.pi * f
+        tau = math.atan2(sum(math.sin(2 * w * u) for u in t), sum(math.cos(2 * w * u) for u in t)) / (2 * w)
+        return 0.5 * sum(sum((v - m) * g(w * (u - tau)) for v, u in zip(x, t, strict=True)) ** 2 / sum(g(w * (u - tau)) ** 2 for u in t) for g in (math.cos, math.sin))
+
+    minutes = set(range(10, last))
+    for name, size in (("dft_power_10", None), ("lomb_scargle_10", 1000), ("lomb_density_10", 1000)):
+        out = {}
+        for r in q[name](spark, sf_dir).where(f"rec = {rec}").collect():
+            out.setdefault(r["minute"], []).append((r["f"], r["p"]))
+        assert set(out) == minutes
+        x, t = window(last - 1, 10)
+        got = sorted(out[last - 1])
+        assert len(got) == (size or len(x) // 2 + 1)
+        m, var = sum(x) / len(x), float(np.var(x))
+        if name == "dft_power_10":
+            want = [abs(sum(v * complex(math.cos(2 * math.pi * k * i / len(x)), -math.sin(2 * math.pi * k * i / len(x))) for i, v in enumerate(x))) ** 2 for k in range(len(got))]
+        elif name == "lomb_scargle_10":
+            want = [power(x, range(len(x)), f) * 2 / sum((v - m) ** 2 for v in x) for f, _ in got[::200]]
+            got = got[::200]
+        else:
+            step = got[1][0] - got[0][0]
+            assert math.isclose(sum(p for _, p in got) * step, var, rel_tol=1e-6)
+            top = got[500]
+            want, got = [p * top[1] / power(x, t, top[0]) for p in (power(x, t, f) for f, _ in got[::200])], got[::200]
+        assert np.allclose([p for _, p in got], want, rtol=1e-6, atol=1e-9)
+    assert {r["minute"] for r in q["samp_en_v2_3"](spark, sf_dir).where(f"rec = {rec}").collect()} == set(range(3, last))
+
+
+def test_welch_takes_all_beats(spark, sf_dir):
+    b = [r for r in beats(spark, sf_dir).orderBy("rec", "beat_idx").collect() if r["rec"] == 0]
+    x = np.array([r["rr_ms"] / 1000 for r in b])
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 256)
+    p = np.mean([np.abs(np.fft.rfft((x[i : i + 256] - x[i : i + 256].mean()) * w)) ** 2 for i in range(0, len(x) - 255, 128)], axis=0) / (w * w).sum()
+    p[1:-1] *= 2
+    got = sorted((r["f"], r["p"]) for r in catalog.queries()["welch_psd"](spark, sf_dir).where("rec = 0").collect())
+    assert np.allclose([v for _, v in got], p)
