@@ -1,7 +1,8 @@
 """Shards with size-tiered compaction and versioned manifests, in DataFrame operations only.
 
 A store is a folder. Arrivals are appended as small immutable shards, each one a file of
-the task that wrote it. Compaction groups shards into tiers by their size; a tier with
+the task that wrote it; where tasks are so large that their files would count as finished,
+these are cut, so that compaction acts on arrivals at every size. Compaction groups shards into tiers by their size; a tier with
 enough shards is a run of similarly sized ones, cut into groups of about ``target`` bytes,
 and each group is written as one shard. A manifest lists the shards of one version. It is
 written aside and then renamed to its number, which fails if that number exists: commits
@@ -112,12 +113,40 @@ class Store:
         return tier
 
     def append(self, docs: DataFrame) -> int:
-        """Add rows as small shards, one for each task that holds rows."""
-        now = self.manifest()
+        """Add rows as small shards, one for each task that holds rows, or several where that one would count as finished."""
+        now, schema = self.manifest(), docs.schema.json()
         folder = f"arrivals-{uuid.uuid4().hex}"
         docs.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        new = [x | {"tier": self.tier(x["bytes"])} for x in self._files(folder)]
-        return self.commit(now["version"], now["shards"] + new, docs.schema.json())
+        new = self._files(folder)
+        # Again where rows are of very different sizes, until only shards of a single row are left.
+        while large := [x for x in new if self.tier(x["bytes"]) == 0]:
+            cut = self._cut(large, schema)
+            if len(cut) <= len(large):
+                self._remove(cut)
+                break
+            new = [x for x in new if x not in large] + cut
+            self._remove(large)
+        new = [x | {"tier": self.tier(x["bytes"])} for x in new]
+        return self.commit(now["version"], now["shards"] + new, schema)
+
+    def _remove(self, files: list[dict]) -> None:
+        """Remove files that no manifest lists."""
+        for x in files:
+            self._fs.delete(self._path(f"{self.path}/{x['file']}"), False)
+
+    def _cut(self, large: list[dict], schema: str) -> list[dict]:
+        """The rows of shards again, dealt to shards of about a FACTORth of the target."""
+        folder, place, n = f"cut-{uuid.uuid4().hex}", [], 0
+        for x in large:
+            k = -(-x["bytes"] * FACTOR // self.target)
+            place.append((short(x["file"]), n, k))
+            n += k
+        plan = F.broadcast(self.spark.createDataFrame(place, f"{_FILE} string, {_GROUP} int, __shard_cuts int"))
+        rows = self.read_files([x["file"] for x in large], schema).withColumn(_FILE, shard_of_row()).join(plan, _FILE)
+        piece = (F.col(_GROUP) + F.monotonically_increasing_id() % F.col("__shard_cuts")).cast("int")
+        rows = rows.withColumn(_GROUP, piece).drop(_FILE, "__shard_cuts").repartitionById(n, _GROUP).drop(_GROUP)
+        rows.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        return self._files(folder)
 
     def groups(self, shards: list[dict]) -> list[list[dict]]:
         """Groups of similarly sized shards that are due to be merged."""
@@ -140,8 +169,16 @@ class Store:
         return [g for g in due if len(g) > 1]
 
     def compact(self) -> int:
-        """Merge all due groups in one job and commit; the same version if none is due."""
+        """Merge all due groups in one job and commit; the same version if none is due. Shards of twice the target or more are cut first."""
         now = self.manifest()
+        if large := [x for x in now["shards"] if x["bytes"] >= 2 * self.target]:
+            cut = self._cut(large, now["schema"])
+            if len(cut) > len(large):
+                rest = [x for x in now["shards"] if x not in large]
+                self.commit(now["version"], rest + [x | {"tier": self.tier(x["bytes"])} for x in cut], now["schema"])
+                now = self.manifest()
+            else:
+                self._remove(cut)
         due = self.groups(now["shards"])
         if not due:
             return now["version"]

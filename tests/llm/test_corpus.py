@@ -326,6 +326,27 @@ def test_store_versions_compaction_and_conflicts(spark, tmp_path, odd):
     assert len(placed) == 12_000 and {r["shard"] for r in placed} == {sharding.short(x["file"]) for x in after}
 
 
+def test_large_arrivals_are_cut_and_merged(spark, tmp_path):
+    docs = spark.range(0, 12_000, 1, 1).selectExpr("id AS doc_id", "repeat(sha2(string(id), 256), 2) AS text")
+    store = sharding.Store(spark, str(tmp_path / "s"), target=200_000)
+    store.append(docs)
+    arrived = store.manifest()["shards"]
+    assert len(arrived) > 4 and all(x["bytes"] < store.target // 2 and x["tier"] > 0 for x in arrived)
+    assert sum(len(store._files(f.name)) for f in (tmp_path / "s").iterdir() if f.name[0] not in "._") == len(arrived)
+    assert store.compact() == 2
+    merged = store.manifest()["shards"]
+    assert len(merged) < len(arrived) and max(x["bytes"] for x in merged) < 2 * store.target
+    assert sorted(r[0] for r in store.read().select("doc_id").collect()) == list(range(12_000))
+    small = sharding.Store(spark, str(tmp_path / "s"), target=20_000)  # its shards are far above this target
+    while small.versions()[-1] != small.compact():
+        pass
+    assert max(x["bytes"] for x in small.manifest()["shards"]) < 2 * small.target
+    assert sorted(r[0] for r in small.read().select("doc_id").collect()) == list(range(12_000))
+    huge = spark.sql("SELECT 1L AS doc_id, array_join(transform(sequence(1, 20000), i -> sha2(string(i), 256)), '') AS text")
+    one = sharding.sharded(huge, str(tmp_path / "one"), target=20_000)  # a single row can't be cut
+    assert one.read().count() == 1 and len(one.manifest()["shards"]) == 1
+
+
 def test_sharded_odd_documents(spark, tables, odd):
     rows = sharding.op1_tiered_shards(spark, tables["odd"]).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in odd.collect())
