@@ -35,7 +35,8 @@ from pulseloom.llm.common import table
 KINDS = ("email", "ip", "card", "phone", "email_words", "url_user", "account", "secret")
 #: Cue words by the parser that they start; matched without case.
 CUES = {
-    "secret": ("token", "password", "passwd", "api_key", "apikey", "api key", "secret"),
+    "secret": ("token", "api_key", "apikey", "api key", "secret"),
+    "password": ("password", "passwd"),
     "account": ("iban", "ssn", "passport", "account", "acct"),
     "words": (" at ", "(at)", "[at]"),
     "scheme": ("://",),
@@ -49,8 +50,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"[0-9][ ().0-9-]+[0-9]")
 _BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 _AFTER_AT = re.compile(r"\s?([A-Za-z0-9-]{1,63}(?:\s?(?: dot |\(dot\)|\[dot\])\s?[A-Za-z0-9-]{2,63}){1,5})(?![A-Za-z0-9])")
-_USER = re.compile(r"[^\s/@:]{1,128}(?::[^\s/@]{1,128})?@")
-_SECRET = re.compile(r"""\s{0,4}[:=]\s{0,4}["']?([A-Za-z0-9_\-+/.]{16,512})(?![A-Za-z0-9_\-+/.])""")
+_USER = re.compile(r"[^\s/@:]++(?::[^\s/@]++)?@")
+_SECRET = re.compile(r"""\s{0,4}[:=]\s{0,4}["']?([A-Za-z0-9_\-+/.]{16,}+)""")
+_PASSWORD = re.compile(r"""\s{0,4}[:=]\s{0,4}["']?([A-Za-z0-9_\-+/.!@#$%^&*?~]{4,}+)""")
 _ACCOUNT = re.compile(r"(?:\s{0,4}(?:number|no\.?|#))?\s{0,4}[:=#]?\s{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]?[0-9]{6,18})(?![A-Za-z0-9])")
 _LUHN = [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
 
@@ -130,6 +132,11 @@ def cue_spans(text: str, anchors: dict[str, list[int]]) -> list[tuple[int, int,
     for end in anchors.get("secret", ()):
         if m := _SECRET.match(text, end):
             out.append((*m.span(1), "secret"))
+    done = 0
+    for end in anchors.get("password", ()):
+        if end >= done and (m := _PASSWORD.match(text, end)):
+            out.append((*m.span(1), "secret"))
+            done = m.end()
     kept, last = [], {}
     for span in sorted(out):
         if span[0] >= last.get(span[2], 0):

@@ -147,6 +147,12 @@ def test_cued_spans():
     assert pii.find(None, CUES) == ([], [])
 
 
+def test_cued_spans_of_any_length():
+    for cue, value in (("token=", "aB3" * 1000), ("password: ", "hunter2"), ("passwd = ", "Tr0ub4dor&3!"), ("Password='", "pw" * 900), ("https://", "u" * 500 + ":" + "p" * 900)):
+        text = f"see {cue}{value}" + ("@host/x" if "//" in cue else "' end")
+        assert [text[a:b] for a, b, k in pii.find(text, CUES)[1] if k in ("secret", "url_user")] == [value]
+
+
 def test_parsers_are_linear():
     for text in ("a" * 300_000, "1" * 300_000, "+1" + "(" * 300_000, "1." * 150_000, "@" * 300_000, " at " * 60_000):
         pii.find(text, CUES)
