@@ -6,8 +6,15 @@ these are cut, so that compaction acts on arrivals at every size. Compaction gro
 enough shards is a run of similarly sized ones, cut into groups of about ``target`` bytes,
 and each group is written as one shard. A manifest lists the shards of one version. It is
 written aside and then renamed to its number, which fails if that number exists: commits
-are atomic, and readers of older versions are never disturbed. Files of failed jobs are
-never listed. ``vacuum`` removes files that no kept version lists.
+are atomic on file systems whose rename never replaces a file, as HDFS has it (on a store
+where it does, writers must take turns). A writer that loses the race reads the new version
+and commits on top of it. Files of failed jobs are never listed. ``vacuum`` removes files
+that no kept version lists, but none that is younger than its grace: a writer that has
+not committed yet keeps its files, and readers of the last versions are not disturbed.
+
+A merged shard is written row by row from the exchange that deals its group to one task:
+nothing is sorted, and row groups of ROW_GROUP bytes bound what a task holds, whatever the
+size of the group.
 
 Shard sizes are listed through the cluster's file system. Only this metadata, a row for a
 file, is handled in the driver; documents never are.
@@ -19,7 +26,9 @@ table gives a version without shards.
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +39,12 @@ from pulseloom.llm.common import shared_dir, table
 TARGET = 32 << 20
 #: Sizes of neighbouring tiers differ by this factor; as many shards make a run.
 FACTOR, RUN = 4, 4
-
+#: Bytes of a row group: what a writer holds before it writes.
+ROW_GROUP = 8 << 20
+#: Commits that a writer tries before it gives up.
+TRIES = 20
+#: Versions that ``vacuum`` keeps, and the age in seconds below which it spares any file.
+KEEP, GRACE = 2, 24 * 3600
 
 _FILE, _GROUP = "__shard_file", "__shard_group"
 
@@ -80,6 +94,18 @@ class Store:
             source.close()
         return json.loads(text)
 
+    def change(self, edit: Callable[[dict], list[dict] | None], schema: str | None = None) -> int:
+        """Commit what ``edit`` makes of the last manifest's shards, on a newer one if another writer was first; None commits nothing."""
+        for _ in range(TRIES):
+            now = self.manifest()
+            if (shards := edit(now)) is None:
+                return now["version"]
+            try:
+                return self.commit(now["version"], shards, schema or now["schema"])
+            except ConflictError:
+                continue
+        raise ConflictError(f"no commit in {TRIES} tries")
+
     def commit(self, base: int, shards: list[dict], schema: str) -> int:
         """Publish the shards as version base + 1, or fail whole."""
         version = base + 1
@@ -95,13 +121,13 @@ class Store:
 
     # -- shards ------------------------------------------------------------------------
 
-    def _files(self, folder: str) -> list[dict]:
-        """Shards below a folder that a finished job has written."""
+    def _files(self, folder: str, latest: float | None = None) -> list[dict]:
+        """Shards below a folder that a finished job has written, by ``latest`` (milliseconds) if given."""
         found, walk = [], self._fs.listFiles(self._path(f"{self.path}/{folder}"), True)
         while walk.hasNext():
             x = walk.next()
             name = x.getPath().toString()
-            if name.endswith(".parquet") and x.getLen():
+            if name.endswith(".parquet") and x.getLen() and "/_temporary/" not in name and (latest is None or x.getModificationTime() <= latest):
                 found.append({"file": name[name.index(f"/{folder}/") + 1 :], "bytes": x.getLen()})
         return sorted(found, key=lambda x: x["file"])
 
@@ -114,9 +140,8 @@ class Store:
 
     def append(self, docs: DataFrame) -> int:
         """Add rows as small shards, one for each task that holds rows, or several where that one would count as finished."""
-        now, schema = self.manifest(), docs.schema.json()
-        folder = f"arrivals-{uuid.uuid4().hex}"
-        docs.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        schema, folder = docs.schema.json(), f"arrivals-{uuid.uuid4().hex}"
+        self._write(docs, folder)
         new = self._files(folder)
         # Again where rows are of very different sizes, until only shards of a single row are left.
         while large := [x for x in new if self.tier(x["bytes"]) == 0]:
@@ -127,7 +152,24 @@ class Store:
             new = [x for x in new if x not in large] + cut
             self._remove(large)
         new = [x | {"tier": self.tier(x["bytes"])} for x in new]
-        return self.commit(now["version"], now["shards"] + new, schema)
+        return self.change(lambda now: now["shards"] + new, schema)
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        rows.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/{folder}")
+
+    def _replace(self, old: list[dict], new: list[dict]) -> int:
+        """Commit ``new`` in place of ``old``; where another writer has replaced one of these already, ``new`` is removed."""
+        gone = {x["file"] for x in old}
+        new = [x | {"tier": self.tier(x["bytes"])} for x in new]
+
+        def edit(now: dict) -> list[dict] | None:
+            rest = [x for x in now["shards"] if x["file"] not in gone]
+            return rest + new if len(now["shards"]) - len(rest) == len(gone) else None
+
+        version = self.change(edit)
+        if new and new[0]["file"] not in {x["file"] for x in self.manifest(version)["shards"]}:
+            self._remove(new)
+        return version
 
     def _remove(self, files: list[dict]) -> None:
         """Remove files that no manifest lists."""
@@ -145,7 +187,7 @@ class Store:
         rows = self.read_files([x["file"] for x in large], schema).withColumn(_FILE, shard_of_row()).join(plan, _FILE)
         piece = (F.col(_GROUP) + F.monotonically_increasing_id() % F.col("__shard_cuts")).cast("int")
         rows = rows.withColumn(_GROUP, piece).drop(_FILE, "__shard_cuts").repartitionById(n, _GROUP).drop(_GROUP)
-        rows.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        self._write(rows, folder)
         return self._files(folder)
 
     def groups(self, shards: list[dict]) -> list[list[dict]]:
@@ -174,8 +216,7 @@ class Store:
         if large := [x for x in now["shards"] if x["bytes"] >= 2 * self.target]:
             cut = self._cut(large, now["schema"])
             if len(cut) > len(large):
-                rest = [x for x in now["shards"] if x not in large]
-                self.commit(now["version"], rest + [x | {"tier": self.tier(x["bytes"])} for x in cut], now["schema"])
+                self._replace(large, cut)
                 now = self.manifest()
             else:
                 self._remove(cut)
@@ -188,12 +229,9 @@ class Store:
         plan = F.broadcast(self.spark.createDataFrame(place, f"{_FILE} string, {_GROUP} int"))
         rows = self.read_files([x["file"] for g in due for x in g], now["schema"])
         rows = rows.withColumn(_FILE, shard_of_row()).join(plan, _FILE).drop(_FILE)
-        # One task for each group, whose size is bounded by the target.
-        rows = rows.repartitionById(len(due), _GROUP)
-        rows.write.partitionBy(_GROUP).option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        gone = {x["file"] for g in due for x in g}
-        new = [x | {"tier": self.tier(x["bytes"])} for x in self._files(folder)]
-        return self.commit(now["version"], [x for x in now["shards"] if x["file"] not in gone] + new, now["schema"])
+        # One task for each group, and one file from each task.
+        self._write(rows.repartitionById(len(due), _GROUP).drop(_GROUP), folder)
+        return self._replace([x for g in due for x in g], self._files(folder))
 
     def read_files(self, files: list[str], schema: str) -> DataFrame:
         from pyspark.sql.types import StructType
@@ -208,18 +246,17 @@ class Store:
         at = self.manifest(version)
         return self.read_files([x["file"] for x in at["shards"]], at["schema"])
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Remove manifests but the last ``keep``, then files that none of those lists."""
+    def vacuum(self, keep: int = KEEP, grace: float = GRACE) -> None:
+        """Remove manifests but the last ``keep``, then files older than ``grace`` seconds that none of those lists."""
         known = self.versions()
         for v in known[:-keep]:
             self._fs.delete(self._path(f"{self.path}/_manifests/v{v:08d}.json"), False)
         listed = {x["file"] for v in known[-keep:] for x in self.manifest(v)["shards"]}
+        latest = (time.time() - grace) * 1000
         for x in self._fs.listStatus(self._path(self.path)):
             folder = x.getPath().getName()
             if not folder.startswith("_"):
-                for f in self._files(folder):
-                    if f["file"] not in listed:
-                        self._fs.delete(self._path(f"{self.path}/{f['file']}"), False)
+                self._remove([f for f in self._files(folder, latest) if f["file"] not in listed])
 
     def placed(self, version: int | None = None, column: str = "placed") -> DataFrame:
         """The rows of a version with struct ``column``: shard, tier, bytes of the shard, version."""
@@ -236,14 +273,18 @@ class Store:
 
 
 def sharded(docs: DataFrame, path: str | None = None, target: int = TARGET) -> Store:
-    """Append ``docs`` to a store (a new one in the shared folder by default), compact it, and drop what was merged."""
+    """Append ``docs`` to a store, compact it, and drop what was merged.
+
+    Without a path it is a new store in the shared folder, which has no other writer or
+    reader yet: there, what was merged goes at once.
+    """
     spark = docs.sparkSession
     store = Store(spark, path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", target)
     store.append(docs)
     before = -1
     while before != (before := store.compact()):
         pass
-    store.vacuum()
+    store.vacuum() if path else store.vacuum(1, 0)
     return store
 
 

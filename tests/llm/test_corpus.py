@@ -320,12 +320,85 @@ def test_store_versions_compaction_and_conflicts(spark, tmp_path, odd):
     assert ids == list(range(12_000)) == sorted(r[0] for r in store.read(4).select("doc_id").collect())
     with pytest.raises(sharding.ConflictError):
         store.commit(4, [], "{}")
-    store.vacuum()
-    assert store.versions() == [5] and store.read().count() == 12_000
+    files = lambda: sum(len(store._files(f.name)) for f in (tmp_path / "s").iterdir() if f.name[0] not in "._")
+    store.vacuum()  # two versions stay, and all files, which are young
+    assert store.versions() == [4, 5] and store.read(4).count() == 12_000 and files() == len(before) + len({x["file"] for x in after} - {x["file"] for x in before})
+    store.vacuum(1, 0)
+    assert store.versions() == [5] and store.read().count() == 12_000 and files() == len(after)
     placed = store.placed().select("doc_id", "placed.*").collect()
     assert len(placed) == 12_000 and {r["shard"] for r in placed} == {sharding.short(x["file"]) for x in after}
 
 
+def test_vacuum_spares_writers_that_have_not_committed(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path / "s"))
+    rows = spark.range(10).selectExpr("id AS doc_id")
+    store.append(rows)
+    store._write(rows, "arrivals-second")  # a second writer's finished files
+    store.vacuum()
+    new = store._files("arrivals-second")
+    assert new and store.change(lambda now: now["shards"] + [x | {"tier": 1} for x in new]) == 2 and store.read().count() == 20
+
+
+def test_writers_that_lose_a_race_commit_on_top(spark, tmp_path, monkeypatch):
+    store, other = (sharding.Store(spark, str(tmp_path / "s"), target=100_000) for _ in range(2))
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id AS doc_id", "repeat(sha2(string(id), 256), 2) AS text")
+    store.append(rows)
+    seen = []
+    commit = store.commit
+
+    def late(base, shards, schema):
+        if not seen:  # another writer is first, once
+            seen.append(other.append(rows))
+        return commit(base, shards, schema)
+
+    monkeypatch.setattr(store, "commit", late)
+    store.append(rows)
+    assert seen == [2] and store.versions() == [1, 2, 3] and store.read().count() == 12_000
+    seen.clear()
+    store.compact()  # merges what it saw; the arrivals of the other writer stay beside it
+    assert store.read().count() == 16_000
+    monkeypatch.setattr(store, "commit", commit)
+    seen.clear()
+    lost = {"now": store.manifest()}
+    monkeypatch.setattr(store, "manifest", lambda v=None, real=store.manifest: lost.pop("now", None) or real(v))
+    other.compact()
+    store.compact()  # its plan is of shards that the other has merged already
+    monkeypatch.undo()
+    assert store.read().count() == 16_000 and sorted(r[0] for r in store.read().select("doc_id").collect()) == sorted(list(range(4000)) * 4)
+
+
+def plain_groups(sizes, target):
+    """Shards by name -> groups to merge: tiers by powers of 4 below half the target, smallest shards first, groups up to 1.25 targets."""
+    tier = lambda n: 0 if n >= target // 2 else 1 + max(i for i in range(40) if i == 0 or n < target // 2 // 4**i)
+    out = []
+    for t in sorted({tier(n) for n in sizes.values()} - {0}, reverse=True):
+        run = sorted((n, f) for f, n in sizes.items() if tier(n) == t)
+        if len(run) >= 4:
+            groups = [[]]
+            for n, f in run:
+                if groups[-1] and sum(sizes[g] for g in groups[-1]) + n > target * 5 // 4:
+                    groups.append([])
+                groups[-1].append(f)
+            out += [g for g in groups if len(g) > 1]
+    return out
+
+
+def test_groups_and_merged_sizes_equal_a_plain_plan(spark, tmp_path):
+    store = sharding.Store(spark, str(tmp_path / "g"), target=1 << 16)
+    rng = random.Random(4)
+    for _ in range(30):
+        sizes = {f"f{i:03}": int(2 ** rng.uniform(4, 18)) for i in range(rng.randrange(40))}
+        got = store.groups([{"file": f, "bytes": n, "tier": store.tier(n)} for f, n in sizes.items()])
+        assert [[x["file"] for x in g] for g in got] == plain_groups(sizes, 1 << 16)
+    rows = spark.range(0, 9000, 1, 12).selectExpr("id AS doc_id", "repeat(sha2(string(id), 256), 2) AS text")
+    store.append(rows)
+    before = {x["file"]: x["bytes"] for x in store.manifest()["shards"]}
+    want = plain_groups(before, 1 << 16)
+    store.compact()
+    after = {x["file"] for x in store.manifest()["shards"]}
+    assert len(after - set(before)) == len(want) and after & set(before) == set(before) - {f for g in want for f in g}
+
+
 def test_large_arrivals_are_cut_and_merged(spark, tmp_path):
     docs = spark.range(0, 12_000, 1, 1).selectExpr("id AS doc_id", "repeat(sha2(string(id), 256), 2) AS text")
     store = sharding.Store(spark, str(tmp_path / "s"), target=200_000)
