@@ -458,20 +458,38 @@ def test_search_of_many_equal_vectors(spark):
     assert sorted(map(tuple, got)) == plain_search(vectors)
 
 
-def test_blocks_are_pruned():
+def test_bounds_hold_for_every_vector():
     rng = np.random.default_rng(9)
-    blocks = []
-    for k in range(20):
-        m = np.floor(256 * (rng.normal(size=(64, 8)) * 0.05 + (k == 3))).astype(np.int64)
-        blocks.append({"n": 64, "dims": 8, "ids": np.arange(64 * k, 64 * k + 64).tobytes(), "mat": m.tobytes(), "high": m.max(0).tobytes(), "low": m.min(0).tobytes()})
-    seen = []
-    old = topk.fitted
-    topk.fitted = lambda m, d: seen.append(len(m)) or old(m, d)
-    try:
-        scores, ids = topk.search(np.full((1, 8), 256), np.array([-1]), np.array([topk.NONE]), blocks, 5)
-    finally:
-        topk.fitted = old
-    assert seen.count(64) == 1 and set(ids[0] // 64) == {3}
+    for dims, spread in ((3, 2.0), (16, 0.05), (64, 30_000.0)):
+        q = np.floor(256 * rng.normal(size=(20, dims))).astype(np.int64)
+        for _ in range(10):
+            m = np.floor(256 * (rng.normal(size=(40, dims)) * spread + rng.normal(size=dims))).astype(np.int64)
+            mid = np.rint(m.mean(axis=0)).astype(np.int64)
+            radius = float(np.sqrt(((m - mid) ** 2).sum(axis=1).max()))
+            s = topk.Summary("b", dims, *(topk.narrow(x) for x in (m.max(0), m.min(0), mid)), radius)
+            assert (topk.bounds(q, [s])[:, 0] >= (q @ m.T).max(axis=1)).all()
+            assert (topk.array(topk.narrow(m), dims) == m).all() and (topk.scores_of(q, m) == q @ m.T).all()
+
+
+def test_clustered_blocks_are_pruned_and_results_stay_exact(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "PACK", 16)
+    monkeypatch.setattr(topk, "RUN", 20)
+    monkeypatch.setattr(topk, "CELL", 1000)
+    rng = np.random.default_rng(10)
+    middles = rng.normal(size=(12, 16))
+    at = np.concatenate([np.zeros(2500, int), rng.integers(1, 12, 3500)])  # one cluster has a good third
+    x = middles[at] + 0.05 * rng.normal(size=(6000, 16))
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(4)
+    asked = df.where("vec_id % 50 = 0")
+    packs, blocks, _ = topk.indexed(df, asked)
+    all_pairs = packs.count() * blocks.count()
+    left = topk.surviving(packs, blocks).selectExpr("count(*) AS n", "sum(open) AS open", "sum(queries) AS queries").first()
+    per_query = 120 * blocks.count()
+    assert left["n"] < 0.65 * all_pairs and left["open"] < 0.4 * per_query, (left, all_pairs, per_query)
+    got = topk.searched(df, asked).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == plain_search(vectors)
 
 
 def test_search_sql(spark, duck, sf_dir):
