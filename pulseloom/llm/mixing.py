@@ -1,24 +1,37 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame operations only.
 
-Documents get rates q that stay as close to 1 as possible in relative entropy, counted by
-words, while the words of each source meet the source's target. The dual of that convex
-problem has one variable for each source; its gradient and curvature are sums over the
-documents, which are aggregated once, by source and size, before any shuffle. Newton
-steps on the dual give the exponentially tilted rates exp(lambda).
+Each document gets a rate q, at most MOST, that stays as close to 1 as possible in relative
+entropy, sum(q ln q - q + 1), while the words of each source, sum(size * q), meet the
+source's target. The dual of that convex problem has one variable for each source, and its
+solution tilts exponentially: q = min(MOST, exp(lambda * size)). A source that has to grow
+repeats its long documents first, one that has to shrink lets go of them first, by as
+little as its target allows.
+
+Newton's method solves the dual. Gradient and curvature are sums over documents, which a
+table of (source, size, number of documents) holds in far fewer rows; each step joins it
+with the multipliers and aggregates by source, with sums formed before the exchange. A
+step that would leave the interval known to hold the root halves that instead. Steps end
+once all sources are within TOLERANCE of their targets.
 
 Rates become copies in whole numbers. All decisions fall on the table of (source, size):
-each size gets the whole part of its copies, and the words still missing go, largest
-size first, to sizes that fit. Within a size, copies are dealt evenly over blocks of
-documents, and evenly over the documents of a block in order of a hash, so that no task
-holds more than a block's share of a hot size.
-
-Defined results: documents without words take 0 words; a null source is a source of its
-own, last in order; without any words all targets are 0. Rows with the same doc_id and
-size are alike, and which of them is copied does not matter.
+going down from the largest size, the copies up to a size are the whole part of the rates
+up to it, so that each size has its rate to within one copy and words fall short by less
+than one document; these go, largest size first, to sizes that fit. Within a size, copies
+are dealt evenly over blocks of documents, and evenly over the documents of a block in
+order of a hash, so that no task holds more than a block's share of a hot size.
+
+Rates count in billionths, and whole numbers decide, so that reruns agree.
+
+Defined results: documents without words take 0 words (and keep their one copy); a null
+source is a source of its own, last in order; without any words all targets are 0. Rows
+with the same doc_id and size are alike, and which of them is copied does not matter.
+Columns of the input that have the output column's name are replaced by it. Targets are
+told in one task that holds a row for each source.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,20 +44,53 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 #: Sources whose targets may be broadcast; beyond that they are joined by shuffling.
 BROADCAST_SOURCES = 10_000
-NEWTON_STEPS, FILL_ROUNDS, BLOCKS = 40, 12, 512
+NEWTON_STEPS, TOLERANCE, FILL_ROUNDS, BLOCKS = 80, 1e-9, 12, 512
+#: Rates count in these.
+UNIT = 1_000_000_000
 
 
-def newton(total: Column, target: Column, steps: int = NEWTON_STEPS) -> Column:
-    """The rate exp(lambda) that minimises total * exp(lambda) - target * lambda.
+def rate(tilt: Column, size: Column, most: float = MOST) -> Column:
+    """min(most, exp(lambda * size))."""
+    return F.when(tilt * size >= math.log(most), F.lit(float(most))).otherwise(F.exp(tilt * size))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A staged table with a row for each source, to be broadcast where these are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_SOURCES else df
 
-    A step is (target - total * exp(lambda)) / (total * exp(lambda)), held within 1.
-    """
-    def step(x: Column, _: Column) -> Column:
-        model = total * F.exp(x)
-        return x + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (target - model) / model))
 
-    tilt = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
-    return F.when((total > 0) & (target > 0), F.exp(tilt)).otherwise(0.0)
+def newton(sizes: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
+    """(key, tilt): the multiplier of each source, so that sum(n * size * rate) is its target.
+
+    sizes: (key, size, n); goals: (key, source_size, target) with targets up to most * source_size.
+    """
+    worded = sizes.where("size > 0 AND n > 0")
+    facts = worded.groupBy("key").agg(F.min("size").alias("least"), F.sum(F.col("size") * F.col("n")).cast("double").alias("total"))
+    top = F.lit(math.log(most)) / F.col("least")  # where all rates are at their most
+    full = F.col("target") >= F.col("total") * most * (1 - 1e-12)
+    # Below, exp(lambda * least) alone bounds the sum.
+    bottom = F.when(F.col("target") > 0, F.least(F.lit(0.0), F.ln(F.col("target") / F.col("total")) / F.col("least"))).otherwise(-1e9)
+    at = goals.join(facts, "key").select(
+        "key", "target", F.when(F.col("target") > F.col("total"), 0.0).otherwise(bottom).alias("low"), top.alias("high"),
+        F.when(full, top).when(F.col("target") <= 0, -1e9).otherwise(0.0).alias("tilt"), (full | (F.col("target") <= 0)).alias("done"),
+    )
+    at = staged(at, "mix-tilts")
+    for _ in range(NEWTON_STEPS):
+        if at.where("NOT done").isEmpty():
+            break
+        mass = F.col("n") * F.col("size") * rate(F.col("tilt"), F.col("size"), most)
+        bends = F.when(F.col("tilt") * F.col("size") < math.log(most), mass * F.col("size")).otherwise(0.0)
+        state = [F.max(c).alias(c) for c in ("target", "low", "high", "tilt", "done")]
+        sums = worded.join(small(at), "key").groupBy("key").agg(*state, F.sum(mass).alias("got"), F.sum(bends).alias("bend"))
+        off = F.col("got") - F.col("target")
+        sums = sums.withColumns({"low": F.when(off <= 0, F.col("tilt")).otherwise(F.col("low")), "high": F.when(off >= 0, F.col("tilt")).otherwise(F.col("high"))})
+        step = F.col("tilt") - F.try_divide(off, F.col("bend"))
+        inside = (step > F.col("low")) & (step < F.col("high"))
+        done = F.col("done") | (F.abs(off) <= F.col("target") * TOLERANCE)
+        turned = F.when(done, F.col("tilt")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2)
+        before, at = at, staged(sums.select("key", "target", "low", "high", turned.alias("tilt"), done.alias("done")), "mix-tilts")
+        discard(before)
+    return at.select("key", "tilt")
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -70,13 +116,20 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 def copies_by_size(sizes: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
     """(source, size, n, source_size, target, rate, copies): copies of all n documents of a size together."""
-    goals = staged(goals, "mix-goals")
-    small = F.broadcast(goals) if goals.count() <= BROADCAST_SOURCES else goals
-    t = sizes.alias("s").join(small.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).drop(F.col("g.source"))
-    t = t.withColumn("rate", newton(F.col("source_size").cast("double"), F.col("target")))
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key")
+    goals = staged(goals.select(key, "source_size", "target"), "mix-goals")
+    sizes = staged(sizes.select(key, "source", "size", "n"), "mix-sizes")
+    tilts = staged(goals.join(newton(sizes, goals, most), "key", "left"), "mix-tilts")
+    t = sizes.join(small(tilts), "key")
+    billionths = F.when(F.col("size") > 0, F.round(rate(F.col("tilt"), F.col("size"), most) * UNIT)).otherwise(UNIT).cast("decimal(20,0)")
+    t = t.withColumn("_billionths", billionths)
     room = F.col("n") * most
-    # The nudge keeps a rate like 1.9999999999 of Newton's last step from losing a copy.
-    t = t.withColumn("copies", F.least(room, F.floor(F.col("rate") * F.col("n") + 1e-6)))
+    down = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum((F.col("_billionths") * F.col("n")).cast("decimal(38,0)")).over(down)
+    # The nudge of a millionth keeps a sum like 6.9999999 from losing a copy.
+    t = t.withColumn("_upto", F.floor((upto + UNIT // 1_000_000) / UNIT).cast("long"))
+    t = t.withColumn("copies", F.col("_upto") - F.coalesce(F.lag("_upto").over(Window.partitionBy("source").orderBy(F.col("size").desc())), F.lit(0)))
+    t = t.select("source", "size", "n", "source_size", "target", (F.col("_billionths").cast("double") / UNIT).alias("rate"), F.least(room, "copies").alias("copies"))
     whole = Window.partitionBy("source")
     down = whole.orderBy(F.col("size").desc())
     taken = lambda: F.sum(F.col("size") * F.col("copies")).over(whole)
