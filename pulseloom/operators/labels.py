@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseloom.functions.columns import one_hot, proximity_bin
+from pulseloom.functions.columns import SEIZURE_CODES, one_hot, proximity_bin
 
 POSTICTAL_S, FIRST_S, APART_S = 1800, 1200, 1800
 
@@ -93,6 +93,12 @@ def first_event(seizures: DataFrame, kind: str, least_s: float) -> DataFrame:
     return rows.withColumn("_k", first).where("_k = 1").drop("_k").withColumn("onset_minutes", F.round(F.col("onset_s") / 60, 6))
 
 
+def named(events: DataFrame, kind: str = "eventType") -> DataFrame:
+    """``events`` with name: that of a seizure's numeric code, null for any other kind. A lookup of 38 rows."""
+    names = events.sparkSession.createDataFrame(list(SEIZURE_CODES.items()), "_code string, name string")
+    return events.join(F.broadcast(names), F.lower(F.trim(kind)) == F.col("_code"), "left").drop("_code")
+
+
 def with_fallback(events: DataFrame, is_target: str = "is_sz") -> DataFrame:
     """Target events of each recording, or all its events where it has no target."""
     n = F.count_if(F.col(is_target)).over(Window.partitionBy("rec"))

@@ -226,9 +226,11 @@ def tagged_concat(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.lit("b").alias("tag")))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def set_minus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an urgent order."""
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").join(urgent, "c_custkey", "left_anti")
 
 
 # -- scalar rules ----------------------------------------------------------------------

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseloom.functions.columns import is_seizure, run_number, subject_id
+from pulseloom.functions.columns import SEIZURE_CODES, is_seizure, run_number, subject_id
 from pulseloom.operators import features, labels, tachogram, windows
+from pulseloom.sources.files import matched
 from pulseloom.sources.fixtures import BEATS_SQL, SEIZURES_SQL, beats, seizures, table
 
 _B = f"WITH {BEATS_SQL}"
@@ -419,13 +420,23 @@ def control_centres(spark: SparkSession, d: str) -> DataFrame:
 # -- runs and events -------------------------------------------------------------------
 
 
-@query("""WITH f AS (SELECT o_custkey, o_orderpriority, o_orderstatus, 'sub-' || (o_custkey % 50) || '/run_run-0' || (o_custkey % 7) || '_' || o_orderkey AS path FROM orders)
-SELECT o_custkey AS subject, o_orderpriority AS session, max(path) FILTER (o_orderstatus = 'F') AS eeg_file, max(path) FILTER (o_orderstatus = 'O') AS ecg_file, max(path) FILTER (o_orderstatus = 'P') AS annotation_file FROM f GROUP BY 1, 2""")
+@query("""WITH f AS (SELECT 'sub-' || (o_custkey % 50) AS subject, 'ses-' || (o_orderkey % 3) AS session, CASE o_orderstatus WHEN 'F' THEN 'eeg' WHEN 'O' THEN 'ecg' ELSE 'events' END AS modality,
+  '/data/sub-' || (o_custkey % 50) || '_task-x' || CASE WHEN o_custkey % 11 = 0 THEN '' ELSE '_run-0' || (o_custkey % 7) END || '_' || o_orderkey AS path FROM orders), r AS (SELECT *, regexp_extract(path, '_run-([^_]*)', 1) AS run FROM f WHERE contains(path, '_run-'))
+SELECT subject, session, run, max(path) FILTER (modality = 'eeg') AS eeg_file, max(path) FILTER (modality = 'ecg') AS ecg_file, max(path) FILTER (modality = 'events') AS annotation_file FROM r GROUP BY 1, 2, 3""")
 def run_match(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    path = F.concat(F.lit("sub-"), (F.col("o_custkey") % 50).cast("string"), F.lit("/run_run-0"), (F.col("o_custkey") % 7).cast("string"), F.lit("_"), F.col("o_orderkey").cast("string"))
-    one = lambda s: F.max(F.when(F.col("o_orderstatus") == s, path))
-    return o.groupBy(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("session")).agg(one("F").alias("eeg_file"), one("O").alias("ecg_file"), one("P").alias("annotation_file"))
+    return matched(_found(spark, d))
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as files of a tree; one in eleven customers has files without a run."""
+    text = lambda x: x.cast("string")
+    subject = F.concat(F.lit("sub-"), text(F.col("o_custkey") % 50))
+    run = F.when(F.col("o_custkey") % 11 == 0, "").otherwise(F.concat(F.lit("_run-0"), text(F.col("o_custkey") % 7)))
+    return table(spark, d, "orders").select(
+        subject.alias("subject"), F.concat(F.lit("ses-"), text(F.col("o_orderkey") % 3)).alias("session"),
+        F.when(F.col("o_orderstatus") == "F", "eeg").when(F.col("o_orderstatus") == "O", "ecg").otherwise("events").alias("modality"),
+        F.concat(F.lit("/data/"), subject, F.lit("_task-x"), run, F.lit("_"), text(F.col("o_orderkey"))).alias("path"),
+    )
 
 
 @query("""WITH f AS (SELECT o_orderkey, 'sub-' || (o_custkey % 50) || '_task_run-0' || (o_custkey % 7) || '_x' AS p FROM orders)
@@ -444,6 +455,21 @@ def seizure_kinds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(kind.alias("kind")).groupBy("kind", is_seizure("kind").alias("is_sz")).agg(F.count("*").alias("n"))
 
 
+#: Each event as some code: those of the table, others beyond it, spaces around, and none at all.
+_CODE = "CASE WHEN event_id % 13 = 0 THEN NULL ELSE repeat(' ', CAST(event_id % 3 AS INT)) || CAST(event_id // 10 % 9 AS VARCHAR) || '.' || CAST(event_id % 10 AS VARCHAR) || repeat(' ', CAST(event_id % 2 AS INT)) END"
+_CODES = ", ".join(f"('{code}', '{name}')" for code, name in SEIZURE_CODES.items())
+
+
+@query(f"""WITH e AS (SELECT event_id, trim({_CODE}) AS code FROM events), names(code, name) AS (VALUES {_CODES})
+SELECT e.code, n.name, n.name IS NOT NULL AS is_sz, count(*) AS n FROM e LEFT JOIN names n USING (code) GROUP BY ALL""")
+def seizure_codes(spark: SparkSession, d: str) -> DataFrame:
+    text = lambda x: x.cast("string")
+    code = F.concat(F.repeat(F.lit(" "), (F.col("event_id") % 3).cast("int")), text(F.expr("event_id div 10 % 9")), F.lit("."), text(F.col("event_id") % 10), F.repeat(F.lit(" "), (F.col("event_id") % 2).cast("int")))
+    e = table(spark, d, "events").select(F.when(F.col("event_id") % 13 != 0, code).alias("kind"))
+    rows = labels.named(e, "kind").select(F.trim("kind").alias("code"), "name", is_seizure("kind").alias("is_sz"))
+    return rows.groupBy("code", "name", "is_sz").agg(F.count("*").alias("n"))
+
+
 @query("SELECT event_type, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct FROM events GROUP BY event_type")
 def event_type_counts(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))

@@ -16,7 +16,20 @@ def test_is_seizure_truth_table(spark):
     cases = {None: False, "": False, "bckg": False, "impd": False, "sz": True, "SZ_GEN": True, "3.6": True, "9.9": False, " Focal aware ": True, "absence": True}
     rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "kind string, want boolean")
     assert rows.where(C.is_seizure("kind") != F.col("want")).count() == 0
-    assert len(C.SEIZURE_CODES) == 38
+
+
+def test_seizure_codes_and_names(spark):
+    """Codes by group, and one name of each, as they are published."""
+    members = {1: 7, 2: 5, 3: 7, 4: 4, 5: 3, 6: 8, 7: 4}
+    assert set(C.SEIZURE_CODES) == {f"{g}.{i}" for g, n in members.items() for i in range(1, n + 1)} and len(C.SEIZURE_CODES) == 38
+    some = {"1.7": "Focal Aware Motor - Tonic", "2.2": "Focal Aware Non-motor - Behavioral arrest", "3.6": "Focal Impaired Awareness Motor - Myoclonic", "4.4": "Focal Impaired Awareness Non-motor - Sensory",
+            "5.3": "Focal to bilateral tonic-clonic - Awareness unknown at onset", "6.8": "Generalized Motor - Epileptic spasms", "7.1": "Generalized Non-motor (absence) - Typical"}
+    rows = spark.createDataFrame([(f"{g}.{i}",) for g in range(10) for i in range(10)] + [(None,), ("",), (" 1.5 ",), ("sz",)], "kind string")
+    got = labels.named(rows, "kind").select("kind", "name", C.is_seizure("kind").alias("sz")).collect()
+    assert len(got) == 104
+    for r in got:
+        known = (r["kind"] or "").strip() in C.SEIZURE_CODES
+        assert r["sz"] == (known or r["kind"] == "sz") and (r["name"] is not None) == known and (r["kind"] not in some or r["name"] == some[r["kind"]])
 
 
 def test_paths_and_classes(spark):

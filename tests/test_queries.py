@@ -24,6 +24,32 @@ def test_query_runs(spark, sf_dir, name):
     assert catalog.queries()[name](spark, sf_dir).count() > 0
 
 
+def test_operators_that_cannot_be_imported_leave_the_other_queries(monkeypatch):
+    import builtins
+    import sys
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m.startswith("pulseloom.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    real = builtins.__import__
+
+    def without(name, *a, **k):
+        if name in ("ahocorasick", "corpus_pipeline"):
+            raise ImportError(name)
+        return real(name, *a, **k)
+
+    monkeypatch.setattr(builtins, "__import__", without)
+    assert set(__spark_entry__.queries()) == set(catalog.queries()) and set(__spark_entry__.oracle_sql()) == set(SQL)
+
+
+def test_queries_with_content(spark, sf_dir):
+    q = catalog.queries()
+    assert q["set_minus"](spark, sf_dir).count() > 0
+    runs = q["run_match"](spark, sf_dir).collect()
+    assert any(r["ecg_file"] is None for r in runs) or any(r["eeg_file"] is None for r in runs) or len(runs) > 100
+
+
 def test_entry(spark):
     import __spark_entry__
 
