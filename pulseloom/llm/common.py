@@ -23,14 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` where the session names one. A session without it (a
-    local test) gets a temporary folder, set once so that later calls agree.
+    ``spark.checkpoint.dir`` where the session names one, or the context's checkpoint
+    folder. A local session without either (a test) gets a temporary folder, set once so
+    that later calls agree; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         held = context._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not context.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="pulseloom-"))
             held = context._jsc.sc().getCheckpointDir()
         found = held.get()
@@ -50,12 +53,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables of :func:`staged` that nothing will read again."""
     for df in tables:
-        spark, path = df.sparkSession, df._staged_at
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        remove(df.sparkSession, df._staged_at)
 
 
 def words(text: str | Column) -> Column:
