@@ -18,7 +18,7 @@ tested against one pivot, the best among the smallest members of its bands. Clas
 are then in one component need no further test. What shares a band across components is
 held together by the bitmaps, and what these can't refute is tested on the full sets, so
 that no link is lost. Where bands would give very many such comparisons, further pivots
-join components first.
+join components first; a band that is still large is compared in tiles, task by task.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; rows
 with the same doc_id are one node; rows with a null doc_id link with nothing, have a null
@@ -44,6 +44,8 @@ PERCENT = 80
 SIGMAS = 5
 #: Bitmaps are compared across components once that is at most so many comparisons for each row of the bands.
 PAIRS_A_ROW, PIVOT_ROUNDS = 2_000, 6
+#: Rows of a band that meet in one task; larger bands are cut into tiles of so many rows a side.
+TILE = 1_000
 #: Texts, or pairs of texts, that a worker receives at once; and words whose hashes it remembers.
 BATCH, WORDS = 256, 200_000
 _WORDS: dict[bytes, int] = {}
@@ -240,9 +242,8 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
             break
         whole = told["pairs"] <= PAIRS_A_ROW * told["n"] or turn == PIVOT_ROUNDS
         if whole:
-            with_marks = rows.select("band", "rep", "label").join(reps.select("rep", "n", "sketch", "parity"), "rep")
-            x, y = with_marks.alias("x"), with_marks.alias("y")
-            pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label")) & alike("x", "y", percent))
+            with_marks = rows.select("band", "rep", "label", "all").join(reps.select("rep", "n", "sketch", "parity"), "rep")
+            pairs = met_in_tiles(with_marks, percent)
             pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         else:
             pick = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "label")).alias("p"))
@@ -274,6 +275,22 @@ def alike(x: str, y: str, percent: int = PERCENT) -> Column:
     return fits & near & (differing(F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), SKETCH_BITS) <= most_differing(percent))
 
 
+def met_in_tiles(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """Pairs (x, y) of one band and of different labels, x's the smaller, whose bitmaps allow a link.
+
+    rows: (band, rep, label, all, n, sketch, parity), ``all`` being the rows of the band. A
+    band is cut into p parts by a hash, and each row goes to the p tiles of its part: as x
+    along one side, as y along the other. So a hot band is many small joins, not one.
+    """
+    p = F.greatest(F.lit(1), F.ceil(F.col("all") / tile)).cast("int")
+    part = F.pmod(F.xxhash64("rep"), p).cast("int")
+    others = F.explode(F.sequence(F.lit(0), p - 1))
+    x = rows.withColumn("row", part).withColumn("col", others).alias("x")
+    y = rows.withColumn("col", part).withColumn("row", others).alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "row", "col")]
+    return x.join(y, same[0] & same[1] & same[2] & (F.col("x.label") < F.col("y.label")) & alike("x", "y", percent))
+
+
 def differing(x: Column, y: Column, bits: int) -> Column:
     """Population count of the XOR of two bitmaps."""
     out = F.lit(0)
