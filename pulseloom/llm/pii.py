@@ -118,7 +118,7 @@ def cue_spans(text: str, anchors: dict[str, list[int]]) -> list[tuple[int, int,
     """Spans that cues announce; none of them lies on an earlier one of its kind."""
     out = []
     for end in anchors.get("words", ()):
-        start = end - (4 if text[end - 1] == " " else 4)
+        start = end - 4
         before, after = _BEFORE_AT.search(text, max(0, start - 64), start if text[start - 1 : start] != " " else start - 1), _AFTER_AT.match(text, end)
         if before and after:
             out.append((before.start(), after.end(), "email_words"))
@@ -161,18 +161,24 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def spans_of(docs: DataFrame, column: str = "pii") -> DataFrame:
-    """``docs`` with struct ``column``: counts of base kinds, digest of base spans, all spans."""
+    """``docs`` with struct ``column``: counts of base kinds, digest of base spans, all spans, and counts of the further kinds and of all spans.
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    An input column of that name is replaced.
+    """
+    names = [*(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", *(f"n_{k}" for k in KINDS[4:]), "n_spans"]
+    types = {"base_sha256": "string", "spans": "string"}
+
+    @F.pandas_udf(", ".join(f"{n} {types.get(n, 'long')}" for n in names))
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cues = automaton()
         for b in batches:
             rows = []
             for text in b:
                 base, every = find(text, cues)
-                kinds = [k for _, _, k in base]
-                rows.append((*map(kinds.count, KINDS[:4]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
-            yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                kinds, more = [k for _, _, k in base], [k for _, _, k in every]
+                digest = hashlib.sha256(joined(base).encode()).hexdigest()
+                rows.append((*map(kinds.count, KINDS[:4]), digest, joined(every), *map(more.count, KINDS[4:]), len(every)))
+            yield pd.DataFrame(rows, columns=names)
 
     return docs.withColumn(column, of.asNondeterministic()(F.col("text")))
 
