@@ -12,7 +12,7 @@ substitution patterns finds a hit in each (:func:`covers`), and items of any oth
 get masks made for it (:func:`fitted`); those of up to four tokens are joined as a whole.
 
 Tokens are runs of letters and digits in lower case. Defined results: null and empty
-texts, and items without a token, match nothing; repeated rows and repeated items are
+texts, and items without a token or without an item_id, match nothing; repeated rows and repeated items are
 reported once for each pair of ids; rows with a null doc_id are judged like any others.
 """
 
@@ -30,8 +30,9 @@ from pulseloom.llm.common import staged, table
 #: 1 counts, 0 is ignored. Of 15 or more tokens with at most three substituted, one of these always has its six places equal.
 MASKS = ("11001001011", "1110111", "1110001011")
 WINDOW, AGREE = 16, 0.8
-#: Benchmark hashes that may be broadcast (about 40 bytes each); beyond that they are joined by shuffling.
-BROADCAST_ROWS = 500_000
+#: Benchmark hashes that may be broadcast (about 40 bytes each). Beyond that they are joined by shuffling, and a broadcast
+#: bitmap of 2 ** FILTER_BITS bits (16 MB, whatever the benchmark) keeps back the places of documents that none of them has.
+BROADCAST_ROWS, FILTER_BITS = 500_000, 27
 #: Substitution patterns that are enumerated at most to prove masks; beyond, masks are made for the length.
 PATTERNS = 100_000
 
@@ -92,11 +93,32 @@ def seeds(hashed: Column, masks: Sequence[str], served: Sequence[Column] | None
     return F.when(n > 0, F.concat(*(under(m, mask) for m, mask in enumerate(masks)))).otherwise(F.array().cast("array<long>"))
 
 
-def places(rows: DataFrame, id_: str, shapes: Mapping[str, Sequence[int]], window: int | None = None) -> DataFrame:
-    """(id, place, seed) of all places of ``text``; with ``window``, a text takes only the masks that serve its length."""
+def bitmap(wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """One row with ``filter``: an array of 64-bit words in which the lowest bits of each seed mark one bit."""
+    at = F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
+    marked = wanted.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    words = wanted.sparkSession.range(1 << (bits - 6)).withColumnRenamed("id", "word").join(marked.groupBy("word").agg(F.bit_or("bit").alias("bits")), "word", "left")
+    # As many rows as the filter has words, whatever the benchmark.
+    return words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"]).alias("filter"))
+
+
+def marked(seed: Column, bits: int = FILTER_BITS) -> Column:
+    """Whether the filter may hold a seed."""
+    at = seed.bitwiseAND(F.lit((1 << bits) - 1))
+    word = F.get("filter", F.shiftright(at, 6).cast("int"))
+    return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def places(rows: DataFrame, id_: str, shapes: Mapping[str, Sequence[int]], window: int | None = None, known: DataFrame | None = None, bits: int = FILTER_BITS) -> DataFrame:
+    """(id, place, seed) of all places of ``text``; with ``window``, a text takes only the masks that serve its length.
+
+    known: a :func:`bitmap`; seeds that it doesn't mark become null.
+    """
     hashed = rows.select(id_, F.transform(tokens("text"), lambda w: F.xxhash64(w)).alias("h"))
     served = [F.least(F.size("h"), F.lit(window)).isin(list(ns)) for ns in shapes.values()] if window else None
     hashed = hashed.select(id_, F.size("h").alias("n"), seeds(F.col("h"), list(shapes), served).alias("s"))
+    if known is not None:
+        hashed = hashed.join(F.broadcast(known)).withColumn("s", F.transform("s", lambda x: F.when(marked(x, bits), x)))
     # The outer form: for the inner one Spark infers a filter that computes all hashes a second time.
     each = hashed.select(id_, "n", F.posexplode_outer("s").alias("at", "seed"))
     return each.select(id_, (F.col("at") % F.greatest("n", F.lit(1))).alias("place"), "seed")
@@ -112,8 +134,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
     lengths = [r["n"] for r in items.select(size).distinct().collect() if r["n"] > 0] or [window]
     used = shapes(lengths, masks, agree)
     wanted = staged(places(items, "item_id", used, window).where(F.col("seed").isNotNull()).distinct(), "seeds")
-    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = places(docs.select("doc_id", "text"), "doc_id", used).alias("d").join(small.alias("b"), "seed")
+    few = wanted.count() <= BROADCAST_ROWS
+    known = None if few else staged(bitmap(wanted, FILTER_BITS), "seed-filter")
+    found = places(docs.select("doc_id", "text"), "doc_id", used, known=known, bits=FILTER_BITS).alias("d")
+    found = (found if few else found.where(F.col("seed").isNotNull())).join((F.broadcast(wanted) if few else wanted).alias("b"), "seed")
     diagonals = staged(
         found.select("doc_id", "item_id", (F.col("d.place") - F.col("b.place")).alias("shift")).distinct(), "diagonals"
     )

@@ -76,6 +76,17 @@ def test_chains_and_hubs_of_near_copies(spark):
     assert got == want
 
 
+def test_tiles_give_the_pairs_of_whole_bands(spark):
+    rng = np.random.default_rng(3)
+    marks = [[int(x) for x in rng.integers(-(2**62), 2**62, n)] for n in (8, 16)]
+    rows = [(b, r, int(rng.integers(0, 40)), n, 50, *marks) for b, n in ((1, 90), (2, 7), (3, 1)) for r in range(n)]
+    df = spark.createDataFrame(rows, 'band long, rep long, label long, "all" long, n long, sketch array<long>, parity array<long>'.replace('"', "`"))
+    want = sorted((b, r, s) for b, r, p, *_ in rows for c, s, q, *_ in rows if b == c and p < q)
+    for tile in (10, 1000):
+        got = near_dedup.met_in_tiles(df, 80, tile).select("x.band", "x.rep", "y.rep").collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_more_pivots_give_the_same(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = sorted(map(tuple, near_dedup.grouped(docs, 2).collect()))
@@ -203,6 +214,25 @@ def test_contamination_equals_a_search_of_all_offsets(spark):
     assert got == brute(docs, items) and len(got) > 150
 
 
+def test_contamination_beyond_a_broadcast(spark, sf_dir, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, decontamination.contaminated(docs, items).collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(decontamination, "FILTER_BITS", 14)
+    assert sorted(map(tuple, decontamination.contaminated(docs, items).collect())) == want and want
+
+
+def test_seed_filter_marks_all_seeds_and_few_others(spark):
+    from pyspark.sql import functions as F
+
+    seeds = spark.range(2000).select(F.xxhash64("id").alias("seed"))
+    known = decontamination.bitmap(seeds, 16)
+    assert known.select(F.size("filter")).first()[0] == 1024
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("seed")).join(F.broadcast(known))
+    hits = rows.select("id", decontamination.marked(F.col("seed"), 16).alias("hit")).where("hit").select("id").collect()
+    assert {r["id"] for r in hits} >= set(range(2000)) and len(hits) < 3500
+
+
 @pytest.mark.parametrize("query", [decontamination.op7_spaced_seeds, licences.op5_license_scan])
 def test_odd_and_empty_tables(spark, tables, query):
     got = query(spark, tables["odd"]).collect()
