@@ -48,6 +48,17 @@ def split(subjects: DataFrame, order: Column, test: float = 0.2, val: float = 0.
     return free.select("subject", name.alias("split")).unionByName(rows.where("_fixed is not null").select("subject", F.col("_fixed").alias("split")))
 
 
+def split_by(rows: DataFrame, subjects: Sequence | None = None, recordings: Sequence | None = None) -> DataFrame:
+    """``rows`` with split: val for the named subjects, or else for the named recordings; train for the rest."""
+    chosen = F.col("subject").isin(list(subjects)) if subjects else F.col("recording").isin(list(recordings or []))
+    return rows.withColumn("split", F.when(chosen, "val").otherwise("train"))
+
+
+def split_rows(rows: DataFrame, draw: Column, val: float = 0.2) -> DataFrame:
+    """``rows`` with split by row, which lets rows of one patient fall on both sides; ``draw`` is between 0 and 1."""
+    return rows.withColumn("split", F.when(draw < val, "val").otherwise("train"))
+
+
 def scaler(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, mean, std): population deviation; a deviation of zero counts as 1."""
     agg = [F.struct(F.avg(f).alias("mean"), F.stddev_pop(f).alias("std")).alias(f) for f in features]

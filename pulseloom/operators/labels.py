@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pulseloom.functions.columns import SEIZURE_CODES, one_hot, proximity_bin
 
 POSTICTAL_S, FIRST_S, APART_S = 1800, 1200, 1800
+#: Seconds of a cell in which samples and events meet.
+CELL_S = 60
 
 
 def nearest(minutes: DataFrame, seizures: DataFrame) -> DataFrame:
@@ -142,25 +144,28 @@ def label_stats(labelled: DataFrame, fs: int) -> DataFrame:
 
 
 def label_check(seizures: DataFrame, labelled: DataFrame, fs: int, sph_s: int, width_s: int) -> DataFrame:
-    """(rec, idx, target_possible, has_target, has_ictal) for each event, from the labels of sampled points."""
-    by = labelled.groupBy("rec").agg(
-        F.collect_list(F.when(F.col("label") == 1, F.col("sample"))).alias("_one"), F.collect_list(F.when(F.col("label") == 2, F.col("sample"))).alias("_two")
-    )
-    centre, half = F.col("onset_s") - sph_s, width_s / 2
-    inside = lambda c, a, b: F.exists(c, lambda s: (s >= a * fs) & (s < b * fs))
-    rows = seizures.join(by, "rec", "left")
-    return rows.select(
-        "rec", "idx", (F.col("onset_s") >= sph_s + half).alias("target_possible"),
-        F.coalesce(inside("_one", centre - half, centre + half), F.lit(False)).alias("has_target"),
-        F.coalesce(inside("_two", F.col("onset_s"), F.col("onset_s") + F.col("dur_s")), F.lit(False)).alias("has_ictal"),
-    )
+    """(rec, idx, target_possible, has_target, has_ictal) for each event, from the labels of samples.
 
-
-def window_centre_labels(points: DataFrame, spans: DataFrame, size: int, step: int, n_samples: int) -> DataFrame:
-    """(rec, k, centre, label) of hop windows of ``size`` samples; points: (rec)."""
-    n = (n_samples - size) // step + 1
-    if n < 1:
-        return labels_at(points.select("rec", F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("sample")).limit(0), spans).withColumnRenamed("sample", "centre")
-    rows = points.select("rec", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    Samples meet an event by cells of CELL_S seconds: what one task holds at once is a cell.
+    """
+    cell = CELL_S * fs
+    cells = labelled.where("label > 0").groupBy("rec", "label", F.floor(F.col("sample") / cell).alias("cell")).agg(F.collect_list("sample").alias("samples"))
+    centre, half = F.col("onset_s") - sph_s, width_s / 2
+    reach = lambda label, a, b: F.struct(F.lit(label).alias("label"), (a * fs).cast("double").alias("a"), (b * fs).cast("double").alias("b"))
+    events = seizures.select("rec", "idx", (F.col("onset_s") >= sph_s + half).alias("target_possible"), F.explode(F.array(
+        reach(1, centre - half, centre + half), reach(2, F.col("onset_s"), F.col("onset_s") + F.col("dur_s")),
+    )).alias("x")).select("rec", "idx", "target_possible", "x.*")
+    first, last = F.floor(F.col("a") / cell), F.floor(F.col("b") / cell)
+    asked = events.withColumn("cell", F.explode_outer(F.when(first <= last, F.sequence(first, last))))
+    met = asked.join(cells, ["rec", "label", "cell"], "left")
+    hit = F.coalesce(F.exists("samples", lambda s: (s >= F.col("a")) & (s < F.col("b"))), F.lit(False))
+    met = met.withColumn("hit", hit)
+    return met.groupBy("rec", "idx", "target_possible").agg(F.bool_or((F.col("label") == 1) & F.col("hit")).alias("has_target"), F.bool_or((F.col("label") == 2) & F.col("hit")).alias("has_ictal"))
+
+
+def window_centre_labels(points: DataFrame, spans: DataFrame, size: int, step: int) -> DataFrame:
+    """(rec, k, centre, label) of all hop windows of ``size`` samples; points: (rec, n_samples)."""
+    n = F.floor((F.col("n_samples") - size) / step)
+    rows = points.where(F.col("n_samples") >= size).select("rec", F.explode(F.sequence(F.lit(0), n.cast("int"))).alias("k"))
     rows = rows.withColumn("sample", (F.col("k") * step + size // 2).cast("bigint"))
     return labels_at(rows, spans).withColumnRenamed("sample", "centre")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseloom.functions import kernels as K
 from pulseloom.operators.features import MINUTE, dealt
-from pulseloom.schemas import SPECTRUM
+from pulseloom.operators.tachogram import physiologic
+from pulseloom.schemas import FEATURES, SPECTRUM
 
 
 def _entropy_udf(kernel, version: int, least: int = 10):
@@ -79,6 +80,66 @@ def spectrum(kind: str):
     return of
 
 
+#: Full minutes that one group of beats serves, and the longest window behind them.
+BLOCK_MINUTES, HALO = 60, 10
+
+
+def minute_features(beats: DataFrame) -> DataFrame:
+    """(rec, minute, the 22 features): every window of a minute at once, null where it has too few beats.
+
+    Beats go to the block of minutes that they can serve, those of the last ten minutes also
+    to the next block: one exchange, and one copy and a sixth of each beat. Rows are kept for all
+    full minutes of blocks with clean beats. Time-domain features need 5 beats in three
+    minutes, Poincare and approximate entropy 10 in five, powers 20 in ten; entropies of
+    fewer than 10 beats are 0.
+    """
+    full = F.floor(F.max("t_ms").over(Window.partitionBy("rec")) / MINUTE)
+    rows = beats.select("rec", "beat_idx", "rr_ms", "t_ms", full.alias("full")).where(physiologic())
+    low, high = F.floor(F.ceil(F.col("t_ms") / MINUTE) / BLOCK_MINUTES), F.floor((F.floor(F.col("t_ms") / MINUTE) + HALO) / BLOCK_MINUTES)
+    rows = rows.withColumn("block", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+
+    def of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("beat_idx")
+        t, rr = part["t_ms"].to_numpy(np.int64), part["rr_ms"].to_numpy(float)
+        first, last = int(key[1]) * BLOCK_MINUTES, min((int(key[1]) + 1) * BLOCK_MINUTES, int(part["full"].iloc[0]))
+        out = []
+        for m in range(first, last):
+            got: dict = {"rec": key[0], "minute": m}
+            end = np.searchsorted(t, m * MINUTE, "right")
+            for minutes, kernel in ((3, _time_domain), (5, _poincare), (10, _powers)):
+                if m >= minutes:
+                    start = np.searchsorted(t, (m - minutes) * MINUTE, "left")
+                    got |= kernel(rr[start:end], t[start:end])
+            out.append(got)
+        return pd.DataFrame(out, columns=["rec", "minute", *FEATURES])
+
+    schema = "rec long, minute int, " + ", ".join(f"{f} double" for f in FEATURES)
+    return rows.groupBy("rec", "block").applyInPandas(of, schema)
+
+
+def _time_domain(rr: np.ndarray, t: np.ndarray) -> dict[str, float]:
+    if len(rr) < 5:
+        return {}
+    d = np.diff(rr)
+    nn50 = float(np.count_nonzero(np.abs(d) > 50))
+    values = (
+        rr.mean(), rr.min(), rr.max(), rr.var(ddof=1), np.sqrt((d * d).mean()), rr.std(ddof=1), d.std(ddof=1), nn50, 100 * nn50 / (len(rr) - 1),
+        K.sample_entropy(rr / 1000) if len(rr) >= 10 else 0.0,
+    )
+    return dict(zip(("RRMean_3", "RRMin_3", "RRMax_3", "RRVar_3", "RMSSD_3", "SDNN_3", "SDSD_3", "NN50_3", "pNN50_3", "SampEn_3"), values, strict=True))
+
+
+def _poincare(rr: np.ndarray, t: np.ndarray) -> dict[str, float]:
+    if len(rr) < 10:
+        return {}
+    sd1, sd2 = np.diff(rr).std(ddof=1) / np.sqrt(2), (rr[1:] + rr[:-1]).std(ddof=1) / np.sqrt(2)
+    return {"ApEn_5": K.approximate_entropy(rr / 1000), "SD1_5": sd1, "SD2_5": sd2, "SD1toSD2_5": sd1 / sd2 if sd2 > 0 else 0.0}
+
+
+def _powers(rr: np.ndarray, t: np.ndarray) -> dict[str, float]:
+    return {f"{n}_10": v for n, v in K.frequency_features(rr / 1000, t / 1000).items()} if len(rr) >= 20 else {}
+
+
 def _per_recording(kernel, columns: tuple[str, str]):
     a, b = columns
 
@@ -109,6 +170,15 @@ def resampled(beats: DataFrame, fs: float = 4.0, method: str = "cubic") -> DataF
     return beats.groupBy("rec").applyInPandas(_per_recording(kernel, ("x", "t_s")), "rec long, i long, x double, t_s double")
 
 
+def at_rate(signal: DataFrame, fs: float, to: float) -> DataFrame:
+    """(recording_id, start_sample, samples) of blocks at another rate, each block by its own spectrum; blocks hold whole periods of both rates."""
+    @F.pandas_udf("array<float>")
+    def of(blocks: pd.Series) -> pd.Series:
+        return pd.Series([K.fourier_resampled(np.asarray(x, float), fs, to).astype(np.float32) for x in blocks])
+
+    return signal.select("recording_id", F.round(F.col("start_sample") * (to / fs)).cast("long").alias("start_sample"), of("samples").alias("samples"))
+
+
 def r_peaks(signal: DataFrame, fs: float = 256.0, method: str = "basic") -> DataFrame:
     """(recording_id, beat_idx, sample) from blocks (recording_id, start_sample, samples) of one channel.
 

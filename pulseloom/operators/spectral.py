@@ -25,12 +25,20 @@ def band_power(spectrum: DataFrame, keys: list[str], low: float, high: float, na
 
 
 def lomb_scargle(rows: DataFrame, keys: list[str], frequencies: list[float]) -> DataFrame:
-    """(keys, f, p): the periodogram of (keys, t, x), two aggregations over beats times frequencies."""
-    mean = Window.partitionBy(*keys)
-    y = rows.withColumn("y", F.col("x") - F.avg("x").over(mean)).select(*keys, "t", "y", F.explode(F.array(*map(F.lit, frequencies))).alias("f"))
+    """(keys, f, p): the periodogram of (keys, t, x), two aggregations over beats times frequencies.
+
+    The phases of a key go along with its beats as one array, so that beats are multiplied
+    only inside of a task, where their sums are formed.
+    """
+    y = rows.withColumn("y", F.col("x") - F.avg("x").over(Window.partitionBy(*keys))).select(*keys, "t", "y")
+    grid = F.array(*map(F.lit, frequencies))
+    each = y.select(*keys, "t", F.posexplode(grid).alias("k", "f"))
+    turn = F.col("f") * (4 * math.pi) * F.col("t")
+    tau = each.groupBy(*keys, "k").agg((F.atan2(F.sum(F.sin(turn)), F.sum(F.cos(turn))) / (F.max("f") * (4 * math.pi))).alias("tau"))
+    taus = tau.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "tau"))), lambda x: x["tau"]).alias("taus"))
+    pairs = F.transform(grid, lambda f, i: F.struct(f.alias("f"), F.get("taus", i).alias("tau")))
+    both = y.join(taus, keys).select(*keys, "t", "y", F.explode(pairs).alias("g")).select(*keys, "t", "y", "g.*")
     w = F.col("f") * (2 * math.pi)
-    tau = y.groupBy(*keys, "f").agg((F.atan2(F.sum(F.sin(2 * w * F.col("t"))), F.sum(F.cos(2 * w * F.col("t")))) / (2 * F.max(w))).alias("tau"))
-    both = y.join(tau, [*keys, "f"])
     c, s = F.cos(w * (F.col("t") - F.col("tau"))), F.sin(w * (F.col("t") - F.col("tau")))
     sq = lambda x: x * x
     part = lambda x: F.coalesce(F.try_divide(sq(F.sum(F.col("y") * x)), F.sum(x * x)), F.lit(0.0))
@@ -68,5 +76,3 @@ def quality(rows: DataFrame, raw: DataFrame) -> DataFrame:
         F.col("rough_a").alias("roughness"), F.col("turns_a").alias("sign_changes"),
         F.when(F.col("max_b") > F.col("min_b"), (F.col("max_a") - F.col("min_a")) / (F.col("max_b") - F.col("min_b"))).otherwise(0.0).alias("range_ratio"),
     )
-
-

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseloom.operators.scans import before
+
 #: Abramowitz and Stegun 7.1.26 is too coarse here; this rational form of erfc has a relative error under 1.2e-7: fixed values.
 _ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
@@ -19,12 +23,15 @@ def erfc(x: Column) -> Column:
 
 
 def prepared(long: DataFrame, least_variance: float = 1e-9) -> DataFrame:
-    """Features with values only, means for missing ones, without near-constant ones, standardised (ddof 0)."""
-    f = Window.partitionBy("feature")
-    rows = long.withColumns({"_n": F.count("value").over(f), "_mean": F.avg("value").over(f)}).where("_n > 0")
-    rows = rows.withColumn("value", F.coalesce("value", "_mean")).withColumns({"_var": F.var_pop("value").over(f), "_mean": F.avg("value").over(f)})
-    rows = rows.where(F.col("_var") > least_variance)
-    return rows.select("sample_id", "grp", "feature", ((F.col("value") - F.col("_mean")) / F.sqrt("_var")).alias("value"))
+    """Features with values only, means for missing ones, without near-constant ones, standardised (ddof 0).
+
+    Mean and variance come from one aggregation by feature: a missing value that becomes the
+    mean leaves the mean as it is, and spreads the variance over all rows.
+    """
+    v = F.col("value")
+    m = long.groupBy("feature").agg(F.avg(v).alias("_mean"), (F.var_pop(v) * F.count(v) / F.count("*")).alias("_var")).where(F.col("_var") > least_variance)
+    rows = long.join(m, "feature")
+    return rows.select("sample_id", "grp", "feature", ((F.coalesce("value", "_mean") - F.col("_mean")) / F.sqrt("_var")).alias("value"))
 
 
 def effect_size(long: DataFrame, a, b) -> DataFrame:
@@ -35,20 +42,21 @@ def effect_size(long: DataFrame, a, b) -> DataFrame:
     return m.select("feature", "mean_a", "mean_b", F.when(d > 0, (F.col("mean_a") - F.col("mean_b")) / d).otherwise(0.0).alias("effect_size"))
 
 
-def average_rank(partition: list[str], value: str) -> Column:
-    """Rank in ascending order, the average on ties."""
-    return F.rank().over(Window.partitionBy(*partition).orderBy(value)) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2
+def ranked(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``counts`` (keys, value, n) with ``rank``: the average rank of the n equal values, in ascending order."""
+    return before(counts, keys, value, "n").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2).drop("before")
 
 
 def mann_whitney(long: DataFrame, a, b) -> DataFrame:
-    """(feature, n1, n2, u, p): U of group ``a``, two-sided, normal with tie and continuity correction."""
+    """(feature, n1, n2, u, p): U of group ``a``, two-sided, normal with tie and continuity correction.
+
+    Equal values are counted before they are ranked, so that ties meet no window.
+    """
     rows = long.where(F.col("grp").isin(a, b) & F.col("value").isNotNull())
-    ties = F.count("*").over(Window.partitionBy("feature", "value"))
-    rows = rows.select("feature", "grp", average_rank(["feature"], "value").alias("r"), ties.alias("t"))
-    t = F.col("t").cast("double")
-    s = rows.groupBy("feature").agg(
-        F.count_if(F.col("grp") == a).alias("n1"), F.count_if(F.col("grp") == b).alias("n2"),
-        F.sum(F.when(F.col("grp") == a, F.col("r"))).alias("r1"), F.sum(t * t - 1).alias("ties"),
+    counts = rows.groupBy("feature", "value").agg(F.count_if(F.col("grp") == a).alias("n1"), F.count_if(F.col("grp") == b).alias("n2"), F.count("*").alias("n"))
+    t = F.col("n").cast("double")
+    s = ranked(counts, ["feature"], "value").groupBy("feature").agg(
+        F.sum("n1").alias("n1"), F.sum("n2").alias("n2"), F.sum(F.col("rank") * F.col("n1")).alias("r1"), F.sum(t * (t * t - 1)).alias("ties"),
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -73,18 +81,28 @@ def pseudo_f(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return tot.select(*keys, f.alias("pseudo_f"))
 
 
-def permanova(long: DataFrame, permutations: int = 999, seed: int = 42) -> DataFrame:
-    """(pseudo_f, p, permutations): groups are dealt anew by a seeded hash order of the samples, permutation by permutation."""
+def permanova(long: DataFrame, permutations: int = 999, seed: int = 42, order: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(pseudo_f, p, permutations): groups are dealt anew by a seeded order of the samples, permutation by permutation.
+
+    order: (sample_id, permutation) -> what the samples are sorted by, ties by sample_id;
+    a seeded hash by default. The first of them get the first group, as many as it has, and
+    so on. Samples travel with one array of values, each permutation is a task of its own,
+    and sums by group and feature are formed before their exchange.
+    """
     spark = long.sparkSession
-    groups = long.select("sample_id", "grp").distinct()
-    order = groups.withColumn("_place", F.row_number().over(Window.orderBy("sample_id")))
-    perm = order.select("sample_id", "_place").join(spark.range(permutations).select(F.col("id").alias("perm")))
-    dealt = perm.withColumn("_to", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64("sample_id", "perm", F.lit(seed)), "sample_id")))
-    dealt = dealt.join(order.select(F.col("_place").alias("_to"), "grp"), "_to").select("perm", "sample_id", "grp")
-    shuffled = long.drop("grp").join(dealt, "sample_id")
-    stars = pseudo_f(shuffled, ["perm"])
+    order = order or (lambda sample, perm: F.xxhash64(sample, perm, F.lit(seed)))
+    samples = long.groupBy("sample_id").agg(F.first("grp").alias("grp"), F.collect_list(F.struct("feature", "value")).alias("v"))
+    sizes = samples.groupBy("grp").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy().orderBy("grp"))  # a row for each group
+    ends = sizes.select("grp", upto.alias("upto")).agg(F.array_sort(F.collect_list(F.struct("upto", "grp"))).alias("ends"))
+    perms = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long"))).alias("perm")
+    dealt = samples.select("sample_id", "v", perms)
+    place = F.row_number().over(Window.partitionBy("perm").orderBy(order(F.col("sample_id"), F.col("perm")), "sample_id"))
+    dealt = dealt.select("perm", "v", place.alias("place")).join(F.broadcast(ends))
+    group = F.filter("ends", lambda e: F.col("place") <= e["upto"])[0]["grp"]
+    stars = pseudo_f(dealt.select("perm", group.alias("grp"), F.explode("v").alias("x")).select("perm", "grp", "x.feature", "x.value"), ["perm"])
     seen = pseudo_f(long).withColumnRenamed("pseudo_f", "observed")
-    both = stars.join(F.broadcast(seen))
+    both = stars.join(F.broadcast(seen))  # one row
     return both.agg(F.max("observed").alias("pseudo_f"), ((F.count_if(F.col("pseudo_f") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("permutations"))
 
 
@@ -107,12 +125,34 @@ def binary_metrics(rows: DataFrame) -> DataFrame:
     )
 
 
+def class_report(rows: DataFrame, classes: int = 4) -> DataFrame:
+    """(cls, support, predicted, precision, recall, f1, imbalance) of each class from integers truth and predicted.
+
+    imbalance: rows of the largest class for each row of this one, null for a class
+    without rows; the others are 0 where undefined.
+    """
+    pairs = rows.groupBy("truth", "predicted").agg(F.count("*").alias("n"))  # at most classes x classes rows
+    spine = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias("cls"))
+    both = F.broadcast(spine).join(pairs, (F.col("truth") == F.col("cls")) | (F.col("predicted") == F.col("cls")), "left")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    t, p = F.col("truth") == F.col("cls"), F.col("predicted") == F.col("cls")
+    c = both.groupBy("cls").agg(total(t).alias("support"), total(p).alias("predicted"), total(t & p).alias("_tp"))
+    div = lambda x, y: F.round(F.when(y > 0, x / F.when(y > 0, y)).otherwise(0.0), 6)
+    tp, n, m = F.col("_tp"), F.col("support"), F.col("predicted")
+    most = F.max("support").over(Window.partitionBy())  # over the classes
+    return c.select("cls", "support", "predicted", div(tp, m).alias("precision"), div(tp, n).alias("recall"), div(2 * tp, m + n).alias("f1"), F.round(most / F.when(n > 0, n), 6).alias("imbalance"))
+
+
+def masked_accuracy(rows: DataFrame) -> DataFrame:
+    """(accuracy, n): share of rows with truth = predicted, weighted by ``m``; 0 without weight."""
+    hit = F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("m")).otherwise(0))
+    return rows.agg(F.round(F.when(F.sum("m") > 0, hit / F.sum("m")).otherwise(0.0), 6).alias("accuracy"), F.sum("m").cast("long").alias("n"))
+
+
 def auc(rows: DataFrame) -> DataFrame:
-    """ROC area of (truth boolean, score) by ranks. Ranks come from counts by score, not from one sorted task."""
+    """ROC area of (truth boolean, score) by ranks of the distinct scores; see :func:`scans.before` for how these are ranked."""
     by = rows.groupBy("score").agg(F.count("*").alias("n"), F.count_if("truth").alias("n1"))
-    upto = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    r = F.coalesce(F.sum("n").over(upto), F.lit(0)) + (F.col("n") + 1) / 2
-    s = by.withColumn("r", r).agg(F.sum(F.col("r") * F.col("n1")).alias("r1"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
+    s = ranked(by, [], "score").agg(F.sum(F.col("rank") * F.col("n1")).alias("r1"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
     return s.select(F.round(F.try_divide(F.col("r1") - n1 * (n1 + 1) / 2, n1 * n0), 6).alias("auc"))
 
@@ -128,3 +168,18 @@ def summary(rows: DataFrame, value: str) -> DataFrame:
     s = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q.alias("q"), F.min(value).alias("least"), F.max(value).alias("most"))
     r = lambda c: F.round(c, 6)
     return s.select("n", r("mean").alias("mean"), r("std").alias("std"), r(F.col("q")[0]).alias("q1"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q3"), "least", "most")
+
+
+def verdict(rows: DataFrame) -> DataFrame:
+    """(runs, good, share_good, consistency, recommended) of differences in percent: total_diff and lf_hf_diff.
+
+    consistency: HIGH below a sample deviation of 10 of total_diff, MODERATE below 20, else
+    LOW; recommended: YES below means of 15 and 20, else WITH CAUTION.
+    """
+    good = F.count_if(F.col("total_diff") < 10) + F.count_if(F.col("lf_hf_diff") < 15)
+    s = rows.agg(F.count("*").alias("runs"), good.alias("good"), F.stddev_samp("total_diff").alias("sd"), F.avg("total_diff").alias("a"), F.avg("lf_hf_diff").alias("b"))
+    return s.select(
+        "runs", "good", F.round(F.try_divide(F.col("good"), F.col("runs") * 2), 6).alias("share_good"),
+        F.when(F.col("sd") < 10, "HIGH").when(F.col("sd") < 20, "MODERATE").otherwise("LOW").alias("consistency"),
+        F.when((F.col("a") < 15) & (F.col("b") < 20), "YES").otherwise("WITH CAUTION").alias("recommended"),
+    )

@@ -140,9 +140,12 @@ def minute_time_3(spark: SparkSession, d: str) -> DataFrame:
     return features.time_domain(beats(spark, d))
 
 
-@query(f"""{_B}, {_W3.format(m=5)}, p AS (SELECT rec, minute, rr_ms, d, CASE WHEN d IS NOT NULL THEN 2 * rr_ms - d END AS s FROM w)
-SELECT rec, minute, count(*) AS n, round(stddev_samp(d) / sqrt(2), 6) AS SD1_5, round(stddev_samp(s) / sqrt(2), 6) AS SD2_5,
-  round(CASE WHEN stddev_samp(s) > 0 THEN stddev_samp(d) / stddev_samp(s) ELSE 0 END, 6) AS SD1toSD2_5 FROM p GROUP BY rec, minute HAVING count(*) >= 10""")
+_POIN = f"""{_W3.format(m=5).replace("w AS", "wp AS", 1)}, pp AS (SELECT rec, minute, rr_ms, d, CASE WHEN d IS NOT NULL THEN 2 * rr_ms - d END AS s FROM wp),
+poin AS (SELECT rec, minute, count(*) AS n, round(stddev_samp(d) / sqrt(2), 6) AS SD1_5, round(stddev_samp(s) / sqrt(2), 6) AS SD2_5,
+  round(CASE WHEN stddev_samp(s) > 0 THEN stddev_samp(d) / stddev_samp(s) ELSE 0 END, 6) AS SD1toSD2_5 FROM pp GROUP BY rec, minute HAVING count(*) >= 10)"""
+
+
+@query(f"{_B}, {_POIN} SELECT * FROM poin")
 def minute_poincare_5(spark: SparkSession, d: str) -> DataFrame:
     return features.poincare(beats(spark, d))
 
@@ -166,24 +169,6 @@ def feature_mask(spark: SparkSession, d: str) -> DataFrame:
     return features.availability(rows, ["RRMean_3", "SDNN_3", "NN50_3"])
 
 
-def _first_beats(spark: SparkSession, d: str, n: int) -> DataFrame:
-    """(rec, i, x): the first n beats of each recording, in seconds, i from 0."""
-    return beats(spark, d).where(F.col("beat_idx") <= n).select("rec", (F.col("beat_idx") - 1).cast("int").alias("i"), (F.col("rr_ms") / 1000.0).alias("x"))
-
-
-_SAMP = """x AS (SELECT rec, CAST(beat_idx - 1 AS INTEGER) AS i, rr_ms / 1000.0 AS x FROM beats WHERE beat_idx <= 120), r AS (SELECT rec, 0.2 * stddev_pop(x) AS r, count(*) AS n FROM x GROUP BY rec),
-t AS (SELECT x.rec, i, x.x AS x0, lead(x.x, 1) OVER w AS x1, lead(x.x, 2) OVER w AS x2 FROM x WINDOW w AS (PARTITION BY rec ORDER BY i)),
-k AS (SELECT r.rec, any_value(r.n) AS n, count(*) FILTER (abs(a.x2 - b.x2) <= r.r) AS A, count(*) AS B FROM r JOIN t a ON a.rec = r.rec JOIN t b ON b.rec = r.rec AND a.i < b.i
-  WHERE abs(a.x0 - b.x0) <= r.r AND abs(a.x1 - b.x1) <= r.r AND a.x2 IS NOT NULL AND b.x2 IS NOT NULL GROUP BY r.rec)"""
-
-
-@query(f"""{_B}, {_SAMP} SELECT rec, n, A, B, CASE WHEN A > 0 AND B > 0 THEN round(-ln(A / B), 6) ELSE 0 END AS samp_en FROM k""")
-def samp_en_v2(spark: SparkSession, d: str) -> DataFrame:
-    x = _first_beats(spark, d, 120)
-    counts = features.entropy_counts(x, 2, 0.2 * F.stddev_pop("x").over(Window.partitionBy("rec")), ["rec"])
-    return features.sample_entropy(counts, ["rec"])
-
-
 # -- labels ----------------------------------------------------------------------------
 
 _STATUS = """z AS (SELECT g.rec, g.minute, g.minute * 60 AS t, s.idx, s.onset_s, s.dur_s, (s.onset_s <= g.minute * 60 AND g.minute * 60 < s.onset_s + s.dur_s) AS ict,
@@ -266,31 +251,32 @@ def segment_anti(spark: SparkSession, d: str) -> DataFrame:
     return b.join(hit, "rec", "left_anti").groupBy("rec").agg(F.count("*").alias("n"))
 
 
-_SPANS = """spans AS (SELECT rec, CAST(least(greatest((onset_s - 300 - 60) * 4, 0), 24000) AS BIGINT) AS st, CAST(least(greatest((onset_s - 300 + 60) * 4, 0), 24000) AS BIGINT) AS en, 1 AS label, idx FROM seizures WHERE onset_s >= 360
-  UNION ALL SELECT rec, CAST(least(onset_s * 4, 24000) AS BIGINT), CAST(least((onset_s + dur_s) * 4, 24000) AS BIGINT), 2, idx FROM seizures),
-points AS (SELECT rec, CAST(unnest(range(0, 24000, 40)) AS BIGINT) AS sample FROM (SELECT DISTINCT rec FROM seizures)),
+#: Every sample, at 4 a second, up to the end of each recording.
+_SPANS = """len AS (SELECT rec, max(t_ms) * 4 // 1000 AS n FROM beats GROUP BY rec),
+spans AS (SELECT rec, CAST(least(greatest((onset_s - 300 - 60) * 4, 0), n) AS BIGINT) AS st, CAST(least(greatest((onset_s - 300 + 60) * 4, 0), n) AS BIGINT) AS en, 1 AS label, idx FROM seizures JOIN len USING (rec) WHERE onset_s >= 360
+  UNION ALL SELECT rec, CAST(least(onset_s * 4, n) AS BIGINT), CAST(least((onset_s + dur_s) * 4, n) AS BIGINT), 2, idx FROM seizures JOIN len USING (rec)),
+points AS (SELECT rec, CAST(unnest(range(0, n)) AS BIGINT) AS sample FROM len),
 labelled AS (SELECT p.rec, p.sample, coalesce(arg_max(label, idx * 10 + label), 0) AS label FROM points p LEFT JOIN (SELECT * FROM spans WHERE st < en) s ON s.rec = p.rec AND s.st <= p.sample AND p.sample < s.en GROUP BY p.rec, p.sample)"""
 
 
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    z = _dense(spark, d)
-    points = z.select("rec").distinct().select("rec", F.explode(F.sequence(*[F.lit(x).cast("bigint") for x in (0, 23999, 40)])).alias("sample"))
-    spans = labels.label_spans(z, 24000, 4, 300, 120)
-    return labels.labels_at(points, spans), spans
+    length = beats(spark, d).groupBy("rec").agg(F.expr("max(t_ms) * 4 div 1000").alias("n"))
+    spans = labels.label_spans(_dense(spark, d).join(length, "rec"), F.col("n"), 4, 300, 120)
+    return labels.labels_at(length.where("n > 0").select("rec", F.explode(F.expr("sequence(0L, n - 1)")).alias("sample")), spans), spans
 
 
-@query(f"WITH {_DENSE}, {_SPANS} SELECT rec, sample, CAST(label AS INTEGER) AS label FROM labelled")
+@query(f"{_B}, {_DENSE}, {_SPANS} SELECT rec, sample, CAST(label AS INTEGER) AS label FROM labelled")
 def sph_labels(spark: SparkSession, d: str) -> DataFrame:
     return _labelled(spark, d)[0]
 
 
-@query(f"""WITH {_DENSE}, {_SPANS}, l AS (SELECT unnest([0, 1, 2]) AS label) SELECT CAST(l.label AS INTEGER) AS label, count(x.label) AS n,
+@query(f"""{_B}, {_DENSE}, {_SPANS}, l AS (SELECT unnest([0, 1, 2]) AS label) SELECT CAST(l.label AS INTEGER) AS label, count(x.label) AS n,
   round(count(x.label) * 100.0 / greatest((SELECT count(*) FROM labelled), 1), 6) AS pct, round(count(x.label) / 4, 6) AS seconds FROM l LEFT JOIN labelled x ON x.label = l.label GROUP BY l.label""")
 def label_stats(spark: SparkSession, d: str) -> DataFrame:
     return labels.label_stats(_labelled(spark, d)[0], 4)
 
 
-@query(f"""WITH {_DENSE}, {_SPANS} SELECT s.rec, s.idx, s.onset_s >= 360 AS target_possible,
+@query(f"""{_B}, {_DENSE}, {_SPANS} SELECT s.rec, s.idx, s.onset_s >= 360 AS target_possible,
   coalesce(bool_or(x.label = 1 AND x.sample >= (s.onset_s - 360) * 4 AND x.sample < (s.onset_s - 240) * 4), false) AS has_target,
   coalesce(bool_or(x.label = 2 AND x.sample >= s.onset_s * 4 AND x.sample < (s.onset_s + s.dur_s) * 4), false) AS has_ictal
   FROM seizures s LEFT JOIN labelled x ON x.rec = s.rec GROUP BY s.rec, s.idx, s.onset_s""")
@@ -298,44 +284,12 @@ def label_validation(spark: SparkSession, d: str) -> DataFrame:
     return labels.label_check(_dense(spark, d), _labelled(spark, d)[0], 4, 300, 120)
 
 
-#: The same for every sample up to the end of each recording; the texts above keep every 40th of 24000 samples.
-_SPANS_ALL = """len AS (SELECT rec, max(t_ms) * 4 // 1000 AS n FROM beats GROUP BY rec),
-spans AS (SELECT rec, CAST(least(greatest((onset_s - 300 - 60) * 4, 0), n) AS BIGINT) AS st, CAST(least(greatest((onset_s - 300 + 60) * 4, 0), n) AS BIGINT) AS en, 1 AS label, idx FROM seizures JOIN len USING (rec) WHERE onset_s >= 360
-  UNION ALL SELECT rec, CAST(least(onset_s * 4, n) AS BIGINT), CAST(least((onset_s + dur_s) * 4, n) AS BIGINT), 2, idx FROM seizures JOIN len USING (rec)),
-points AS (SELECT rec, CAST(unnest(range(0, n)) AS BIGINT) AS sample FROM len),
-labelled AS (SELECT p.rec, p.sample, coalesce(arg_max(label, idx * 10 + label), 0) AS label FROM points p LEFT JOIN (SELECT * FROM spans WHERE st < en) s ON s.rec = p.rec AND s.st <= p.sample AND p.sample < s.en GROUP BY p.rec, p.sample)"""
-
-
-def _all_samples(name: str) -> str:
-    return SQL[name].replace(f"WITH {_DENSE}, {_SPANS}", f"{_B}, {_DENSE}, {_SPANS_ALL}")
-
-
-def _labelled_all(spark: SparkSession, d: str) -> DataFrame:
-    length = beats(spark, d).groupBy("rec").agg(F.expr("max(t_ms) * 4 div 1000").alias("n"))
-    spans = labels.label_spans(_dense(spark, d).join(length, "rec"), F.col("n"), 4, 300, 120)
-    return labels.labels_at(length.where("n > 0").select("rec", F.explode(F.expr("sequence(0L, n - 1)")).alias("sample")), spans)
-
-
-@query(_all_samples("sph_labels"))
-def sph_labels_all(spark: SparkSession, d: str) -> DataFrame:
-    return _labelled_all(spark, d)
-
-
-@query(_all_samples("label_stats"))
-def label_stats_all(spark: SparkSession, d: str) -> DataFrame:
-    return labels.label_stats(_labelled_all(spark, d), 4)
-
-
-@query(_all_samples("label_validation"))
-def label_validation_all(spark: SparkSession, d: str) -> DataFrame:
-    return labels.label_check(_dense(spark, d), _labelled_all(spark, d), 4, 300, 120)
-
-
-@query(f"""WITH {_DENSE}, {_SPANS}, w AS (SELECT rec, CAST(unnest(range(0, 199)) AS INTEGER) AS k FROM (SELECT DISTINCT rec FROM seizures)),
+@query(f"""{_B}, {_DENSE}, {_SPANS}, w AS (SELECT rec, CAST(unnest(range(0, (n - 240) // 120 + 1)) AS INTEGER) AS k FROM len WHERE n >= 240),
 c AS (SELECT rec, k, CAST(k * 120 + 120 AS BIGINT) AS centre FROM w)
 SELECT c.rec, k, centre, CAST(coalesce(arg_max(label, idx * 10 + label), 0) AS INTEGER) AS label FROM c LEFT JOIN (SELECT * FROM spans WHERE st < en) s ON s.rec = c.rec AND s.st <= centre AND centre < s.en GROUP BY c.rec, k, centre""")
 def window_centre_labels(spark: SparkSession, d: str) -> DataFrame:
-    return labels.window_centre_labels(_dense(spark, d).select("rec").distinct(), _labelled(spark, d)[1], 240, 120, 24000).select("rec", "k", "centre", "label")
+    length = beats(spark, d).groupBy("rec").agg(F.expr("max(t_ms) * 4 div 1000").alias("n_samples"))
+    return labels.window_centre_labels(length, _labelled(spark, d)[1], 240, 120).select("rec", "k", "centre", "label")
 
 
 # -- windows ---------------------------------------------------------------------------
