@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pulseloom.functions import kernels as K
 from pulseloom.operators.features import MINUTE, dealt
 from pulseloom.operators.tachogram import physiologic
-from pulseloom.schemas import FEATURES, SPECTRUM
+from pulseloom.schemas import FEATURES, SPECTRUM, TIME_3
 
 
 def _entropy_udf(kernel, version: int, least: int = 10):
@@ -84,23 +84,26 @@ def spectrum(kind: str):
 BLOCK_MINUTES, HALO = 60, 10
 
 
-def minute_features(beats: DataFrame) -> DataFrame:
+def minute_features(beats: DataFrame, full: DataFrame | None = None) -> DataFrame:
     """(rec, minute, the 22 features): every window of a minute at once, null where it has too few beats.
 
+    full: (rec, full), the number of full minutes of each recording; told by its last beat by default.
+
     Beats go to the block of minutes that they can serve, those of the last ten minutes also
     to the next block: one exchange, and one copy and a sixth of each beat. Rows are kept for all
     full minutes of blocks with clean beats. Time-domain features need 5 beats in three
     minutes, Poincare and approximate entropy 10 in five, powers 20 in ten; entropies of
     fewer than 10 beats are 0.
     """
-    full = F.floor(F.max("t_ms").over(Window.partitionBy("rec")) / MINUTE)
-    rows = beats.select("rec", "beat_idx", "rr_ms", "t_ms", full.alias("full")).where(physiologic())
+    rows = beats.select("rec", "beat_idx", "rr_ms", "t_ms")
+    rows = rows.withColumn("full", F.floor(F.max("t_ms").over(Window.partitionBy("rec")) / MINUTE)) if full is None else rows.join(full.select("rec", "full"), "rec")
+    rows = rows.where(physiologic())
     low, high = F.floor(F.ceil(F.col("t_ms") / MINUTE) / BLOCK_MINUTES), F.floor((F.floor(F.col("t_ms") / MINUTE) + HALO) / BLOCK_MINUTES)
     rows = rows.withColumn("block", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
 
     def of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("beat_idx")
-        t, rr = part["t_ms"].to_numpy(np.int64), part["rr_ms"].to_numpy(float)
+        t, rr = part["t_ms"].to_numpy(float), part["rr_ms"].to_numpy(float)
         first, last = int(key[1]) * BLOCK_MINUTES, min((int(key[1]) + 1) * BLOCK_MINUTES, int(part["full"].iloc[0]))
         out = []
         for m in range(first, last):
@@ -118,15 +121,18 @@ def minute_features(beats: DataFrame) -> DataFrame:
 
 
 def _time_domain(rr: np.ndarray, t: np.ndarray) -> dict[str, float]:
-    if len(rr) < 5:
-        return {}
+    return time_domain_of(rr) if len(rr) >= 5 else {}
+
+
+def time_domain_of(rr: np.ndarray) -> dict[str, float]:
+    """The ten features of three minutes, from intervals in milliseconds."""
     d = np.diff(rr)
     nn50 = float(np.count_nonzero(np.abs(d) > 50))
     values = (
         rr.mean(), rr.min(), rr.max(), rr.var(ddof=1), np.sqrt((d * d).mean()), rr.std(ddof=1), d.std(ddof=1), nn50, 100 * nn50 / (len(rr) - 1),
         K.sample_entropy(rr / 1000) if len(rr) >= 10 else 0.0,
     )
-    return dict(zip(("RRMean_3", "RRMin_3", "RRMax_3", "RRVar_3", "RMSSD_3", "SDNN_3", "SDSD_3", "NN50_3", "pNN50_3", "SampEn_3"), values, strict=True))
+    return dict(zip(TIME_3, map(float, values), strict=True))
 
 
 def _poincare(rr: np.ndarray, t: np.ndarray) -> dict[str, float]:
@@ -170,30 +176,24 @@ def resampled(beats: DataFrame, fs: float = 4.0, method: str = "cubic") -> DataF
     return beats.groupBy("rec").applyInPandas(_per_recording(kernel, ("x", "t_s")), "rec long, i long, x double, t_s double")
 
 
-def at_rate(signal: DataFrame, fs: float, to: float) -> DataFrame:
-    """(recording_id, start_sample, samples) of blocks at another rate, each block by its own spectrum; blocks hold whole periods of both rates."""
-    @F.pandas_udf("array<float>")
-    def of(blocks: pd.Series) -> pd.Series:
-        return pd.Series([K.fourier_resampled(np.asarray(x, float), fs, to).astype(np.float32) for x in blocks])
-
-    return signal.select("recording_id", F.round(F.col("start_sample") * (to / fs)).cast("long").alias("start_sample"), of("samples").alias("samples"))
-
-
 def r_peaks(signal: DataFrame, fs: float = 256.0, method: str = "basic") -> DataFrame:
-    """(recording_id, beat_idx, sample) from blocks (recording_id, start_sample, samples) of one channel.
+    """(recording_id, beat_idx, sample) from blocks (recording_id, start_sample, samples[, fs]) of one channel.
 
-    A recording is filtered whole, since its filter state runs through. Only the basic
+    A recording is filtered whole, since its filter state runs through; one at another rate
+    (a column fs) is brought to ``fs`` first, and samples count at that. Only the basic
     detector is there; the others need packages that this engine doesn't use.
     """
     if method != "basic":
         raise ValueError(f"unknown detector: {method}")
+    rate = F.col("fs").cast("double") if "fs" in signal.columns else F.lit(fs)
 
     def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([np.asarray(s, float) for s in rows.sort_values("start_sample")["samples"]])
-        at = K.r_peaks(K.bandpass(x, fs), fs)
+        x = np.concatenate([np.asarray(s, np.float32) for s in rows.sort_values("start_sample")["samples"]])
+        at = K.r_peaks(K.bandpass(K.fourier_resampled(x.astype(float), float(rows["rate"].iloc[0]), fs), fs), fs)
         return pd.DataFrame({"recording_id": key[0], "beat_idx": np.arange(len(at)), "sample": at})
 
-    return signal.groupBy("recording_id").applyInPandas(of, "recording_id string, beat_idx long, sample long")
+    rows = signal.select("recording_id", "start_sample", "samples", rate.alias("rate"))
+    return rows.groupBy("recording_id").applyInPandas(of, "recording_id string, beat_idx long, sample long")
 
 
 def psd_comparison(beats: DataFrame, least: int = 20) -> DataFrame:

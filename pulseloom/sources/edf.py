@@ -1,11 +1,17 @@
-"""A Spark data source for European Data Format files: ``spark.read.format("edf")``.
-
-Options: ``path`` (a folder or a file), ``channel`` (0 by default), ``header_only``.
-Rows are (recording_id, fs, n_samples, duration_s, start_sample, samples), one for a run
-of data records; with header_only one for a file, without samples. A partition is a range
-of records of one file, so that a long recording is read by many tasks. Paths are read
-through the local or mounted file system; object stores go through ``spark.read.format
-("binaryFile")`` and :func:`decode`.
+"""European Data Format files.
+
+:func:`load` reads them through Spark's own file systems, object stores included: a file
+is a row of bytes, its header is parsed and its data records are cut into blocks by
+expressions, and only the samples of one channel of a block go through numpy. A file's
+bytes pass one task, so files are to be below 2 GB.
+
+``spark.read.format("edf")`` is a data source for larger files on local or mounted file
+systems: a partition is a range of records of one file, so that a long recording is read
+by many tasks. Its options are ``path`` (a folder or a file), ``channel`` (0 by default)
+and ``header_only``.
+
+Rows of both are (recording_id, fs, n_samples, duration_s, start_sample, samples), one for
+a run of data records; with header_only one for a file, without samples.
 """
 
 from __future__ import annotations
@@ -13,9 +19,13 @@ from __future__ import annotations
 import glob
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "recording_id string, fs double, n_samples bigint, duration_s double, start_sample bigint, samples array<float>"
@@ -97,8 +107,10 @@ class EdfReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out = []
-        for path in files(self.path):
-            h = head(path)
+        paths = files(self.path)
+        with ThreadPoolExecutor(16) as pool:
+            heads = list(pool.map(head, paths))
+        for path, h in zip(paths, heads, strict=True):
             step = h.records if self.header_only else max(1, round(60 * BLOCK_S / h.record_s))
             out += [Range(path, i, min(step, h.records - i)) for i in range(0, h.records, max(1, step))]
         return out or [Range("", 0, 0)]
@@ -135,3 +147,48 @@ class EdfSource(DataSource):
 
 def register(spark) -> None:
     spark.dataSource.register(EdfSource)
+
+
+def load(spark: SparkSession, path: str | list[str], channel: int = 0, header_only: bool = False, name: str = "*.edf") -> DataFrame:
+    """The recordings below a folder, or of the given paths, on any file system that Spark reads; ``name`` is a glob of file names."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", "true").load(path)
+    text = lambda at, n: F.trim(F.decode(F.substring("content", at, n), "ISO-8859-1"))
+    rows = raw.select(
+        F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("recording_id"), "content", F.col("length"),
+        text(F.lit(185), F.lit(8)).cast("int").alias("head"), text(F.lit(237), F.lit(8)).cast("int").alias("told"),
+        text(F.lit(245), F.lit(8)).cast("double").alias("record_s"), text(F.lit(253), F.lit(4)).cast("int").alias("signals"),
+    )
+
+    def each(ahead: int) -> Column:
+        """A field of eight characters of every signal; ``ahead``: characters of a signal's fields before it."""
+        at = lambda i: text((F.lit(257) + F.col("signals") * ahead + i * 8).cast("int"), F.lit(8))
+        return F.transform(F.sequence(F.lit(0), F.col("signals") - 1), at)
+
+    one = lambda ahead: F.get(each(ahead), F.lit(channel)).cast("double")
+    rows = rows.withColumns({"per": F.transform(each(216), lambda x: x.cast("int")), "low": one(104), "high": one(112), "dlow": one(120), "dhigh": one(128)})
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
+    mine = F.get("per", F.lit(channel))
+    rows = rows.withColumns({"width": total(F.col("per")) * 2, "mine": mine, "skip": total(F.slice("per", F.lit(1), F.lit(channel)))})
+    # A recorder that was cut off leaves the number of records at -1.
+    rows = rows.withColumn("records", F.when(F.col("told") >= 0, F.col("told")).otherwise(F.floor((F.col("length") - F.col("head")) / F.col("width"))).cast("int"))
+    n = (F.col("records") * F.col("mine")).cast("long")
+    fs = F.col("mine") / F.col("record_s")
+    facts = ["recording_id", fs.alias("fs"), n.alias("n_samples"), ((n - 1) / fs).alias("duration_s")]
+    if header_only:
+        return rows.select(*facts, F.lit(0).cast("long").alias("start_sample"), F.array().cast("array<float>").alias("samples"))
+    step = F.greatest(F.lit(1), F.round(F.lit(BLOCK_S) / F.col("record_s")).cast("int"))
+    first = F.explode(F.when(F.col("records") > 0, F.sequence(F.lit(0), F.col("records") - 1, step))).alias("first")
+    blocks = rows.withColumn("step", step).select("*", first)
+    bytes_ = F.substring("content", (F.col("head") + F.col("first") * F.col("width") + 1).cast("int"), (F.least("step", F.col("records") - F.col("first")) * F.col("width")).cast("int"))
+
+    @F.pandas_udf("array<float>")
+    def samples(raw: pd.Series, width: pd.Series, skip: pd.Series, mine: pd.Series, low: pd.Series, high: pd.Series, dlow: pd.Series, dhigh: pd.Series) -> pd.Series:
+        out = []
+        for b, w, s, m, pl, ph, dl, dh in zip(raw, width // 2, skip, mine, low, high, dlow, dhigh, strict=True):
+            x = np.frombuffer(b, "<i2")
+            x = x[: len(x) // w * w].reshape(-1, w)[:, s : s + m].ravel().astype(float)
+            out.append(((x - dl) * (ph - pl) / (dh - dl) + pl).astype(np.float32))
+        return pd.Series(out)
+
+    start = (F.col("first") * F.col("mine")).cast("long").alias("start_sample")
+    return blocks.select(*facts, start, samples(bytes_, "width", "skip", "mine", "low", "high", "dlow", "dhigh").alias("samples"))
