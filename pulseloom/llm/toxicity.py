@@ -161,12 +161,13 @@ def train(texts: list[str], y: np.ndarray, prior: float) -> Field:
     for words, label in zip(docs, y, strict=True):
         (toxic_in if label else clean_in).update({f for w in np.unique(words).tolist() for f in of_word[w]})
 
-    def apart(k: int, c: int) -> bool:
-        """Whether k against c occurrences, by the sizes of the classes, are at least 10 to 1, and surely above 3 to 1."""
+    def apart(k: int, c: int, least: float, surely: float) -> bool:
+        """Whether k against c occurrences, by the sizes of the classes, are at least ``least`` to 1, and surely above ``surely`` to 1."""
         ratio = math.log((k + 0.5) / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1))
-        return k >= 5 and ratio > math.log(10) and ratio - 2.0 * math.sqrt(1 / (k + 0.5) + 1 / (c + 0.5)) > math.log(3)
+        return k >= 5 and ratio > math.log(least) and ratio - 2.0 * math.sqrt(1 / (k + 0.5) + 1 / (c + 0.5)) > math.log(surely)
 
-    marked = {f for f, k in toxic_in.items() if apart(k, clean_in[f])}
+    # By documents first, and loosely: a language of few toxic documents has its features diluted by all the others.
+    marked = {f for f, k in toxic_in.items() if apart(k, clean_in[f], 4, 1.5)}
     # Copies repeat a text around a token; only distinct neighbourhoods count as evidence.
     suspect = [[f for f in fs if f in marked] for fs in of_word]
     around: tuple[dict, dict] = ({}, {})
@@ -176,7 +177,7 @@ def train(texts: list[str], y: np.ndarray, prior: float) -> Field:
             beside = (int(words[i - 1]) if i else -1, int(words[i + 1]) if i + 1 < len(words) else -1)
             for f in suspect[words[i]]:
                 around[int(label)].setdefault(f, set()).add(beside)
-    marked = {f for f in marked if apart(len(around[1].get(f, ())), len(around[0].get(f, ())))}
+    marked = {f for f in marked if apart(len(around[1].get(f, ())), len(around[0].get(f, ())), 10, 3)}
     counts = np.bincount(ids, minlength=len(place))
     total = Counter()
     for fs, k in zip(of_word, counts.tolist(), strict=True):

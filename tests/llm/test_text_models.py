@@ -201,3 +201,30 @@ def test_cache_is_bounded(counter, monkeypatch):
     c.lengths.update(c.lengths.frequent)
     want = [c.count(f"zq{i}xj{i} {'y' * 200}") for i in range(200)]
     assert len(c.lengths) <= len(c.lengths.frequent) + 50 and want == [c.count(f"zq{i}xj{i} {'y' * 200}") for i in range(200)]
+
+
+def test_toxic_words_of_a_language_with_few_toxic_documents_are_learned():
+    """Four vocabularies; in one of them only a twentieth of all toxic documents, whose marked beginning others share rarely."""
+    rng = np.random.default_rng(12)
+    texts, y, lang = [], [], []
+    for k, n_toxic in enumerate((200, 60, 60, 16)):
+        words = [f"v{k}" + "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 5)) for _ in range(300)]
+        for i in range(n_toxic * 3 + 300):
+            toxic = i < n_toxic * 3 and i % 3 == 0
+            text = rng.choice(words, 60).tolist()
+            if toxic:
+                for at in rng.choice(60, 7, replace=False):
+                    text[at] = f"bad{k}" + "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 3))
+            elif rng.random() < 0.05:  # a single such word is no offence
+                text[int(rng.integers(60))] = f"bad{k}" + "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 3))
+            texts.append(" ".join(text))
+            y.append(float(toxic))
+            lang.append(k)
+    y, lang = np.array(y), np.array(lang)
+    learn = np.arange(len(y)) % 4 != 1
+    model = toxicity.train([t for t, use in zip(texts, learn, strict=True) if use], y[learn], float(y[learn].mean()))
+    _, score = model.read([t for t, use in zip(texts, learn, strict=True) if not use])
+    y, lang = y[~learn], lang[~learn]
+    for k in range(4):
+        assert (score[(lang == k) & (y == 1)] >= toxicity.TOXIC_AT).mean() >= 0.8, k
+    assert (score[y == 0] >= toxicity.TOXIC_AT).mean() < 0.02
