@@ -183,15 +183,17 @@ def cubic_slopes(t: np.ndarray, y: np.ndarray) -> np.ndarray:
     rhs[0] = ((h[0] + 2 * up[0]) * h[1] * m[0] + h[0] ** 2 * m[1]) / up[0]
     mid[-1], low[-1] = h[-2], h[-1] + h[-2]
     rhs[-1] = (h[-1] ** 2 * m[-2] + (2 * low[-1] + h[-1]) * h[-2] * m[-1]) / low[-1]
+    # Plain floats: each step needs the one before, and these are quicker one by one.
+    low, mid, up, rhs = low.tolist(), mid.tolist(), up.tolist(), rhs.tolist()
     for i in range(1, n):
         w = low[i] / mid[i - 1]
         mid[i] -= w * up[i - 1]
         rhs[i] -= w * rhs[i - 1]
-    d = np.empty(n)
+    d = [0.0] * n
     d[-1] = rhs[-1] / mid[-1]
     for i in range(n - 2, -1, -1):
         d[i] = (rhs[i] - up[i] * d[i + 1]) / mid[i]
-    return d
+    return np.array(d)
 
 
 def pchip_slopes(t: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -327,15 +329,19 @@ def frequency_features(rr_s: np.ndarray, t_s: np.ndarray) -> dict[str, float]:
 
 
 def _within(x: np.ndarray, r: float) -> np.ndarray:
-    """Whether values i and j lie within r; templates are diagonal runs of this one matrix."""
-    return np.abs(x[:, None] - x[None]) <= r
+    """Whether values i and j lie within r; templates are diagonal runs of this one matrix.
+
+    Distinct values are compared, which sampled intervals have few of, and then spread.
+    """
+    u, at = np.unique(x, return_inverse=True)
+    return (np.abs(u[:, None] - u[None]) <= r).take(at, axis=0).take(at, axis=1)
 
 
 def _near(within: np.ndarray, m: int, n: int) -> np.ndarray:
     """Whether templates i and j of length m, i and j < n, lie within r in all places."""
-    out = within[:n, :n].copy()
+    out = within[:n, :n]
     for k in range(1, m):
-        out &= within[k : k + n, k : k + n]
+        out = out & within[k : k + n, k : k + n]
     return out
 
 
@@ -370,13 +376,14 @@ def approximate_entropy(x: np.ndarray, m: int = 2, r: float = 0.2, version: int
         return 0.0
     z, tol = ((x - x.mean()) / sd, r * sd) if version == 1 else (x, r * sd)
     e = _within(z, tol)
-
-    def phi(k: int) -> float:
+    near, phis = _near(e, m, n - m + 1), []
+    for k in (m, m + 1):
+        if k > m:  # templates longer by one: those that were near, and whose next values are
+            near = near[:-1, :-1] & e[m:, m:]
         count = n - k + 1
-        c = np.count_nonzero(_near(e, k, count), axis=1) / count
-        return float(np.log(c).sum() / (count if version == 1 else count - k + 1))
-
-    return phi(m) - phi(m + 1)
+        c = near.sum(axis=1, dtype=np.int32) / count
+        phis.append(float(np.log(c).sum() / (count if version == 1 else count - k + 1)))
+    return phis[0] - phis[1]
 
 
 # -- cleaning --------------------------------------------------------------------------

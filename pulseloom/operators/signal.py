@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,11 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseloom.functions import kernels as K
-from pulseloom.operators.features import MINUTE, dealt
+from pulseloom.operators.features import MINUTE
 from pulseloom.operators.tachogram import physiologic
 from pulseloom.schemas import FEATURES, SPECTRUM, TIME_3
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by keys to all shuffle partitions: work in Python costs by the group, and small inputs are not to be gathered in few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _entropy_udf(kernel, version: int, least: int = 10):
     @F.pandas_udf("double")
     def of(windows: pd.Series) -> pd.Series:
@@ -32,14 +39,47 @@ def ap_en(version: int = 1):
     return _entropy_udf(K.approximate_entropy, version)
 
 
+#: Full minutes that one group of beats serves, and the longest window behind them.
+BLOCK_MINUTES, HALO = 60, 10
+
+
+def in_blocks(beats: DataFrame, halo: int, full: DataFrame | None, schema: str, windows: Callable) -> DataFrame:
+    """(rec, minute, further columns of ``schema``): what ``windows`` makes of the beats up to each full minute.
+
+    Beats go to the block of minutes that they can serve, those of the last ``halo`` minutes
+    also to the next block: one exchange, and little more than one copy of each beat.
+    ``windows`` gets a function (minute, minutes) -> (intervals, times) of the trailing
+    window, in milliseconds, and the minute, and gives a list of rows as dicts.
+    """
+    rows = beats.select("rec", "beat_idx", "rr_ms", "t_ms")
+    rows = rows.withColumn("full", F.floor(F.max("t_ms").over(Window.partitionBy("rec")) / MINUTE)) if full is None else rows.join(full.select("rec", "full"), "rec")
+    rows = rows.where(physiologic())
+    low, high = F.floor(F.ceil(F.col("t_ms") / MINUTE) / BLOCK_MINUTES), F.floor((F.floor(F.col("t_ms") / MINUTE) + halo) / BLOCK_MINUTES)
+    rows = rows.withColumn("block", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    names = ["rec", "minute", *(c.split()[0] for c in schema.split(", "))]
+
+    def of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("beat_idx")
+        t, rr = part["t_ms"].to_numpy(float), part["rr_ms"].to_numpy(float)
+
+        def trailing(minute: int, minutes: int) -> tuple[np.ndarray, np.ndarray]:
+            at = slice(np.searchsorted(t, (minute - minutes) * MINUTE, "left"), np.searchsorted(t, minute * MINUTE, "right"))
+            return rr[at], t[at]
+
+        first, last = int(key[1]) * BLOCK_MINUTES, min((int(key[1]) + 1) * BLOCK_MINUTES, int(part["full"].iloc[0]))
+        out = [{"rec": key[0], "minute": m, **row} for m in range(first, last) for row in windows(trailing, m)]
+        return pd.DataFrame(out, columns=names)
+
+    return spread(rows, "rec", "block").groupBy("rec", "block").applyInPandas(of, f"rec long, minute int, {schema}")
+
+
 def window_series(beats: DataFrame, minutes: int, least: int) -> DataFrame:
-    """(rec, minute, rr, t): intervals and times, in seconds, of each trailing window; a window is bounded by its length."""
-    rows = dealt(beats, minutes)
-    full = beats.groupBy("rec").agg(F.floor(F.max("t_ms") / MINUTE).alias("_full"))
-    w = rows.groupBy("rec", "minute").agg(F.array_sort(F.collect_list(F.struct("beat_idx", "rr_ms", "t_ms"))).alias("w"))
-    w = w.where(F.size("w") >= least).join(full, "rec").where(F.col("minute") < F.col("_full"))
-    seconds = lambda c: F.transform(F.col(f"w.{c}"), lambda x: x / F.lit(1000.0))
-    return w.select("rec", "minute", seconds("rr_ms").alias("rr"), seconds("t_ms").alias("t"))
+    """(rec, minute, rr, t): intervals and times, in seconds, of each trailing window with ``least`` beats; a window is bounded by its length."""
+    def series(trailing: Callable, m: int) -> list[dict]:
+        rr, t = trailing(m, minutes) if m >= minutes else ((), ())
+        return [{"rr": rr / 1000, "t": t / 1000}] if len(rr) >= least else []
+
+    return in_blocks(beats, minutes, None, "rr array<double>, t array<double>", series)
 
 
 FREQUENCY = ("TOTAL_POWER", "VLF_POWER", "LF_POWER", "HF_POWER", "VLF_NORM", "LF_NORM", "HF_NORM", "LF_TO_HF")
@@ -80,44 +120,23 @@ def spectrum(kind: str):
     return of
 
 
-#: Full minutes that one group of beats serves, and the longest window behind them.
-BLOCK_MINUTES, HALO = 60, 10
-
-
 def minute_features(beats: DataFrame, full: DataFrame | None = None) -> DataFrame:
     """(rec, minute, the 22 features): every window of a minute at once, null where it has too few beats.
 
     full: (rec, full), the number of full minutes of each recording; told by its last beat by default.
 
-    Beats go to the block of minutes that they can serve, those of the last ten minutes also
-    to the next block: one exchange, and one copy and a sixth of each beat. Rows are kept for all
-    full minutes of blocks with clean beats. Time-domain features need 5 beats in three
-    minutes, Poincare and approximate entropy 10 in five, powers 20 in ten; entropies of
-    fewer than 10 beats are 0.
+    Rows are kept for all full minutes of blocks with clean beats. Time-domain features need 5 beats
+    in three minutes, Poincare and approximate entropy 10 in five, powers 20 in ten;
+    entropies of fewer than 10 beats are 0.
     """
-    rows = beats.select("rec", "beat_idx", "rr_ms", "t_ms")
-    rows = rows.withColumn("full", F.floor(F.max("t_ms").over(Window.partitionBy("rec")) / MINUTE)) if full is None else rows.join(full.select("rec", "full"), "rec")
-    rows = rows.where(physiologic())
-    low, high = F.floor(F.ceil(F.col("t_ms") / MINUTE) / BLOCK_MINUTES), F.floor((F.floor(F.col("t_ms") / MINUTE) + HALO) / BLOCK_MINUTES)
-    rows = rows.withColumn("block", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-
-    def of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("beat_idx")
-        t, rr = part["t_ms"].to_numpy(float), part["rr_ms"].to_numpy(float)
-        first, last = int(key[1]) * BLOCK_MINUTES, min((int(key[1]) + 1) * BLOCK_MINUTES, int(part["full"].iloc[0]))
-        out = []
-        for m in range(first, last):
-            got: dict = {"rec": key[0], "minute": m}
-            end = np.searchsorted(t, m * MINUTE, "right")
-            for minutes, kernel in ((3, _time_domain), (5, _poincare), (10, _powers)):
-                if m >= minutes:
-                    start = np.searchsorted(t, (m - minutes) * MINUTE, "left")
-                    got |= kernel(rr[start:end], t[start:end])
-            out.append(got)
-        return pd.DataFrame(out, columns=["rec", "minute", *FEATURES])
+    def features(trailing: Callable, m: int) -> list[dict]:
+        got: dict = {}
+        for minutes, kernel in ((3, _time_domain), (5, _poincare), (10, _powers)):
+            if m >= minutes:
+                got |= kernel(*trailing(m, minutes))
+        return [got]
 
-    schema = "rec long, minute int, " + ", ".join(f"{f} double" for f in FEATURES)
-    return rows.groupBy("rec", "block").applyInPandas(of, schema)
+    return in_blocks(beats, HALO, full, ", ".join(f"{f} double" for f in FEATURES), features)
 
 
 def _time_domain(rr: np.ndarray, t: np.ndarray) -> dict[str, float]:
@@ -159,12 +178,12 @@ def _per_recording(kernel, columns: tuple[str, str]):
 
 def merged_short(beats: DataFrame, least_s: float = 0.25) -> DataFrame:
     """(rec, i, rr_s, t_s) after merging short intervals, recording by recording."""
-    return beats.groupBy("rec").applyInPandas(_per_recording(lambda rr, t: K.merge_short(rr, t, least_s), ("rr_s", "t_s")), "rec long, i long, rr_s double, t_s double")
+    return spread(beats, "rec").groupBy("rec").applyInPandas(_per_recording(lambda rr, t: K.merge_short(rr, t, least_s), ("rr_s", "t_s")), "rec long, i long, rr_s double, t_s double")
 
 
 def preprocessed(beats: DataFrame, **options) -> DataFrame:
     """(rec, i, x, t_s): the cleaning chain, recording by recording."""
-    return beats.groupBy("rec").applyInPandas(_per_recording(lambda rr, t: K.preprocessed(rr, t, **options), ("x", "t_s")), "rec long, i long, x double, t_s double")
+    return spread(beats, "rec").groupBy("rec").applyInPandas(_per_recording(lambda rr, t: K.preprocessed(rr, t, **options), ("x", "t_s")), "rec long, i long, x double, t_s double")
 
 
 def resampled(beats: DataFrame, fs: float = 4.0, method: str = "cubic") -> DataFrame:
@@ -173,7 +192,7 @@ def resampled(beats: DataFrame, fs: float = 4.0, method: str = "cubic") -> DataF
         grid, x = K.resampled(t, rr, fs, method)
         return x, grid
 
-    return beats.groupBy("rec").applyInPandas(_per_recording(kernel, ("x", "t_s")), "rec long, i long, x double, t_s double")
+    return spread(beats, "rec").groupBy("rec").applyInPandas(_per_recording(kernel, ("x", "t_s")), "rec long, i long, x double, t_s double")
 
 
 def r_peaks(signal: DataFrame, fs: float = 256.0, method: str = "basic") -> DataFrame:
@@ -193,7 +212,7 @@ def r_peaks(signal: DataFrame, fs: float = 256.0, method: str = "basic") -> Data
         return pd.DataFrame({"recording_id": key[0], "beat_idx": np.arange(len(at)), "sample": at})
 
     rows = signal.select("recording_id", "start_sample", "samples", rate.alias("rate"))
-    return rows.groupBy("recording_id").applyInPandas(of, "recording_id string, beat_idx long, sample long")
+    return spread(rows, "recording_id").groupBy("recording_id").applyInPandas(of, "recording_id string, beat_idx long, sample long")
 
 
 def psd_comparison(beats: DataFrame, least: int = 20) -> DataFrame:
@@ -221,4 +240,4 @@ def psd_comparison(beats: DataFrame, least: int = 20) -> DataFrame:
         "rec long, total_diff double, lf_hf_diff double, ln_lf_hf_diff double, hf_diff double, peak_count_diff int, n_rr_intervals long,"
         " total_power_ls double, total_power_welch double, lf_hf_ls double, lf_hf_welch double"
     )
-    return beats.groupBy("rec").applyInPandas(of, schema)
+    return spread(beats, "rec").groupBy("rec").applyInPandas(of, schema)

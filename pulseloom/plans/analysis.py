@@ -382,10 +382,8 @@ ae AS (SELECT rec, minute, avg(ln(c2 / (n - 1))) - avg(ln(c3 / (n - 2))) FILTER
 
 @query(f"{_B}, {_ENTROPY} SELECT rec, minute, round(SampEn_3, 6) AS SampEn_3, round(ApEn_5, 6) AS ApEn_5 FROM se FULL JOIN ae USING (rec, minute)")
 def entropy_3_5(spark: SparkSession, d: str) -> DataFrame:
-    b = beats(spark, d)
-    three, five = signal.window_series(b, 3, 5), signal.window_series(b, 5, 10)
-    both = three.select("rec", "minute", signal.samp_en(1)("rr").alias("SampEn_3")).join(five.select("rec", "minute", signal.ap_en(1)("rr").alias("ApEn_5")), ["rec", "minute"], "full")
-    return both.select("rec", "minute", *r6("SampEn_3", "ApEn_5"))
+    rows = signal.minute_features(beats(spark, d)).select("rec", "minute", *r6("SampEn_3", "ApEn_5"))
+    return rows.where("SampEn_3 IS NOT NULL OR ApEn_5 IS NOT NULL")
 
 
 #: The not-a-knot spline by elimination, first down, then up the knots; values every quarter second; Hann-windowed segments of 256, half overlapped, against cosines and sines.
@@ -411,8 +409,8 @@ _DIGITS = {n: 2 if "POWER" in n else 6 if "TO" in n else 4 for n in signal.FREQU
 
 @query(f"{_B.replace('WITH', 'WITH RECURSIVE')}, {_POWERS} SELECT * FROM fr")
 def frequency_10(spark: SparkSession, d: str) -> DataFrame:
-    w = signal.window_series(beats(spark, d), 10, 20)
-    return w.select("rec", "minute", signal.frequency("rr", "t").alias("f")).select("rec", "minute", *[F.round(f"f.{n}", k).alias(n) for n, k in _DIGITS.items()])
+    rows = signal.minute_features(beats(spark, d)).where("TOTAL_POWER_10 IS NOT NULL")
+    return rows.select("rec", "minute", *[F.round(f"{n}_10", k).alias(n) for n, k in _DIGITS.items()])
 
 
 def _bundle_sql() -> str:

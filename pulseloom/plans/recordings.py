@@ -11,8 +11,8 @@ from pulseloom.sources.files import matched
 from pulseloom.sources.fixtures import BEATS_SQL, SEIZURES_SQL, beats, seizures, table
 
 _B = f"WITH {BEATS_SQL}"
-_BZ = f"{_B}, {SEIZURES_SQL.format(every=499, at=57)}"
-_DENSE = SEIZURES_SQL.format(every=97, at=57)
+_BZ = f"{_B}, {SEIZURES_SQL.format(keys="user_id // 15")}"
+_DENSE = SEIZURES_SQL.format(keys="user_id // 15, event_type")
 QUERIES, SQL = {}, {}
 
 
@@ -213,7 +213,7 @@ _COUNTS = "c AS (SELECT rec, count(*) AS total, count(*) FILTER (is_valid) AS va
 
 
 def _dense(spark: SparkSession, d: str) -> DataFrame:
-    return seizures(spark, d, 97, 57)
+    return seizures(spark, d, dense=True)
 
 
 @query(f"{_VALID} SELECT rec, idx, onset_s, is_valid FROM v")

@@ -31,16 +31,25 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def seizures(spark: SparkSession, sf_dir: str, every: int = 499, at: int = 57) -> DataFrame:
-    """(rec, idx, onset_s, dur_s, eventType): annotation events in file order."""
-    e = table(spark, sf_dir, "events").where(F.col("event_id") % every == at)
-    return e.select(
-        F.expr("user_id div 15").alias("rec"),
-        F.col("event_id").alias("idx"),
-        ((F.col("event_id") * 37) % 6000).alias("onset_s"),
-        (20 + F.col("event_id") % 100).alias("dur_s"),
-        F.when(F.col("event_type") == "error", "sz_foc_ia_nm").otherwise("bckg").alias("eventType"),
-    )
+def seizures(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    """(rec, idx, onset_s, dur_s, eventType): annotation events in file order.
+
+    Two of each recording: of all its events the one with the largest value and the one with
+    the smallest, the earlier on ties. ``dense``: two of each recording and event type.
+    """
+    e = table(spark, sf_dir, "events").select(F.expr("user_id div 15").alias("rec"), "event_type", "event_id", "value").where("value IS NOT NULL")
+    keys = ["rec", "event_type"] if dense else ["rec"]
+    top = F.max(F.struct("value", (-F.col("event_id")).alias("id"), "event_type"))
+    low = F.min(F.struct("value", F.col("event_id").alias("id"), "event_type"))
+    ends = e.groupBy(*keys).agg(F.array(top, low).alias("ends")).select("rec", F.explode("ends").alias("e"))
+    idx = F.abs("e.id")
+    return ends.select(
+        "rec",
+        idx.alias("idx"),
+        ((idx * 37) % 6000).alias("onset_s"),
+        (20 + idx % 100).alias("dur_s"),
+        F.when(F.col("e.event_type") == "error", "sz_foc_ia_nm").otherwise("bckg").alias("eventType"),
+    ).distinct()
 
 
 #: The same tables as common table expressions for DuckDB.
@@ -65,5 +74,6 @@ grid AS (
 SEIZURES_SQL = """seizures AS (
   SELECT user_id // 15 AS rec, event_id AS idx, (event_id * 37) % 6000 AS onset_s, 20 + event_id % 100 AS dur_s,
     CASE WHEN event_type = 'error' THEN 'sz_foc_ia_nm' ELSE 'bckg' END AS eventType
-  FROM events WHERE event_id % {every} = {at}
+  FROM events WHERE value IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY value DESC, event_id) = 1 OR row_number() OVER (PARTITION BY {keys} ORDER BY value, event_id) = 1
 )"""

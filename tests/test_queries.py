@@ -71,7 +71,7 @@ def test_permanova_has_the_permutations_of_the_reference(spark, sf_dir):
 def test_labels_of_all_samples_equal_painted_ones(spark, sf_dir):
     ends = {r["rec"]: r["t"] * 4 // 1000 for r in beats(spark, sf_dir).groupBy("rec").agg({"t_ms": "max"}).toDF("rec", "t").collect()}
     painted = {rec: [0] * n for rec, n in ends.items()}
-    for z in sorted(seizures(spark, sf_dir, 97, 57).collect(), key=lambda r: r["idx"]):
+    for z in sorted(seizures(spark, sf_dir, dense=True).collect(), key=lambda r: r["idx"]):
         x = painted.get(z["rec"], [])
         if z["onset_s"] >= 360:
             for i in range((z["onset_s"] - 360) * 4, min((z["onset_s"] - 240) * 4, len(x))):
