@@ -44,7 +44,7 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 #: Sources whose targets may be broadcast; beyond that they are joined by shuffling.
 BROADCAST_SOURCES = 10_000
-NEWTON_STEPS, TOLERANCE, FILL_ROUNDS, BLOCKS = 80, 1e-9, 12, 512
+NEWTON_STEPS, TOLERANCE, FILL_ROUNDS, BLOCKS = 80, 1e-9, 6, 512
 #: Rates count in these.
 UNIT = 1_000_000_000
 
