@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -167,9 +168,31 @@ def test_digest(spark, tables):
 
 
 @pytest.fixture(scope="module")
-def counter():
+def counter(spark, sf_dir):
     text = tokens.default_tokenizer()
-    return tokens.Counter(text, tokens.frequent(text)), text
+    return tokens.Counter(text, tokens.frequent(spark.read.parquet(f"{sf_dir}/documents.parquet"), text, entries=5000)), text
+
+
+def test_table_holds_the_most_frequent_pre_tokens(counter, spark, tables, sf_dir):
+    c, text = counter
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    count = Counter(p for r in docs.select("text").collect() for p in c.cut(r["text"] or "") if len(p) <= tokens.LONGEST)
+    want = [p for p, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:5000]]
+    assert list(c.lengths.frequent) == want
+    some = tokens.frequent(docs, text, sample=docs.count() // 4)
+    assert some and set(some) < set(count)
+    for name in ("odd", "empty"):
+        found = tokens.frequent(spark.read.parquet(f"{tables[name]}/documents.parquet"), text)
+        assert bool(found) == (name == "odd") and max(map(len, found), default=0) <= tokens.LONGEST
+
+
+@pytest.mark.parametrize("sizes", [{"TABLE": 0}, {"TABLE": 3}, {"SAMPLE": 20}])
+def test_counts_are_alike_with_any_table(counter, spark, sf_dir, monkeypatch, sizes):
+    real = tokens.frequent
+    monkeypatch.setattr(tokens, "frequent", lambda docs, text: real(docs, text, **{{"TABLE": "entries", "SAMPLE": "sample"}[k]: v for k, v in sizes.items()}))
+    rows = tokens.op8_token_counts(spark, sf_dir).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert len(rows) == len(texts) and all(r["n_tokens"] == counter[0].count(texts[r["doc_id"]]) for r in rows)
 
 
 def test_counts_equal_the_library(counter, spark, tables, sf_dir):
