@@ -116,10 +116,10 @@ def tallied(texts: DataFrame) -> DataFrame:
 
 
 def frequent(docs: DataFrame, tokenizer: str, entries: int = TABLE, sample: int = SAMPLE) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of about ``sample`` documents: at most ``entries``, each of at most LONGEST code points."""
+    """Lengths of the most frequent pre-tokens of about ``sample`` documents that occur there more than once: at most ``entries``, each of at most LONGEST code points."""
     share = sample / max(1, docs.count())
     some = docs if share >= 1 else docs.sample(share, seed=sample)
-    top = tallied(some).orderBy(F.desc("n"), "piece").limit(entries).select("piece").collect()
+    top = tallied(some).where("n > 1").orderBy(F.desc("n"), "piece").limit(entries).select("piece").collect()
     length = Counter(tokenizer, {}).encode
     return {r["piece"]: length(r["piece"]) for r in top}
 
