@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulseloom.llm import audit
+from pulseloom.llm.audit import op12_filter_lattice
 from pulseloom.llm.decontamination import op7_spaced_seeds
 from pulseloom.llm.licences import op5_license_scan
 from pulseloom.llm.mixing import op9_entropy_mix
 from pulseloom.llm.near_dedup import op4_odd_sketches
 from pulseloom.llm.pii import op6_pii_anchors
 from pulseloom.llm.quality import op2_quality_trees
+from pulseloom.llm.rules import op11_decision_list
 from pulseloom.llm.sharding import op1_tiered_shards
 from pulseloom.llm.tokens import op8_token_counts
 from pulseloom.llm.topk import op10_block_topk
@@ -23,13 +26,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     every = (
         op1_tiered_shards, op2_quality_trees, op3_toxic_spans, op4_odd_sketches, op5_license_scan, op6_pii_anchors,
-        op7_spaced_seeds, op8_token_counts, op9_entropy_mix, op10_block_topk,
+        op7_spaced_seeds, op8_token_counts, op9_entropy_mix, op10_block_topk, op11_decision_list, op12_filter_lattice,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_odd_sketches": COMPONENTS, "op10_block_topk": TOP_K}
+    return {"op4_odd_sketches": COMPONENTS, "op10_block_topk": TOP_K, "op12_filter_lattice": audit.SQL}
 
 
 TOP_K = """
