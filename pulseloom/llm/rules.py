@@ -59,20 +59,25 @@ def bound(value: Column, body) -> Column:
 def repeat_words(words: Column) -> Column:
     """Words in three-word windows that are found twice or more, the first included.
 
-    Windows are sorted with their places, so that equal ones are neighbours; texts whose
-    windows all differ, as most do, are not sorted.
+    Windows are hashed and sorted with their places, so that equal ones are neighbours; those
+    whose hash is found twice are then compared by their words in the same way. Texts whose
+    windows all differ are not sorted.
     """
     same = lambda a, b: F.coalesce(a["g"] == b["g"], F.lit(False))
 
-    def places(s: Column) -> Column:
-        twice = F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
-        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.sequence(x["i"], x["i"] + 2)))))
+    def twice(windows: Column) -> Column:
+        """Places of the windows (g, i) whose g is there twice."""
+        again = lambda s: F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
+        return bound(F.sort_array(windows), lambda s: F.transform(again(s), lambda x: x["i"]))
 
     def of(w: Column) -> Column:
+        text = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
         starts = F.when(F.size(w) < 3, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))))
-        windows = F.transform(starts, lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        numbered = lambda g: F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
-        return bound(windows, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), 0).otherwise(bound(numbered(g), places)))
+        hashes = F.transform(starts, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        alike = lambda h: twice(F.transform(h, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+        sure = lambda at: twice(F.transform(at, lambda i: F.struct(text(i).alias("g"), i.alias("i"))))
+        covered = lambda at: F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(i, i + 2)))))
+        return bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(sure(alike(h)))))
 
     return bound(words, of)
 
