@@ -85,6 +85,39 @@ def _biquad(x: np.ndarray, s: np.ndarray, state: np.ndarray, block: int = 256) -
     return y.ravel()[: len(x)]
 
 
+def settled(sos: np.ndarray) -> np.ndarray:
+    """States of a cascade, two a section, after a constant input of 1."""
+    out, level = [], 1.0
+    for s in sos:
+        gain = s[:3].sum() / s[3:].sum()
+        z2 = s[2] - s[5] * gain
+        out += [(s[1] - s[4] * gain + z2) * level, z2 * level]
+        level *= gain
+    return np.array(out)
+
+
+def cascaded(x: np.ndarray, sos: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(output, state at the end) of sections one after the other; x has two values at least."""
+    y, ends = np.asarray(x, float), []
+    for k, s in enumerate(sos):
+        u, y = y, _biquad(y, s, state[2 * k : 2 * k + 2])
+        ends += [s[1] * u[-1] - s[4] * y[-1] + s[2] * u[-2] - s[5] * y[-2], s[2] * u[-1] - s[5] * y[-1]]
+    return y, np.array(ends)
+
+
+def free_step(sos: np.ndarray) -> np.ndarray:
+    """The matrix that takes a cascade's state one sample on, without input."""
+    width = 2 * len(sos)
+    out = np.zeros((width, width))
+    for j in range(width):
+        z, u = np.eye(width)[j], 0.0
+        for k, s in enumerate(sos):
+            y = s[0] * u + z[2 * k]
+            out[2 * k, j], out[2 * k + 1, j] = s[1] * u - s[4] * y + z[2 * k + 1], s[2] * u - s[5] * y
+            u = y
+    return out
+
+
 def filtered(x: np.ndarray, sos: np.ndarray) -> np.ndarray:
     """Zero-phase filtering: forward and backward, odd extension, states settled at the first value."""
     pad = min(3 * (2 * len(sos) + 1), len(x) - 1)
@@ -92,14 +125,7 @@ def filtered(x: np.ndarray, sos: np.ndarray) -> np.ndarray:
         return x.astype(float)
     ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]).astype(float)
     for _ in range(2):
-        level = ext[0]
-        for s in sos:
-            gain = s[:3].sum() / s[3:].sum()
-            z2 = s[2] - s[5] * gain
-            z1 = s[1] - s[4] * gain + z2
-            ext = _biquad(ext, s, np.array([z1, z2]) * level)
-            level *= gain
-        ext = ext[::-1]
+        ext = cascaded(ext, sos, settled(sos) * ext[0])[0][::-1]
     return ext[pad : len(ext) - pad]
 
 
@@ -108,15 +134,15 @@ def bandpass(x: np.ndarray, fs: float, low: float = 0.5, high: float = 40.0, ord
 
 
 def highpass_detrend(x: np.ndarray, t: np.ndarray, cutoff: float = 0.003, order: int = 4) -> np.ndarray:
-    """Slow trends removed; a least-squares line instead where the series is too short to filter."""
+    """Slow trends removed on an even grid of 4 Hz or twice the mean rate; a least-squares line instead where that is too short to filter."""
     n, span = len(x), float(t[-1] - t[0]) if len(t) > 1 else 0.0
     fs = max(4.0, 2 * n / span) if span > 0 else 4.0
-    if n > 3 * (2 * ((order + 1) // 2) + 1):
-        return filtered(np.asarray(x, float), sections(*butterworth(order, cutoff, None, fs)))
-    if n < 2 or span == 0:
-        return x - x.mean() if n else x
-    m, c = np.polyfit(t, x, 1)
-    return x - m * t - c
+    m = int(span * fs)
+    if m > 3 * (2 * ((order + 1) // 2) + 1):
+        grid = np.linspace(t[0], t[-1], m)
+        return np.interp(t, grid, filtered(np.interp(grid, t, x), sections(*butterworth(order, cutoff, None, fs))))
+    i = np.arange(n, dtype=float)
+    return x - np.polyval(np.polyfit(i, x, 1), i) if n > 1 else x - x.mean() if n else x
 
 
 # -- peaks -----------------------------------------------------------------------------
@@ -389,31 +415,6 @@ def approximate_entropy(x: np.ndarray, m: int = 2, r: float = 0.2, version: int
 # -- cleaning --------------------------------------------------------------------------
 
 
-def merge_short(rr: np.ndarray, t: np.ndarray, least: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
-    """Intervals of at most ``least`` go into their smaller neighbour, the left one on ties.
-
-    After a merge to the left the scan steps back. The time axis is rebuilt from the first
-    beat where anything was merged. A stack holds what lies behind, so the scan is linear.
-    """
-    left: list[float] = []
-    right = list(rr[::-1])
-    merged = False
-    while right:
-        x = right.pop()
-        if x > least or (not left and not right):
-            left.append(x)
-            continue
-        merged = True
-        if right and (not left or right[-1] < left[-1]):
-            right[-1] += x
-        else:
-            right.append(left.pop() + x)
-    if not merged:
-        return rr, t
-    out = np.array(left)
-    return out, t[0] + np.append(0.0, np.cumsum(out[:-1]))
-
-
 def winsorise(rr: np.ndarray, t: np.ndarray, retime: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Values outside 1.5 IQR are set to the quartile on their side; fewer than 4 stay."""
     if len(rr) < 4:
@@ -424,11 +425,9 @@ def winsorise(rr: np.ndarray, t: np.ndarray, retime: bool = True) -> tuple[np.nd
     return out, t[0] + np.append(0.0, np.cumsum(out[:-1])) if retime else t
 
 
-def preprocessed(rr: np.ndarray, t: np.ndarray, merge: bool = True, retime: bool = True, cutoff: float = 0.003) -> tuple[np.ndarray, np.ndarray]:
-    """Merge, winsorise, remove mean and slow trends; empty below 4 intervals."""
-    if merge and len(rr):
-        rr, t = merge_short(rr, t)
+def preprocessed(rr: np.ndarray, t: np.ndarray, cutoff: float = 0.003) -> tuple[np.ndarray, np.ndarray]:
+    """Winsorise on the times as they are, remove mean and slow trends; empty below 4 intervals."""
     if len(rr) < 4:
         return np.zeros(0), np.zeros(0)
-    rr, t = winsorise(rr, t, retime)
+    rr, t = winsorise(rr, t, False)
     return highpass_detrend(rr - rr.mean(), t, cutoff), t

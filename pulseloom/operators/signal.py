@@ -165,36 +165,6 @@ def _powers(rr: np.ndarray, t: np.ndarray) -> dict[str, float]:
     return {f"{n}_10": v for n, v in K.frequency_features(rr / 1000, t / 1000).items()} if len(rr) >= 20 else {}
 
 
-def _per_recording(kernel, columns: tuple[str, str]):
-    a, b = columns
-
-    def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("beat_idx")
-        x, t = kernel(rows["rr_ms"].to_numpy(float) / 1000, rows["t_ms"].to_numpy(float) / 1000)
-        return pd.DataFrame({"rec": key[0], "i": np.arange(len(x)), a: x, b: t})
-
-    return of
-
-
-def merged_short(beats: DataFrame, least_s: float = 0.25) -> DataFrame:
-    """(rec, i, rr_s, t_s) after merging short intervals, recording by recording."""
-    return spread(beats, "rec").groupBy("rec").applyInPandas(_per_recording(lambda rr, t: K.merge_short(rr, t, least_s), ("rr_s", "t_s")), "rec long, i long, rr_s double, t_s double")
-
-
-def preprocessed(beats: DataFrame, **options) -> DataFrame:
-    """(rec, i, x, t_s): the cleaning chain, recording by recording."""
-    return spread(beats, "rec").groupBy("rec").applyInPandas(_per_recording(lambda rr, t: K.preprocessed(rr, t, **options), ("x", "t_s")), "rec long, i long, x double, t_s double")
-
-
-def resampled(beats: DataFrame, fs: float = 4.0, method: str = "cubic") -> DataFrame:
-    """(rec, i, x, t_s) on an even grid."""
-    def kernel(rr: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        grid, x = K.resampled(t, rr, fs, method)
-        return x, grid
-
-    return spread(beats, "rec").groupBy("rec").applyInPandas(_per_recording(kernel, ("x", "t_s")), "rec long, i long, x double, t_s double")
-
-
 def r_peaks(signal: DataFrame, fs: float = 256.0, method: str = "basic") -> DataFrame:
     """(recording_id, beat_idx, sample) from blocks (recording_id, start_sample, samples[, fs]) of one channel.
 
@@ -220,7 +190,7 @@ def psd_comparison(beats: DataFrame, least: int = 20) -> DataFrame:
     def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("beat_idx")
         rr, t = rows["rr_ms"].to_numpy(float) / 1000, rows["t_ms"].to_numpy(float) / 1000
-        x, tx = K.preprocessed(rr, t, merge=False, retime=False)
+        x, tx = K.preprocessed(rr, t)
         if len(rr) < least or len(x) < least:
             return pd.DataFrame()
         fl, pl = K.lomb_density(tx, x)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import agreement, class_of, log_ratio, ratio
-from pulseloom.operators import dataset, signal, spectral, stats
+from pulseloom.operators import cleaning, dataset, features, resample, signal, spectral, stats
 from pulseloom.plans.recordings import _B, _BZ, _POIN, _STATUS, _TIME_3, _status, r6
 from pulseloom.schemas import FEATURES
 from pulseloom.sources.files import decode_weights, encode_weights
@@ -322,7 +322,6 @@ _SAMPEN = _WIN.format(m=3) + """, t3 AS (SELECT rec, minute, i, n, rr_ms AS x0,
 SELECT w.rec, w.minute, any_value(w.n) AS n, coalesce(any_value(k.A), 0) AS A, coalesce(any_value(k.B), 0) AS B, CASE WHEN coalesce(any_value(k.A), 0) > 0 THEN round(-ln(any_value(k.A) / any_value(k.B)), 6) ELSE 0 END AS samp_en FROM w3 w LEFT JOIN k USING (rec, minute) WHERE w.n >= 10 GROUP BY w.rec, w.minute""")
 def samp_en_v2(spark: SparkSession, d: str) -> DataFrame:
     """Version 2 over every 3-minute window, by an equality self-join of templates."""
-    from pulseloom.operators import features
 
     x = _window_beats(spark, d, 3, 10).select("rec", "minute", "i", "x")
     counts = features.entropy_counts(x, 2, 0.2 * F.stddev_pop("x").over(Window.partitionBy("rec", "minute")), ["rec", "minute"])
@@ -426,7 +425,6 @@ FROM grid g JOIN status st USING (rec, minute) LEFT JOIN time3 USING (rec, minut
 @query(_bundle_sql())
 def hrv_bundle(spark: SparkSession, d: str) -> DataFrame:
     """All 22 features of each minute, their mask, and the status of the minute."""
-    from pulseloom.operators import features
 
     b = beats(spark, d)
     digits = {f"{n}_10": k for n, k in _DIGITS.items()}
@@ -435,19 +433,77 @@ def hrv_bundle(spark: SparkSession, d: str) -> DataFrame:
     return features.availability(rows, FEATURES).join(_status(spark, d), ["rec", "minute"])
 
 
-@query()
+# -- cleaning --------------------------------------------------------------------------
+
+#: Islands between pairs of long intervals, each merged by a scan with what lies behind and ahead as two lists.
+_MERGED = """sh AS (SELECT *, rr_ms <= 250 AS s, coalesce(lag(rr_ms <= 250) OVER o, false) AS b FROM beats WINDOW o AS (PARTITION BY rec ORDER BY beat_idx)),
+isl AS (SELECT *, sum(CAST(NOT s AND NOT b AS INT)) OVER (PARTITION BY rec ORDER BY beat_idx ROWS UNBOUNDED PRECEDING) AS island FROM sh),
+run AS (SELECT rec, min(beat_idx) AS first, list(rr_ms ORDER BY beat_idx) AS l, list(t_ms ORDER BY beat_idx) AS t FROM isl GROUP BY rec, island),
+mg AS (SELECT rec, first, len(l) AS n, CAST([] AS BIGINT[]) AS lft, l AS rgt, CAST([] AS BIGINT[]) AS lt, t AS rt FROM run UNION ALL
+  SELECT rec, first, n, CASE c WHEN 0 THEN list_append(lft, rgt[1]) WHEN 1 THEN lft ELSE lft[1:len(lft) - 1] END,
+    CASE c WHEN 0 THEN rgt[2:] WHEN 1 THEN list_prepend(rgt[1] + rgt[2], rgt[3:]) ELSE list_prepend(lft[len(lft)] + rgt[1], rgt[2:]) END,
+    CASE c WHEN 0 THEN list_append(lt, rt[1]) WHEN 1 THEN lt ELSE lt[1:len(lt) - 1] END, CASE c WHEN 2 THEN list_prepend(lt[len(lt)], rt[2:]) ELSE rt[2:] END
+  FROM (SELECT *, CASE WHEN rgt[1] > 250 OR (len(lft) = 0 AND len(rgt) = 1) THEN 0 WHEN len(rgt) > 1 AND (len(lft) = 0 OR rgt[2] < lft[len(lft)]) THEN 1 ELSE 2 END AS c FROM mg WHERE len(rgt) > 0)),
+mo AS (SELECT rec, first, lt[1] AS t_ms, n - len(lft) AS lost, unnest(lft) AS rr_ms, unnest(range(0, len(lft))) AS j FROM mg WHERE len(rgt) = 0),
+merged AS (SELECT rec, row_number() OVER o - 1 AS i, rr_ms, CASE WHEN max(lost) OVER (PARTITION BY rec) > 0 THEN CAST(first(t_ms) OVER o + coalesce(sum(rr_ms) OVER (PARTITION BY rec ORDER BY first, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) ELSE t_ms END AS t_ms
+  FROM mo WINDOW o AS (PARTITION BY rec ORDER BY first, j))"""
+
+
+@query(f"{_B.replace('WITH', 'WITH RECURSIVE')}, {_MERGED} SELECT rec, i, rr_ms / 1000 AS rr_s, t_ms / 1000 AS t_s FROM merged")
 def merge_short(spark: SparkSession, d: str) -> DataFrame:
-    return signal.merged_short(beats(spark, d))
+    return cleaning.merged_short(beats(spark, d)).select("rec", "i", (F.col("rr_ms") / 1000).alias("rr_s"), (F.col("t_ms") / 1000).alias("t_s"))
 
 
 @query()
 def preprocess_chain(spark: SparkSession, d: str) -> DataFrame:
-    return signal.preprocessed(beats(spark, d))
+    """Without SQL: the filter's recursion over all samples is too slow there; tests hold it to the chain in one piece."""
+    return cleaning.cleaned(beats(spark, d))
+
+
+# -- even grids ------------------------------------------------------------------------
+
+_KNOTS = """kd AS (SELECT rec, t_ms AS t, rr_ms AS y, lag(t_ms) OVER (PARTITION BY rec ORDER BY t_ms, beat_idx) AS b FROM beats),
+kt AS (SELECT rec, row_number() OVER w - 1 AS i, t, y, first(t) OVER w AS t0, lead(t) OVER w - t AS h, (lead(y) OVER w - y) / (lead(t) OVER w - t) AS m FROM kd WHERE b IS NULL OR b < t WINDOW w AS (PARTITION BY rec ORDER BY t)),
+nb AS (SELECT *, lag(m) OVER w AS mb1, lag(m, 2) OVER w AS mb2, lag(h) OVER w AS hb1, lag(h, 2) OVER w AS hb2, lead(m) OVER w AS ma1, lead(h) OVER w AS ha1, count(*) OVER (PARTITION BY rec) AS n FROM kt WINDOW w AS (PARTITION BY rec ORDER BY i))"""
+_EDGE = "CASE WHEN (({h0} * 2 + {h1}) * {m0} - {h0} * {m1}) / ({h0} + {h1}) * {m0} <= 0 THEN 0.0 WHEN {m0} * {m1} < 0 AND abs((({h0} * 2 + {h1}) * {m0} - {h0} * {m1}) / ({h0} + {h1})) > abs({m0}) * 3 THEN {m0} * 3 ELSE (({h0} * 2 + {h1}) * {m0} - {h0} * {m1}) / ({h0} + {h1}) END"
+_PCHIP = f"""sd AS (SELECT rec, i, t, y, t0, h, CASE WHEN mb1 IS NULL THEN CASE WHEN ma1 IS NULL THEN m ELSE {_EDGE.format(h0="h", h1="ha1", m0="m", m1="ma1")} END
+  WHEN m IS NULL THEN CASE WHEN mb2 IS NULL THEN mb1 ELSE {_EDGE.format(h0="hb1", h1="hb2", m0="mb1", m1="mb2")} END
+  WHEN mb1 * m > 0 THEN (h * 2 + hb1 + (h + hb1 * 2)) / ((h * 2 + hb1) / mb1 + (h + hb1 * 2) / m) ELSE 0.0 END AS d FROM nb)"""
+_AKIMA = """pq AS (SELECT *, coalesce(mb1, m * 2 - ma1) AS p, coalesce(m, mb1 * 2 - mb2) AS q, CASE WHEN m IS NULL THEN mb1 * 3 - mb2 * 2 ELSE coalesce(ma1, m * 2 - mb1) END AS q2, CASE WHEN mb1 IS NULL THEN m * 3 - ma1 * 2 ELSE coalesce(mb2, mb1 * 2 - m) END AS p2 FROM nb),
+ww AS (SELECT *, abs(q2 - q) AS w1, abs(p - p2) AS w2, max(abs(q2 - q) + abs(p - p2)) OVER (PARTITION BY rec) AS top FROM pq),
+sd AS (SELECT rec, i, t, y, t0, h, CASE WHEN n = 2 THEN coalesce(m, mb1) WHEN w1 + w2 <= top * 1e-9 THEN (p + q) / 2 ELSE (w1 * p + w2 * q) / (w1 + w2) END AS d FROM ww)"""
+#: The not-a-knot system by elimination, first down, then up the knots.
+_CUBIC = """sy AS (SELECT rec, i, n, CASE WHEN i = 0 THEN 0 WHEN i = n - 1 THEN hb1 + hb2 ELSE h END AS lo, CASE WHEN i = 0 THEN ha1 WHEN i = n - 1 THEN hb2 ELSE 2 * (hb1 + h) END AS mi, CASE WHEN i = 0 THEN h + ha1 WHEN i = n - 1 THEN 0 ELSE hb1 END AS up,
+  CASE WHEN i = 0 THEN ((h + 2 * (h + ha1)) * ha1 * m + h * h * ma1) / (h + ha1) WHEN i = n - 1 THEN (hb1 * hb1 * mb2 + (2 * (hb1 + hb2) + hb1) * hb2 * mb1) / (hb1 + hb2) ELSE 3 * (h * mb1 + hb1 * m) END AS rh FROM nb),
+fw AS (SELECT rec, i, n, CAST(up AS DOUBLE) AS up, CAST(mi AS DOUBLE) AS mi, rh FROM sy WHERE i = 0 UNION ALL SELECT s.rec, s.i, s.n, s.up, s.mi - s.lo / f.mi * f.up, s.rh - s.lo / f.mi * f.rh FROM fw f JOIN sy s ON s.rec = f.rec AND s.i = f.i + 1),
+bw AS (SELECT rec, i, rh / mi AS d FROM fw WHERE i = n - 1 UNION ALL SELECT f.rec, f.i, (f.rh - f.up * b.d) / f.mi FROM bw b JOIN fw f ON f.rec = b.rec AND f.i = b.i - 1),
+sd AS (SELECT rec, i, t, y, t0, h, d FROM nb JOIN bw USING (rec, i))"""
+_GRID = "SELECT *, unnest(range(CAST(ceil((t - t0) / 250) AS BIGINT), CAST(ceil((t + h - t0) / 250) AS BIGINT))) AS j FROM {0} WHERE h IS NOT NULL"
+_CURVE = f"""sl AS (SELECT *, lead(y) OVER w AS y1, lead(d) OVER w AS d1 FROM sd WINDOW w AS (PARTITION BY rec ORDER BY i)),
+ev AS (SELECT *, (t0 + j * 250 - t) / h AS u, t0 + j * 250 AS pos FROM ({_GRID.format("sl")})), ev2 AS (SELECT *, 1.0::DOUBLE - u AS v FROM ev),
+curve AS (SELECT rec, j AS i, ((u * 2 + 1) * v * v * y + u * v * v * h * d + u * u * (3.0::DOUBLE - u * 2) * y1 + u * u * (u - 1) * h * d1) / 1000 AS x, pos / 1000 AS t_s FROM ev2)"""
+
+
+@query(f"{_B.replace('WITH', 'WITH RECURSIVE')}, {_KNOTS}, {_CUBIC}, {_CURVE} SELECT rec, i, round(x, 6) AS x, t_s FROM curve")
+def resample_4hz(spark: SparkSession, d: str) -> DataFrame:
+    return resample.resampled(beats(spark, d)).select("rec", "i", *r6("x"), "t_s")
 
 
-@query()
-def resample_4hz(spark: SparkSession, d: str) -> DataFrame:
-    return signal.resampled(beats(spark, d))
+@query(f"{_B}, {_KNOTS}, {_PCHIP}, {_CURVE} SELECT * FROM curve")
+def resample_pchip(spark: SparkSession, d: str) -> DataFrame:
+    return resample.resampled(beats(spark, d), method="pchip")
+
+
+@query(f"{_B}, {_KNOTS}, {_AKIMA}, {_CURVE} SELECT * FROM curve")
+def resample_akima(spark: SparkSession, d: str) -> DataFrame:
+    return resample.resampled(beats(spark, d), method="akima")
+
+
+@query(f"""{_B}, {_KNOTS}, sl AS (SELECT *, lead(y) OVER (PARTITION BY rec ORDER BY i) AS y1 FROM kt)
+SELECT rec, j AS i, (y * h + (t0 + j * 250 - t) * (y1 - y)) / (h * 1000) AS x, (t0 + j * 250) / 1000 AS t_s FROM ({_GRID.format("sl")})""")
+def resample_linear(spark: SparkSession, d: str) -> DataFrame:
+    """Values as they are: intervals are multiples of 20 ms, so that many would tie if rounded."""
+    return resample.resampled(beats(spark, d), method="linear")
 
 
 @query(f"""{_B}, l AS (SELECT rec, list(rr_ms / 1000.0::DOUBLE ORDER BY beat_idx) AS x, count(*) AS n FROM beats GROUP BY rec), sg AS (SELECT rec, list_slice(x, s * 128 + 1, s * 128 + 256) AS x FROM (SELECT *, unnest(range(0, (n - 256) // 128 + 1)) AS s FROM l)),
@@ -487,23 +543,6 @@ def apen_v2_5(spark: SparkSession, d: str) -> DataFrame:
     return signal.window_series(beats(spark, d), 5, 10).select("rec", "minute", signal.ap_en(2)("rr").alias("ap_en"))
 
 
-@query()
-def resample_pchip(spark: SparkSession, d: str) -> DataFrame:
-    return signal.resampled(beats(spark, d), method="pchip")
-
-
-@query()
-def resample_akima(spark: SparkSession, d: str) -> DataFrame:
-    return signal.resampled(beats(spark, d), method="akima")
-
-
-@query(f"""{_B}, en AS (SELECT rec, min(t_ms) AS t0, CAST(ceil((max(t_ms) - min(t_ms)) / 250 - 1e-9) AS BIGINT) AS m FROM beats GROUP BY rec), ev AS (SELECT rec, t0 + 250 * i AS at, i FROM (SELECT rec, t0, unnest(range(0, m)) AS i FROM en)),
-sp AS (SELECT rec, t_ms, rr_ms, lead(t_ms) OVER o AS t1, lead(rr_ms) OVER o AS r1 FROM beats WINDOW o AS (PARTITION BY rec ORDER BY beat_idx))
-SELECT e.rec, e.i, round((s.rr_ms + (e.at - s.t_ms) * (s.r1 - s.rr_ms) / (s.t1 - s.t_ms)) / 1000, 6) AS x, round(e.at / 1000, 6) AS t_s FROM ev e ASOF JOIN (SELECT * FROM sp WHERE t1 IS NOT NULL) s ON e.rec = s.rec AND e.at >= s.t_ms""")
-def resample_linear(spark: SparkSession, d: str) -> DataFrame:
-    return signal.resampled(beats(spark, d), method="linear").select("rec", "i", *r6("x", "t_s"))
-
-
 @query()
 def psd_comparison(spark: SparkSession, d: str) -> DataFrame:
     return signal.psd_comparison(_first_25(spark, d))

@@ -119,11 +119,7 @@ def test_approximate_entropy_is_small_for_regular_series():
     assert K.approximate_entropy(np.tile([1.0, 2.0], 60), version=2) < 0.05 < K.approximate_entropy(RNG.normal(size=200), version=2)
 
 
-def test_merge_short_and_winsorise():
-    rr, t = K.merge_short(np.array([0.8, 0.2, 0.9, 0.7]), np.array([1.0, 1.2, 2.1, 2.8]))
-    assert np.allclose(rr, [1.0, 0.9, 0.7]) and np.allclose(t, [1.0, 2.0, 2.9])
-    same = K.merge_short(np.array([0.8, 0.9]), np.array([1.0, 1.9]))
-    assert same[0].tolist() == [0.8, 0.9] and same[1].tolist() == [1.0, 1.9]
+def test_winsorise():
     rr, t = K.winsorise(np.array([0.8, 0.8, 0.8, 0.82, 5.0]), np.arange(5.0))
     assert rr[-1] == 0.82 and math.isclose(t[-1], 3.22)
     assert K.preprocessed(np.array([0.8, 0.9]), np.array([0.8, 1.7]))[0].size == 0
