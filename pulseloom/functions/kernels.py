@@ -159,12 +159,10 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
     return (starts[top] + ends[top]) // 2
 
 
-def peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
-    """Local maxima of at least ``height``; of two nearer than ``distance`` the higher stays, the later on ties."""
-    at = local_maxima(x)
-    at = at[x[at] >= height]
+def highest_apart(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """Of places nearer than ``distance`` the higher stays, the later on ties, highest first."""
     keep = np.ones(len(at), bool)
-    for i in np.argsort(x[at], kind="stable")[::-1]:
+    for i in np.argsort(height, kind="stable")[::-1]:
         if keep[i]:
             near = slice(np.searchsorted(at, at[i] - distance, "right"), np.searchsorted(at, at[i] + distance, "left"))
             keep[near] = False
@@ -172,10 +170,17 @@ def peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
     return at[keep]
 
 
+def peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
+    """Local maxima of at least ``height`` that are ``distance`` apart."""
+    at = local_maxima(x)
+    at = at[x[at] >= height]
+    return highest_apart(at, x[at], distance)
+
+
 def r_peaks(x: np.ndarray, fs: float) -> np.ndarray:
     """R-peaks of an ECG: maxima of the z-scored signal, half a deviation high, 0.3 s apart."""
     sd = x.std()
-    return peaks((x - x.mean()) / sd, 0.5, int(0.3 * fs)) if sd > 0 else np.zeros(0, np.int64)
+    return peaks((x - x.mean()) / sd, 0.5, int(0.3 * fs)) if sd > 1e-12 else np.zeros(0, np.int64)
 
 
 def spectral_peaks(p: np.ndarray, height: float = 0.1, distance: int = 10) -> np.ndarray:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseloom.functions import kernels as K
+from pulseloom.operators import peaks
 from pulseloom.operators.features import MINUTE
+from pulseloom.operators.filters import BLOCK
 from pulseloom.operators.tachogram import physiologic
 from pulseloom.schemas import FEATURES, SPECTRUM, TIME_3
 
@@ -165,24 +167,27 @@ def _powers(rr: np.ndarray, t: np.ndarray) -> dict[str, float]:
     return {f"{n}_10": v for n, v in K.frequency_features(rr / 1000, t / 1000).items()} if len(rr) >= 20 else {}
 
 
-def r_peaks(signal: DataFrame, fs: float = 256.0, method: str = "basic") -> DataFrame:
-    """(recording_id, beat_idx, sample) from blocks (recording_id, start_sample, samples[, fs]) of one channel.
+def r_peaks(signal: DataFrame, fs: float = 256.0, method: str = "basic", block: int = BLOCK) -> DataFrame:
+    """(recording_id, beat_idx, sample) from pieces (recording_id, start_sample, samples[, fs]) of one channel.
 
-    A recording is filtered whole, since its filter state runs through; one at another rate
-    (a column fs) is brought to ``fs`` first, and samples count at that. Only the basic
-    detector is there; the others need packages that this engine doesn't use.
+    Signals at ``fs`` go by blocks (see :mod:`peaks`). One at another rate (a column fs) is brought
+    to ``fs`` first, by its whole spectrum, which takes the recording in one task; samples count
+    at ``fs`` then. Only the basic detector is there; the others need packages that this engine
+    doesn't use.
     """
     if method != "basic":
         raise ValueError(f"unknown detector: {method}")
-    rate = F.col("fs").cast("double") if "fs" in signal.columns else F.lit(fs)
-
-    def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([np.asarray(s, np.float32) for s in rows.sort_values("start_sample")["samples"]])
-        at = K.r_peaks(K.bandpass(K.fourier_resampled(x.astype(float), float(rows["rate"].iloc[0]), fs), fs), fs)
-        return pd.DataFrame({"recording_id": key[0], "beat_idx": np.arange(len(at)), "sample": at})
-
-    rows = signal.select("recording_id", "start_sample", "samples", rate.alias("rate"))
-    return spread(rows, "recording_id").groupBy("recording_id").applyInPandas(of, "recording_id string, beat_idx long, sample long")
+    rows = signal.select("recording_id", F.col("start_sample").cast("long").alias("i"), F.col("samples").alias("x"), *(["fs"] if "fs" in signal.columns else []))
+    if "fs" in signal.columns:
+        def brought(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            x = np.concatenate([np.asarray(s, np.float32) for s in part.sort_values("i")["x"]])
+            return pd.DataFrame([(key[0], 0, K.fourier_resampled(x.astype(float), float(part["fs"].iloc[0]), fs))], columns=["recording_id", "i", "x"])
+
+        other = rows.where(F.col("fs") != fs).withColumn("fs", F.col("fs").cast("double"))
+        other = spread(other, "recording_id").groupBy("recording_id").applyInPandas(brought, "recording_id string, i long, x array<double>")
+        rows = rows.where(F.col("fs") == fs).select("recording_id", "i", F.col("x").cast("array<double>").alias("x")).unionByName(other)
+    n = rows.groupBy("recording_id").agg(F.max(F.col("i") + F.size("x")).alias("n"))
+    return peaks.r_peaks(rows.join(n, "recording_id"), fs, block=block)
 
 
 def psd_comparison(beats: DataFrame, least: int = 20) -> DataFrame:
