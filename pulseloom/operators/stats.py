@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseloom.operators.permutations import Hash, keyed, numbered, placed
 from pulseloom.operators.scans import before
 
 #: Abramowitz and Stegun 7.1.26 is too coarse here; this rational form of erfc has a relative error under 1.2e-7: fixed values.
@@ -81,25 +80,26 @@ def pseudo_f(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return tot.select(*keys, f.alias("pseudo_f"))
 
 
-def permanova(long: DataFrame, permutations: int = 999, seed: int = 42, order: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(pseudo_f, p, permutations): groups are dealt anew by a seeded order of the samples, permutation by permutation.
+def permanova(long: DataFrame, permutations: int = 999, seed: int = 42, hashed: Hash | None = None, cell: Column | None = None) -> DataFrame:
+    """(pseudo_f, p, permutations): groups are dealt anew by keyed bijections of the samples.
 
-    order: (sample_id, permutation) -> what the samples are sorted by, ties by sample_id;
-    a seeded hash by default. The first of them get the first group, as many as it has, and
-    so on. Samples travel with one array of values, each permutation is a task of its own,
-    and sums by group and feature are formed before their exchange.
+    In each permutation the samples at the first places get the first group, as many as it has,
+    and so on. A sample travels once, with one array of its values; its place in each
+    permutation is told from its number alone (see :mod:`permutations`), and sums by
+    (permutation, group, feature) are formed where the sample is: no permutation sorts or
+    exchanges samples. hashed, cell: what the bijections and the numbers come from, seeded
+    hashes by default.
     """
-    spark = long.sparkSession
-    order = order or (lambda sample, perm: F.xxhash64(sample, perm, F.lit(seed)))
     samples = long.groupBy("sample_id").agg(F.first("grp").alias("grp"), F.collect_list(F.struct("feature", "value")).alias("v"))
     sizes = samples.groupBy("grp").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy().orderBy("grp"))  # a row for each group
-    ends = sizes.select("grp", upto.alias("upto")).agg(F.array_sort(F.collect_list(F.struct("upto", "grp"))).alias("ends"))
+    ends = sizes.select("grp", upto.alias("upto")).agg(F.array_sort(F.collect_list(F.struct("upto", "grp"))).alias("ends"), F.max("upto").alias("total"))
     perms = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long"))).alias("perm")
-    dealt = samples.select("sample_id", "v", perms)
-    place = F.row_number().over(Window.partitionBy("perm").orderBy(order(F.col("sample_id"), F.col("perm")), "sample_id"))
-    dealt = dealt.select("perm", "v", place.alias("place")).join(F.broadcast(ends))
-    group = F.filter("ends", lambda e: F.col("place") <= e["upto"])[0]["grp"]
+    # Dealt to all partitions: each sample is work for all permutations, however small the table.
+    dealt = numbered(samples.select("sample_id", "v"), "sample_id", "no", cell).repartition(int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")), "no")
+    dealt = dealt.join(F.broadcast(ends)).select("no", "v", "ends", "total", perms)
+    dealt = placed(dealt, "no", "perm", "total", hashed=hashed or keyed(seed))
+    group = F.filter("ends", lambda e: F.col("place") < e["upto"])[0]["grp"]
     stars = pseudo_f(dealt.select("perm", group.alias("grp"), F.explode("v").alias("x")).select("perm", "grp", "x.feature", "x.value"), ["perm"])
     seen = pseudo_f(long).withColumnRenamed("pseudo_f", "observed")
     both = stars.join(F.broadcast(seen))  # one row

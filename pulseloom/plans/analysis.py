@@ -70,12 +70,25 @@ def permanova_f(spark: SparkSession, d: str) -> DataFrame:
     return stats.pseudo_f(stats.prepared(_long(spark, d))).select(*r6("pseudo_f"))
 
 
-#: The order in which a permutation deals the groups: plain arithmetic, so that SQL has the same.
-_ORDER = "(sample_id * 48271 + perm * 16807 + (sample_id % 1009) * (perm + 7) * 69621) % 2147483647"
+#: What a round of a permutation adds: plain arithmetic, so that SQL has the same.
+_ROUND = "((({r} + 1) * 48271 + (perm + 1) * 69621 * {k} + ({r} % 1009) * (perm + {k}) * 16807) % 2147483647)"
 
 
-@query(f"""WITH {_PREP}, g AS (SELECT DISTINCT sample_id, grp FROM prep), n AS (SELECT count(*) FILTER (grp = 'a') AS na, count(*) AS n FROM g), pm AS (SELECT unnest(range(0, 999)) AS perm),
-d AS (SELECT sample_id, perm, row_number() OVER (PARTITION BY perm ORDER BY {_ORDER}, sample_id) <= na AS in_a FROM g, pm, n),
+def _round_hash(half, perm, turn):
+    return ((half + 1) * 48271 + (perm + 1) * 69621 * turn + (half % 1009) * (perm + turn) * 16807) % 2147483647
+
+
+def _rounds_sql() -> str:
+    """One pass through the six rounds, as nested selects over (sample_id, perm, v, a, b, n, na)."""
+    out = "SELECT *, v % a AS l0, v // a AS r0 FROM fw WHERE t = 0 OR v >= n"
+    for k in range(1, 7):
+        out = f"SELECT *, r{k - 1} AS l{k}, (l{k - 1} + {_ROUND.format(r=f'r{k - 1}', k=k)}) % {'a' if k % 2 else 'b'} AS r{k} FROM ({out})"
+    return out
+
+
+@query(f"""WITH RECURSIVE {_PREP}, g AS (SELECT DISTINCT sample_id, grp FROM prep), c0 AS (SELECT count(*) FILTER (grp = 'a') AS na, count(*) AS n FROM g), n AS (SELECT na, n, CAST(ceil(sqrt(n)) AS BIGINT) AS a, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS b FROM c0), pm AS (SELECT unnest(range(0, 999)) AS perm),
+fw AS (SELECT sample_id, perm, row_number() OVER (PARTITION BY perm ORDER BY sample_id % 4096, sample_id) - 1 AS v, 0 AS t, a, b, n, na FROM g, pm, n UNION ALL SELECT sample_id, perm, a * r6 + l6, t + 1, a, b, n, na FROM ({_rounds_sql()})),
+d AS (SELECT sample_id, perm, v < na AS in_a FROM fw WHERE t > 0 AND v < n),
 c AS (SELECT perm, in_a, feature, count(*) AS n, sum(value) AS s, sum(value * value) AS q FROM d JOIN prep USING (sample_id) GROUP BY ALL),
 w AS (SELECT perm, sum(q - s * s / n) AS ssw FROM c GROUP BY perm), t AS (SELECT sum(q - s * s / n) AS sst FROM (SELECT feature, count(*) AS n, sum(value) AS s, sum(value * value) AS q FROM prep GROUP BY feature)),
 o AS (SELECT sum(q - s * s / n) AS ssw FROM (SELECT feature, grp, count(*) AS n, sum(value) AS s, sum(value * value) AS q FROM prep GROUP BY feature, grp)),
@@ -83,8 +96,7 @@ f AS (SELECT (sst - w.ssw) / (w.ssw / (n.n - 2)) AS f, (sst - o.ssw) / (o.ssw /
 SELECT round(any_value(seen), 6) AS pseudo_f, (count(*) FILTER (f >= seen) + 1) / (count(*) + 1) AS p, count(*) AS permutations FROM f""")
 def permanova(spark: SparkSession, d: str) -> DataFrame:
     """With the 999 permutations of the reference."""
-    order = lambda sample, perm: (sample * 48271 + perm * 16807 + (sample % 1009) * (perm + 7) * 69621) % 2147483647
-    return stats.permanova(stats.prepared(_long(spark, d)), order=order).select(*r6("pseudo_f"), "p", "permutations")
+    return stats.permanova(stats.prepared(_long(spark, d)), hashed=_round_hash, cell=F.col("sample_id") % 4096).select(*r6("pseudo_f"), "p", "permutations")
 
 
 _SCORES = "s AS (SELECT doc_id, quality = 1 AS truth, (n_chars % 1000) / 1000 AS score, n_chars % 1000 >= 300 AS predicted FROM labels JOIN documents USING (doc_id))"

@@ -90,6 +90,33 @@ def test_permanova_of_clear_groups(spark):
     assert r["pseudo_f"] > 100 and r["p"] <= 0.05 and r["permutations"] == 99
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 97, 100, 1000])
+def test_every_permutation_is_one(spark, n):
+    """All numbers go to all places, each time in another order; numbering is dense."""
+    from pulseloom.operators import permutations as P
+
+    rows = P.numbered(spark.range(n).select((F.col("id") * 7919 % 10_007).alias("k")), "k")
+    rows = rows.withColumn("n", F.lit(n).cast("long")).withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
+    got = {}
+    for r in P.placed(rows, "no", "perm", "n").orderBy("perm", "no").collect():
+        got.setdefault(r["perm"], []).append((r["no"], r["place"]))
+    assert len(got) == 10 and all([i for i, _ in v] == list(range(n)) and sorted(p for _, p in v) == list(range(n)) for v in got.values())
+    assert n < 97 or len({tuple(v) for v in got.values()}) == 10
+
+
+def test_permutations_are_even(spark):
+    """Each sample is in the first half in about half of the permutations, and pairs go apart in about half."""
+    from pulseloom.operators import permutations as P
+
+    n, perms = 200, 400
+    rows = spark.range(n).withColumnRenamed("id", "no").withColumn("n", F.lit(n).cast("long")).withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(perms - 1).cast("long"))))
+    t = P.placed(rows, "no", "perm", "n").withColumn("low", (F.col("place") < n // 2).cast("int"))
+    share = [r["s"] for r in t.groupBy("no").agg(F.avg("low").alias("s")).collect()]
+    assert max(abs(x - 0.5) for x in share) < 0.125  # five deviations
+    pairs = t.alias("a").join(t.alias("b"), "perm").where("a.no = b.no + 1").groupBy("a.no").agg(F.avg((F.col("a.low") == F.col("b.low")).cast("int")).alias("s"))
+    assert max(abs(r["s"] - 0.5) for r in pairs.collect()) < 0.125
+
+
 def test_interpolation_edges(spark):
     rr = [2500, 800, 900, 150, 1000, 3000]
     beats = spark.createDataFrame([(1, i + 1, x, 1000 * (i + 1)) for i, x in enumerate(rr)], "rec long, beat_idx long, rr_ms long, t_ms long")
