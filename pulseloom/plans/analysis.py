@@ -293,12 +293,6 @@ def guarded_ratios(spark: SparkSession, d: str) -> DataFrame:
 _WIN = "w{m} AS (SELECT g.rec, g.minute, CAST(row_number() OVER (PARTITION BY g.rec, g.minute ORDER BY beat_idx) AS INTEGER) AS i, rr_ms, t_ms, CAST(count(*) OVER (PARTITION BY g.rec, g.minute) AS INTEGER) AS n FROM grid g JOIN clean c ON c.rec = g.rec AND c.t_ms BETWEEN (g.minute - {m}) * 60000 AND g.minute * 60000 WHERE g.minute >= {m})"
 
 
-def _window_beats(spark: SparkSession, d: str, minutes: int, least: int) -> DataFrame:
-    """(rec, minute, i, n, x): the beats of each trailing window, i from 0, x in seconds."""
-    w = signal.window_series(beats(spark, d), minutes, least)
-    return w.select("rec", "minute", F.size("rr").alias("n"), F.posexplode("rr").alias("i", "x"))
-
-
 _DFT = _WIN.format(m=10) + """, l AS (SELECT rec, minute, n, list(rr_ms / 1000.0 ORDER BY i) AS x FROM w10 WHERE n >= 20 GROUP BY ALL),
 e AS (SELECT n, k, list(cos(2 * pi() * ((k * j) % n) / n) ORDER BY j) AS c, list(sin(2 * pi() * ((k * j) % n) / n) ORDER BY j) AS s FROM (SELECT n, k, unnest(range(0, n)) AS j FROM (SELECT n, CAST(unnest(range(0, n // 2 + 1)) AS INTEGER) AS k FROM (SELECT DISTINCT n FROM l))) GROUP BY n, k),
 dft AS (SELECT rec, minute, n, k, list_dot_product(x, c) ** 2 + list_dot_product(x, s) ** 2 AS p FROM l JOIN e USING (n))"""
@@ -333,11 +327,19 @@ _SAMPEN = _WIN.format(m=3) + """, t3 AS (SELECT rec, minute, i, n, rr_ms AS x0,
 @query(f"""{_B}, {_SAMPEN}, k AS (SELECT a.rec, a.minute, count(*) AS B, count(*) FILTER (abs(a.x2 - b.x2) <= 200 * sqrt(a.v)) AS A FROM t3 a JOIN t3 b ON a.rec = b.rec AND a.minute = b.minute AND a.i < b.i AND a.i <= a.n - 2 AND b.i <= b.n - 2 WHERE abs(a.x0 - b.x0) <= 200 * sqrt(a.v) AND abs(a.x1 - b.x1) <= 200 * sqrt(a.v) GROUP BY 1, 2)
 SELECT w.rec, w.minute, any_value(w.n) AS n, coalesce(any_value(k.A), 0) AS A, coalesce(any_value(k.B), 0) AS B, CASE WHEN coalesce(any_value(k.A), 0) > 0 THEN round(-ln(any_value(k.A) / any_value(k.B)), 6) ELSE 0 END AS samp_en FROM w3 w LEFT JOIN k USING (rec, minute) WHERE w.n >= 10 GROUP BY w.rec, w.minute""")
 def samp_en_v2(spark: SparkSession, d: str) -> DataFrame:
-    """Version 2 over every 3-minute window, by an equality self-join of templates."""
+    """Version 2 over every 3-minute window, by cells of templates."""
+    x = features.numbered_windows(beats(spark, d), 3, 10)
+    return features.sample_entropy(features.entropy_counts(x, 2, 0.2, ["rec", "minute"]), ["rec", "minute"])
 
-    x = _window_beats(spark, d, 3, 10).select("rec", "minute", "i", "x")
-    counts = features.entropy_counts(x, 2, 0.2 * F.stddev_pop("x").over(Window.partitionBy("rec", "minute")), ["rec", "minute"])
-    return features.sample_entropy(counts, ["rec", "minute"])
+
+@query(f"""{_B}, {_WIN.format(m=5)}, t5 AS (SELECT rec, minute, i, n, rr_ms AS x0, lead(rr_ms) OVER o AS x1, lead(rr_ms, 2) OVER o AS x2, 200 * stddev_pop(rr_ms / 1000.0) OVER (PARTITION BY rec, minute) AS tol FROM w5 WHERE n >= 10 WINDOW o AS (PARTITION BY rec, minute ORDER BY i)),
+c5 AS (SELECT a.rec, a.minute, a.i, any_value(a.n) AS n, any_value(a.tol) AS tol, count(*) AS c2, count(*) FILTER (b.i <= b.n - 2 AND abs(a.x2 - b.x2) <= a.tol) AS c3 FROM t5 a JOIN t5 b ON a.rec = b.rec AND a.minute = b.minute
+  WHERE a.i <= a.n - 1 AND b.i <= b.n - 1 AND abs(a.x0 - b.x0) <= a.tol AND abs(a.x1 - b.x1) <= a.tol GROUP BY a.rec, a.minute, a.i)
+SELECT rec, minute, round(CASE WHEN any_value(tol) > 0 THEN sum(ln(c2 / (n - 1))) / any_value(n - 2) - sum(ln(c3 / (n - 2))) FILTER (i <= n - 2) / any_value(n - 4) ELSE 0 END, 6) AS ap_en FROM c5 GROUP BY rec, minute""")
+def apen_v2_5(spark: SparkSession, d: str) -> DataFrame:
+    """Version 2 over every 5-minute window, by cells of templates."""
+    x = features.numbered_windows(beats(spark, d), 5, 10)
+    return features.approximate_entropy(x, 2, 0.2, ["rec", "minute"]).select("rec", "minute", *r6("ap_en"))
 
 
 #: 100 frequencies up to 0.5 over the first 25 minutes, where the comparison of spectra looks.
@@ -549,12 +551,6 @@ def lomb_density_10(spark: SparkSession, d: str) -> DataFrame:
     return _spectra(spark, d, "density")
 
 
-@query()
-def apen_v2_5(spark: SparkSession, d: str) -> DataFrame:
-    """Version 2 over every 5-minute window."""
-    return signal.window_series(beats(spark, d), 5, 10).select("rec", "minute", signal.ap_en(2)("rr").alias("ap_en"))
-
-
 @query()
 def psd_comparison(spark: SparkSession, d: str) -> DataFrame:
     return signal.psd_comparison(_first_25(spark, d))

@@ -151,3 +151,20 @@ def test_r_peaks_over_blocks(spark):
     assert abs(got.count() - len(x[100::205])) <= 1
     with pytest.raises(ValueError):
         signal.r_peaks(got, method="neurokit")
+
+
+def test_templates_by_cells_equal_all_pairs(spark):
+    """Version 2 of both entropies on windows of many shapes: few values, constants, spread, and too few beats for a template."""
+    import numpy as np
+
+    from pulseloom.functions import kernels as K
+
+    rng = np.random.default_rng(3)
+    series = [rng.integers(1, 6, 40) / 5, rng.normal(0.8, 0.1, 150), np.ones(30), rng.integers(520, 1500, 200) / 1000, np.tile([0.7, 0.9], 40), np.array([0.8, 0.9, 1.0, 0.8, 0.9]), rng.normal(-3, 2, 60), np.arange(4.0), np.array([1.0, 2.0])]
+    rows = spark.createDataFrame([(k, i, float(v)) for k, x in enumerate(series) for i, v in enumerate(x)], "w long, i int, x double")
+    sampled = {r["w"]: r["samp_en"] for r in features.sample_entropy(features.entropy_counts(rows, 2, 0.2, ["w"]), ["w"]).collect()}
+    approximate = {r["w"]: r["ap_en"] for r in features.approximate_entropy(rows, 2, 0.2, ["w"]).collect()}
+    for k, x in enumerate(series):
+        assert k in sampled and (x.std() == 0 or len(x) < 4 or abs(sampled[k] - K.sample_entropy(x, version=2)) < 1e-6), k
+        if len(x) >= 5:
+            assert abs(approximate[k] - K.approximate_entropy(x, version=2)) < 1e-12, k
