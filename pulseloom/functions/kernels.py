@@ -309,13 +309,48 @@ def welch(x: np.ndarray, fs: float, segment: int, overlap: int | None = None, de
     return np.fft.rfftfreq(segment, 1 / fs), p
 
 
+#: Points that a value is spread to on the fine grid, and how much finer that is than the spectrum: errors stay below 1e-12 of the sum of moduli.
+_SPREAD, _FINER = 14, 2
+
+
+def nonuniform_sums(t: np.ndarray, weights: np.ndarray, low: float, step: float, n: int) -> np.ndarray:
+    """Sums of weights * exp(2 pi i f t) at n frequencies, low, low + step, and so on, for a row of weights each.
+
+    Each value is spread to a few neighbouring points of an even grid by a Kaiser-Bessel bump,
+    one transform is taken of the grid, and the bump's own transform divided out: n log n in
+    place of a product for each value and frequency.
+    """
+    weights = np.atleast_2d(weights)
+    size = 1 << int(np.ceil(np.log2(max(_FINER * n, 2 * _SPREAD))))
+    beta = np.pi * np.sqrt((_SPREAD * (1 - 0.5 / _FINER)) ** 2 - 0.8)
+    middle = n // 2  # modes around 0 lose least
+    place = (t * step % 1.0) * size
+    first = np.ceil(place - _SPREAD / 2).astype(np.int64)
+    at = first[:, None] + np.arange(_SPREAD)
+    bump = np.i0(beta * np.sqrt(np.maximum(0.0, 1 - (2 * (at - place[:, None]) / _SPREAD) ** 2)))
+    turned = weights * np.exp(2j * np.pi * (low + middle * step) * t)
+    modes = np.arange(n) - middle
+    z = np.sqrt((beta**2 - (np.pi * _SPREAD * modes / size) ** 2).astype(complex))
+    own = _SPREAD * np.real(np.sinh(z) / z)
+    out = np.empty((len(weights), n), complex)
+    cell = (at % size).ravel()
+    for row, w in zip(out, turned, strict=True):
+        v = (w[:, None] * bump).ravel()
+        grid = np.bincount(cell, v.real, size) + 1j * np.bincount(cell, v.imag, size)
+        row[:] = np.fft.ifft(grid)[modes % size] * size / own
+    return out
+
+
 def lomb_scargle(t: np.ndarray, y: np.ndarray, f: np.ndarray, normalise: bool = False) -> np.ndarray:
-    """The Lomb-Scargle periodogram of values less their mean, with the phase that makes it shift-invariant."""
-    y = y - y.mean()
-    w = 2 * np.pi * f[:, None]
-    tau = np.arctan2(np.sin(2 * w * t).sum(1), np.cos(2 * w * t).sum(1))[:, None] / (2 * w)
-    c, s = np.cos(w * (t - tau)), np.sin(w * (t - tau))
-    p = 0.5 * ((c @ y) ** 2 / (c * c).sum(1) + (s @ y) ** 2 / np.maximum((s * s).sum(1), 1e-300))
+    """The Lomb-Scargle periodogram of values less their mean at even frequencies ``f``, with the phase that makes it shift-invariant."""
+    y, step = y - y.mean(), (f[-1] - f[0]) / max(1, len(f) - 1)
+    values = nonuniform_sums(t, y, f[0], step, len(f))[0]
+    double = nonuniform_sums(t, np.ones(len(t)), 2 * f[0], 2 * step, len(f))[0]
+    # By half the phase of the double frequency, cosines and sines become orthogonal.
+    turn = np.exp(-0.5j * np.angle(double))
+    z = values * turn
+    cc, ss = (len(t) + np.abs(double)) / 2, (len(t) - np.abs(double)) / 2
+    p = 0.5 * (z.real**2 / cc + np.where(ss > 1e-9 * len(t), z.imag**2 / np.maximum(ss, 1e-300), 0.0))
     return p * 2 / (y @ y) if normalise and (y @ y) > 0 else p
 
 

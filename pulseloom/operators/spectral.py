@@ -8,14 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dft(rows: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """(keys, k, p): squared modulus of the discrete Fourier transform, k = 0 .. n / 2, of (keys, i, x) with i below n."""
-    ks = F.explode(F.sequence(F.lit(0), F.lit(n // 2))).alias("k")
-    turn = F.col("k") * F.col("i") % n * (2 * math.pi / n)
-    sums = rows.select(*keys, "i", "x", ks).groupBy(*keys, "k").agg(F.sum(F.col("x") * F.cos(turn)).alias("c"), F.sum(F.col("x") * F.sin(turn)).alias("s"))
-    return sums.select(*keys, "k", (F.col("c") * F.col("c") + F.col("s") * F.col("s")).alias("p"))
-
-
 def band_power(spectrum: DataFrame, keys: list[str], low: float, high: float, name: str) -> DataFrame:
     """(keys, name): trapezoid of (keys, f, p) over low <= f <= high."""
     order = Window.partitionBy(*keys).orderBy("f")
@@ -25,25 +17,25 @@ def band_power(spectrum: DataFrame, keys: list[str], low: float, high: float, na
 
 
 def lomb_scargle(rows: DataFrame, keys: list[str], frequencies: list[float]) -> DataFrame:
-    """(keys, f, p): the periodogram of (keys, t, x), two aggregations over beats times frequencies.
+    """(keys, f, p): the periodogram of (keys, t, x), one aggregation over beats times frequencies.
 
-    The phases of a key go along with its beats as one array, so that beats are multiplied
-    only inside of a task, where their sums are formed.
+    Sums of y cos, y sin, cos^2 and cos sin are enough: the phase that makes cosines and sines
+    orthogonal follows from the last two, and turning the sums by it from trigonometry.
     """
     y = rows.withColumn("y", F.col("x") - F.avg("x").over(Window.partitionBy(*keys))).select(*keys, "t", "y")
-    grid = F.array(*map(F.lit, frequencies))
-    each = y.select(*keys, "t", F.posexplode(grid).alias("k", "f"))
-    turn = F.col("f") * (4 * math.pi) * F.col("t")
-    tau = each.groupBy(*keys, "k").agg((F.atan2(F.sum(F.sin(turn)), F.sum(F.cos(turn))) / (F.max("f") * (4 * math.pi))).alias("tau"))
-    taus = tau.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "tau"))), lambda x: x["tau"]).alias("taus"))
-    pairs = F.transform(grid, lambda f, i: F.struct(f.alias("f"), F.get("taus", i).alias("tau")))
-    both = y.join(taus, keys).select(*keys, "t", "y", F.explode(pairs).alias("g")).select(*keys, "t", "y", "g.*")
-    w = F.col("f") * (2 * math.pi)
-    c, s = F.cos(w * (F.col("t") - F.col("tau"))), F.sin(w * (F.col("t") - F.col("tau")))
+    each = y.select(*keys, "t", "y", F.explode(F.array(*map(F.lit, frequencies))).alias("f"))
+    turn = F.col("f") * (2 * math.pi) * F.col("t")
+    each = each.select(*keys, "f", "y", F.cos(turn).alias("c"), F.sin(turn).alias("s"))
+    c, s = F.col("c"), F.col("s")
+    sums = each.groupBy(*keys, "f").agg(F.count("*").alias("n"), F.sum(F.col("y") * c).alias("yc"), F.sum(F.col("y") * s).alias("ys"), F.sum(c * c).alias("cc"), F.sum(c * s).alias("cs"))
+    ss = F.col("n") - F.col("cc")
+    half = F.atan2(F.col("cs") * 2, F.col("cc") - ss) / 2
+    sums = sums.withColumns({"u": F.cos(half), "v": F.sin(half), "ss": ss})
+    u, v, cross = F.col("u"), F.col("v"), F.col("cs") * F.col("u") * F.col("v") * 2
     sq = lambda x: x * x
-    part = lambda x: F.coalesce(F.try_divide(sq(F.sum(F.col("y") * x)), F.sum(x * x)), F.lit(0.0))
-    p = 0.5 * (part(c) + part(s))
-    return both.groupBy(*keys, "f").agg(p.alias("p"))
+    cosines = F.try_divide(sq(F.col("yc") * u + F.col("ys") * v), F.col("cc") * u * u + cross + F.col("ss") * v * v)
+    sines = F.try_divide(sq(F.col("ys") * u - F.col("yc") * v), F.col("ss") * u * u - cross + F.col("cc") * v * v)
+    return sums.select(*keys, "f", ((F.coalesce(cosines, F.lit(0.0)) + F.coalesce(sines, F.lit(0.0))) * 0.5).alias("p"))
 
 
 def scaled_to_variance(spectrum: DataFrame, variances: DataFrame, keys: list[str], step: float) -> DataFrame:

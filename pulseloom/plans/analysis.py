@@ -531,24 +531,33 @@ def welch_psd(spark: SparkSession, d: str) -> DataFrame:
     return x.select("rec", F.explode(signal.welch_psd("x", F.lit(1.0), F.lit(256))).alias("s")).select("rec", "s.f", F.round("s.p", 6).alias("p"))
 
 
-# Without SQL: too slow there over all windows; tests hold them to plain sums.
+# -- periodograms of all windows -------------------------------------------------------
 
+#: Sums over beats and frequencies, turned by half the phase of the double frequency: {t} a beat's time, {f} the k-th of 1000 frequencies.
+_PERIODOGRAM = """{win}, lw AS (SELECT rec, minute, n, i, rr_ms / 1000.0::DOUBLE - avg(rr_ms / 1000.0::DOUBLE) OVER (PARTITION BY rec, minute) AS y, {t} AS t FROM w10 WHERE n >= 20),
+lk AS (SELECT k, {f} AS f FROM (SELECT unnest(range(0, 1000)) AS k)), lt AS (SELECT rec, minute, f, y, cos(2 * pi() * f * t) AS c, sin(2 * pi() * f * t) AS s FROM lw, lk),
+lu AS (SELECT rec, minute, f, sum(y * c) AS yc, sum(y * s) AS ys, sum(c * c) AS cc, sum(s * s) AS ss, sum(c * s) AS cs FROM lt GROUP BY rec, minute, f), lv AS (SELECT *, cos(atan2(2 * cs, cc - ss) / 2) AS u, sin(atan2(2 * cs, cc - ss) / 2) AS v FROM lu),
+lq AS (SELECT rec, minute, sum(y * y) AS yy, count(*) AS n FROM lw GROUP BY rec, minute),
+lx AS (SELECT *, ss * u * u - 2 * cs * u * v + cc * v * v AS sx FROM lv),
+lp AS (SELECT rec, minute, f, 0.5 * ((yc * u + ys * v) ** 2 / (cc * u * u + 2 * cs * u * v + ss * v * v) + CASE WHEN sx > 1e-9 * (cc + ss) THEN (ys * u - yc * v) ** 2 / sx ELSE 0 END) AS p FROM lx)"""
 
-def _spectra(spark: SparkSession, d: str, kind: str) -> DataFrame:
+
+def _spectra(spark: SparkSession, d: str, kind: str, digits: int) -> DataFrame:
     w = signal.window_series(beats(spark, d), 10, 20)
-    return w.select("rec", "minute", F.explode(signal.spectrum(kind)("rr", "t")).alias("s")).select("rec", "minute", "s.f", "s.p")
+    return w.select("rec", "minute", F.explode(signal.spectrum(kind)("rr", "t")).alias("s")).select("rec", "minute", F.round("s.f", 9).alias("f"), F.round("s.p", digits).alias("p"))
 
 
-@query()
+@query(f"""{_B}, {_PERIODOGRAM.format(win=_WIN.format(m=10), t="i - 1", f="0.001 + k * (0.499::DOUBLE / 999)")} SELECT rec, minute, round(f, 9) AS f, round(2 * p / yy, 6) AS p FROM lp JOIN lq USING (rec, minute)""")
 def lomb_scargle_10(spark: SparkSession, d: str) -> DataFrame:
     """Normalised, over beat numbers, at 1000 frequencies of 0.001 to 0.5."""
-    return _spectra(spark, d, "lomb")
+    return _spectra(spark, d, "lomb", 6)
 
 
-@query()
+@query(f"""{_B}, {_PERIODOGRAM.format(win=_WIN.format(m=10), t="t_ms / 1000.0::DOUBLE", f="0.003 + k * (0.497::DOUBLE / 999)")}
+SELECT rec, minute, round(f, 9) AS f, round(p * (yy / n) / (sum(p) OVER (PARTITION BY rec, minute) * (0.497::DOUBLE / 999)), 4) AS p FROM lp JOIN lq USING (rec, minute)""")
 def lomb_density_10(spark: SparkSession, d: str) -> DataFrame:
     """Over time, at 1000 frequencies of 0.003 to 0.5, scaled to the variance."""
-    return _spectra(spark, d, "density")
+    return _spectra(spark, d, "density", 4)
 
 
 @query()

@@ -87,6 +87,26 @@ def test_lomb_scargle_finds_a_frequency_and_keeps_the_variance():
     assert math.isclose(p.sum() * (f[1] - f[0]), np.sin(2 * np.pi * 0.1 * t).var())
 
 
+def plain_periodogram(t, y, f):
+    y, w = y - y.mean(), 2 * np.pi * f[:, None]
+    tau = np.arctan2(np.sin(2 * w * t).sum(1), np.cos(2 * w * t).sum(1))[:, None] / (2 * w)
+    c, s = np.cos(w * (t - tau)), np.sin(w * (t - tau))
+    sines = (s * s).sum(1)  # none where all beats are half periods apart
+    return 0.5 * ((c @ y) ** 2 / (c * c).sum(1) + np.where(sines > 1e-9 * len(t), (s @ y) ** 2 / sines, 0.0))
+
+
+@pytest.mark.parametrize(("low", "high", "n"), [(0.003, 0.5, 1000), (0.001, 0.5, 1000), (0.01, 0.4, 37), (0.05, 0.06, 2)])
+def test_fast_periodogram_equals_plain_sums(low, high, n):
+    """Within 1e-11 of the largest power, for times far from 0, beats in order and out of it, and few of them."""
+    for t in (np.cumsum(RNG.uniform(0.4, 1.4, 700)), 80_000 + np.cumsum(RNG.uniform(0.4, 1.4, 300)), RNG.uniform(0, 600, 50), np.arange(600.0) + 1):
+        y, f = RNG.normal(0.8, 0.1, len(t)) + 0.2 * np.sin(2 * np.pi * 0.1 * t), np.linspace(low, high, n)
+        want = plain_periodogram(t, y, f)
+        assert np.abs(K.lomb_scargle(t, y, f) - want).max() < (1e-11 if t[0] < 1000 else 1e-9) * want.max()
+    t, w = RNG.uniform(0, 100, 40), RNG.normal(size=(2, 40))
+    f = 0.02 + 0.003 * np.arange(200)
+    assert np.abs(K.nonuniform_sums(t, w, 0.02, 0.003, 200) - w @ np.exp(2j * np.pi * np.outer(t, f))).max() < 1e-11
+
+
 def test_band_power_limits():
     f = np.linspace(0, 1, 101)
     assert math.isclose(K.band_power(f, np.ones(101), 0.2, 0.4), 0.2)
