@@ -18,7 +18,9 @@ tested against one pivot, the best among the smallest members of its bands. Clas
 are then in one component need no further test. What shares a band across components is
 held together by the bitmaps, and what these can't refute is tested on the full sets, so
 that no link is lost. Where bands would give very many such comparisons, further pivots
-join components first; a band that is still large is compared in tiles, task by task.
+join components first; a band that is still large is compared in tiles, task by task. The
+members of a pivot are dealt to parts of TILE, each of which gets the pivot's bitmaps and
+text once: neither the comparison nor the test of a hub is one key of a join.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; rows
 with the same doc_id are one node; rows with a null doc_id link with nothing, have a null
@@ -159,8 +161,20 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, schema)
 
 
+def parts_of(rows: str) -> Column:
+    """In how many parts the members of a band of so many rows are dealt."""
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / TILE)).cast("int").alias("parts")
+
+
+def dealt(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, parts, ...) with the columns of ``of`` (b, ...), which goes to each part of a hub once."""
+    copies = pairs.groupBy("b").agg(F.max("parts").alias("_n"))
+    there = copies.join(of, "b").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    return pairs.withColumn("_part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).join(there, ["b", "_part"])
+
+
 def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
+    """Those of the pairs (a, b, parts) whose full sets are similar enough."""
     def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for x in batches:
@@ -176,7 +190,7 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int = PERCENT
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    both = dealt(both, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")))
     return both.select("a", "b", "ta", "tb").mapInArrow(sure, "a long, b long")
 
 
@@ -224,8 +238,9 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     texts = staged(texts.join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
 
     # First round: each class against its most similar pivot.
-    best = likely(met.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), reps, percent)
-    best = best.groupBy("a").agg(F.min(F.struct("z", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    first = met.where("rep != pivot").groupBy(F.col("rep").alias("a"), F.col("pivot").alias("b")).agg(F.max("members").alias("members"))
+    best = likely(first.select("a", "b", parts_of("members")), reps, percent)
+    best = staged(best.groupBy("a").agg(F.min(F.struct("z", "b", "parts")).alias("x")).select("a", "x.b", "x.parts"), "pivots")
     # A doc_id with several texts ties their classes together.
     again = filled.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     again = filled.select("doc_id", "k1", "k2").join(again, "doc_id").join(classes, ["k1", "k2"])
@@ -244,12 +259,13 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
         if whole:
             with_marks = rows.select("band", "rep", "label", "all").join(reps.select("rep", "n", "sketch", "parity"), "rep")
             pairs = met_in_tiles(with_marks, percent)
-            pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+            pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.all").alias("all"))
+            pairs = pairs.groupBy("a", "b").agg(F.max("all").alias("all")).select("a", "b", parts_of("all"))
         else:
             pick = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "label")).alias("p"))
             pick = pick.select("band", F.col("p.rep").alias("b"), F.col("p.label").alias("of"))
-            pairs = rows.join(pick, "band").where("label != of").select(F.col("rep").alias("a"), "b").distinct()
-            pairs = likely(pairs, reps, percent).select("a", "b")
+            pairs = rows.join(pick, "band").where("label != of").groupBy(F.col("rep").alias("a"), "b").agg(F.max("all").alias("all"))
+            pairs = likely(pairs.select("a", "b", parts_of("all")), reps, percent).select("a", "b", "parts")
         pairs = staged(pairs, "pairs")
         found = staged(linked(pairs, texts, size, percent), "links")
         if not found.isEmpty():
@@ -258,7 +274,7 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
         discard(rows, pairs, found)
         if whole:
             break
-    discard(met, reps, texts)
+    discard(met, reps, texts, best)
 
     named = known.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
     named = named.withColumn("rep", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")))
@@ -300,11 +316,10 @@ def differing(x: Column, y: Column, bits: int) -> Column:
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches allow, with z."""
-    x = reps.select(F.col("rep").alias("a"), "n", "sketch", "parity").alias("x")
-    y = reps.select(F.col("rep").alias("b"), "n", "sketch", "parity").alias("y")
-    both = pairs.join(x, "a").join(y, "b").where(alike("x", "y", percent))
-    return both.select("a", "b", differing(F.col("x.sketch"), F.col("y.sketch"), SKETCH_BITS).alias("z"))
+    """Pairs (a, b, parts) that sizes and sketches allow, with z."""
+    marks = lambda key, name: reps.select(F.col("rep").alias(key), F.struct("n", "sketch", "parity").alias(name))
+    both = dealt(pairs.join(marks("a", "x"), "a"), marks("b", "y")).where(alike("x", "y", percent))
+    return both.select("a", "b", "parts", differing(F.col("x.sketch"), F.col("y.sketch"), SKETCH_BITS).alias("z"))
 
 
 def op4_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
