@@ -109,19 +109,19 @@ def marked(seed: Column, bits: int = FILTER_BITS) -> Column:
     return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
-def places(rows: DataFrame, id_: str, shapes: Mapping[str, Sequence[int]], window: int | None = None, known: DataFrame | None = None, bits: int = FILTER_BITS) -> DataFrame:
-    """(id, place, seed) of all places of ``text``; with ``window``, a text takes only the masks that serve its length.
+def places(rows: DataFrame, ids: list[str], shapes: Mapping[str, Sequence[int]], window: int | None = None, known: DataFrame | None = None, bits: int = FILTER_BITS) -> DataFrame:
+    """(ids, place, seed) of all places of ``text``; with ``window``, a text takes only the masks that serve its length.
 
     known: a :func:`bitmap`; seeds that it doesn't mark become null.
     """
-    hashed = rows.select(id_, F.transform(tokens("text"), lambda w: F.xxhash64(w)).alias("h"))
+    hashed = rows.select(*ids, F.transform(tokens("text"), lambda w: F.xxhash64(w)).alias("h"))
     served = [F.least(F.size("h"), F.lit(window)).isin(list(ns)) for ns in shapes.values()] if window else None
-    hashed = hashed.select(id_, F.size("h").alias("n"), seeds(F.col("h"), list(shapes), served).alias("s"))
+    hashed = hashed.select(*ids, F.size("h").alias("n"), seeds(F.col("h"), list(shapes), served).alias("s"))
     if known is not None:
         hashed = hashed.join(F.broadcast(known)).withColumn("s", F.transform("s", lambda x: F.when(marked(x, bits), x)))
     # The outer form: for the inner one Spark infers a filter that computes all hashes a second time.
-    each = hashed.select(id_, "n", F.posexplode_outer("s").alias("at", "seed"))
-    return each.select(id_, (F.col("at") % F.greatest("n", F.lit(1))).alias("place"), "seed")
+    each = hashed.select(*ids, "n", F.posexplode_outer("s").alias("at", "seed"))
+    return each.select(*ids, (F.col("at") % F.greatest("n", F.lit(1))).alias("place"), "seed")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
@@ -133,21 +133,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
     size = F.least(F.size(tokens("text")), F.lit(window)).alias("n")
     lengths = [r["n"] for r in items.select(size).distinct().collect() if r["n"] > 0] or [window]
     used = shapes(lengths, masks, agree)
-    wanted = staged(places(items, "item_id", used, window).where(F.col("seed").isNotNull()).distinct(), "seeds")
+    wanted = staged(places(items, ["item_id"], used, window).where(F.col("seed").isNotNull()).distinct(), "seeds")
     few = wanted.count() <= BROADCAST_ROWS
     known = None if few else staged(bitmap(wanted, FILTER_BITS), "seed-filter")
-    found = places(docs.select("doc_id", "text"), "doc_id", used, known=known, bits=FILTER_BITS).alias("d")
+    # Rows without an id go by a digest of their text, so that they are no single key.
+    docs = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.md5("text")).alias("mark"))
+    ids = ["doc_id", "mark"]
+    found = places(docs, ids, used, known=known, bits=FILTER_BITS).alias("d")
     found = (found if few else found.where(F.col("seed").isNotNull())).join((F.broadcast(wanted) if few else wanted).alias("b"), "seed")
-    diagonals = staged(
-        found.select("doc_id", "item_id", (F.col("d.place") - F.col("b.place")).alias("shift")).distinct(), "diagonals"
-    )
-    # Only documents with hits come back for their tokens.
-    texts = docs.select("doc_id", "text").join(
-        diagonals.select(F.col("doc_id").alias("hit")).distinct(), F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi"
-    )
-    docs_t = texts.select(F.col("doc_id").alias("did"), tokens("text").alias("dt"))
+    shifts = F.collect_set(F.col("d.place") - F.col("b.place")).alias("shifts")
+    diagonals = staged(found.groupBy(*ids, "item_id").agg(shifts), "diagonals")
+    # Only documents with hits come back for their tokens, once for each item, however many diagonals they share.
+    same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & F.col(f"{x}.mark").eqNullSafe(F.col(f"{y}.mark"))
+    texts = docs.alias("x").join(diagonals.select(*ids).distinct().alias("y"), same("x", "y"), "left_semi")
+    docs_t = texts.select(*ids, tokens("text").alias("dt"))
     items_t = items.select(F.col("item_id").alias("iid"), tokens("text").alias("it"))
-    pairs = diagonals.join(docs_t, F.col("doc_id").eqNullSafe(F.col("did"))).join(items_t, F.col("item_id") == F.col("iid"))
+    pairs = diagonals.alias("x").join(docs_t.alias("y"), same("x", "y")).select("x.doc_id", "item_id", "shifts", "dt").join(items_t, F.col("item_id") == F.col("iid"))
+    pairs = pairs.withColumn("shift", F.explode("shifts")).drop("shifts")
     start = F.greatest(F.col("shift"), F.lit(0))
     length = F.least(F.size("dt") - start, F.size("it") - F.greatest(-F.col("shift"), F.lit(0)))
     aligned = pairs.select("doc_id", "item_id", start.alias("start"), F.size("it").alias("n_item"), F.zip_with(
