@@ -26,8 +26,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import log, main, settings, shared_folder, told
+from jobs.common import log, main, settings, told
 from pulseloom.functions.columns import SEIZURE_CODES, SEIZURE_WORDS, is_seizure
+from pulseloom.sources.store import shared_folder
 
 #: Files of one batch; age beyond which a file that arrives late would be left out.
 DEFAULTS = {"max_files": 1000, "max_age": "3650d"}

@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import logging
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,16 +26,6 @@ def told(df: DataFrame, verb: str, what: str, path: str) -> DataFrame:
     return df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a local session without one (a test) gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="pulseloom-jobs-")
-
-
 def main(name: str, run: Callable[[SparkSession, str, str, dict], object]) -> None:
     """Run a job from the command line, in a session of its own."""
     args = argparse.ArgumentParser(prog=name)

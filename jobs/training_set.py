@@ -20,10 +20,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import log, main, settings, shared_folder, told
+from jobs.common import log, main, settings, told
 from pulseloom.plans import training
 from pulseloom.plans.recordings import _POIN, _STATUS, _TIME_3
 from pulseloom.sources.fixtures import BEATS_SQL, SEIZURES_SQL, beats, seizures
+from pulseloom.sources.store import shared_folder
 
 #: seed of the splits; shares of subjects for test, and of the rest for validation; folders that
 #: recordings are dealt to; digits of scaled features.

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pulseloom.functions import kernels as K
 from pulseloom.operators.filters import BLOCK, padding, zero_phase
 from pulseloom.operators.tachogram import by_rec, in_order, winsorised
+from pulseloom.sources.store import staged
 
 #: Intervals up to this, in milliseconds, are merged into a neighbour.
 SHORT_MS = 250
@@ -120,5 +121,6 @@ def cleaned(beats: DataFrame, merge: bool = True, retime: bool = True, block: in
     enough = beats.groupBy("rec").agg(F.count("*").alias("_n")).where("_n >= 4").select("rec")
     rows = winsorised(beats.join(enough, "rec", "left_semi"), retime)
     x = (F.col("rr_w") - F.avg("rr_w").over(by_rec())) / 1000
-    rows = rows.select("rec", F.col("beat_idx").cast("long").alias("i"), x.alias("x"), (F.col("t_w") / 1000).alias("t"))
+    # Its facts, its grid and what is read off it all look at this table.
+    rows = staged(rows.select("rec", F.col("beat_idx").cast("long").alias("i"), x.alias("x"), (F.col("t_w") / 1000).alias("t")), "centred")
     return detrended(rows, block=block).select("rec", "i", "x", F.col("t").alias("t_s"))

@@ -55,23 +55,26 @@ def status(minutes: DataFrame, seizures: DataFrame) -> DataFrame:
 
 
 def validated(seizures: DataFrame) -> DataFrame:
-    """``seizures`` with is_valid: onset at 20 minutes or later, and not within 30 minutes after a valid one.
+    """``seizures`` with is_valid: onset at 20 minutes or later, and not within 30 minutes after a valid one; an equal onset stays valid.
 
-    A fold over the sorted onsets of a recording; an equal onset stays valid.
+    Only distinct onsets decide. An onset that is further than 30 minutes after the one before
+    it is valid whatever came earlier: there a recording is cut, and each piece is scanned
+    alone. Times are whole seconds, so that a piece is bounded by its length, however many
+    events it has.
     """
-    e = F.array_sort(F.collect_list(F.struct("onset_s", "idx")))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("ok"))
+    onsets = seizures.where(F.col("onset_s") >= FIRST_S).select("rec", "onset_s").distinct()
+    order = Window.partitionBy("rec").orderBy("onset_s")
+    far = F.coalesce(F.col("onset_s") - F.lag("onset_s").over(order) > APART_S, F.lit(True))
+    pieces = onsets.withColumn("_far", far.cast("long")).withColumn("_piece", F.sum("_far").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lone = F.col("_n") == 1
+    pieces = pieces.groupBy("rec", "_piece").agg(F.array_sort(F.collect_list("onset_s")).alias("_on"), F.count("*").alias("_n"))
 
-    def step(acc, z):
-        gap = z["onset_s"] - acc["last"]
-        fine = (z["onset_s"] >= FIRST_S) & (acc["last"].isNull() | ~((gap > 0) & (gap <= APART_S)))
-        return F.struct(
-            F.when(fine, z["onset_s"]).otherwise(acc["last"]).cast("bigint").alias("last"),
-            F.when(fine, F.concat(acc["ok"], F.array(z["idx"]))).otherwise(acc["ok"]).alias("ok"),
-        )
+    def step(kept: Column, at: Column) -> Column:
+        return F.when(at - F.element_at(kept, -1) > APART_S, F.concat(kept, F.array(at))).otherwise(kept)
 
-    ok = seizures.groupBy("rec").agg(F.aggregate(e, start, step, lambda acc: acc["ok"]).alias("_ok"))
-    return seizures.join(ok, "rec").withColumn("is_valid", F.array_contains("_ok", F.col("idx"))).drop("_ok")
+    kept = F.when(lone, F.col("_on")).otherwise(F.aggregate(F.slice("_on", 2, F.size("_on")), F.slice("_on", 1, 1), step))
+    valid = pieces.select("rec", F.explode(kept).alias("onset_s"), F.lit(True).alias("_valid"))
+    return seizures.join(valid, ["rec", "onset_s"], "left").withColumn("is_valid", F.coalesce("_valid", F.lit(False))).select(*seizures.columns, "is_valid")
 
 
 def valid_counts(checked: DataFrame) -> DataFrame:
@@ -125,47 +128,87 @@ def label_spans(seizures: DataFrame, n_samples: int | Column, fs: int, sph_s: in
     return one.unionByName(two).where(F.col("start") < F.col("end"))
 
 
-def labels_at(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """``points`` (rec, sample) with label: that of the last event that covers the sample, ictal first within an event; else 0."""
-    z = spans.groupBy("rec").agg(F.collect_list(F.struct("idx", "label", "start", "end")).alias("_z"))
-    over = F.filter("_z", lambda s: (s["start"] <= F.col("sample")) & (F.col("sample") < s["end"]))
-    best = F.array_max(F.transform(over, lambda s: F.struct(s["idx"].alias("idx"), s["label"].alias("label"))))
-    return points.join(z, "rec", "left").withColumn("label", F.coalesce(best["label"], F.lit(0))).drop("_z")
+def pieces(spans: DataFrame, cell: int) -> DataFrame:
+    """(rec, cell, start, end, label): what spans (rec, start, end, label, idx) make of each cell of ``cell`` samples, as runs that don't overlap.
 
-
-def label_stats(labelled: DataFrame, fs: int) -> DataFrame:
-    """Counts, shares and durations of the labels 0, 1 and 2, a row each."""
-    spine = labelled.sparkSession.createDataFrame([(0,), (1,), (2,)], "label int")
-    n = labelled.groupBy("label").agg(F.count("*").alias("n"))
+    A sample has the label of the last event that covers it, ictal first within an event. Spans
+    go to the cells that they reach into; there the ends of all of them cut the cell into
+    stretches, each of which has one winner. So many spans of one recording never meet in one
+    place, only those of one cell do.
+    """
+    first, last = F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell)
+    rows = spans.withColumn("cell", F.explode(F.sequence(first, last)))
+    low, high = F.greatest("start", F.col("cell") * cell), F.least("end", (F.col("cell") + 1) * cell)
+    rows = rows.groupBy("rec", "cell").agg(F.collect_list(F.struct("idx", "label", low.alias("a"), high.alias("b"))).alias("z"))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.transform("z", lambda s: s["a"]), F.transform("z", lambda s: s["b"]))))
+    rows = rows.withColumn("cuts", cuts)
+
+    def stretch(i: Column) -> Column:
+        start = F.get("cuts", i)
+        over = F.filter("z", lambda s: (s["a"] <= start) & (start < s["b"]))
+        best = F.array_max(F.transform(over, lambda s: F.struct(s["idx"].alias("idx"), s["label"].alias("label"))))
+        return F.struct(start.alias("start"), F.get("cuts", i + 1).alias("end"), best["label"].alias("label"))
+
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), stretch)).alias("s")
+    return rows.select("rec", "cell", each).select("rec", "cell", "s.*").where("label IS NOT NULL")
+
+
+def runs(spans: DataFrame, lengths: DataFrame, cell: int) -> DataFrame:
+    """(rec, start, end, label): each recording as runs of equal labels from 0 to its n samples, those without a label as 0. lengths: (rec, n)."""
+    order = Window.partitionBy("rec").orderBy("start")
+    p = pieces(spans, cell).drop("cell")
+    goes_on = F.coalesce((F.lag("end").over(order) == F.col("start")) & (F.lag("label").over(order) == F.col("label")), F.lit(False))
+    p = p.withColumn("_new", (~goes_on).cast("long")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    full = p.groupBy("rec", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("label").alias("label")).drop("_run")
+    gaps = full.select("rec", "start", "end").unionByName(lengths.select("rec", F.col("n").cast("long").alias("start"), F.col("n").cast("long").alias("end")))
+    gaps = gaps.select("rec", F.coalesce(F.lag("end").over(order), F.lit(0).cast("long")).alias("_from"), F.col("start").alias("_to")).where("_from < _to")
+    return full.unionByName(gaps.select("rec", F.col("_from").alias("start"), F.col("_to").alias("end"), F.lit(0).alias("label")))
+
+
+def samples_of(run: DataFrame) -> DataFrame:
+    """(rec, sample, label) of every sample of :func:`runs`."""
+    return run.select("rec", F.explode(F.sequence("start", F.col("end") - 1)).alias("sample"), "label")
+
+
+def labels_at(points: DataFrame, spans: DataFrame, cell: int) -> DataFrame:
+    """``points`` (rec, sample, ...) with label, 0 where no span covers the sample; points meet the runs of their cell only."""
+    there = pieces(spans, cell).groupBy("rec", F.col("cell").alias("_cell")).agg(F.collect_list(F.struct("start", "end", "label")).alias("_z"))
+    rows = points.withColumn("_cell", F.floor(F.col("sample") / cell)).join(there, ["rec", "_cell"], "left")
+    hit = F.filter("_z", lambda s: (s["start"] <= F.col("sample")) & (F.col("sample") < s["end"]))
+    return rows.withColumn("label", F.coalesce(F.get(hit, F.lit(0))["label"], F.lit(0))).drop("_z", "_cell")
+
+
+def label_stats(run: DataFrame, fs: int) -> DataFrame:
+    """Counts, shares and durations of the labels 0, 1 and 2, a row each, from lengths of :func:`runs`."""
+    spine = run.sparkSession.createDataFrame([(0,), (1,), (2,)], "label int")
+    n = run.groupBy("label").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
     rows = F.broadcast(spine).join(n, "label", "left").na.fill(0, ["n"])
-    total = labelled.agg(F.count("*").alias("total"))
-    rows = rows.join(F.broadcast(total))
+    rows = rows.withColumn("total", F.sum("n").over(Window.partitionBy()))  # three rows
     return rows.select("label", "n", F.round(F.col("n") * 100.0 / F.greatest("total", F.lit(1)), 6).alias("pct"), F.round(F.col("n") / fs, 6).alias("seconds"))
 
 
-def label_check(seizures: DataFrame, labelled: DataFrame, fs: int, sph_s: int, width_s: int) -> DataFrame:
-    """(rec, idx, target_possible, has_target, has_ictal) for each event, from the labels of samples.
+def label_check(seizures: DataFrame, spans: DataFrame, fs: int, sph_s: int, width_s: int) -> DataFrame:
+    """(rec, idx, target_possible, has_target, has_ictal) for each event: whether a sample of its reach bears the label.
 
-    Samples meet an event by cells of CELL_S seconds: what one task holds at once is a cell.
+    Reaches of events meet the runs of the cells that they touch.
     """
     cell = CELL_S * fs
-    cells = labelled.where("label > 0").groupBy("rec", "label", F.floor(F.col("sample") / cell).alias("cell")).agg(F.collect_list("sample").alias("samples"))
+    there = pieces(spans, cell).groupBy("rec", "label", "cell").agg(F.collect_list(F.struct("start", "end")).alias("z"))
     centre, half = F.col("onset_s") - sph_s, width_s / 2
-    reach = lambda label, a, b: F.struct(F.lit(label).alias("label"), (a * fs).cast("double").alias("a"), (b * fs).cast("double").alias("b"))
+    reach = lambda label, a, b: F.struct(F.lit(label).alias("label"), F.ceil(a * fs).alias("a"), F.ceil(b * fs).alias("b"))
     events = seizures.select("rec", "idx", (F.col("onset_s") >= sph_s + half).alias("target_possible"), F.explode(F.array(
         reach(1, centre - half, centre + half), reach(2, F.col("onset_s"), F.col("onset_s") + F.col("dur_s")),
     )).alias("x")).select("rec", "idx", "target_possible", "x.*")
-    first, last = F.floor(F.col("a") / cell), F.floor(F.col("b") / cell)
+    first, last = F.floor(F.col("a") / cell), F.floor((F.col("b") - 1) / cell)
     asked = events.withColumn("cell", F.explode_outer(F.when(first <= last, F.sequence(first, last))))
-    met = asked.join(cells, ["rec", "label", "cell"], "left")
-    hit = F.coalesce(F.exists("samples", lambda s: (s >= F.col("a")) & (s < F.col("b"))), F.lit(False))
-    met = met.withColumn("hit", hit)
+    met = asked.join(there, ["rec", "label", "cell"], "left")
+    met = met.withColumn("hit", F.coalesce(F.exists("z", lambda s: F.greatest(s["start"], F.col("a")) < F.least(s["end"], F.col("b"))), F.lit(False)))
     return met.groupBy("rec", "idx", "target_possible").agg(F.bool_or((F.col("label") == 1) & F.col("hit")).alias("has_target"), F.bool_or((F.col("label") == 2) & F.col("hit")).alias("has_ictal"))
 
 
-def window_centre_labels(points: DataFrame, spans: DataFrame, size: int, step: int) -> DataFrame:
+def window_centre_labels(points: DataFrame, spans: DataFrame, size: int, step: int, cell: int) -> DataFrame:
     """(rec, k, centre, label) of all hop windows of ``size`` samples; points: (rec, n_samples)."""
     n = F.floor((F.col("n_samples") - size) / step)
     rows = points.where(F.col("n_samples") >= size).select("rec", F.explode(F.sequence(F.lit(0), n.cast("int"))).alias("k"))
     rows = rows.withColumn("sample", (F.col("k") * step + size // 2).cast("bigint"))
-    return labels_at(rows, spans).withColumnRenamed("sample", "centre")
+    return labels_at(rows, spans, cell).withColumnRenamed("sample", "centre")

@@ -188,31 +188,3 @@ def r_peaks(signal: DataFrame, fs: float = 256.0, method: str = "basic", block:
         rows = rows.where(F.col("fs") == fs).select("recording_id", "i", F.col("x").cast("array<double>").alias("x")).unionByName(other)
     n = rows.groupBy("recording_id").agg(F.max(F.col("i") + F.size("x")).alias("n"))
     return peaks.r_peaks(rows.join(n, "recording_id"), fs, block=block)
-
-
-def psd_comparison(beats: DataFrame, least: int = 20) -> DataFrame:
-    """A row a recording: Lomb-Scargle against Welch (Akima, 2048 points, no detrend), and their differences."""
-    def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("beat_idx")
-        rr, t = rows["rr_ms"].to_numpy(float) / 1000, rows["t_ms"].to_numpy(float) / 1000
-        x, tx = K.preprocessed(rr, t)
-        if len(rr) < least or len(x) < least:
-            return pd.DataFrame()
-        fl, pl = K.lomb_density(tx, x)
-        _, even = K.resampled(tx, x, 4.0, "akima")
-        fw, pw = K.welch(even, 4.0, 2048, 1536, detrend=False)
-        a, b = ({n: K.band_power(f, p, *band) for n, band in (("total", (0.003, 0.4)), ("lf", K.LF), ("hf", K.HF))} for f, p in ((fl, pl), (fw, pw)))
-        rel = lambda u, v: abs(u - v) / v * 100 if v > 0 else 0.0
-        q = [s["lf"] / s["hf"] if s["hf"] > 0 else 0.0 for s in (a, b)]
-        logs = [np.log(v) if v > 0 else None for v in q]
-        return pd.DataFrame([{
-            "rec": key[0], "total_diff": rel(a["total"], b["total"]), "lf_hf_diff": rel(*q), "ln_lf_hf_diff": abs(logs[0] - logs[1]) if None not in logs else None,
-            "hf_diff": rel(a["hf"], b["hf"]), "peak_count_diff": abs(len(K.spectral_peaks(pl)) - len(K.spectral_peaks(pw))), "n_rr_intervals": len(rr),
-            "total_power_ls": a["total"], "total_power_welch": b["total"], "lf_hf_ls": q[0], "lf_hf_welch": q[1],
-        }])
-
-    schema = (
-        "rec long, total_diff double, lf_hf_diff double, ln_lf_hf_diff double, hf_diff double, peak_count_diff int, n_rr_intervals long,"
-        " total_power_ls double, total_power_welch double, lf_hf_ls double, lf_hf_welch double"
-    )
-    return spread(beats, "rec").groupBy("rec").applyInPandas(of, schema)

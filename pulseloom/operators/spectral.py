@@ -1,12 +1,19 @@
-"""Spectra as plain aggregations: no Python in the plan."""
+"""Spectra as aggregations over beats, blocks of beats, or segments of a series; Python only inside of a piece."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseloom.functions import kernels as K
+
+#: Beats of a block whose sums are formed at once.
+BLOCK = 8192
+
 
 def band_power(spectrum: DataFrame, keys: list[str], low: float, high: float, name: str) -> DataFrame:
     """(keys, name): trapezoid of (keys, f, p) over low <= f <= high."""
@@ -38,6 +45,66 @@ def lomb_scargle(rows: DataFrame, keys: list[str], frequencies: list[float]) ->
     return sums.select(*keys, "f", ((F.coalesce(cosines, F.lit(0.0)) + F.coalesce(sines, F.lit(0.0))) * 0.5).alias("p"))
 
 
+def lomb_density(rows: DataFrame, low: float = 0.003, high: float = 0.5, n: int = 1000, block: int = BLOCK) -> DataFrame:
+    """(rec, k, f, p): the periodogram of (rec, i, t, x) at n even frequencies, scaled so that its sum times the step is the population variance.
+
+    The sums over beats are formed block by block, in n log n each, and added up: a recording
+    of any length is no more than its blocks.
+    """
+    step = (high - low) / (n - 1)
+    facts = rows.groupBy("rec").agg(F.avg("x").alias("_mean"), F.var_pop("x").alias("_var"))
+    centred = rows.join(facts, "rec").select("rec", F.floor(F.col("i") / block).cast("int").alias("block"), "t", (F.col("x") - F.col("_mean")).alias("y"))
+
+    def of(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        t, y = part["t"].to_numpy(float), part["y"].to_numpy(float)
+        once = K.nonuniform_sums(t, y, low, step, n)[0]
+        twice = K.nonuniform_sums(t, np.ones(len(t)), 2 * low, 2 * step, n)[0]
+        return pd.DataFrame({"rec": key[0], "k": np.arange(n), "yr": once.real, "yi": once.imag, "dr": twice.real, "di": twice.imag, "n": len(t)})
+
+    sums = centred.groupBy("rec", "block").applyInPandas(of, "rec long, k int, yr double, yi double, dr double, di double, n long")
+    s = sums.groupBy("rec", "k").agg(*[F.sum(c).alias(c) for c in ("yr", "yi", "dr", "di", "n")])
+    # By half the phase of the double frequency, cosines and sines become orthogonal.
+    half, d = F.atan2("di", "dr") / 2, F.sqrt(F.col("dr") * F.col("dr") + F.col("di") * F.col("di"))
+    s = s.withColumns({"u": F.cos(half), "v": F.sin(half), "cc": (F.col("n") + d) / 2, "ss": (F.col("n") - d) / 2})
+    a, b = F.col("yr") * F.col("u") + F.col("yi") * F.col("v"), F.col("yi") * F.col("u") - F.col("yr") * F.col("v")
+    p = (a * a / F.col("cc") + F.when(F.col("ss") > F.col("n") * 1e-9, b * b / F.col("ss")).otherwise(0.0)) / 2
+    s = s.select("rec", "k", (F.col("k") * step + low).alias("f"), p.alias("p"))
+    total = F.sum("p").over(Window.partitionBy("rec")) * step
+    return s.withColumn("_t", total).join(facts, "rec").select("rec", "k", "f", F.when(F.col("_t") > 0, F.col("p") * F.col("_var") / F.col("_t")).otherwise(F.col("p")).alias("p"))
+
+
+def welch(rows: DataFrame, fs: float, segment: int, overlap: int | None = None, detrend: bool = True) -> DataFrame:
+    """(rec, k, f, p): one-sided density of (rec, i, x), i from 0 without gaps, averaged over Hann-windowed segments.
+
+    A value goes to the segments that hold it, each segment is transformed alone, and means are
+    formed over segments. A series shorter than a segment is one segment.
+    """
+    overlap = segment // 2 if overlap is None else overlap
+    sizes = rows.groupBy("rec").agg(F.count("*").alias("_n"))
+    size = F.least(F.lit(segment), F.col("_n"))
+    t = rows.select("rec", "i", "x").join(sizes, "rec").withColumns({"_size": size, "_step": size - F.least(F.lit(overlap), size - 1)})
+    low = F.greatest(F.ceil((F.col("i") - F.col("_size") + 1) / F.col("_step")), F.lit(0))
+    high = F.least(F.floor(F.col("i") / F.col("_step")), F.floor((F.col("_n") - F.col("_size")) / F.col("_step")))
+    t = t.where(low <= high).withColumn("_segment", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    x = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"])
+
+    @F.pandas_udf("array<double>")
+    def density(segments: pd.Series) -> pd.Series:
+        return pd.Series([K.welch(np.asarray(v, float), fs, len(v), 0, detrend)[1] for v in segments])
+
+    s = t.groupBy("rec", "_segment").agg(x.alias("x"), F.max("_size").alias("_size"))
+    s = s.select("rec", "_size", F.posexplode(density("x")).alias("k", "p"))
+    return s.groupBy("rec", "k").agg(F.avg("p").alias("p"), F.max("_size").alias("_size")).select("rec", "k", (F.col("k") * F.lit(float(fs)) / F.col("_size")).alias("f"), "p")
+
+
+def bands(spectrum: DataFrame, keys: list[str], limits: dict[str, tuple[float, float]]) -> DataFrame:
+    """(keys, a column for each band): trapezoids of (keys, f, p) over low <= f <= high, never negative, in one pass."""
+    order = Window.partitionBy(*keys).orderBy("f")
+    rows = spectrum.select(*keys, "f", F.lag("f").over(order).alias("_f0"), ((F.col("p") + F.lag("p").over(order)) / 2 * (F.col("f") - F.lag("f").over(order))).alias("_a"))
+    total = lambda low, high: F.greatest(F.coalesce(F.sum(F.when((F.col("_f0") >= low) & (F.col("f") <= high), F.col("_a"))), F.lit(0.0)), F.lit(0.0))
+    return rows.groupBy(*keys).agg(*[total(*v).alias(k) for k, v in limits.items()])
+
+
 def scaled_to_variance(spectrum: DataFrame, variances: DataFrame, keys: list[str], step: float) -> DataFrame:
     """Powers scaled so that their sum times the step is ``variance``."""
     total = F.sum("p").over(Window.partitionBy(*keys)) * step

@@ -162,12 +162,13 @@ def masked_cross_entropy(rows: DataFrame) -> DataFrame:
     return rows.agg(F.round(F.sum(-F.ln("p_true") * F.col("w") * F.col("m")) / F.greatest(F.sum("m"), F.lit(1)), 6).alias("loss"))
 
 
-def summary(rows: DataFrame, value: str) -> DataFrame:
-    """Count, mean, sample deviation, median, quartiles (linear), extremes."""
+def summary(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """Count, mean, sample deviation, median, quartiles (linear), extremes, of all rows or for each key."""
+    keys = keys or []
     q = F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D))")
-    s = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q.alias("q"), F.min(value).alias("least"), F.max(value).alias("most"))
+    s = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q.alias("q"), F.min(value).alias("least"), F.max(value).alias("most"))
     r = lambda c: F.round(c, 6)
-    return s.select("n", r("mean").alias("mean"), r("std").alias("std"), r(F.col("q")[0]).alias("q1"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q3"), "least", "most")
+    return s.select(*keys, "n", r("mean").alias("mean"), r("std").alias("std"), r(F.col("q")[0]).alias("q1"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q3"), "least", "most")
 
 
 def verdict(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import agreement, class_of, log_ratio, ratio
-from pulseloom.operators import cleaning, dataset, features, resample, signal, spectral, stats
+from pulseloom.operators import cleaning, comparison, dataset, features, resample, signal, spectral, stats
 from pulseloom.plans.recordings import _B, _BZ, _POIN, _STATUS, _TIME_3, _status, r6
 from pulseloom.schemas import FEATURES
 from pulseloom.sources.files import decode_weights, encode_weights
@@ -468,10 +468,32 @@ def merge_short(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.merged_short(beats(spark, d)).select("rec", "i", (F.col("rr_ms") / 1000).alias("rr_s"), (F.col("t_ms") / 1000).alias("t_s"))
 
 
-@query()
+#: Slow trends of ce (rec, i, x, t) removed: onto an even grid, through two high-pass sections sample by sample, forward and backward over the oddly extended grid, and back to the beats. No recording here is too brief for that.
+_HIGHPASS = """fa AS (SELECT rec, count(*) AS n, min(t) AS t0, max(t) - min(t) AS span FROM ce GROUP BY rec), fb AS (SELECT *, greatest(4.0::DOUBLE, n * 2 / span) AS fs FROM fa),
+fc AS (SELECT *, CAST(floor(span * fs) AS BIGINT) AS m, tan(pi() * 0.003 / fs) AS w FROM fb), fd AS (SELECT *, span / (m - 1) AS step, 1 / (1 + 2 * cos(pi() / 8) * w + w * w) AS u1, 1 / (1 + 2 * cos(3 * pi() / 8) * w + w * w) AS u2 FROM fc),
+co AS (SELECT *, 2 * (w * w - 1) * u1 AS a1, (1 - 2 * cos(pi() / 8) * w + w * w) * u1 AS a2, 2 * (w * w - 1) * u2 AS d1, (1 - 2 * cos(3 * pi() / 8) * w + w * w) * u2 AS d2 FROM fd),
+li AS (SELECT c.*, t0, step, m, i = n - 2 AS final, lead(x) OVER o AS x1, lead(t) OVER o AS t1 FROM ce c JOIN co USING (rec) WINDOW o AS (PARTITION BY rec ORDER BY i)),
+gr AS (SELECT rec, m, k, x + (t0 + k * step - t) * (x1 - x) / (t1 - t) AS g FROM (SELECT *, unnest(range(CAST(ceil((t - t0) / step) AS BIGINT), CASE WHEN final THEN m ELSE least(CAST(ceil((t1 - t0) / step) AS BIGINT), m) END)) AS k FROM li WHERE t1 > t)),
+ex AS (SELECT rec, k, g, m FROM gr UNION ALL SELECT a.rec, -b.k, 2 * a.g - b.g, a.m FROM gr a JOIN gr b ON a.rec = b.rec AND a.k = 0 AND b.k BETWEEN 1 AND 15
+  UNION ALL SELECT a.rec, 2 * (a.m - 1) - b.k, 2 * a.g - b.g, a.m FROM gr a JOIN gr b ON a.rec = b.rec AND a.k = a.m - 1 AND b.k BETWEEN a.m - 16 AND a.m - 2),
+f1 AS (SELECT rec, k, NULL::DOUBLE AS y, -u1 * g AS z1, u1 * g AS z2, 0::DOUBLE AS z3, 0::DOUBLE AS z4, u1, a1, a2, u2, d1, d2 FROM ex JOIN co USING (rec) WHERE k = -15
+  UNION ALL SELECT rec, k + 1, u2 * y1 + z3, -2 * u1 * g - a1 * y1 + z2, u1 * g - a2 * y1, -2 * u2 * y1 - d1 * (u2 * y1 + z3) + z4, u2 * y1 - d2 * (u2 * y1 + z3), u1, a1, a2, u2, d1, d2
+  FROM (SELECT f.*, e.g, u1 * e.g + z1 AS y1 FROM f1 f JOIN ex e ON e.rec = f.rec AND e.k = f.k)),
+fo AS (SELECT rec, k - 1 AS k, y AS g FROM f1 WHERE y IS NOT NULL),
+b1 AS (SELECT rec, k, NULL::DOUBLE AS y, -u1 * g AS z1, u1 * g AS z2, 0::DOUBLE AS z3, 0::DOUBLE AS z4, u1, a1, a2, u2, d1, d2 FROM fo JOIN co USING (rec) WHERE k = m + 14
+  UNION ALL SELECT rec, k - 1, u2 * y1 + z3, -2 * u1 * g - a1 * y1 + z2, u1 * g - a2 * y1, -2 * u2 * y1 - d1 * (u2 * y1 + z3) + z4, u2 * y1 - d2 * (u2 * y1 + z3), u1, a1, a2, u2, d1, d2
+  FROM (SELECT f.*, e.g, u1 * e.g + z1 AS y1 FROM b1 f JOIN fo e ON e.rec = f.rec AND e.k = f.k WHERE f.k >= 0)),
+yo AS (SELECT rec, k + 1 AS k, y, coalesce(lag(y) OVER (PARTITION BY rec ORDER BY k DESC), y) AS y1 FROM b1 JOIN co USING (rec) WHERE y IS NOT NULL AND k + 1 BETWEEN 0 AND m - 1),
+hp AS (SELECT c.rec, c.i, y + ((t - t0) / step - k) * (y1 - y) AS x, t FROM ce c JOIN co USING (rec) JOIN yo ON yo.rec = c.rec AND yo.k = least(CAST(floor((t - t0) / step) AS BIGINT), m - 1))"""
+_WINSORISED = """wq AS (SELECT rec, quantile_cont(rr_ms, 0.25) AS q1, quantile_cont(rr_ms, 0.75) AS q3, count(*) AS n FROM {src} GROUP BY rec),
+wr AS (SELECT rec, i, t_ms, CASE WHEN rr_ms < q1 - 1.5 * (q3 - q1) THEN q1 WHEN rr_ms > q3 + 1.5 * (q3 - q1) THEN q3 ELSE rr_ms END AS rr FROM {src} JOIN wq USING (rec) WHERE n >= 4)"""
+
+
+@query(f"""{_B.replace('WITH', 'WITH RECURSIVE')}, {_MERGED}, {_WINSORISED.format(src="merged")},
+ce AS (SELECT rec, i, (rr - avg(rr) OVER (PARTITION BY rec)) / 1000 AS x, (first(t_ms) OVER o + coalesce(sum(rr) OVER (PARTITION BY rec ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / 1000 AS t FROM wr WINDOW o AS (PARTITION BY rec ORDER BY i)), {_HIGHPASS}
+SELECT rec, i, round(x, 6) AS x, t AS t_s FROM hp""")
 def preprocess_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Without SQL: the filter's recursion over all samples is too slow there; tests hold it to the chain in one piece."""
-    return cleaning.cleaned(beats(spark, d))
+    return cleaning.cleaned(beats(spark, d)).select("rec", "i", *r6("x"), "t_s")
 
 
 # -- even grids ------------------------------------------------------------------------
@@ -526,9 +548,8 @@ ba AS (SELECT k, list((0.5 - 0.5 * cos(2 * pi() * j / 256)) * cos(2 * pi() * ((k
 SELECT rec, k / 256 AS f, round(avg(list_dot_product(x, c) ** 2 + list_dot_product(x, s) ** 2) / 96 * CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END, 6) AS p FROM ce, ba GROUP BY rec, k""")
 def welch_psd(spark: SparkSession, d: str) -> DataFrame:
     """Over all beats of each recording, in segments of 256."""
-    b = beats(spark, d).select("rec", F.col("beat_idx").alias("i"), (F.col("rr_ms") / 1000.0).alias("x"))
-    x = b.groupBy("rec").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("x"))
-    return x.select("rec", F.explode(signal.welch_psd("x", F.lit(1.0), F.lit(256))).alias("s")).select("rec", "s.f", F.round("s.p", 6).alias("p"))
+    b = beats(spark, d).select("rec", (F.col("beat_idx") - 1).alias("i"), (F.col("rr_ms") / 1000.0).alias("x"))
+    return spectral.welch(b, 1.0, 256).select("rec", "f", *r6("p"))
 
 
 # -- periodograms of all windows -------------------------------------------------------
@@ -560,34 +581,67 @@ def lomb_density_10(spark: SparkSession, d: str) -> DataFrame:
     return _spectra(spark, d, "density", 4)
 
 
-@query()
+# -- Lomb-Scargle against Welch ---------------------------------------------------------
+
+_PSD = f"""{_B.replace('WITH', 'WITH RECURSIVE')}, seg AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY beat_idx) - 1 AS i, rr_ms, t_ms FROM clean WHERE t_ms <= 1500000 QUALIFY count(*) OVER (PARTITION BY rec) >= 20),
+{_WINSORISED.format(src="seg")}, ce AS (SELECT rec, i, (rr - avg(rr) OVER (PARTITION BY rec)) / 1000 AS x, t_ms / 1000 AS t FROM wr), {_HIGHPASS},
+hy AS (SELECT rec, t, x - avg(x) OVER (PARTITION BY rec) AS y FROM hp), hf AS (SELECT k, 0.003 + k * (0.497::DOUBLE / 999) AS f FROM (SELECT unnest(range(0, 1000)) AS k)),
+hs AS (SELECT rec, k, f, sum(y * cos(2 * pi() * f * t)) AS yc, sum(y * sin(2 * pi() * f * t)) AS ys, sum(cos(2 * pi() * f * t) ** 2) AS cc, sum(sin(2 * pi() * f * t) ** 2) AS ss, sum(cos(2 * pi() * f * t) * sin(2 * pi() * f * t)) AS cs FROM hy, hf GROUP BY rec, k, f),
+ht AS (SELECT *, cos(atan2(2 * cs, cc - ss) / 2) AS u, sin(atan2(2 * cs, cc - ss) / 2) AS v FROM hs),
+hd AS (SELECT rec, k, f, 0.5 * ((yc * u + ys * v) ** 2 / (cc * u * u + 2 * cs * u * v + ss * v * v) + (ys * u - yc * v) ** 2 / (ss * u * u - 2 * cs * u * v + cc * v * v)) AS p FROM ht),
+hv AS (SELECT rec, var_pop(y) AS variance FROM hy GROUP BY rec),
+sa AS (SELECT rec, 'a' AS m, k, f, p * variance / (sum(p) OVER (PARTITION BY rec) * (0.497::DOUBLE / 999)) AS p FROM hd JOIN hv USING (rec)),
+hk AS (SELECT rec, i AS beat_idx, CAST(round(t * 1000) AS BIGINT) AS t_ms, x * 1000 AS rr_ms FROM hp), {_KNOTS.replace("FROM beats", "FROM hk")}, {_AKIMA}, {_CURVE},
+wx AS (SELECT rec, list(x ORDER BY i) AS x, count(*) AS m FROM curve GROUP BY rec), wg AS (SELECT rec, list_slice(x, s * 512 + 1, s * 512 + 2048) AS x FROM (SELECT *, unnest(range(0, (m - 2048) // 512 + 1)) AS s FROM wx)),
+wb AS (SELECT k, list((0.5 - 0.5 * cos(2 * pi() * j / 2048)) * cos(2 * pi() * ((k * j) % 2048) / 2048) ORDER BY j) AS c, list((0.5 - 0.5 * cos(2 * pi() * j / 2048)) * sin(2 * pi() * ((k * j) % 2048) / 2048) ORDER BY j) AS s FROM (SELECT unnest(range(0, 1025)) AS k), (SELECT unnest(range(0, 2048)) AS j) GROUP BY k),
+sb AS (SELECT rec, 'b' AS m, k, k / 512 AS f, avg(list_dot_product(x, c) ** 2 + list_dot_product(x, s) ** 2) / (4 * 768) * CASE WHEN k IN (0, 1024) THEN 1 ELSE 2 END AS p FROM wg, wb GROUP BY rec, k),
+sp AS (SELECT * FROM sa UNION ALL SELECT * FROM sb), sq AS (SELECT *, lag(f) OVER o AS f0, (p + lag(p) OVER o) / 2 * (f - lag(f) OVER o) AS area, lag(p) OVER o AS before, lead(p) OVER o AS after, max(p) OVER (PARTITION BY rec, m) AS top FROM sp WINDOW o AS (PARTITION BY rec, m ORDER BY f)),
+bp AS (SELECT rec, m, coalesce(sum(area) FILTER (f0 >= 0.003 AND f <= 0.4), 0) AS total, coalesce(sum(area) FILTER (f0 >= 0.04 AND f <= 0.15), 0) AS lf, coalesce(sum(area) FILTER (f0 >= 0.15 AND f <= 0.4), 0) AS hf FROM sq GROUP BY rec, m),
+pk AS (SELECT rec, m, 0 AS n, list(k ORDER BY p DESC, k DESC) AS l FROM sq WHERE p > before AND p > after AND p >= 0.1 * top GROUP BY rec, m UNION ALL SELECT rec, m, n + 1, list_filter(l, lambda x: abs(x - l[1]) >= 10) FROM pk WHERE len(l) > 0),
+pn AS (SELECT rec, m, max(n) AS n FROM pk GROUP BY rec, m), sn AS (SELECT rec, count(*) AS n FROM seg GROUP BY rec),
+pc AS (SELECT a.rec, a.total AS ta, b.total AS tb, a.hf AS ha, b.hf AS hb, CASE WHEN a.hf > 0 THEN a.lf / a.hf ELSE 0 END AS qa, CASE WHEN b.hf > 0 THEN b.lf / b.hf ELSE 0 END AS qb, coalesce(pa.n, 0) AS na, coalesce(pb.n, 0) AS nb, sn.n
+  FROM bp a JOIN bp b ON a.rec = b.rec AND a.m = 'a' AND b.m = 'b' JOIN sn ON sn.rec = a.rec LEFT JOIN pn pa ON pa.rec = a.rec AND pa.m = 'a' LEFT JOIN pn pb ON pb.rec = a.rec AND pb.m = 'b'),
+cmp AS (SELECT rec, CASE WHEN tb > 0 THEN abs(ta - tb) / tb ELSE 0 END * 100 AS total_diff, CASE WHEN qb > 0 THEN abs(qa - qb) / qb ELSE 0 END * 100 AS lf_hf_diff, CASE WHEN qa > 0 AND qb > 0 THEN abs(ln(qa) - ln(qb)) END AS ln_lf_hf_diff,
+  CASE WHEN hb > 0 THEN abs(ha - hb) / hb ELSE 0 END * 100 AS hf_diff, CAST(abs(na - nb) AS INTEGER) AS peak_count_diff, n AS n_rr_intervals, ta AS total_power_ls, tb AS total_power_welch, qa AS lf_hf_ls, qb AS lf_hf_welch FROM pc)"""
+_DIFFS = ["total_diff", "lf_hf_diff", "ln_lf_hf_diff", "hf_diff"]
+_POWERS_OF = ["total_power_ls", "total_power_welch", "lf_hf_ls", "lf_hf_welch"]
+
+
+def _compared(spark: SparkSession, d: str) -> DataFrame:
+    return comparison.psd_comparison(_first_25(spark, d))
+
+
+@query(f"{_PSD} SELECT rec, {', '.join(f'round({c}, 6) AS {c}' for c in _DIFFS + _POWERS_OF)}, peak_count_diff, n_rr_intervals FROM cmp")
 def psd_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return signal.psd_comparison(_first_25(spark, d))
+    """On seconds 0 to 1500, where this comparison is defined."""
+    return _compared(spark, d).select("rec", *r6(*_DIFFS, *_POWERS_OF), "peak_count_diff", "n_rr_intervals")
 
 
-@query()
+def _bucket(c: str, good: float, moderate: float) -> str:
+    return f"CASE WHEN {c} < {good} THEN 'GOOD' WHEN {c} < {moderate} THEN 'MODERATE' ELSE 'POOR' END"
+
+
+@query(f"{_PSD} SELECT {_bucket('total_diff', 10, 25)} AS total, {_bucket('lf_hf_diff', 15, 30)} AS lf_hf, {_bucket('ln_lf_hf_diff', 0.2, 0.5)} AS ln_lf_hf, count(*) AS n FROM cmp GROUP BY ALL")
 def psd_agreement(spark: SparkSession, d: str) -> DataFrame:
-    c = psd_comparison(spark, d)
     g = lambda c_, a, b: agreement(F.col(c_), a, b)
-    rows = c.select("rec", g("total_diff", 10, 25).alias("total"), g("lf_hf_diff", 15, 30).alias("lf_hf"), g("ln_lf_hf_diff", 0.2, 0.5).alias("ln_lf_hf"))
+    rows = _compared(spark, d).select("rec", g("total_diff", 10, 25).alias("total"), g("lf_hf_diff", 15, 30).alias("lf_hf"), g("ln_lf_hf_diff", 0.2, 0.5).alias("ln_lf_hf"))
     return rows.groupBy("total", "lf_hf", "ln_lf_hf").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""{_PSD}, g AS (SELECT count(*) AS runs, count(*) FILTER (total_diff < 10) + count(*) FILTER (lf_hf_diff < 15) AS good, stddev_samp(total_diff) AS sd, avg(total_diff) AS a, avg(lf_hf_diff) AS b FROM cmp)
+SELECT runs, good, round(good / (runs * 2), 6) AS share_good, CASE WHEN sd < 10 THEN 'HIGH' WHEN sd < 20 THEN 'MODERATE' ELSE 'LOW' END AS consistency, CASE WHEN a < 15 AND b < 20 THEN 'YES' ELSE 'WITH CAUTION' END AS recommended FROM g""")
 def psd_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Consistency of the methods over all recordings, and whether they are fit for prediction."""
-    return stats.verdict(psd_comparison(spark, d))
+    return stats.verdict(_compared(spark, d))
 
 
-@query()
+@query(f"""{_PSD}, u AS (UNPIVOT (SELECT {', '.join(_DIFFS)} FROM cmp) ON {', '.join(_DIFFS)} INTO NAME difference VALUE v)
+SELECT difference, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(quantile_cont(v, 0.25), 6) AS q1, round(median(v), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(min(v), 6) AS least, round(max(v), 6) AS most FROM u GROUP BY difference""")
 def psd_aggregates(spark: SparkSession, d: str) -> DataFrame:
     """A row for each difference between the methods: count, mean, deviation, quartiles, extremes."""
-    c = psd_comparison(spark, d)
-    parts = [stats.summary(c, n).withColumn("difference", F.lit(n)) for n in ("total_diff", "lf_hf_diff", "ln_lf_hf_diff", "hf_diff")]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("difference"), F.col(c).alias("v")) for c in _DIFFS])).alias("x")
+    each = _compared(spark, d).select(pairs).select("x.*")
+    return stats.summary(each, "v", ["difference"]).select("difference", "n", "mean", "std", "q1", "median", "q3", *r6("least", "most"))
 
 
 @query("SELECT count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, min(value) AS least, max(value) AS most FROM events")

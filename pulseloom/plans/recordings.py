@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseloom.functions.columns import SEIZURE_CODES, is_seizure, run_number, subject_id
+from pulseloom.functions.columns import is_seizure, run_number, subject_id
 from pulseloom.operators import features, labels, tachogram, windows
 from pulseloom.sources.files import matched
-from pulseloom.sources.fixtures import BEATS_SQL, SEIZURES_SQL, beats, seizures, table
+from pulseloom.sources.fixtures import BEATS_SQL, EVENTS_SQL, SEIZURES_SQL, beats, events, seizures, table
 
 _B = f"WITH {BEATS_SQL}"
 _BZ = f"{_B}, {SEIZURES_SQL.format(keys="user_id // 15")}"
@@ -204,7 +204,7 @@ def proximity_bins(spark: SparkSession, d: str) -> DataFrame:
     return _status(spark, d).groupBy("bin_1", "bin_2", "bin_3", "bin_4", "is_ictal", "is_postictal").agg(F.count("*").alias("n"))
 
 
-_VALID = f"""WITH RECURSIVE {_DENSE}, o AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY onset_s, idx) AS k FROM seizures),
+_VALID = f"""WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY onset_s, idx) AS k FROM seizures),
 v AS (SELECT rec, idx, onset_s, k, onset_s >= 1200 AS is_valid, CASE WHEN onset_s >= 1200 THEN onset_s END AS last FROM o WHERE k = 1
   UNION ALL SELECT o.rec, o.idx, o.onset_s, o.k, o.onset_s >= 1200 AND (v.last IS NULL OR NOT (o.onset_s - v.last > 0 AND o.onset_s - v.last <= 1800)),
   CASE WHEN o.onset_s >= 1200 AND (v.last IS NULL OR NOT (o.onset_s - v.last > 0 AND o.onset_s - v.last <= 1800)) THEN o.onset_s ELSE v.last END
@@ -218,30 +218,30 @@ def _dense(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_VALID} SELECT rec, idx, onset_s, is_valid FROM v")
 def valid_seizures(spark: SparkSession, d: str) -> DataFrame:
-    return labels.validated(_dense(spark, d)).select("rec", "idx", "onset_s", "is_valid")
+    return labels.validated(events(spark, d)).select("rec", "idx", "onset_s", "is_valid")
 
 
 @query(f"{_VALID}, {_COUNTS} SELECT * FROM c")
 def valid_counts(spark: SparkSession, d: str) -> DataFrame:
-    return labels.valid_counts(labels.validated(_dense(spark, d)))
+    return labels.valid_counts(labels.validated(events(spark, d)))
 
 
 @query(f"{_VALID}, {_COUNTS}, t AS (SELECT rec FROM c ORDER BY valid DESC, rec LIMIT 5) SELECT rec, idx, onset_s FROM seizures WHERE rec IN (SELECT rec FROM t)")
 def top_n_patients(spark: SparkSession, d: str) -> DataFrame:
-    z = _dense(spark, d)
+    z = events(spark, d)
     top = labels.top_patients(labels.valid_counts(labels.validated(z)), 5)
     return z.join(F.broadcast(top.select("rec")), "rec", "left_semi").select("rec", "idx", "onset_s")
 
 
-@query(f"""WITH {_DENSE} SELECT rec, idx, onset_s, eventType, round(onset_s / 60, 6) AS onset_minutes FROM seizures WHERE eventType = 'sz_foc_ia_nm' AND onset_s >= 3000
+@query(f"""WITH {EVENTS_SQL} SELECT rec, idx, onset_s, eventType, round(onset_s / 60, 6) AS onset_minutes FROM seizures WHERE eventType = 'sz_foc_ia_nm' AND onset_s >= 3000
 QUALIFY row_number() OVER (PARTITION BY rec ORDER BY onset_s, idx) = 1""")
 def first_seizure(spark: SparkSession, d: str) -> DataFrame:
-    return labels.first_event(_dense(spark, d), "sz_foc_ia_nm", 3000).select("rec", "idx", "onset_s", "eventType", "onset_minutes")
+    return labels.first_event(events(spark, d), "sz_foc_ia_nm", 3000).select("rec", "idx", "onset_s", "eventType", "onset_minutes")
 
 
-@query(f"""WITH {_DENSE}, f AS (SELECT *, eventType = 'sz_foc_ia_nm' AS is_sz FROM seizures) SELECT rec, idx, eventType, is_sz FROM f QUALIFY is_sz OR count(*) FILTER (is_sz) OVER (PARTITION BY rec) = 0""")
+@query(f"""WITH {EVENTS_SQL}, f AS (SELECT *, eventType = 'sz_foc_ia_nm' AS is_sz FROM seizures) SELECT rec, idx, eventType, is_sz FROM f QUALIFY is_sz OR count(*) FILTER (is_sz) OVER (PARTITION BY rec) = 0""")
 def fallback_events(spark: SparkSession, d: str) -> DataFrame:
-    return labels.with_fallback(_dense(spark, d).withColumn("is_sz", is_seizure("eventType"))).select("rec", "idx", "eventType", "is_sz")
+    return labels.with_fallback(events(spark, d).withColumn("is_sz", is_seizure("eventType"))).select("rec", "idx", "eventType", "is_sz")
 
 
 @query(f"{_BZ} SELECT rec, count(*) AS n FROM clean b WHERE t_ms <= 1500000 AND NOT EXISTS (SELECT 1 FROM seizures s WHERE s.rec = b.rec AND onset_s BETWEEN 0 AND 1500) GROUP BY rec")
@@ -259,21 +259,31 @@ points AS (SELECT rec, CAST(unnest(range(0, n)) AS BIGINT) AS sample FROM len),
 labelled AS (SELECT p.rec, p.sample, coalesce(arg_max(label, idx * 10 + label), 0) AS label FROM points p LEFT JOIN (SELECT * FROM spans WHERE st < en) s ON s.rec = p.rec AND s.st <= p.sample AND p.sample < s.en GROUP BY p.rec, p.sample)"""
 
 
-def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    length = beats(spark, d).groupBy("rec").agg(F.expr("max(t_ms) * 4 div 1000").alias("n"))
-    spans = labels.label_spans(_dense(spark, d).join(length, "rec"), F.col("n"), 4, 300, 120)
-    return labels.labels_at(length.where("n > 0").select("rec", F.explode(F.expr("sequence(0L, n - 1)")).alias("sample")), spans), spans
+#: Samples a second, and of a cell in which spans meet.
+_FS, _CELL = 4, 4 * labels.CELL_S
+
+
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    return beats(spark, d).groupBy("rec").agg(F.expr("max(t_ms) * 4 div 1000").alias("n"))
+
+
+def _label_spans(spark: SparkSession, d: str) -> DataFrame:
+    return labels.label_spans(_dense(spark, d).join(_lengths(spark, d), "rec"), F.col("n"), _FS, 300, 120)
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return labels.runs(_label_spans(spark, d), _lengths(spark, d), _CELL)
 
 
 @query(f"{_B}, {_DENSE}, {_SPANS} SELECT rec, sample, CAST(label AS INTEGER) AS label FROM labelled")
 def sph_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _labelled(spark, d)[0]
+    return labels.samples_of(_runs(spark, d))
 
 
 @query(f"""{_B}, {_DENSE}, {_SPANS}, l AS (SELECT unnest([0, 1, 2]) AS label) SELECT CAST(l.label AS INTEGER) AS label, count(x.label) AS n,
   round(count(x.label) * 100.0 / greatest((SELECT count(*) FROM labelled), 1), 6) AS pct, round(count(x.label) / 4, 6) AS seconds FROM l LEFT JOIN labelled x ON x.label = l.label GROUP BY l.label""")
 def label_stats(spark: SparkSession, d: str) -> DataFrame:
-    return labels.label_stats(_labelled(spark, d)[0], 4)
+    return labels.label_stats(_runs(spark, d), _FS)
 
 
 @query(f"""{_B}, {_DENSE}, {_SPANS} SELECT s.rec, s.idx, s.onset_s >= 360 AS target_possible,
@@ -281,15 +291,15 @@ def label_stats(spark: SparkSession, d: str) -> DataFrame:
   coalesce(bool_or(x.label = 2 AND x.sample >= s.onset_s * 4 AND x.sample < (s.onset_s + s.dur_s) * 4), false) AS has_ictal
   FROM seizures s LEFT JOIN labelled x ON x.rec = s.rec GROUP BY s.rec, s.idx, s.onset_s""")
 def label_validation(spark: SparkSession, d: str) -> DataFrame:
-    return labels.label_check(_dense(spark, d), _labelled(spark, d)[0], 4, 300, 120)
+    return labels.label_check(_dense(spark, d), _label_spans(spark, d), _FS, 300, 120)
 
 
 @query(f"""{_B}, {_DENSE}, {_SPANS}, w AS (SELECT rec, CAST(unnest(range(0, (n - 240) // 120 + 1)) AS INTEGER) AS k FROM len WHERE n >= 240),
 c AS (SELECT rec, k, CAST(k * 120 + 120 AS BIGINT) AS centre FROM w)
 SELECT c.rec, k, centre, CAST(coalesce(arg_max(label, idx * 10 + label), 0) AS INTEGER) AS label FROM c LEFT JOIN (SELECT * FROM spans WHERE st < en) s ON s.rec = c.rec AND s.st <= centre AND centre < s.en GROUP BY c.rec, k, centre""")
 def window_centre_labels(spark: SparkSession, d: str) -> DataFrame:
-    length = beats(spark, d).groupBy("rec").agg(F.expr("max(t_ms) * 4 div 1000").alias("n_samples"))
-    return labels.window_centre_labels(length, _labelled(spark, d)[1], 240, 120).select("rec", "k", "centre", "label")
+    length = _lengths(spark, d).withColumnRenamed("n", "n_samples")
+    return labels.window_centre_labels(length, _label_spans(spark, d), 240, 120, _CELL).select("rec", "k", "centre", "label")
 
 
 # -- windows ---------------------------------------------------------------------------
@@ -411,7 +421,47 @@ def seizure_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 #: Each event as some code: those of the table, others beyond it, spaces around, and none at all.
 _CODE = "CASE WHEN event_id % 13 = 0 THEN NULL ELSE repeat(' ', CAST(event_id % 3 AS INT)) || CAST(event_id // 10 % 9 AS VARCHAR) || '.' || CAST(event_id % 10 AS VARCHAR) || repeat(' ', CAST(event_id % 2 AS INT)) END"
-_CODES = ", ".join(f"('{code}', '{name}')" for code, name in SEIZURE_CODES.items())
+#: Codes and names as they are published: fixed values.
+_CODES = """
+  ('1.1', 'Focal Aware Motor - Automatisms'),
+  ('1.2', 'Focal Aware Motor - Atonic'),
+  ('1.3', 'Focal Aware Motor - Clonic'),
+  ('1.4', 'Focal Aware Motor - Epileptic spasms'),
+  ('1.5', 'Focal Aware Motor - Hyperkinetic'),
+  ('1.6', 'Focal Aware Motor - Myoclonic'),
+  ('1.7', 'Focal Aware Motor - Tonic'),
+  ('2.1', 'Focal Aware Non-motor - Autonomic'),
+  ('2.2', 'Focal Aware Non-motor - Behavioral arrest'),
+  ('2.3', 'Focal Aware Non-motor - Cognitive'),
+  ('2.4', 'Focal Aware Non-motor - Emotional'),
+  ('2.5', 'Focal Aware Non-motor - Sensory'),
+  ('3.1', 'Focal Impaired Awareness Motor - Automatisms'),
+  ('3.2', 'Focal Impaired Awareness Motor - Atonic'),
+  ('3.3', 'Focal Impaired Awareness Motor - Clonic'),
+  ('3.4', 'Focal Impaired Awareness Motor - Epileptic spasms'),
+  ('3.5', 'Focal Impaired Awareness Motor - Hyperkinetic'),
+  ('3.6', 'Focal Impaired Awareness Motor - Myoclonic'),
+  ('3.7', 'Focal Impaired Awareness Motor - Tonic'),
+  ('4.1', 'Focal Impaired Awareness Non-motor - Behavioral arrest'),
+  ('4.2', 'Focal Impaired Awareness Non-motor - Cognitive'),
+  ('4.3', 'Focal Impaired Awareness Non-motor - Emotional'),
+  ('4.4', 'Focal Impaired Awareness Non-motor - Sensory'),
+  ('5.1', 'Focal to bilateral tonic-clonic - Aware at onset'),
+  ('5.2', 'Focal to bilateral tonic-clonic - Impaired awareness at onset'),
+  ('5.3', 'Focal to bilateral tonic-clonic - Awareness unknown at onset'),
+  ('6.1', 'Generalized Motor - Tonic-clonic'),
+  ('6.2', 'Generalized Motor - Clonic'),
+  ('6.3', 'Generalized Motor - Tonic'),
+  ('6.4', 'Generalized Motor - Myoclonic'),
+  ('6.5', 'Generalized Motor - Myoclonic-tonic-clonic'),
+  ('6.6', 'Generalized Motor - Myoclonic-atonic'),
+  ('6.7', 'Generalized Motor - Atonic'),
+  ('6.8', 'Generalized Motor - Epileptic spasms'),
+  ('7.1', 'Generalized Non-motor (absence) - Typical'),
+  ('7.2', 'Generalized Non-motor (absence) - Atypical'),
+  ('7.3', 'Generalized Non-motor (absence) - Myoclonic'),
+  ('7.4', 'Generalized Non-motor (absence) - Eyelid myoclonia')
+"""
 
 
 @query(f"""WITH e AS (SELECT event_id, trim({_CODE}) AS code FROM events), names(code, name) AS (VALUES {_CODES})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,25 +31,31 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec, idx, onset_s, dur_s, eventType): all annotation events with a value, in file order."""
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    return e.select(F.expr("user_id div 15").alias("rec"), *_annotation(F.col("event_id"), F.col("event_type")))
+
+
+def _annotation(idx: Column, kind: Column) -> list[Column]:
+    return [
+        idx.alias("idx"), ((idx * 37) % 6000).alias("onset_s"), (20 + idx % 100).alias("dur_s"), F.when(kind == "error", "sz_foc_ia_nm").otherwise("bckg").alias("eventType"),
+    ]
+
+
 def seizures(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    """(rec, idx, onset_s, dur_s, eventType): annotation events in file order.
+    """(rec, idx, onset_s, dur_s, eventType): two events of each recording, in file order.
 
-    Two of each recording: of all its events the one with the largest value and the one with
-    the smallest, the earlier on ties. ``dense``: two of each recording and event type.
+    Of all its events the one with the largest value and the one with the smallest, the
+    earlier on ties. ``dense``: two of each recording and event type. (With all of them hardly
+    a minute of a recording would be left that isn't near a seizure.)
     """
     e = table(spark, sf_dir, "events").select(F.expr("user_id div 15").alias("rec"), "event_type", "event_id", "value").where("value IS NOT NULL")
     keys = ["rec", "event_type"] if dense else ["rec"]
     top = F.max(F.struct("value", (-F.col("event_id")).alias("id"), "event_type"))
     low = F.min(F.struct("value", F.col("event_id").alias("id"), "event_type"))
     ends = e.groupBy(*keys).agg(F.array(top, low).alias("ends")).select("rec", F.explode("ends").alias("e"))
-    idx = F.abs("e.id")
-    return ends.select(
-        "rec",
-        idx.alias("idx"),
-        ((idx * 37) % 6000).alias("onset_s"),
-        (20 + idx % 100).alias("dur_s"),
-        F.when(F.col("e.event_type") == "error", "sz_foc_ia_nm").otherwise("bckg").alias("eventType"),
-    ).distinct()
+    return ends.select("rec", *_annotation(F.abs("e.id"), F.col("e.event_type"))).distinct()
 
 
 #: The same tables as common table expressions for DuckDB.
@@ -71,6 +77,11 @@ BEATS_SQL = """raw AS (
 grid AS (
   SELECT rec, CAST(unnest(range(0, max(t_ms) // 60000)) AS INTEGER) AS minute FROM beats GROUP BY rec
 )"""
+EVENTS_SQL = """seizures AS (
+  SELECT user_id // 15 AS rec, event_id AS idx, (event_id * 37) % 6000 AS onset_s, 20 + event_id % 100 AS dur_s,
+    CASE WHEN event_type = 'error' THEN 'sz_foc_ia_nm' ELSE 'bckg' END AS eventType
+  FROM events WHERE value IS NOT NULL
+)"""
 SEIZURES_SQL = """seizures AS (
   SELECT user_id // 15 AS rec, event_id AS idx, (event_id * 37) % 6000 AS onset_s, 20 + event_id % 100 AS dur_s,
     CASE WHEN event_type = 'error' THEN 'sz_foc_ia_nm' ELSE 'bckg' END AS eventType
