@@ -162,11 +162,49 @@ def masked_cross_entropy(rows: DataFrame) -> DataFrame:
     return rows.agg(F.round(F.sum(-F.ln("p_true") * F.col("w") * F.col("m")) / F.greatest(F.sum("m"), F.lit(1)), 6).alias("loss"))
 
 
+#: Accuracy of the approximate quantiles that bracket exact ones, how far from these they are asked for, and the rows up to which a bracket is all of a key.
+_ACCURACY, _ASIDE, _FEW = 1024, 1 / 256, 2048
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys, q): exact quantiles, linear between neighbours, as an array in order of ``shares``.
+
+    Approximate quantiles on both sides bracket each one; what lies below is counted, and only
+    the bracket, a hundredth of the rows, is ranked, equal values together. No task holds the
+    values of a key. Nulls don't count; keys without values are left out.
+    """
+    v = rows.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    near = lambda step: F.percentile_approx("_v", [min(1.0, max(0.0, q + step)) for q in shares], _ACCURACY)
+    facts = v.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), near(-_ASIDE).alias("_lows"), near(_ASIDE).alias("_highs"))
+    few = F.col("_n") <= _FEW
+    cells = [
+        F.struct(
+            F.lit(i).alias("_i"), F.lit(q).alias("_share"), F.when(few | F.lit(q <= _ASIDE), F.col("_least")).otherwise(F.col("_lows")[i]).alias("_low"),
+            F.when(few | F.lit(q >= 1 - _ASIDE), F.col("_most")).otherwise(F.col("_highs")[i]).alias("_high"),
+        )
+        for i, q in enumerate(shares)
+    ]
+    facts = facts.select(*keys, "_n", F.array(*cells).alias("_b"))
+    both = v.join(facts, keys) if keys else v.crossJoin(F.broadcast(facts))  # one row
+    under = both.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col("_b")[i]["_low"]).alias(f"_u{i}") for i in range(len(shares))])
+    under = under.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_u{i}").alias("_under")) for i in range(len(shares))])).alias("_x")).select(*keys, "_x.*")
+    held = both.select(*keys, "_n", "_v", F.explode(F.filter("_b", lambda c: F.col("_v").between(c["_low"], c["_high"]))).alias("_c"))
+    held = held.groupBy(*keys, "_c._i", "_c._share", "_n", "_v").agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    held = held.withColumn("_upto", upto).join(under, [*keys, "_i"]).withColumn("_upto", F.col("_upto") + F.col("_under"))
+    h = (F.col("_n") - 1) * F.col("_share")
+    at = lambda place: F.max(F.when((F.col("_upto") - F.col("_k") <= place) & (place < F.col("_upto")), F.col("_v")))
+    each = held.groupBy(*keys, "_i").agg(at(F.floor(h)).alias("_a"), at(F.ceil(h)).alias("_b"), F.max(h - F.floor(h)).alias("_w"))
+    line = F.struct("_i", (F.col("_a") + F.col("_w") * (F.col("_b") - F.col("_a"))).alias("q"))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["q"]).alias("q"))
+
+
 def summary(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, median, quartiles (linear), extremes, of all rows or for each key."""
     keys = keys or []
-    q = F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D))")
-    s = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q.alias("q"), F.min(value).alias("least"), F.max(value).alias("most"))
+    s = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
+    q = quantiles(rows, keys, value, [0.25, 0.5, 0.75])
+    s = s.join(q, keys, "left") if keys else s.join(F.broadcast(q), F.lit(True), "left")  # one row
     r = lambda c: F.round(c, 6)
     return s.select(*keys, "n", r("mean").alias("mean"), r("std").alias("std"), r(F.col("q")[0]).alias("q1"), r(F.col("q")[1]).alias("median"), r(F.col("q")[2]).alias("q3"), "least", "most")
 

@@ -168,3 +168,18 @@ def test_templates_by_cells_equal_all_pairs(spark):
         assert k in sampled and (x.std() == 0 or len(x) < 4 or abs(sampled[k] - K.sample_entropy(x, version=2)) < 1e-6), k
         if len(x) >= 5:
             assert abs(approximate[k] - K.approximate_entropy(x, version=2)) < 1e-12, k
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 300, 2048, 2049, 30_000])
+def test_exact_quantiles(spark, n):
+    """Small and large keys, ties, nulls, and the outermost shares."""
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    series = {"even": rng.normal(size=n), "ties": rng.integers(0, 5, n).astype(float), "skewed": np.exp(4 * rng.normal(size=n))}
+    shares = [0.0, 0.001, 0.25, 0.5, 0.75, 0.99, 1.0]
+    rows = spark.createDataFrame([(k, float(v)) for k, x in series.items() for v in x] + [("even", None), ("none", None)], "k string, x double").repartition(5)
+    got = {r["k"]: r["q"] for r in stats.quantiles(rows, ["k"], "x", shares).collect()}
+    assert set(got) == set(series) and all(np.allclose(got[k], np.quantile(x, shares), rtol=1e-12) for k, x in series.items())
+    whole = stats.quantiles(rows.where("k = 'skewed'"), [], "x", [0.5]).collect()
+    assert np.isclose(whole[0]["q"][0], np.median(series["skewed"]), rtol=1e-12)
