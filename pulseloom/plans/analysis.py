@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import agreement, class_of, log_ratio, ratio
 from pulseloom.operators import cleaning, comparison, dataset, features, resample, signal, spectral, stats
+from pulseloom.plans import report
 from pulseloom.plans.recordings import _B, _BZ, _POIN, _STATUS, _TIME_3, _status, r6
 from pulseloom.schemas import FEATURES
 from pulseloom.sources.files import decode_weights, encode_weights
-from pulseloom.sources.fixtures import beats, table
+from pulseloom.sources.fixtures import beats, seizures, table
+from pulseloom.sources.store import staged
 
 QUERIES, SQL = {}, {}
 
@@ -611,6 +613,45 @@ def _compared(spark: SparkSession, d: str) -> DataFrame:
     return comparison.psd_comparison(_first_25(spark, d))
 
 
+# -- the statistical report --------------------------------------------------------------
+
+_REPORT = f"""{_BZ.replace('WITH', 'WITH RECURSIVE')}, one AS (SELECT rec, min(onset_s) AS onset FROM seizures WHERE onset_s >= 3000 GROUP BY rec), cut AS (SELECT b.rec, beat_idx, rr_ms, t_ms, onset FROM clean b JOIN one USING (rec) WHERE t_ms <= onset * 1000),
+ok AS (SELECT rec, max(onset) AS onset FROM cut GROUP BY rec HAVING count(*) >= 100 AND max(t_ms) + 2000 >= max(onset) * 1000), src AS (SELECT rec, beat_idx, rr_ms, t_ms FROM cut WHERE rec IN (SELECT rec FROM ok)), {_MERGED.replace("FROM beats", "FROM src")}, {_WINSORISED.format(src="merged")},
+ce AS (SELECT rec, i, (rr - avg(rr) OVER (PARTITION BY rec)) / 1000 AS x, (first(t_ms) OVER o + coalesce(sum(rr) OVER (PARTITION BY rec ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / 1000 AS t FROM wr WINDOW o AS (PARTITION BY rec ORDER BY i)), {_HIGHPASS},
+se AS (SELECT h.*, onset, lag(x) OVER (PARTITION BY rec ORDER BY i) AS xb, lag(t) OVER (PARTITION BY rec ORDER BY i) AS tb FROM hp h JOIN ok USING (rec) QUALIFY count(*) OVER (PARTITION BY rec) >= 50),
+fx AS (SELECT rec, min(t) AS t0, max(t) AS t1, max(onset) AS onset, greatest(min(t), 1500) + 1500 AS a, max(onset) - 1500.0::DOUBLE AS z FROM se GROUP BY rec HAVING max(onset) - 1500 - greatest(min(t), 1500) >= 1500),
+ct AS (SELECT rec, t0, 'pre' AS grp, CAST(k AS INTEGER) AS k, CAST(onset - 60 * k AS DOUBLE) AS centre FROM (SELECT *, unnest(range(0, 25)) AS k FROM fx)
+  UNION ALL SELECT rec, t0, 'control', CAST(k AS INTEGER), CAST(a + k * (z - a) / n AS DOUBLE) FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, least(25, CAST(floor((z - a) / 60) AS BIGINT)) AS n FROM fx)) WHERE a + k * (z - a) / n <= t1),
+rw AS (SELECT c.rec, grp, k, centre, t, tb, x * 1000 AS ms, (x - xb) * 1000 AS d, (x + xb) * 1000 AS s FROM ct c JOIN se USING (rec) WHERE centre - 1500 >= t0 AND t BETWEEN centre - 300 AND centre),
+ft AS (SELECT rec, grp, k, centre, count(*) FILTER (t >= centre - 180) AS n3, count(*) AS n5, avg(ms) FILTER (t >= centre - 180) AS RRMean_3, min(ms) FILTER (t >= centre - 180) AS RRMin_3, max(ms) FILTER (t >= centre - 180) AS RRMax_3, var_samp(ms) FILTER (t >= centre - 180) AS RRVar_3, stddev_samp(ms) FILTER (t >= centre - 180) AS SDNN_3,
+  sqrt(avg(d * d) FILTER (tb >= centre - 180)) AS RMSSD_3, stddev_samp(d) FILTER (tb >= centre - 180) AS SDSD_3, CAST(count(*) FILTER (tb >= centre - 180 AND abs(d) > 50) AS DOUBLE) AS NN50_3, count(*) FILTER (tb >= centre - 180 AND abs(d) > 50) * 100.0 / count(*) FILTER (tb >= centre - 180) AS pNN50_3,
+  stddev_samp(d) FILTER (tb >= centre - 300) / sqrt(2) AS SD1_5, stddev_samp(s) FILTER (tb >= centre - 300) / sqrt(2) AS SD2_5, CASE WHEN stddev_samp(s) FILTER (tb >= centre - 300) > 0 THEN stddev_samp(d) FILTER (tb >= centre - 300) / stddev_samp(s) FILTER (tb >= centre - 300) ELSE 0 END AS SD1toSD2_5 FROM rw GROUP BY ALL)"""
+_PLAIN = ", ".join(report.PLAIN)
+
+
+def _onsets(spark: SparkSession, d: str) -> DataFrame:
+    return seizures(spark, d).where(F.col("onset_s") >= report.LEAST_ONSET_S).groupBy("rec").agg(F.min("onset_s").alias("onset"))
+
+
+def _regular(spark: SparkSession, d: str) -> DataFrame:
+    return beats(spark, d).where(F.col("rr_ms").between(200, 2000))
+
+
+@query(f"{_REPORT} SELECT rec, grp, k, round(centre, 6) AS centre, {', '.join(f'round(CASE WHEN n{n[-1]} >= 5 THEN {n} END, 4) AS {n}' for n in report.PLAIN)} FROM ft")
+def report_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features at the minutes ahead of each first seizure, and of its control period, from cleaned beats."""
+    series = staged(report.prepared_series(_regular(spark, d), _onsets(spark, d)), "report-series")
+    rows = report.features_at(series, report.centres(series), with_shapes=False)
+    return rows.select("rec", "grp", "k", *r6("centre"), *[F.round(n, 4).alias(n) for n in report.PLAIN])
+
+
+@query()
+def seizure_report(spark: SparkSession, d: str) -> DataFrame:
+    """All 22 features: means of the groups, effect size, U and p. Without SQL: entropies and spectra of each window; tests hold them to plain windows."""
+    rows, _ = report.report(_regular(spark, d), _onsets(spark, d))
+    return rows.select("feature", *r6("mean_pre", "mean_control", "effect_size"), "n_pre", "n_control", "u", *r6("p"))
+
+
 @query(f"{_PSD} SELECT rec, {', '.join(f'round({c}, 6) AS {c}' for c in _DIFFS + _POWERS_OF)}, peak_count_diff, n_rr_intervals FROM cmp")
 def psd_comparison(spark: SparkSession, d: str) -> DataFrame:
     """On seconds 0 to 1500, where this comparison is defined."""
