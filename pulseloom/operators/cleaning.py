@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions import kernels as K
-from pulseloom.operators.filters import BLOCK, padding, zero_phase
+from pulseloom.operators.filters import BLOCK, block_of, joined, padding, zero_phase_blocks
 from pulseloom.operators.tachogram import by_rec, in_order, winsorised
 from pulseloom.sources.store import staged
 
@@ -64,7 +64,7 @@ def merged_short(beats: DataFrame, least_ms: int = SHORT_MS) -> DataFrame:
         return pd.DataFrame([merged_run([int(v) for v in r], least_ms) for r in runs], columns=["rr", "head"])
 
     alone = rows.where(lone).select("rec", F.col("beat_idx").alias("_first"), F.lit(0).alias("_j"), "rr_ms", "t_ms", F.lit(0).alias("_lost"))
-    some = rows.where(~lone).groupBy("rec", "_island").agg(F.array_sort(F.collect_list(F.struct("beat_idx", "rr_ms", "t_ms"))).alias("_run"))
+    some = rows.where(~lone).groupBy("rec", "_island").agg(F.sort_array(F.collect_list(F.struct("beat_idx", "rr_ms", "t_ms"))).alias("_run"))
     some = some.withColumn("_m", merged(F.transform("_run", lambda x: x["rr_ms"].cast("long"))))
     head = F.get("_run", F.col("_m.head"))["t_ms"]
     some = some.select("rec", F.col("_run")[0]["beat_idx"].alias("_first"), F.posexplode("_m.rr").alias("_j", "rr_ms"), head.alias("t_ms"), (F.size("_run") - F.size("_m.rr")).alias("_lost"))
@@ -79,6 +79,17 @@ def highpass(fs: float) -> np.ndarray:
     return K.sections(*K.butterworth(ORDER, CUTOFF, None, fs))
 
 
+def _read_off(key: tuple, asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+    """What one block of the grid gives to each point, by the line between two grid points."""
+    start, y = joined(part)
+    w = (asked["_p"] - asked["_k"]).to_numpy()
+    x = np.zeros(len(asked))
+    for place, weight in ((asked["_k"].to_numpy(), 1 - w), (asked["_next"].to_numpy(), w)):
+        inside = (place >= start) & (place < start + len(y))
+        x[inside] += y[place[inside] - start] * weight[inside]
+    return pd.DataFrame({"rec": key[0], "i": asked["i"], "t": asked["t"], "x": x})
+
+
 def detrended(series: DataFrame, design: Callable[[float], np.ndarray] = highpass, block: int = BLOCK) -> DataFrame:
     """(rec, i, x, t) without slow trends, from the same columns: i from 0, t in seconds and rising.
 
@@ -100,12 +111,18 @@ def detrended(series: DataFrame, design: Callable[[float], np.ndarray] = highpas
     line = line.where(low <= high).withColumn("_k", F.explode(F.sequence(low, high)))
     at = F.col("_t0") + F.col("_k") * F.col("_step")
     value = F.col("x") + (at - F.col("t")) * (F.col("_x1") - F.col("x")) / (F.col("_t1") - F.col("t"))
-    grid = line.select("rec", F.col("_k").alias("i"), F.col("_m").alias("n"), F.col("_fs").alias("fs"), value.alias("x"))
-    done = zero_phase(grid, design, block=block).withColumnsRenamed({"i": "_k", "x": "_y"})
-    done = done.withColumn("_y1", F.coalesce(F.lead("_y").over(by_rec().orderBy("_k")), F.col("_y")))
+    at = block_of(F.col("_k"), F.col("_m"), block).alias("block")
+    grid = line.select("rec", at, "_k", F.col("_m").alias("n"), F.col("_fs").alias("fs"), value.alias("x"))
+    grid = grid.groupBy("rec", "block", F.col("n").cast("long").alias("n"), "fs").agg(F.sort_array(F.collect_list(F.struct("_k", "x"))).alias("s"))
+    grid = grid.select("rec", "block", F.col("s")[0]["_k"].alias("i"), "n", "fs", F.transform("s", lambda v: v["x"]).alias("x"))
+    done = zero_phase_blocks(grid, design)
+    # Each point asks the block of its grid point, and that of the next one where it is another: what each block gives adds up.
     p = (F.col("t") - F.col("_t0")) / F.col("_step")
-    asked = long.withColumn("_p", p).withColumn("_k", F.least(F.floor("_p"), F.col("_m") - 1).cast("long"))
-    read = asked.join(done, ["rec", "_k"]).select("rec", "i", (F.col("_y") + (F.col("_p") - F.col("_k")) * (F.col("_y1") - F.col("_y"))).alias("x"), "t")
+    asked = long.select("rec", "i", "t", p.alias("_p"), F.least(F.floor(p), F.col("_m") - 1).cast("long").alias("_k"), "_m").withColumn("_next", F.least(F.col("_k") + 1, F.col("_m") - 1))
+    blocks = F.array_distinct(F.array(block_of(F.col("_k"), F.col("_m"), block), block_of(F.col("_next"), F.col("_m"), block)))
+    asked = asked.select("rec", F.explode(blocks).alias("block"), "i", "t", "_p", "_k", "_next")
+    read = asked.groupBy("rec", "block").cogroup(done.groupBy("rec", "block")).applyInPandas(_read_off, "rec long, i long, t double, x double")
+    read = read.groupBy("rec", "i").agg(F.sum("x").alias("x"), F.max("t").alias("t")).select("rec", "i", "x", "t")
     brief = rows.where(F.col("_m") <= least)
     fit = brief.groupBy("rec").agg(F.regr_slope("x", "i").alias("_a"), F.avg("x").alias("_mx"), F.avg("i").alias("_mi"))
     flat = brief.join(fit, "rec").select("rec", "i", (F.col("x") - F.col("_mx") - F.coalesce("_a", F.lit(0.0)) * (F.col("i") - F.col("_mi"))).alias("x"), "t")
@@ -115,12 +132,11 @@ def detrended(series: DataFrame, design: Callable[[float], np.ndarray] = highpas
 def cleaned(beats: DataFrame, merge: bool = True, retime: bool = True, block: int = BLOCK) -> DataFrame:
     """(rec, i, x, t_s): the whole chain, in seconds; recordings of fewer than 4 intervals (after merging) give nothing."""
     if merge:
-        beats = merged_short(beats).withColumnRenamed("i", "beat_idx")
+        beats = staged(merged_short(beats), "merged").withColumnRenamed("i", "beat_idx")
     else:
         beats = beats.withColumn("beat_idx", F.row_number().over(in_order()) - 1)
-    enough = beats.groupBy("rec").agg(F.count("*").alias("_n")).where("_n >= 4").select("rec")
-    rows = winsorised(beats.join(enough, "rec", "left_semi"), retime)
-    x = (F.col("rr_w") - F.avg("rr_w").over(by_rec())) / 1000
+    rows = winsorised(beats, retime).withColumns({"_n": F.count("*").over(by_rec()), "_mean": F.avg("rr_w").over(by_rec())}).where("_n >= 4")
     # Its facts, its grid and what is read off it all look at this table.
+    x = (F.col("rr_w") - F.col("_mean")) / 1000
     rows = staged(rows.select("rec", F.col("beat_idx").cast("long").alias("i"), x.alias("x"), (F.col("t_w") / 1000).alias("t")), "centred")
     return detrended(rows, block=block).select("rec", "i", "x", F.col("t").alias("t_s"))

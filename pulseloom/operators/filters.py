@@ -64,7 +64,7 @@ def zero_phase(samples: DataFrame, design: Design, keys: str = "rec long", block
     key = keys.split()[0]
     at = block_of(F.col("i"), F.col("n"), block).alias("block")
     rows = samples.groupBy(key, at, F.col("n").cast("long").alias("n"), F.col("fs").cast("double").alias("fs"))
-    rows = rows.agg(F.array_sort(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")))).alias("s"))
+    rows = rows.agg(F.sort_array(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")))).alias("s"))
     rows = rows.select(key, "block", F.col("s")[0]["i"].alias("i"), "n", "fs", F.transform("s", lambda v: v["x"]).alias("x"))
     done = zero_phase_blocks(rows, design, keys)
     return done.select(key, "i", F.posexplode("x").alias("_p", "x")).select(key, (F.col("i") + F.col("_p")).alias("i"), "x")

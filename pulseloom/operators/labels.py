@@ -39,7 +39,7 @@ def status(minutes: DataFrame, seizures: DataFrame) -> DataFrame:
     nearest onset, 4 without seizures. A null duration is never ictal.
     """
     z = F.struct("idx", "onset_s", "dur_s")
-    events = seizures.groupBy("rec").agg(F.array_sort(F.collect_list(z)).alias("_z"))
+    events = seizures.groupBy("rec").agg(F.sort_array(F.collect_list(z)).alias("_z"))
     at = F.col("minute") * 60
     first = F.array_min(F.transform(F.filter("_z", lambda e: (e["onset_s"] <= at) & (at < e["onset_s"] + e["dur_s"])), lambda e: e["idx"]))
     rows = minutes.join(events, "rec", "left").withColumn("_first", first)
@@ -67,7 +67,7 @@ def validated(seizures: DataFrame) -> DataFrame:
     far = F.coalesce(F.col("onset_s") - F.lag("onset_s").over(order) > APART_S, F.lit(True))
     pieces = onsets.withColumn("_far", far.cast("long")).withColumn("_piece", F.sum("_far").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     lone = F.col("_n") == 1
-    pieces = pieces.groupBy("rec", "_piece").agg(F.array_sort(F.collect_list("onset_s")).alias("_on"), F.count("*").alias("_n"))
+    pieces = pieces.groupBy("rec", "_piece").agg(F.sort_array(F.collect_list("onset_s")).alias("_on"), F.count("*").alias("_n"))
 
     def step(kept: Column, at: Column) -> Column:
         return F.when(at - F.element_at(kept, -1) > APART_S, F.concat(kept, F.array(at))).otherwise(kept)

@@ -93,7 +93,7 @@ def apart(found: DataFrame, key: str, distance: int) -> DataFrame:
     def settled(pos: pd.Series, height: pd.Series) -> pd.Series:
         return pd.Series([K.highest_apart(np.asarray(p), np.asarray(h), distance).tolist() for p, h in zip(pos, height, strict=True)])
 
-    chains = rows.where(~alone).groupBy(key, "_chain").agg(F.array_sort(F.collect_list(F.struct("pos", "height"))).alias("c"))
+    chains = rows.where(~alone).groupBy(key, "_chain").agg(F.sort_array(F.collect_list(F.struct("pos", "height"))).alias("c"))
     kept = chains.select(key, F.explode(settled(F.col("c.pos"), F.col("c.height"))).alias("pos"))
     return rows.where(alone).select(key, "pos").unionByName(kept)
 

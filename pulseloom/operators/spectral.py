@@ -86,7 +86,7 @@ def welch(rows: DataFrame, fs: float, segment: int, overlap: int | None = None,
     low = F.greatest(F.ceil((F.col("i") - F.col("_size") + 1) / F.col("_step")), F.lit(0))
     high = F.least(F.floor(F.col("i") / F.col("_step")), F.floor((F.col("_n") - F.col("_size")) / F.col("_step")))
     t = t.where(low <= high).withColumn("_segment", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    x = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"])
+    x = F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda v: v["x"])
 
     @F.pandas_udf("array<double>")
     def density(segments: pd.Series) -> pd.Series:

@@ -93,7 +93,7 @@ def permanova(long: DataFrame, permutations: int = 999, seed: int = 42, hashed:
     samples = long.groupBy("sample_id").agg(F.first("grp").alias("grp"), F.collect_list(F.struct("feature", "value")).alias("v"))
     sizes = samples.groupBy("grp").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy().orderBy("grp"))  # a row for each group
-    ends = sizes.select("grp", upto.alias("upto")).agg(F.array_sort(F.collect_list(F.struct("upto", "grp"))).alias("ends"), F.max("upto").alias("total"))
+    ends = sizes.select("grp", upto.alias("upto")).agg(F.sort_array(F.collect_list(F.struct("upto", "grp"))).alias("ends"), F.max("upto").alias("total"))
     perms = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long"))).alias("perm")
     # Dealt to all partitions: each sample is work for all permutations, however small the table.
     dealt = numbered(samples.select("sample_id", "v"), "sample_id", "no", cell).repartition(int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")), "no")
@@ -196,7 +196,7 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float])
     at = lambda place: F.max(F.when((F.col("_upto") - F.col("_k") <= place) & (place < F.col("_upto")), F.col("_v")))
     each = held.groupBy(*keys, "_i").agg(at(F.floor(h)).alias("_a"), at(F.ceil(h)).alias("_b"), F.max(h - F.floor(h)).alias("_w"))
     line = F.struct("_i", (F.col("_a") + F.col("_w") * (F.col("_b") - F.col("_a"))).alias("q"))
-    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["q"]).alias("q"))
+    return each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["q"]).alias("q"))
 
 
 def summary(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:

@@ -78,5 +78,5 @@ def sequences(rows: DataFrame, features: list[str], size: int = SIZE) -> DataFra
         F.col("minute_in_window").alias("j"), x.alias("x"), F.array(*[f"bin_{i}" for i in range(1, 5)]).alias("y"), (F.col("minute") * 60.0).alias("t"),
         ((F.col("training_mask") == 1) & ~bad & ~F.col("is_padded")).alias("m"),
     )
-    out = rows.groupBy("rec", "window_start_time", "window_end_time").agg(F.array_sort(F.collect_list(row)).alias("w")).where(F.size("w") == size)
+    out = rows.groupBy("rec", "window_start_time", "window_end_time").agg(F.sort_array(F.collect_list(row)).alias("w")).where(F.size("w") == size)
     return out.select("rec", "window_start_time", F.col("w.x").alias("x"), F.col("w.y").alias("y"), F.col("w.t").alias("ts"), F.col("w.m").alias("final_mask"))

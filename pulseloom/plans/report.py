@@ -107,7 +107,7 @@ def features_at(series: DataFrame, at: DataFrame, with_shapes: bool = True) -> D
         "SD1_5": F.stddev_samp(d5) / root, "SD2_5": F.stddev_samp(s5) / root,
     }
     if with_shapes:
-        agg["w"] = F.array_sort(F.collect_list(F.struct("i", "x", "t")))  # 25 minutes of beats at most
+        agg["w"] = F.sort_array(F.collect_list(F.struct("i", "x", "t")))  # 25 minutes of beats at most
     out = rows.groupBy("rec", "grp", "k", "centre").agg(*[v.alias(n) for n, v in agg.items()])
     out = out.withColumn("SD1toSD2_5", F.when(F.col("SD2_5") > 0, F.col("SD1_5") / F.col("SD2_5")).otherwise(0.0))
     enough = lambda name: F.when(F.col(f"n{name[-1]}") >= 5, F.col(name)).alias(name)
