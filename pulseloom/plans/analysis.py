@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import agreement, class_of, log_ratio, ratio
+from pulseloom.functions.sql import register
 from pulseloom.operators import cleaning, comparison, dataset, features, resample, signal, spectral, stats
 from pulseloom.plans import report
 from pulseloom.plans.recordings import _B, _BZ, _POIN, _STATUS, _TIME_3, _status, r6
@@ -544,16 +547,31 @@ def resample_linear(spark: SparkSession, d: str) -> DataFrame:
     return resample.resampled(beats(spark, d), method="linear")
 
 
-@query(f"""{_B}, l AS (SELECT rec, list(rr_ms / 1000.0::DOUBLE ORDER BY beat_idx) AS x, count(*) AS n FROM beats GROUP BY rec), sg AS (SELECT rec, list_slice(x, s * 128 + 1, s * 128 + 256) AS x FROM (SELECT *, unnest(range(0, (n - 256) // 128 + 1)) AS s FROM l)),
+_WELCH = f"""{_B}, l AS (SELECT rec, list(rr_ms / 1000.0::DOUBLE ORDER BY beat_idx) AS x, count(*) AS n FROM beats GROUP BY rec), sg AS (SELECT rec, list_slice(x, s * 128 + 1, s * 128 + 256) AS x FROM (SELECT *, unnest(range(0, (n - 256) // 128 + 1)) AS s FROM l)),
 ce AS (SELECT rec, list_transform(x, lambda v: v - list_avg(x)) AS x FROM sg),
 ba AS (SELECT k, list((0.5 - 0.5 * cos(2 * pi() * j / 256)) * cos(2 * pi() * ((k * j) % 256) / 256) ORDER BY j) AS c, list((0.5 - 0.5 * cos(2 * pi() * j / 256)) * sin(2 * pi() * ((k * j) % 256) / 256) ORDER BY j) AS s FROM (SELECT unnest(range(0, 129)) AS k), (SELECT unnest(range(0, 256)) AS j) GROUP BY k)
-SELECT rec, k / 256 AS f, round(avg(list_dot_product(x, c) ** 2 + list_dot_product(x, s) ** 2) / 96 * CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END, 6) AS p FROM ce, ba GROUP BY rec, k""")
+SELECT rec, k / 256 AS f, round(avg(list_dot_product(x, c) ** 2 + list_dot_product(x, s) ** 2) / 96 * CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END, 6) AS p FROM ce, ba GROUP BY rec, k"""
+
+
+@query(_WELCH)
 def welch_psd(spark: SparkSession, d: str) -> DataFrame:
     """Over all beats of each recording, in segments of 256."""
     b = beats(spark, d).select("rec", (F.col("beat_idx") - 1).alias("i"), (F.col("rr_ms") / 1000.0).alias("x"))
     return spectral.welch(b, 1.0, 256).select("rec", "f", *r6("p"))
 
 
+@query(_WELCH)
+def welch_series(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a table function in SQL text, which goes through each recording's beats in order."""
+    register(spark)
+    view = f"beats_{uuid.uuid4().hex}"
+    beats(spark, d).selectExpr("rec", "beat_idx AS i", "rr_ms / 1000.0D AS x").createOrReplaceTempView(view)
+    try:
+        return spark.sql(f"SELECT rec, f, round(p, 6) AS p FROM welch_series(TABLE({view}) PARTITION BY rec ORDER BY (i), 1.0D, 256)")
+    finally:
+        spark.catalog.dropTempView(view)
+
+
 # -- periodograms of all windows -------------------------------------------------------
 
 #: Sums over beats and frequencies, turned by half the phase of the double frequency: {t} a beat's time, {f} the k-th of 1000 frequencies.
