@@ -5,10 +5,12 @@ is a row of bytes, its header is parsed and its data records are cut into blocks
 expressions, and only the samples of one channel of a block go through numpy. A file's
 bytes pass one task, so files are to be below 2 GB.
 
-``spark.read.format("edf")`` is a data source for larger files on local or mounted file
-systems: a partition is a range of records of one file, so that a long recording is read
-by many tasks. Its options are ``path`` (a folder or a file), ``channel`` (0 by default)
-and ``header_only``.
+``spark.read.format("edf")`` is a data source for files of any size, on any file system that
+pyarrow opens by its address (local, S3, Google's, HDFS): a partition is a range of records of
+one file, so that a long recording is read by many tasks, each of which seeks to its range.
+Its options are ``path`` (a folder or a file), ``channel`` (0 by default), ``header_only``,
+and ``from_s`` and ``to_s``, a segment of each recording in seconds: whole records that touch
+it are read, and no others.
 
 Rows of both are (recording_id, fs, n_samples, duration_s, start_sample, samples), one for
 a run of data records; with header_only one for a file, without samples.
@@ -16,14 +18,14 @@ a run of data records; with header_only one for a file, without samples.
 
 from __future__ import annotations
 
-import glob
-import os
+import posixpath
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -83,50 +85,65 @@ def decode(header: Header, records: bytes, channel: int = 0) -> np.ndarray:
     return header.scaled(raw.ravel(), channel)
 
 
-def files(path: str) -> list[str]:
-    return [path] if os.path.isfile(path) else sorted(glob.glob(os.path.join(path, "**", "*.edf"), recursive=True))
+def files(system: pafs.FileSystem, path: str) -> list[pafs.FileInfo]:
+    """A file itself, or all EDF files below a folder, in order."""
+    one = system.get_file_info(path)
+    if one.type == pafs.FileType.File:
+        return [one]
+    below = system.get_file_info(pafs.FileSelector(path, recursive=True)) if one.type == pafs.FileType.Directory else []
+    return sorted((x for x in below if x.type == pafs.FileType.File and x.path.endswith(".edf")), key=lambda x: x.path)
 
 
-def head(path: str) -> Header:
-    with open(path, "rb") as f:
+def head(system: pafs.FileSystem, path: str, size: int) -> Header:
+    """The header; a recorder that was cut off leaves the number of records at -1, which the size tells then."""
+    with system.open_input_file(path) as f:
         first = f.read(256)
-        return parse_header(first + f.read(256 * int(first[252:256])))
+        h = parse_header(first + f.read(256 * int(first[252:256])))
+    return h if h.records >= 0 else replace(h, records=(size - h.header_bytes) // (2 * sum(h.per_record)))
 
 
 @dataclass
 class Range(InputPartition):
     path: str
+    size: int
     first: int
     count: int
 
 
 class EdfReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path, self.channel = options["path"], int(options.get("channel", 0))
+        self.root, self.channel = options["path"], int(options.get("channel", 0))
         self.header_only = str(options.get("header_only", "false")).lower() == "true"
+        self.from_s, self.to_s = float(options.get("from_s", 0)), float(options.get("to_s", "inf"))
 
     def partitions(self) -> list[Range]:
-        out = []
-        paths = files(self.path)
+        system, path = pafs.FileSystem.from_uri(self.root)
+        found = files(system, path)
         with ThreadPoolExecutor(16) as pool:
-            heads = list(pool.map(head, paths))
-        for path, h in zip(paths, heads, strict=True):
-            step = h.records if self.header_only else max(1, round(60 * BLOCK_S / h.record_s))
-            out += [Range(path, i, min(step, h.records - i)) for i in range(0, h.records, max(1, step))]
-        return out or [Range("", 0, 0)]
+            heads = list(pool.map(lambda x: head(system, x.path, x.size), found))
+        out = []
+        for x, h in zip(found, heads, strict=True):
+            if self.header_only:
+                out.append(Range(x.path, x.size, 0, h.records))
+                continue
+            first, end = int(self.from_s // h.record_s), h.records if self.to_s == float("inf") else min(h.records, -int(-self.to_s // h.record_s))
+            step = max(1, round(60 * BLOCK_S / h.record_s))
+            out += [Range(x.path, x.size, i, min(step, end - i)) for i in range(first, end, step)]
+        return out or [Range("", 0, 0, 0)]
 
     def read(self, part: Range) -> Iterator[tuple]:
         if not part.path:
             return
-        h = head(part.path)
+        system, _ = pafs.FileSystem.from_uri(self.root)
+        h = head(system, part.path, part.size)
         fs, n = h.rate(self.channel), h.records * h.per_record[self.channel]
-        facts = (os.path.basename(part.path)[:-4], fs, n, (n - 1) / fs)
+        facts = (posixpath.basename(part.path)[:-4], fs, n, (n - 1) / fs)
         if self.header_only:
             yield (*facts, 0, [])
             return
         width = 2 * sum(h.per_record)
         step = max(1, round(BLOCK_S / h.record_s))
-        with open(part.path, "rb") as f:
+        with system.open_input_file(part.path) as f:
             f.seek(h.header_bytes + part.first * width)
             for at in range(part.first, part.first + part.count, step):
                 k = min(step, part.first + part.count - at)

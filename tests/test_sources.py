@@ -32,6 +32,18 @@ def test_edf_round_trip(spark, tmp_path):
         rows = spark.read.format("edf").option("path", str(tmp_path)).option("channel", channel).load().orderBy("start_sample").collect()
         got = np.concatenate([r["samples"] for r in rows])
         assert len(rows) == 3 and np.abs(got - want).max() < 1e-3 and rows[0]["fs"] == 256.0
+    # By address, a segment of whole records, and a recording that was cut off.
+    part = spark.read.format("edf").option("path", f"file://{tmp_path}/sub-1_run-01_ecg.edf").option("from_s", 61.5).option("to_s", 64).load().collect()
+    got = np.concatenate([r["samples"] for r in sorted(part, key=lambda r: r["start_sample"])])
+    assert part[0]["start_sample"] == 61 * 256 and np.allclose(got, x[61 * 256 : 64 * 256], atol=1e-3)
+    (tmp_path / "cut").mkdir()
+    raw = bytearray((tmp_path / "sub-1_run-01_ecg.edf").read_bytes())
+    raw[236:244] = b"-1      "
+    (tmp_path / "cut" / "sub-2_run-01_ecg.edf").write_bytes(raw[: len(raw) - 2 * 2 * 256])
+    short = spark.read.format("edf").option("path", str(tmp_path / "cut")).option("header_only", "true").load().first()
+    assert short["recording_id"] == "sub-2_run-01_ecg" and short["n_samples"] == len(x) - 256
+    (tmp_path / "cut" / "sub-2_run-01_ecg.edf").unlink()
+    assert spark.read.format("edf").option("path", str(tmp_path / "cut")).load().collect() == []
     head = spark.read.format("edf").option("path", str(tmp_path)).option("header_only", "true").load().collect()
     assert len(head) == 1 and abs(head[0]["duration_s"] - (256 * 150 - 1) / 256) < 1e-9 and head[0]["samples"] == []
 
