@@ -13,7 +13,8 @@ get masks made for it (:func:`fitted`); those of up to four tokens are joined as
 
 Tokens are runs of letters and digits in lower case. Defined results: null and empty
 texts, and items without a token or without an item_id, match nothing; repeated rows and repeated items are
-reported once for each pair of ids; rows with a null doc_id are judged like any others.
+reported once for each pair of ids; rows with a null doc_id are judged like any others, each by
+its own text; very long texts are read whole; further columns of the input are not read.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ a template then holds a cue word, and no match is lost. Only windows that meet s
 template in a band go on with their words.
 
 Tokens are runs of letters and digits in lower case. Defined results: null and empty
-texts match nothing; a template of fewer than five words is one shingle; rows with the
+texts match nothing; very long ones are read whole; a template of fewer than five words is one shingle; rows with the
 same doc_id and template are reported once, with the best window.
 """
 

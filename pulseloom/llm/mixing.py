@@ -23,7 +23,8 @@ order of a hash, so that no task holds more than a block's share of a hot size.
 Rates count in billionths, and whole numbers decide, so that reruns agree.
 
 Defined results: documents without words take 0 words (and keep their one copy); a null
-source is a source of its own, last in order; without any words all targets are 0. Rows
+source is a source of its own, last in order; without any words all targets are 0; very long texts
+are counted whole. Rows
 with the same doc_id and size are alike, and which of them is copied does not matter.
 Columns of the input that have the output column's name are replaced by it. Targets are
 told in one task that holds a row for each source.

@@ -24,7 +24,7 @@ text once: neither the comparison nor the test of a hub is one key of a join.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; rows
 with the same doc_id are one node; rows with a null doc_id link with nothing, have a null
-component and are kept.
+component and are kept; very long texts are read whole; further columns of the input are not read.
 """
 
 from __future__ import annotations

@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = FIT_ROWS
 
 
 def scored(docs: DataFrame, trees: Trees, column: str = "quality_score") -> DataFrame:
-    """``docs`` with a probability of label 1 for each whole text."""
+    """``docs`` with a probability of label 1 for each whole text; a column of that name is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")

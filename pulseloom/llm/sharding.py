@@ -19,8 +19,9 @@ size of the group.
 Shard sizes are listed through the cluster's file system. Only this metadata, a row for a
 file, is handled in the driver; documents never are.
 
-Defined results: any rows are kept as they are, nulls and repeated rows too; an empty
-table gives a version without shards.
+Defined results: any rows are kept as they are, nulls, repeated rows and very long texts too; an
+empty table gives a version without shards. Names that begin with two underscores are taken:
+inputs are to have no column __shard_file, __shard_group, __tier or __bytes.
 """
 
 from __future__ import annotations

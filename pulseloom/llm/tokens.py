@@ -7,7 +7,8 @@ and kept in a bounded cache of the worker, the second tier. No pre-token of the
 ever shuffled, only the sample's counts, summed in the workers first. The sample decides on
 speed alone: any table gives the same lengths.
 
-Defined results: a null text counts as an empty one (0 bytes, 0 tokens); a special
+Defined results: a null text counts as an empty one (0 bytes, 0 tokens); very long texts are
+counted whole; repeated rows, and rows without a doc_id, are counted each; a special
 string inside a text is one token, as the library handles it by default.
 """
 

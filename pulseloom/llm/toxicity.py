@@ -257,7 +257,7 @@ def chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
 
 
 def scored(docs: DataFrame, model: Field, column: str = "toxicity") -> DataFrame:
-    """``docs`` with struct ``column``: score, n_toxic tokens, and spans (start, end) in code points."""
+    """``docs`` with struct ``column``: score, n_toxic tokens, and spans (start, end) in code points; a column of that name is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, n_toxic long, spans array<array<int>>")
