@@ -1,7 +1,7 @@
 """A corpus, from documents to shards: the stages, and their run over a folder of tables.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns what it
-keeps of ``docs``. All but the last return the columns of ``docs``, whatever they are;
+keeps of ``docs``. Texts are read whole, however long. All but the last return the columns of ``docs``, whatever they are;
 names that begin with two underscores are taken by the stages. Each stage gives an empty
 table for an empty one.
 """
