@@ -6,23 +6,33 @@ N; each round adds a keyed hash of one half to the other, which can be undone, s
 numbers stay different. What falls on N or above goes through again until it is below (cycle
 walking): it visits only numbers that are no sample's, of which there are fewer than a. So a
 sample's place in any permutation is a few operations on its own row, and no permutation costs
-an exchange.
+an exchange. A hash depends on one half only, of which there are about the square root of N, so
+that a block of samples reads it from a small table (``places``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROUNDS, CELLS = 6, 4096
-#: (half, permutation, round) -> a whole number, not negative.
-Hash = Callable[[Column, Column, Column], Column]
+#: (half, permutation, round) -> a whole number, not negative, by plain arithmetic, which columns and arrays share.
+Hash = Callable
+_PRIME = (1 << 31) - 1
 
 
 def keyed(seed: int) -> Hash:
-    return lambda half, perm, turn: F.pmod(F.xxhash64(half, perm, turn, F.lit(seed)), F.lit((1 << 31) - 1))
+    """Squares modulo a prime, twice over a line in all that it depends on."""
+    def of(half, perm, turn):
+        x = (half * 48271 + (perm + 1) * 69621 + turn * 15485863 + seed % _PRIME) % _PRIME
+        x = (x * x + (perm + 1) * 16807 + turn) % _PRIME
+        return (x * x + half) % _PRIME
+
+    return of
 
 
 def numbered(rows: DataFrame, key: str, name: str = "no", cell: Column | None = None) -> DataFrame:
@@ -60,3 +70,37 @@ def placed(rows: DataFrame, no: str, perm: str, total: str, name: str = "place",
     walked = F.aggregate(F.sequence(F.lit(1), F.col("_a").cast("int")), F.col(name), lambda v, _: F.when(v >= n, again(v)).otherwise(v))
     t = t.withColumn(name, once)
     return t.withColumn(name, F.when(F.col(name) < n, F.col(name)).otherwise(walked)).drop("_a", "_b", "_l", "_r")
+
+
+def places(no: np.ndarray, perm: int, total: int, hashed: Hash, halves: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """What :func:`placed` tells, for an array of numbers: hashes are formed once for each half, and read off.
+
+    halves: (no % a, no // a) of :func:`halved`, where several permutations take the same numbers.
+    """
+    a = math.ceil(math.sqrt(total))
+    b = math.ceil(total / a)
+    rounds = []
+    for turn in range(1, ROUNDS + 1):
+        base, size = (a, b) if turn % 2 else (b, a)
+        rounds.append((np.uint32(base), (hashed(np.arange(size, dtype=np.int64), perm, turn) % base).astype(np.uint32)))
+
+    def once(left: np.ndarray, r: np.ndarray) -> np.ndarray:
+        for base, shift in rounds:
+            new = shift.take(r)
+            new += left
+            np.minimum(new, new - base, out=new)  # less than base: the difference has wrapped around
+            left, r = r, new
+        return r.astype(np.int64) * a + left
+
+    out = once(*(halves or halved(no, total)))
+    far = np.flatnonzero(out >= total)
+    while len(far):  # there are fewer such numbers than a
+        out[far] = once(*halved(out[far], total))
+        far = far[out[far] >= total]
+    return out
+
+
+def halved(no: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The halves that the rounds start from."""
+    r, left = np.divmod(no, math.ceil(math.sqrt(total)))
+    return left.astype(np.uint32), r.astype(np.uint32)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseloom.operators.permutations import Hash, keyed, numbered, placed
+from pulseloom.operators.permutations import Hash, halved, keyed, numbered, places
 from pulseloom.operators.scans import before
+from pulseloom.sources.store import staged
 
 #: Abramowitz and Stegun 7.1.26 is too coarse here; this rational form of erfc has a relative error under 1.2e-7: fixed values.
 _ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
@@ -70,6 +75,11 @@ def pseudo_f(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, pseudo_f): PERMANOVA's F on Euclidean distances, by the sums of squares around centroids."""
     keys = keys or []
     c = long.groupBy(*keys, "grp", "feature").agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    return _pseudo_f(c, keys)
+
+
+def _pseudo_f(c: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`pseudo_f` from (keys, grp, feature, n, s, q): counts, sums and sums of squares."""
     per = c.groupBy(*keys, "feature").agg(
         F.sum("n").alias("N"), F.count("*").alias("k"), (F.sum("q") - F.sum("s") * F.sum("s") / F.sum("n")).alias("sst"),
         F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("ssw"),
@@ -80,28 +90,74 @@ def pseudo_f(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return tot.select(*keys, f.alias("pseudo_f"))
 
 
+#: Samples whose sums are formed at once (fewer, if they have many features), and permutations that are multiplied at once.
+_AT_ONCE, _PERMS = 1 << 16, 16
+
+
+def _permuted_sums(no: np.ndarray, of: np.ndarray, feature: np.ndarray, value: np.ndarray, n_features: int, upto: np.ndarray, permutations: int, hashed: Hash) -> np.ndarray:
+    """(permutation, group, 3, feature): counts, sums and sums of squares of samples ``no``; value i is that of sample ``of[i]`` and ``feature[i]``."""
+    cell, size = of * n_features + feature, len(no) * n_features
+    w = np.stack([np.bincount(cell, x, size).reshape(len(no), n_features) for x in (np.ones(len(value)), value, value * value)], axis=1).reshape(len(no), 3 * n_features)
+    out = np.empty((permutations, len(upto), 3 * n_features))
+    out[:, -1] = w.sum(axis=0)
+    halves = halved(no, int(upto[-1]))
+    for first in range(0, permutations, _PERMS):
+        perms = range(first, min(first + _PERMS, permutations))
+        place = np.stack([places(no, p, int(upto[-1]), hashed, halves) for p in perms])
+        for g, end in enumerate(upto[:-1]):
+            out[first : perms.stop, g] = (place < end).astype(float) @ w
+    out[:, 1:] -= out[:, :-1].copy()  # up to each group's end, less up to the one before
+    return out.reshape(permutations, len(upto), 3, n_features)
+
+
 def permanova(long: DataFrame, permutations: int = 999, seed: int = 42, hashed: Hash | None = None, cell: Column | None = None) -> DataFrame:
     """(pseudo_f, p, permutations): groups are dealt anew by keyed bijections of the samples.
 
     In each permutation the samples at the first places get the first group, as many as it has,
-    and so on. A sample travels once, with one array of its values; its place in each
-    permutation is told from its number alone (see :mod:`permutations`), and sums by
-    (permutation, group, feature) are formed where the sample is: no permutation sorts or
-    exchanges samples. hashed, cell: what the bijections and the numbers come from, seeded
-    hashes by default.
+    and so on. A sample travels with one array of its values; its place in each permutation is
+    told from its number alone (see :mod:`permutations`), and sums by (permutation, group,
+    feature) are formed where the sample is, a block of samples at a time: no permutation sorts,
+    exchanges or copies samples. hashed, cell: what the bijections and the numbers come from,
+    seeded hashes by default.
     """
-    samples = long.groupBy("sample_id").agg(F.first("grp").alias("grp"), F.collect_list(F.struct("feature", "value")).alias("v"))
+    hashed = hashed or keyed(seed)
+    rows = F.collect_list(F.struct("feature", "value"))
+    # Group sizes, numbers and values all look at this table.
+    samples = staged(long.groupBy("sample_id").agg(F.first("grp").alias("grp"), rows.alias("v")), "samples")
     sizes = samples.groupBy("grp").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy().orderBy("grp"))  # a row for each group
-    ends = sizes.select("grp", upto.alias("upto")).agg(F.sort_array(F.collect_list(F.struct("upto", "grp"))).alias("ends"), F.max("upto").alias("total"))
-    perms = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long"))).alias("perm")
+    order = Window.partitionBy().orderBy("grp")  # a row for each group
+    ends = sizes.select("grp", F.sum("n").over(order).alias("upto"), (F.row_number().over(order) - 1).alias("g"))
     # Dealt to all partitions: each sample is work for all permutations, however small the table.
     dealt = numbered(samples.select("sample_id", "v"), "sample_id", "no", cell).repartition(int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")), "no")
-    dealt = dealt.join(F.broadcast(ends)).select("no", "v", "ends", "total", perms)
-    dealt = placed(dealt, "no", "perm", "total", hashed=hashed or keyed(seed))
-    group = F.filter("ends", lambda e: F.col("place") < e["upto"])[0]["grp"]
-    stars = pseudo_f(dealt.select("perm", group.alias("grp"), F.explode("v").alias("x")).select("perm", "grp", "x.feature", "x.value"), ["perm"])
-    seen = pseudo_f(long).withColumnRenamed("pseudo_f", "observed")
+    dealt = dealt.join(F.broadcast(ends.agg(F.sort_array(F.collect_list("upto")).alias("upto"))))
+    dealt = dealt.select("no", F.transform("v", lambda x: x["feature"]).alias("feature"), F.transform("v", lambda x: x["value"]).alias("value"), "upto")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            feature, value = (t[c].combine_chunks() for c in ("feature", "value"))
+            owner, there = np.asarray(value.value_parent_indices()), np.asarray(value.flatten().is_valid())
+            coded = feature.flatten().dictionary_encode()
+            names, code = coded.dictionary, np.asarray(coded.indices)
+            upto = np.asarray(t["upto"][0].as_py())
+            got = _permuted_sums(np.asarray(t["no"]), owner[there], code[there], np.asarray(value.flatten().drop_null()), len(names), upto, permutations, hashed)
+            perm, g, f = (x.ravel() for x in np.indices((permutations, len(upto), len(names))))
+            n, s, q = (got[:, :, i].ravel() for i in range(3))
+            return pa.RecordBatch.from_arrays([pa.array(perm), pa.array(g), names.take(pa.array(f)), pa.array(np.rint(n).astype(np.int64)), pa.array(s), pa.array(q)], names=["perm", "g", "feature", "n", "s", "q"])
+
+        held, size, values = [], 0, 0
+        for batch in batches:
+            held, size, values = [*held, batch], size + batch.num_rows, values + len(batch["value"].flatten())
+            if size >= _AT_ONCE or values >= 8 * _AT_ONCE:
+                yield of(held)
+                held, size, values = [], 0, 0
+        if size:
+            yield of(held)
+
+    stars = dealt.mapInArrow(sums, "perm long, g long, feature string, n long, s double, q double")
+    stars = stars.groupBy("perm", F.col("g").alias("grp"), "feature").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]).where("n > 0")
+    stars = _pseudo_f(stars, ["perm"])
+    seen = pseudo_f(samples.select("grp", F.explode("v").alias("x")).select("grp", "x.*")).withColumnRenamed("pseudo_f", "observed")
     both = stars.join(F.broadcast(seen))  # one row
     return both.agg(F.max("observed").alias("pseudo_f"), ((F.count_if(F.col("pseudo_f") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("permutations"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,46 @@ def test_every_permutation_is_one(spark, n):
     assert n < 97 or len({tuple(v) for v in got.values()}) == 10
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_places_of_arrays_are_those_of_columns(spark, n):
+    from pulseloom.operators import permutations as P
+
+    rows = spark.range(n).withColumnRenamed("id", "no").withColumn("n", F.lit(n).cast("long")).withColumn("perm", F.explode(F.array(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+    got = {(r["perm"], r["no"]): r["place"] for r in P.placed(rows, "no", "perm", "n").collect()}
+    for perm in (0, 7):
+        assert P.places(np.arange(n), perm, n, P.keyed(42)).tolist() == [got[perm, i] for i in range(n)]
+
+
+def test_permanova_copies_no_sample_for_a_permutation(spark):
+    """Values that are missing, three groups: p is that of each permutation done by itself, and no row is exploded by permutation."""
+    from pulseloom.operators import permutations as P
+
+    rows = [(i, "abc"[i % 3], f, float((i * 37 + k * 11) % 23) + i % 3) for i in range(60) for k, f in enumerate(("x", "y")) if (i + k) % 7]
+    samples = sorted({r[0] for r in rows})
+    long = spark.createDataFrame(rows, "sample_id long, grp string, feature string, value double")
+    df = stats.permanova(long, 50)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0" not in plan and "explode(v" in plan
+    numbers = {r["sample_id"]: r["no"] for r in P.numbered(spark.createDataFrame([(s,) for s in samples], "sample_id long"), "sample_id", "no").collect()}
+    groups = sorted("abc"[s % 3] for s in samples)
+
+    def f(group):
+        out = {"sst": 0.0, "ssw": 0.0}
+        for name in ("x", "y"):
+            v = np.array([r[3] for r in rows if r[2] == name])
+            g = np.array([group(r) for r in rows if r[2] == name])
+            out["sst"] += ((v - v.mean()) ** 2).sum()
+            out["ssw"] += sum(((v[g == k] - v[g == k].mean()) ** 2).sum() for k in "abc")
+        return (out["sst"] - out["ssw"]) / 2 / (out["ssw"] / (max(sum(r[2] == n for r in rows) for n in ("x", "y")) - 3))
+
+    seen = f(lambda r: r[1])
+    places = [P.places(np.arange(len(samples)), p, len(samples), P.keyed(42)) for p in range(50)]
+    stars = [f(lambda r, at=at: groups[at[numbers[r[0]]]]) for at in places]
+    r = df.first()
+    assert abs(r["pseudo_f"] - seen) < 1e-9 and r["permutations"] == 50
+    assert r["p"] == (sum(x >= seen for x in stars) + 1) / 51
+
+
 def test_permutations_are_even(spark):
     """Each sample is in the first half in about half of the permutations, and pairs go apart in about half."""
     from pulseloom.operators import permutations as P
