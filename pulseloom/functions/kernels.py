@@ -432,6 +432,15 @@ def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2, version: int = 1)
     return float(-np.log(a / b)) if a > 0 and b > 0 else 0.0
 
 
+def template_pairs(x: np.ndarray, m: int = 2, r: float = 0.2) -> tuple[int, int]:
+    """(B, A): pairs of templates of length m and m + 1 within r times the deviation, among the first n - m for both."""
+    n = len(x) - m
+    if n < 1:
+        return 0, 0
+    near = _near(e := _within(x, r * float(x.std())), m, n)
+    return tuple(int(np.count_nonzero(v) - n) // 2 for v in (near, near & e[m:, m:]))
+
+
 def approximate_entropy(x: np.ndarray, m: int = 2, r: float = 0.2, version: int = 1) -> float:
     """Approximate entropy, self-matches counted; versions scale as in :func:`sample_entropy`.
 

@@ -8,9 +8,12 @@ first beat lies in the window too.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseloom.functions import kernels as K
 from pulseloom.operators.tachogram import in_order, physiologic
 
 MINUTE = 60_000
@@ -87,53 +90,22 @@ def at_centres(beats: DataFrame, centres: DataFrame, minutes: int, least: int =
     )
 
 
-def numbered_windows(beats: DataFrame, minutes: int, least: int) -> DataFrame:
-    """(rec, minute, i, n, x): the clean beats of each trailing window with at least ``least``, i from 0, x in seconds; minutes as in :func:`grid`."""
-    inside = Window.partitionBy("rec", "minute")
-    rows = dealt(beats, minutes).select("rec", "minute", "beat_idx", "rr_ms")
-    rows = rows.withColumns({"i": F.row_number().over(inside.orderBy("beat_idx")) - 1, "n": F.count("*").over(inside)})
-    full = beats.groupBy("rec").agg(F.floor(F.max("t_ms") / MINUTE).alias("_full"))
-    return rows.where(F.col("n") >= least).join(full, "rec").where(F.col("minute") < F.col("_full")).select("rec", "minute", "i", "n", (F.col("rr_ms") / 1000).alias("x"))
-
-
-#: A cell and the neighbours ahead of it: each pair of neighbouring cells meets once.
-_AHEAD = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
+def _series(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x): the values of each window as one array, in order of i."""
+    return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda v: v["x"].cast("double")).alias("x"))
 
 
-def near_pairs(rows: DataFrame, m: int, r: float, keys: list[str], spare: int) -> DataFrame:
-    """(keys, i, j, longer): pairs i < j of templates of length m that lie within the tolerance in all places.
-
-    rows: (keys, i, x) with i from 0 without gaps, one window for each key; m is 2 or more. The
-    tolerance is r times a window's deviation. The first n - m + 1 - ``spare`` templates take
-    part; longer: whether the pair is near at length m + 1 too, null where one of them has no
-    further value.
+def entropy_counts(rows: DataFrame, m: int, r: float, keys: list[str]) -> DataFrame:
+    """(keys, n, B, A): template pairs of length m and m + 1 within the tolerance (Chebyshev), among the first n - m templates for both.
 
-    Templates lie in cells whose side is the tolerance, by their first two values, and meet
-    those of their own and the four neighbouring cells ahead: an equality join, in which a
-    window's templates don't all meet each other.
+    rows: (keys, i, x), a window of bounded length for each key. Its pairs are compared where
+    the window is; only their numbers leave it.
     """
-    ahead, whole = Window.partitionBy(*keys).orderBy("i"), Window.partitionBy(*keys)
-    cols = {f"x{k}": F.lead("x", k).over(ahead) for k in range(1, m + 1)}
-    t = rows.select(*keys, "i", "x").withColumns(cols | {"tol": F.stddev_pop("x").over(whole) * r, "n": F.count("*").over(whole)})
-    t = t.where(F.col("i") <= F.col("n") - m - spare).withColumnRenamed("x", "x0").drop("n")
-    cell = lambda c: F.when(F.col("tol") > 0, F.floor(F.col(c) / F.col("tol"))).otherwise(0)
-    t = t.withColumns({"c0": cell("x0"), "c1": cell("x1")})
-    steps = F.explode(F.array(*[F.struct(F.lit(d0).alias("d0"), F.lit(d1).alias("d1")) for d0, d1 in _AHEAD])).alias("d")
-    a = t.select("*", steps).withColumns({"c0": F.col("c0") + F.col("d.d0"), "c1": F.col("c1") + F.col("d.d1"), "own": (F.col("d.d0") == 0) & (F.col("d.d1") == 0)}).drop("d").alias("a")
-    b = t.alias("b")
-    near = lambda k: F.abs(F.col(f"a.x{k}") - F.col(f"b.x{k}")) <= F.col("a.tol")
-    cond = ~F.col("own") | (F.col("a.i") < F.col("b.i"))
-    for c in [*keys, "c0", "c1"]:
-        cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    for k in range(m):
-        cond = cond & near(k)
-    return a.join(b, cond).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.i").alias("i"), F.col("b.i").alias("j"), near(m).alias("longer"))
+    @F.pandas_udf("B long, A long")
+    def counts(windows: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([K.template_pairs(np.asarray(x), m, r) for x in windows], columns=["B", "A"])
 
-
-def entropy_counts(rows: DataFrame, m: int, r: float, keys: list[str]) -> DataFrame:
-    """(keys, n, B, A): template pairs of length m and m + 1 within the tolerance (Chebyshev), among the first n - m templates for both."""
-    got = near_pairs(rows, m, r, keys, 1).groupBy(*keys).agg(F.count("*").alias("B"), F.count_if("longer").alias("A"))
-    return rows.groupBy(*keys).agg(F.count("*").alias("n")).join(got, keys, "left").na.fill(0, ["A", "B"])
+    return _series(rows, keys).select(*keys, F.size("x").cast("long").alias("n"), counts("x").alias("_c")).select(*keys, "n", "_c.*")
 
 
 def sample_entropy(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,16 +114,15 @@ def sample_entropy(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def approximate_entropy(rows: DataFrame, m: int, r: float, keys: list[str]) -> DataFrame:
-    """(keys, n, ap_en): version 2, self-matches counted, the mean logarithms divided by the number of templates less m - 1; 0 for a constant window."""
-    pairs = near_pairs(rows, m, r, keys, 0)
-    each = pairs.select(*keys, "longer", F.explode(F.array("i", "j")).alias("i")).groupBy(*keys, "i").agg(F.count("*").alias("c"), F.count_if("longer").alias("d"))
-    n = F.col("n")
-    whole = Window.partitionBy(*keys)
-    t = rows.select(*keys, "i", F.count("*").over(whole).alias("n"), F.stddev_pop("x").over(whole).alias("sd")).join(each, [*keys, "i"], "left")
-    logs = lambda c, k: F.sum(F.when(F.col("i") <= n - k, F.ln((F.coalesce(c, F.lit(0)) + 1) / (n - k + 1))))
-    t = t.groupBy(*keys).agg(F.max("n").alias("n"), F.max("sd").alias("sd"), logs("c", m).alias("short"), logs("d", m + 1).alias("long"))
-    phi = lambda c, k: F.try_divide(F.col(c), n - 2 * k + 2)
-    return t.select(*keys, "n", F.when(F.col("sd") > 0, phi("short", m) - phi("long", m + 1)).otherwise(0.0).alias("ap_en"))
+    """(keys, n, ap_en): version 2, self-matches counted, the mean logarithms divided by the number of templates less m - 1; 0 for a constant window.
+
+    rows: as for :func:`entropy_counts`.
+    """
+    @F.pandas_udf("double")
+    def of(windows: pd.Series) -> pd.Series:
+        return pd.Series([K.approximate_entropy(np.asarray(x), m, r, 2) for x in windows], dtype=float)
+
+    return _series(rows, keys).select(*keys, F.size("x").cast("long").alias("n"), of("x").alias("ap_en"))
 
 
 def availability(features: DataFrame, columns: list[str]) -> DataFrame:

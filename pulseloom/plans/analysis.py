@@ -305,8 +305,7 @@ dft AS (SELECT rec, minute, n, k, list_dot_product(x, c) ** 2 + list_dot_product
 
 def _dft(spark: SparkSession, d: str) -> DataFrame:
     """Every 10-minute window of every recording."""
-    w = signal.window_series(beats(spark, d), 10, 20)
-    return w.select("rec", "minute", F.size("rr").alias("n"), F.posexplode(signal.spectrum("dft")("rr", "t")).alias("k", "s")).select("rec", "minute", "n", "k", "s.f", "s.p")
+    return signal.spectra(beats(spark, d), "dft")
 
 
 @query(f"{_B}, {_DFT} SELECT rec, minute, k, round(p, 4) AS p FROM dft")
@@ -332,9 +331,8 @@ _SAMPEN = _WIN.format(m=3) + """, t3 AS (SELECT rec, minute, i, n, rr_ms AS x0,
 @query(f"""{_B}, {_SAMPEN}, k AS (SELECT a.rec, a.minute, count(*) AS B, count(*) FILTER (abs(a.x2 - b.x2) <= 200 * sqrt(a.v)) AS A FROM t3 a JOIN t3 b ON a.rec = b.rec AND a.minute = b.minute AND a.i < b.i AND a.i <= a.n - 2 AND b.i <= b.n - 2 WHERE abs(a.x0 - b.x0) <= 200 * sqrt(a.v) AND abs(a.x1 - b.x1) <= 200 * sqrt(a.v) GROUP BY 1, 2)
 SELECT w.rec, w.minute, any_value(w.n) AS n, coalesce(any_value(k.A), 0) AS A, coalesce(any_value(k.B), 0) AS B, CASE WHEN coalesce(any_value(k.A), 0) > 0 THEN round(-ln(any_value(k.A) / any_value(k.B)), 6) ELSE 0 END AS samp_en FROM w3 w LEFT JOIN k USING (rec, minute) WHERE w.n >= 10 GROUP BY w.rec, w.minute""")
 def samp_en_v2(spark: SparkSession, d: str) -> DataFrame:
-    """Version 2 over every 3-minute window, by cells of templates."""
-    x = features.numbered_windows(beats(spark, d), 3, 10)
-    return features.sample_entropy(features.entropy_counts(x, 2, 0.2, ["rec", "minute"]), ["rec", "minute"])
+    """Version 2 over every 3-minute window, by blocks of an hour."""
+    return features.sample_entropy(signal.sample_entropy_counts(beats(spark, d), 3, 10), ["rec", "minute"])
 
 
 @query(f"""{_B}, {_WIN.format(m=5)}, t5 AS (SELECT rec, minute, i, n, rr_ms AS x0, lead(rr_ms) OVER o AS x1, lead(rr_ms, 2) OVER o AS x2, 200 * stddev_pop(rr_ms / 1000.0) OVER (PARTITION BY rec, minute) AS tol FROM w5 WHERE n >= 10 WINDOW o AS (PARTITION BY rec, minute ORDER BY i)),
@@ -342,9 +340,8 @@ c5 AS (SELECT a.rec, a.minute, a.i, any_value(a.n) AS n, any_value(a.tol) AS tol
   WHERE a.i <= a.n - 1 AND b.i <= b.n - 1 AND abs(a.x0 - b.x0) <= a.tol AND abs(a.x1 - b.x1) <= a.tol GROUP BY a.rec, a.minute, a.i)
 SELECT rec, minute, round(CASE WHEN any_value(tol) > 0 THEN sum(ln(c2 / (n - 1))) / any_value(n - 2) - sum(ln(c3 / (n - 2))) FILTER (i <= n - 2) / any_value(n - 4) ELSE 0 END, 6) AS ap_en FROM c5 GROUP BY rec, minute""")
 def apen_v2_5(spark: SparkSession, d: str) -> DataFrame:
-    """Version 2 over every 5-minute window, by cells of templates."""
-    x = features.numbered_windows(beats(spark, d), 5, 10)
-    return features.approximate_entropy(x, 2, 0.2, ["rec", "minute"]).select("rec", "minute", *r6("ap_en"))
+    """Version 2 over every 5-minute window, by blocks of an hour."""
+    return signal.approximate_entropies(beats(spark, d), 5, 10).select("rec", "minute", *r6("ap_en"))
 
 
 #: 100 frequencies up to 0.5 over the first 25 minutes, where the comparison of spectra looks.
@@ -584,8 +581,7 @@ lp AS (SELECT rec, minute, f, 0.5 * ((yc * u + ys * v) ** 2 / (cc * u * u + 2 *
 
 
 def _spectra(spark: SparkSession, d: str, kind: str, digits: int) -> DataFrame:
-    w = signal.window_series(beats(spark, d), 10, 20)
-    return w.select("rec", "minute", F.explode(signal.spectrum(kind)("rr", "t")).alias("s")).select("rec", "minute", F.round("s.f", 9).alias("f"), F.round("s.p", digits).alias("p"))
+    return signal.spectra(beats(spark, d), kind).select("rec", "minute", F.round("f", 9).alias("f"), F.round("p", digits).alias("p"))
 
 
 @query(f"""{_B}, {_PERIODOGRAM.format(win=_WIN.format(m=10), t="i - 1", f="0.001 + k * (0.499::DOUBLE / 999)")} SELECT rec, minute, round(f, 9) AS f, round(2 * p / yy, 6) AS p FROM lp JOIN lq USING (rec, minute)""")

@@ -224,3 +224,45 @@ def test_exact_quantiles(spark, n):
     assert set(got) == set(series) and all(np.allclose(got[k], np.quantile(x, shares), rtol=1e-12) for k, x in series.items())
     whole = stats.quantiles(rows.where("k = 'skewed'"), [], "x", [0.5]).collect()
     assert np.isclose(whole[0]["q"][0], np.median(series["skewed"]), rtol=1e-12)
+
+
+def _hours_of_beats(spark):
+    rr = np.random.default_rng(5).choice([700, 800, 900, 1000], 9000).tolist()
+    t = np.cumsum(rr).tolist()
+    return rr, t, spark.createDataFrame([(1, i + 1, int(x), int(s)) for i, (x, s) in enumerate(zip(rr, t))], "rec long, beat_idx long, rr_ms long, t_ms long")
+
+
+def test_entropies_of_windows_join_no_templates(spark):
+    """Only counts leave a window: no join of its templates, whose pairs would grow with its square."""
+    from pulseloom.functions import kernels as K
+
+    rr, t, beats = _hours_of_beats(spark)
+    counts, entropies = signal.sample_entropy_counts(beats, 3, 10), signal.approximate_entropies(beats, 5, 10)
+    assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (counts, entropies))
+    full = t[-1] // 60_000
+    window = lambda m, k: np.array([x for x, s in zip(rr, t) if (m - k) * 60_000 <= s <= m * 60_000]) / 1000
+    got = {r["minute"]: (r["n"], r["B"], r["A"]) for r in counts.collect()}
+    assert set(got) == set(range(3, full))
+    for m in (3, 60, full - 1):
+        x = window(m, 3)
+        pairs = [(i, j) for i in range(len(x) - 2) for j in range(i) if max(abs(x[i] - x[j]), abs(x[i + 1] - x[j + 1])) <= 0.2 * x.std()]
+        assert got[m] == (len(x), len(pairs), sum(abs(x[i + 2] - x[j + 2]) <= 0.2 * x.std() for i, j in pairs))
+    got = {r["minute"]: r["ap_en"] for r in entropies.collect()}
+    assert set(got) == set(range(5, full)) and all(abs(got[m] - K.approximate_entropy(window(m, 5), version=2)) < 1e-9 for m in (5, 60, full - 1))
+
+
+@pytest.mark.parametrize("kind", ["dft", "lomb", "density"])
+def test_spectra_leave_a_block_as_arrays(spark, kind):
+    """No batch of ten thousand spectra is held as objects: each block gives its own rows, and Spark unfolds them."""
+    from pulseloom.functions import kernels as K
+
+    rr, t, beats = _hours_of_beats(spark)
+    df = signal.spectra(beats, kind)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "FlatMapGroupsInPandas" in plan
+    for m in (10, 61):
+        x, s = (np.array(v) / 1000 for v in zip(*[(x, s) for x, s in zip(rr, t) if (m - 10) * 60_000 <= s <= m * 60_000]))
+        f = {"dft": np.arange(len(x) // 2 + 1) / len(x), "lomb": np.linspace(0.001, 0.5, 1000), "density": np.linspace(0.003, 0.5, 1000)}[kind]
+        p = {"dft": lambda: np.abs(np.fft.rfft(x)) ** 2, "lomb": lambda: K.lomb_scargle(np.arange(len(x), dtype=float), x, f, True), "density": lambda: K.lomb_density(s, x)[1]}[kind]()
+        rows = df.where(f"minute = {m}").orderBy("k").collect()
+        assert len(rows) == len(f) and np.allclose([r["f"] for r in rows], f, rtol=0, atol=1e-12) and np.allclose([r["p"] for r in rows], p)
