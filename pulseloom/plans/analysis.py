@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions.columns import agreement, class_of, log_ratio, ratio
 from pulseloom.functions.sql import register
-from pulseloom.operators import cleaning, comparison, dataset, features, resample, signal, spectral, stats
+from pulseloom.operators import cleaning, comparison, dataset, features, labels, resample, signal, spectral, stats
 from pulseloom.plans import report
 from pulseloom.plans.recordings import _B, _BZ, _POIN, _STATUS, _TIME_3, _status, r6
 from pulseloom.schemas import FEATURES
@@ -397,7 +397,8 @@ ae AS (SELECT rec, minute, avg(ln(c2 / (n - 1))) - avg(ln(c3 / (n - 2))) FILTER
 
 @query(f"{_B}, {_ENTROPY} SELECT rec, minute, round(SampEn_3, 6) AS SampEn_3, round(ApEn_5, 6) AS ApEn_5 FROM se FULL JOIN ae USING (rec, minute)")
 def entropy_3_5(spark: SparkSession, d: str) -> DataFrame:
-    rows = signal.minute_features(beats(spark, d)).select("rec", "minute", *r6("SampEn_3", "ApEn_5"))
+    names = ("SampEn_3", "ApEn_5")
+    rows = signal.minute_features(beats(spark, d), only=names).select("rec", "minute", *r6(*names))
     return rows.where("SampEn_3 IS NOT NULL OR ApEn_5 IS NOT NULL")
 
 
@@ -424,7 +425,7 @@ _DIGITS = {n: 2 if "POWER" in n else 6 if "TO" in n else 4 for n in signal.FREQU
 
 @query(f"{_B.replace('WITH', 'WITH RECURSIVE')}, {_POWERS} SELECT * FROM fr")
 def frequency_10(spark: SparkSession, d: str) -> DataFrame:
-    rows = signal.minute_features(beats(spark, d)).where("TOTAL_POWER_10 IS NOT NULL")
+    rows = signal.minute_features(beats(spark, d), only=[f"{n}_10" for n in _DIGITS]).where("TOTAL_POWER_10 IS NOT NULL")
     return rows.select("rec", "minute", *[F.round(f"{n}_10", k).alias(n) for n, k in _DIGITS.items()])
 
 
@@ -441,12 +442,12 @@ FROM grid g JOIN status st USING (rec, minute) LEFT JOIN time3 USING (rec, minut
 @query(_bundle_sql())
 def hrv_bundle(spark: SparkSession, d: str) -> DataFrame:
     """All 22 features of each minute, their mask, and the status of the minute."""
-
-    b = beats(spark, d)
+    # Features, grid and status all look at the beats.
+    b = staged(beats(spark, d), "bundle-beats")
     digits = {f"{n}_10": k for n, k in _DIGITS.items()}
     f = signal.minute_features(b).select("rec", "minute", *[F.round(c, digits.get(c, 6)).alias(c) for c in FEATURES])
     rows = features.grid(b).join(f, ["rec", "minute"], "left")
-    return features.availability(rows, FEATURES).join(_status(spark, d), ["rec", "minute"])
+    return features.availability(rows, FEATURES).join(labels.status(features.grid(b), seizures(spark, d)), ["rec", "minute"])
 
 
 # -- cleaning --------------------------------------------------------------------------

@@ -266,3 +266,25 @@ def test_spectra_leave_a_block_as_arrays(spark, kind):
         p = {"dft": lambda: np.abs(np.fft.rfft(x)) ** 2, "lomb": lambda: K.lomb_scargle(np.arange(len(x), dtype=float), x, f, True), "density": lambda: K.lomb_density(s, x)[1]}[kind]()
         rows = df.where(f"minute = {m}").orderBy("k").collect()
         assert len(rows) == len(f) and np.allclose([r["f"] for r in rows], f, rtol=0, atol=1e-12) and np.allclose([r["p"] for r in rows], p)
+
+
+@pytest.mark.parametrize(("n", "segment", "overlap"), [(5, 64, None), (64, 64, 48), (8191, 64, None), (8192, 64, 48), (20_000, 64, 0)])
+def test_welch_by_blocks_of_segments(spark, n, segment, overlap):
+    """A block of segments travels once, not a copy of each value for each segment, and borders of blocks lose none."""
+    from pulseloom.functions import kernels as K
+    from pulseloom.operators import spectral
+
+    x = np.random.default_rng(n).normal(size=n)
+    rows = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "rec long, i long, x double")
+    df = spectral.welch(rows, 4.0, segment, overlap, detrend=False)
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().optimizedPlan().toString()
+    f, p = K.welch(x, 4.0, segment, overlap, False)
+    got = df.orderBy("k").collect()
+    assert np.allclose([r["f"] for r in got], f) and np.allclose([r["p"] for r in got], p, rtol=1e-9)
+
+
+def test_only_the_minute_features_asked_for(spark):
+    names = ["SampEn_3", "ApEn_5"]
+    _, _, beats = _hours_of_beats(spark)
+    got, every = signal.minute_features(beats, only=names), signal.minute_features(beats).select("rec", "minute", *names)
+    assert got.columns == ["rec", "minute", *names] and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, every.collect()), key=str)
