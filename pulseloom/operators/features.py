@@ -76,12 +76,11 @@ def poincare(beats: DataFrame, minutes: int = 5, least: int = 10) -> DataFrame:
 def at_centres(beats: DataFrame, centres: DataFrame, minutes: int, least: int = 5) -> DataFrame:
     """(rec, centre_ms, n, mean, deviation) of windows that end at given times; null features below ``least`` beats.
 
-    A beat is dealt to the whole-minute cells that its windows can end in, and compared only there.
+    A window asks the whole-minute cells that it reaches into; a beat is in one, and is not copied.
     """
-    clean = beats.where(physiologic())
-    cells = F.sequence(F.floor(F.col("t_ms") / MINUTE), F.floor((F.col("t_ms") + minutes * MINUTE) / MINUTE))
-    b = clean.select("rec", "rr_ms", "t_ms", F.explode(cells).alias("_cell"))
-    c = centres.select("rec", "centre_ms", F.floor(F.col("centre_ms") / MINUTE).alias("_cell"))
+    b = beats.where(physiologic()).select("rec", "rr_ms", "t_ms", F.floor(F.col("t_ms") / MINUTE).alias("_cell"))
+    cells = F.sequence(F.floor((F.col("centre_ms") - minutes * MINUTE) / MINUTE), F.floor(F.col("centre_ms") / MINUTE))
+    c = centres.select("rec", "centre_ms", F.explode(cells).alias("_cell"))
     inside = F.col("t_ms").between(F.col("centre_ms") - minutes * MINUTE, F.col("centre_ms"))
     rows = c.join(b, ["rec", "_cell"], "left").withColumn("rr_ms", F.when(inside, F.col("rr_ms")))
     n = F.count("rr_ms")

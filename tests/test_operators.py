@@ -288,3 +288,14 @@ def test_only_the_minute_features_asked_for(spark):
     _, _, beats = _hours_of_beats(spark)
     got, every = signal.minute_features(beats, only=names), signal.minute_features(beats).select("rec", "minute", *names)
     assert got.columns == ["rec", "minute", *names] and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, every.collect()), key=str)
+
+
+def test_centre_windows_copy_no_beat(spark):
+    """Windows ask cells; a beat goes to its own only, also where it is on a border of a cell or window."""
+    beats = spark.createDataFrame([(1, i + 1, 1000, (i + 1) * 1000) for i in range(4000)] + [(2, 1, 800, 800)], "rec long, beat_idx long, rr_ms long, t_ms long")
+    centres = spark.createDataFrame([(1, c) for c in (0, 60_000, 1_500_000, 1_500_500, 4_000_000, 9_000_000)] + [(2, 700)], "rec long, centre_ms long")
+    df = features.at_centres(beats, centres, 25)
+    assert "t_ms" not in [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line][0]
+    got = {(r["rec"], r["centre_ms"]): (r["n"], r["mean_rr"]) for r in df.collect()}
+    want = {(1, c): sum(c - 1_500_000 <= (i + 1) * 1000 <= c for i in range(4000)) for c in (0, 60_000, 1_500_000, 1_500_500, 4_000_000, 9_000_000)} | {(2, 700): 0}
+    assert got == {k: (n, 1000.0 if n >= 5 else None) for k, n in want.items()}
