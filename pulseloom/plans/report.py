@@ -30,7 +30,8 @@ SHAPES = ["SampEn_3", "ApEn_5", "LF_NORM_5", "HF_NORM_5", "LF_POWER_5", "HF_POWE
 
 def prepared_series(beats: DataFrame, onsets: DataFrame) -> DataFrame:
     """(rec, i, x, t, onset): cleaned beats up to the onset (rec, onset in seconds) of each recording that has enough of them."""
-    ahead = beats.join(onsets, "rec").where(F.col("t_ms") <= F.col("onset") * 1000)
+    # What is long enough, and what is cleaned, both look at this table.
+    ahead = staged(beats.join(onsets, "rec").where(F.col("t_ms") <= F.col("onset") * 1000), "report-beats")
     enough = ahead.groupBy("rec").agg(F.count("*").alias("n"), F.max("t_ms").alias("last"), F.max("onset").alias("onset"))
     enough = enough.where((F.col("n") >= BEFORE) & (F.col("last") + RR_MOST >= F.col("onset") * 1000)).select("rec", "onset")
     clean = cleaning.cleaned(ahead.drop("onset").join(enough, "rec", "left_semi"))
@@ -85,13 +86,14 @@ def _density(t: np.ndarray, x: np.ndarray, most: int, parts: int) -> tuple[np.nd
 def features_at(series: DataFrame, at: DataFrame, with_shapes: bool = True) -> DataFrame:
     """(rec, grp, k, centre, features) of the windows that end at given times, in milliseconds; null below 5 beats.
 
-    A beat goes to the whole minutes that its windows can end in, and meets the times of these
-    only; successive differences come from one lag, and count where both beats are in the window.
+    A window asks the whole minutes that it reaches into, and meets the beats of these only; a beat
+    is in one, and is not copied ahead of the join. Successive differences come from one lag, and count where both beats are in the window.
     """
     order = Window.partitionBy("rec").orderBy("i")
     s = series.select("rec", "i", "x", "t", F.lag("x").over(order).alias("xb"), F.lag("t").over(order).alias("tb"))
-    s = s.withColumn("cell", F.explode(F.sequence(F.floor(F.col("t") / 60), F.floor((F.col("t") + MINUTES * 60) / 60))))
-    rows = at.withColumn("cell", F.floor(F.col("centre") / 60)).join(s, ["rec", "cell"]).where((F.col("t") <= F.col("centre")) & (F.col("t") >= F.col("centre") - MINUTES * 60))
+    s = s.withColumn("cell", F.floor(F.col("t") / 60))
+    cells = F.explode(F.sequence(F.floor((F.col("centre") - MINUTES * 60) / 60), F.floor(F.col("centre") / 60)))
+    rows = at.withColumn("cell", cells).join(s, ["rec", "cell"]).where((F.col("t") <= F.col("centre")) & (F.col("t") >= F.col("centre") - MINUTES * 60))
     ms, d, both = F.col("x") * 1000, (F.col("x") - F.col("xb")) * 1000, (F.col("x") + F.col("xb")) * 1000
 
     def of(minutes: int, value: Column, pair: bool = False) -> Column:
