@@ -29,6 +29,7 @@ def peak_count(spectrum: DataFrame, name: str) -> DataFrame:
 
 def psd_comparison(beats: DataFrame, least: int = 20) -> DataFrame:
     """A row a recording with ``least`` beats: powers and peaks by Lomb-Scargle and by Welch (Akima, 2048 points, no detrend), and their differences."""
+    beats = staged(beats, "comparison-beats")  # counted, cleaned, and counted again at the end
     n = beats.groupBy("rec").agg(F.count("*").alias("n_rr_intervals")).where(F.col("n_rr_intervals") >= least)
     # What several steps read is written once: a few numbers a beat, and a spectrum a recording.
     clean = staged(cleaning.cleaned(beats.join(n, "rec", "left_semi"), merge=False, retime=False), "comparison-clean")
