@@ -56,7 +56,8 @@ def merged_short(beats: DataFrame, least_ms: int = SHORT_MS) -> DataFrame:
     rows = beats.select("rec", "beat_idx", "rr_ms", "t_ms", short.alias("_short"))
     rows = rows.withColumns({"_b": F.coalesce(F.lag("_short").over(order), F.lit(False)), "_a": F.coalesce(F.lead("_short").over(order), F.lit(False))})
     cut = (~F.col("_short") & ~F.col("_b")).cast("long")
-    rows = rows.withColumn("_island", F.sum(cut).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Lone intervals and islands both look at this table.
+    rows = staged(rows.withColumn("_island", F.sum(cut).over(order.rowsBetween(Window.unboundedPreceding, 0))), "islands")
     lone = ~F.col("_short") & ~F.col("_b") & ~F.col("_a")
 
     @F.pandas_udf("rr array<long>, head int")
