@@ -44,7 +44,8 @@ def write(df: DataFrame, path: str, *by: str) -> DataFrame:
 def run(spark: SparkSession, tables: str, out: str, config: dict | None = None) -> DataFrame:
     """The whole job; gives ``rows`` as written."""
     c, out = settings(DEFAULTS, config), out.rstrip("/")
-    b = told(beats(spark, tables), "read", "beats", tables)
+    # Grid, features and status all look at the beats.
+    b = write(told(beats(spark, tables), "read", "beats", tables), f"{out}/beats")
     z = told(seizures(spark, tables), "read", "seizures", tables)
     shard = F.pmod(F.xxhash64("rec"), F.lit(c["shards"])).cast("int").alias("shard")
     minutes = write(training.minute_rows(b, z).select("*", shard), f"{out}/minutes", "shard")
